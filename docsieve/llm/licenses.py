@@ -113,7 +113,22 @@ def fuzzy_spans(raw: bytes, offsets: np.ndarray, notices: tuple[tuple[str, str],
         for a, b in merged:
             for m in patterns[i].finditer(raw, a, b):
                 found.setdefault(doc, []).append((notices[i][1], m.start() - base, m.end() - base, sum(m.fuzzy_counts)))
-    return found
+    return {doc: best_spans(hits) for doc, hits in found.items()}
+
+
+def best_spans(hits: list[tuple]) -> list[tuple]:
+    """The spans that don't overlap one with fewer edits: of notices that differ in a digit, the nearest."""
+    hits = sorted(set(hits), key=lambda h: (h[1], h[2], h[0]))
+    out, at = [], 0
+    while at < len(hits):  # a cluster of overlapping spans at a time
+        end, high = at + 1, hits[at][2]
+        while end < len(hits) and hits[end][1] < high:
+            high = max(high, hits[end][2])
+            end += 1
+        cluster = hits[at:end]
+        out += [h for h in cluster if not any(o[3] < h[3] and o[1] < h[2] and h[1] < o[2] for o in cluster)]
+        at = end
+    return out
 
 
 def base_places(raw: bytes, starts, ends, first, phrases: dict[str, str]) -> dict[int, list[tuple[int, str]]]:

@@ -33,7 +33,7 @@ MAX_TRAIN = 20_000
 FOLDS = 5
 BUCKETS = 1 << 22
 MAX_FEATURES = 2048
-LEAST_RATIO = 15.0
+LEAST_RATIO = 25.0  # of chi-squared with one degree of freedom: one word in two million by chance
 LEAST_ROWS = 4
 THRESHOLD = 0.5
 #: In the order of the chain; the last decides.
