@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import chunks, flat, texts
+from docsieve.llm.common import chunks, cut, flat, texts
 from docsieve.llm.hashing import LOWER, Rolling, byte_values, word_spans
 
 MAX_TRAIN = 20_000
 FOLDS = 5
 BUCKETS = 1 << 22
-MAX_FEATURES = 2048
+MAX_FEATURES = 256
 LEAST_RATIO = 25.0  # of chi-squared with one degree of freedom: one word in two million by chance
 LEAST_ROWS = 4
 THRESHOLD = 0.5
@@ -63,7 +63,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
     sample = (
         rows.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"), F.coalesce(F.max("quality"), F.lit(1)).alias("quality"))
+        .agg(F.least(F.max("toxic"), F.lit(1)).alias("toxic"), F.coalesce(F.max("quality"), F.lit(1)).alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)  # of three numbers each: small enough to broadcast, whatever the input
     )
@@ -92,16 +92,34 @@ def category_labels(toxic: np.ndarray, quality: np.ndarray) -> dict[str, np.ndar
     return {"toxic_prose": toxic & (quality > 0), "toxic_junk": toxic & (quality <= 0), "toxic": toxic}
 
 
-def likelihood_ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
-    """Twice the log-likelihood ratio of two binomial counts against one common rate."""
-
-    def term(k, e):
-        return np.where(k > 0, k * np.log(np.maximum(k, 1e-9) / np.maximum(e, 1e-9)), 0.0)
-
-    rate = (a + b) / (n_a + n_b)
-    return 2 * (
-        term(a, n_a * rate) + term(b, n_b * rate) + term(n_a - a, n_a * (1 - rate)) + term(n_b - b, n_b * (1 - rate))
+def telling_buckets(rows: DataFrame) -> list[int]:
+    """The buckets whose presence tells toxic training rows from others, ``MAX_FEATURES`` at most.
+
+    The measure is twice the log-likelihood ratio of two binomial counts against one common rate.
+    """
+    totals = rows.agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).first()
+    n_pos, n_neg = float(totals["pos"] or 0), float(totals["neg"] or 0)
+    if not n_pos or not n_neg:
+        return []
+    pos, neg = F.col("pos"), F.col("neg")
+    rate = (pos + neg) / (n_pos + n_neg)
+
+    def term(count, expected):
+        return F.when(count > 0, count * F.log(count / expected)).otherwise(0.0)
+
+    ratio = 2 * (
+        term(pos, n_pos * rate) + term(neg, n_neg * rate)
+        + term(n_pos - pos, n_pos * (1 - rate)) + term(n_neg - neg, n_neg * (1 - rate))
+    )
+    counts = (
+        rows.select("toxic", F.explode("buckets").alias("bucket"))
+        .groupBy("bucket")
+        .agg(F.sum("toxic").cast("double").alias("pos"), F.sum(1 - F.col("toxic")).cast("double").alias("neg"))
+        .where(F.col("pos") + F.col("neg") >= LEAST_ROWS)
+        .withColumn("ratio", ratio)
+        .where(F.col("ratio") >= LEAST_RATIO)
     )
+    return sorted(r["bucket"] for r in counts.orderBy(F.desc("ratio"), "bucket").limit(MAX_FEATURES).collect())
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> np.ndarray:
@@ -144,27 +162,17 @@ class Chain:
         return out
 
 
-def fit_chain(rows: list, folds: int = FOLDS) -> Chain:
-    """Fits on collected training rows, whose number the sample's bound limits."""
-    rows = sorted({r["text_hash"]: r for r in rows}.values(), key=lambda r: r["text_hash"])
+def fit_chain(rows: list, buckets: list[int], folds: int = FOLDS) -> Chain:
+    """Fits on collected training rows with the kept ones of their buckets; the sample's bound limits both."""
+    rows = sorted(rows, key=lambda r: r["text_hash"])
     toxic = np.array([r["toxic"] > 0 for r in rows], bool)
     quality = np.array([r["quality"] for r in rows], int)
-    chain = Chain()
+    chain = Chain(np.array(buckets, np.int64))
     if not rows:
         return chain
-    doc = np.repeat(np.arange(len(rows)), [len(r["buckets"]) for r in rows])
-    all_buckets, column = np.unique(np.concatenate([np.asarray(r["buckets"], np.int64) for r in rows]), return_inverse=True)
-    pos = np.bincount(column[toxic[doc]], minlength=len(all_buckets))
-    neg = np.bincount(column[~toxic[doc]], minlength=len(all_buckets))
-    ratio = likelihood_ratio(pos, neg, int(toxic.sum()), int((~toxic).sum())) if toxic.any() and not toxic.all() else np.zeros(len(pos))
-    ratio[pos + neg < LEAST_ROWS] = 0
-    best = np.argsort(-ratio, kind="stable")[:MAX_FEATURES]
-    best = np.sort(best[ratio[best] >= LEAST_RATIO])
-    chain.buckets = all_buckets[best]
-    x = np.zeros((len(rows), len(best)))
-    where = np.searchsorted(best, column)
-    hit = (where < len(best)) & (best[np.minimum(where, max(0, len(best) - 1))] == column) if len(best) else np.zeros(len(column), bool)
-    x[doc[hit], where[hit]] = 1
+    x = np.zeros((len(rows), len(buckets)))
+    for i, r in enumerate(rows):
+        x[i, np.searchsorted(chain.buckets, r["buckets"])] = 1
     fold = np.arange(len(rows)) % folds
     out_of_fold: list[np.ndarray] = []
     for name, y in category_labels(toxic, quality).items():
@@ -183,7 +191,10 @@ def fit_chain(rows: list, folds: int = FOLDS) -> Chain:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Chain:
-    return fit_chain(training_rows(docs, labels, most).collect())
+    rows = cut(training_rows(docs, labels, most).dropDuplicates(["text_hash"]))
+    buckets = telling_buckets(rows)
+    kept = F.array_intersect("buckets", F.array(*map(F.lit, buckets))) if buckets else F.array().cast("array<int>")
+    return fit_chain(rows.select("text_hash", "toxic", "quality", kept.alias("buckets")).collect(), buckets)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
