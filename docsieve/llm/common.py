@@ -35,6 +35,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def joinable(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` (rows of a few numbers, already cut), to be broadcast if it has ``most`` rows or fewer, else shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns, ``doc_id`` and ``text``; a null text is an empty one."""
     return docs.select(
@@ -55,7 +60,8 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.max("count").alias("most"), F.max(F.col("doc_id").isNull()).alias("gap")
     ).first()
     if worst["most"] is None or (worst["most"] == 1 and not worst["gap"]):
-        return slim.select(F.col("doc_id").alias("key"), "doc_id", "text")
+        # The filter changes nothing here; with it, joins of either kind share one shuffle of the texts.
+        return slim.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"), "doc_id", "text")
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
     ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order)
     return cut(ranged.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"))

@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import cut
+from docsieve.llm.common import cut, joinable
 
 ROLL_BYTES = 32 << 20
 SHARD_BYTES = 16 << 20
@@ -59,7 +59,7 @@ def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         .select("sha1", "winner")
     )
     revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
-    return rows.join(cut(shared), "sha1", "left").select(
+    return rows.join(joinable(cut(shared)), "sha1", "left").select(
         "page_id",
         "url",
         F.when(~revisit, F.col("payload")).alias("payload"),
