@@ -33,6 +33,8 @@ from docsieve.llm.repeats import (
     recurring_anchors,
     settle,
     settle_chunk,
+    whole_copies,
+    without,
 )
 
 WINDOW = 20
@@ -72,7 +74,7 @@ def window_pieces(docs: DataFrame, unit: Unit) -> DataFrame:
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole):
+            for batch in chunks(whole, limit=unit.chunk):
                 found = Sequence(batch, unit)
                 if not len(found.first):
                     continue
@@ -116,9 +118,11 @@ def earlier(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept``, the kept words joined by spaces, of each document."""
-    unit = Unit(window, gram, True)
+    unit = Unit(window, gram, True, 1 << 20)
     rows = keyed(docs, id_col, text_col)
-    again = settle(window_pieces(rows.join(recurring_anchors(rows, unit), "key"), unit), earlier)
+    copies = whole_copies(rows)
+    found = recurring_anchors(without(rows, copies), unit)
+    again = settle(window_pieces(rows.join(found, "key"), unit), earlier)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -138,4 +142,4 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     ["doc_id", "n_words", "n_removed", "kept"],
                 )
 
-    return per_document(rows, again).mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
+    return per_document(rows, again, copies).mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")

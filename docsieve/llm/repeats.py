@@ -2,7 +2,7 @@
 
 A window is a fixed number of consecutive units (bytes or words) of one document. Each window is
 represented by its anchor, the gram with the least hash in it, so that equal windows have equal anchors at
-equal places. One pass emits the anchors (one for each run of windows that share it), a window function
+equal places. Documents that are whole copies are set aside. One pass over the others emits the anchors (one for each run of windows that share it), a window function
 counts each, and only documents with anchors that recur go on, with a list of these. Their windows are
 routed by anchor to the tasks that compare them; the windows of an anchor with more than ``HOT``
 occurrences are routed one by one, by their own hash, so that a phrase that a third of all documents
@@ -19,19 +19,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import chunks, flat
+from docsieve.llm import exact_dedup
+from docsieve.llm.common import chunks, cut, flat
 from docsieve.llm.hashing import SPACE_WORDS, Rolling, anchor_runs, byte_values, mix, signed, word_spans
 
 HOT = 20_000
+ALL = -1
 
 
 @dataclass(frozen=True)
 class Unit:
-    """What windows are made of: their length and their anchors' in units, and whether these are words."""
+    """What windows are made of: their length and their anchors' in units, and whether these are words.
+
+    ``chunk`` bounds the bytes of text that are hashed at once; there are some ten numbers for each unit.
+    """
 
     window: int
     gram: int
     words: bool
+    chunk: int
 
 
 class Sequence:
@@ -63,13 +69,26 @@ def lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
 
 
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """``key`` of each document whose whole text stands earlier; each of its windows does, then."""
+    slim = cut(docs.select(F.col("key").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("digest")))
+    found = exact_dedup.resolve(slim, cut(exact_dedup.frequent(slim)))
+    return cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("key")))
+
+
+def without(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """The documents that aren't copies. (An anti-join would go below the projection, to a shuffle of its own.)"""
+    marked = docs.join(copies.withColumn("copied", F.lit(True)), "key", "left")
+    return marked.where("copied IS NULL").select(docs.columns)
+
+
 def recurring_anchors(docs: DataFrame, unit: Unit) -> DataFrame:
     """``key`` of each document with anchors that occur twice or more, and these: ``cold`` and ``hot``."""
     schema = pa.schema([("anchor", pa.int64()), ("key", pa.int64()), ("more", pa.list_(pa.int64()))])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole):
+            for batch in chunks(whole, limit=unit.chunk):
                 found = Sequence(batch, unit)
                 keys = batch.column("key").to_numpy()[found.doc]
                 order = np.argsort(found.anchor, kind="stable")
@@ -85,7 +104,7 @@ def recurring_anchors(docs: DataFrame, unit: Unit) -> DataFrame:
                 more = pa.ListArray.from_arrays(offsets, pa.array(keys[rest]))
                 yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[new])), pa.array(keys[new]), more], schema=schema)
 
-    rows = docs.select("key", "text").mapInArrow(emit, "anchor long, key long, more array<long>")
+    rows = docs.mapInArrow(emit, "anchor long, key long, more array<long>")
     times = F.sum(F.lit(1) + F.coalesce(F.size("more"), F.lit(0))).over(Window.partitionBy("anchor"))
     recurring = rows.withColumn("times", times).where("times > 1")
     everywhere = recurring.select(
@@ -129,9 +148,9 @@ def settle_chunk(found: Sequence, chosen: np.ndarray, hot: np.ndarray, keys: np.
     ordered = hashes[order]
     again[order[1:]] = ordered[1:] == ordered[:-1]
     alone = hot[run] & ~again
-    cut = np.ones(len(run), bool)
-    cut[1:] = (run[1:] != run[:-1]) | (again[1:] != again[:-1]) | alone[1:] | alone[:-1]
-    at = np.flatnonzero(cut)
+    breaks = np.ones(len(run), bool)
+    breaks[1:] = (run[1:] != run[:-1]) | (again[1:] != again[:-1]) | alone[1:] | alone[:-1]
+    at = np.flatnonzero(breaks)
     count = np.diff(np.append(at, len(run)))
     route = np.where(alone[at], hashes[at], found.anchor[run[at]])
     route = np.where(again[at], mix(hashes[at] + start[at].astype(np.uint64)), route)  # only passing through
@@ -201,9 +220,13 @@ def settle(
     return ranged.mapInArrow(stream, "key long, start long, count long")
 
 
-def per_document(docs: DataFrame, again: DataFrame) -> DataFrame:
-    """Each document with ``starts`` and ``counts`` of its windows that stand earlier, null where there are none."""
-    runs = again.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "count"))).alias("runs"))
+def per_document(docs: DataFrame, again: DataFrame, copies: DataFrame) -> DataFrame:
+    """Each document with ``starts`` and ``counts`` of its windows that stand earlier, null where there are none.
+
+    A count of ``ALL`` stands for all windows of a copy.
+    """
+    copied = copies.select("key", F.lit(0).cast("long").alias("start"), F.lit(ALL).cast("long").alias("count"))
+    runs = again.unionByName(copied).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "count"))).alias("runs"))
     return docs.join(runs, "key", "left").select(
         "doc_id", "text", F.col("runs.start").alias("starts"), F.col("runs.count").alias("counts")
     )
@@ -211,6 +234,8 @@ def per_document(docs: DataFrame, again: DataFrame) -> DataFrame:
 
 def covered(n: int, starts: list[int], counts: list[int], window: int) -> np.ndarray:
     """Which of n units a window of the runs covers."""
+    if counts[0] == ALL:
+        return np.full(n, n >= window)
     edges = np.zeros(n + 1, np.int32)
     a = np.asarray(starts, np.int64)
     np.add.at(edges, a, 1)

@@ -33,6 +33,8 @@ from docsieve.llm.repeats import (
     recurring_anchors,
     settle,
     settle_chunk,
+    whole_copies,
+    without,
 )
 
 WINDOW = 100
@@ -152,7 +154,7 @@ def suffix_pieces(docs: DataFrame, unit: Unit) -> DataFrame:
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole):
+            for batch in chunks(whole, limit=unit.chunk):
                 found = Sequence(batch, unit)
                 hot = known(batch, "hot", found.anchor)
                 chosen = np.flatnonzero(hot | known(batch, "cold", found.anchor))
@@ -182,9 +184,11 @@ def suffix_pieces(docs: DataFrame, unit: Unit) -> DataFrame:
 
 def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (binary) of each document."""
-    unit = Unit(window, gram, False)
+    unit = Unit(window, gram, False, 1 << 18)
     rows = keyed(docs, id_col, text_col)
-    again = settle(suffix_pieces(rows.join(recurring_anchors(rows, unit), "key"), unit), earlier(window))
+    copies = whole_copies(rows)
+    found = recurring_anchors(without(rows, copies), unit)
+    again = settle(suffix_pieces(rows.join(found, "key"), unit), earlier(window), block=1 << 13)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -208,4 +212,4 @@ def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 )
 
     types = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return per_document(rows, again).mapInArrow(keep, types)
+    return per_document(rows, again, copies).mapInArrow(keep, types)
