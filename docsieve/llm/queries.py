@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import exact_dedup, jaccard_join, licenses, packing, passage_dedup, sharding, suffix_dedup, toxicity, warc
+from docsieve.llm import decontamination, exact_dedup, jaccard_join, licenses, packing, passage_dedup, sharding, suffix_dedup, toxicity, warc
 from docsieve.llm.common import default_tokenizer, shared_dir, table
 
 SHARDS = 24
@@ -32,6 +32,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*(joined.get(c, F.col(c)) for c in found.columns))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), jaccard_join.Rule(k=3, percent=90))
     return found.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_licenses": op3_licenses,
+    "op4_decontamination": op4_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_sharding": op6_sharding,
     "op7_exact_dedup": op7_exact_dedup,
