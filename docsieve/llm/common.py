@@ -48,23 +48,27 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """``key``, ``doc_id`` and ``text``, where ``key`` is unique, not null, and ordered as ``doc_id``.
 
     The key is the id itself where ids are unique and present. A table with null or repeated ids gets
     keys by a range sort over (id, text), nulls last, fixed in a checkpoint: every row is then a
-    document of its own.
+    document of its own. With ``whole``, the input row comes along as ``row``.
     """
-    slim = texts(docs, id_col, text_col)
+    slim = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        *([F.struct("*").alias("row")] if whole else []),
+    )
     worst = slim.groupBy("doc_id").count().agg(
         F.max("count").alias("most"), F.max(F.col("doc_id").isNull()).alias("gap")
     ).first()
     if worst["most"] is None or (worst["most"] == 1 and not worst["gap"]):
         # The filter changes nothing here; with it, joins of either kind share one shuffle of the texts.
-        return slim.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"), "doc_id", "text")
+        return slim.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("key"), *slim.columns)
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
     ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order)
-    return cut(ranged.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"))
+    return cut(ranged.select(F.monotonically_increasing_id().alias("key"), *slim.columns))
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
