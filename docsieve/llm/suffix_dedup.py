@@ -198,7 +198,7 @@ def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 for text, starts, counts in zip(*columns):
                     raw, spans = text.encode(), 0
                     n_bytes.append(len(raw))
-                    if starts:
+                    if starts and raw:
                         gone = covered(len(raw), starts, counts, window)
                         spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                         raw = np.frombuffer(raw, np.uint8)[~gone].tobytes()
