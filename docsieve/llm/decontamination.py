@@ -36,7 +36,7 @@ OVERLAP = 0.8
 SHINGLE = 5
 MIN_WORDS = 64
 MOST_ITEMS = 10_000
-BLOCKS = 256
+BLOCKS = 512
 COMMON = 0.1
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -101,7 +101,7 @@ def build(items: list[tuple[int | None, str]], df: dict[int, int], n_items: int,
     terms, begin = np.unique(term, return_index=True)
     begin = np.append(begin, len(term)).astype(np.int64)
     owner = np.repeat(np.arange(len(terms)), np.diff(begin))
-    width = max(4, -(-len(items) // BLOCKS))
+    width = max(1, -(-len(items) // BLOCKS))
     blocks = -(-len(items) // width)
     cell, cell_begin = np.unique(owner * blocks + doc // width, return_index=True)
     block_max = np.maximum.reduceat(impact, cell_begin) if len(cell) else np.zeros(0)
@@ -196,8 +196,10 @@ def leaks(batch: pa.RecordBatch, index: Index, threshold: float, overlap: float,
     at = np.flatnonzero(known & ~index.common[term])
     text = np.searchsorted(first, at, "right") - 1
     half = half_begin[text] + (at - first[text]) // index.words
-    size = (index.block_begin[1:] - index.block_begin[:-1])[term[at]]
-    cell = np.repeat(index.block_begin[term[at]], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    once = np.unique(half * len(index.terms) + term[at])  # a term counts once in a half
+    half, own = once // len(index.terms), once % len(index.terms)
+    size = (index.block_begin[1:] - index.block_begin[:-1])[own]
+    cell = np.repeat(index.block_begin[own], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     blocks = len(index.common_max)
     bound = np.bincount(np.repeat(half, size) * blocks + index.block[cell], index.block_max[cell], int(half_begin[-1]) * blocks)
     bound = bound.reshape(-1, blocks)
