@@ -102,11 +102,12 @@ def brute_join(rows, rule):
     return out
 
 
-@pytest.mark.parametrize(("short", "block", "rule"), [(64, 1024, (3, 90)), (2, 3, (3, 90)), (2, 2, (5, 80)), (64, 1024, (1, 60))])
-def test_jaccard_join(spark, monkeypatch, short, block, rule):
+@pytest.mark.parametrize(("near", "block", "rule"), [(0.3, 256, (3, 90)), (0.0, 3, (3, 90)), (9.0, 2, (5, 80)), (0.3, 4, (1, 60))])
+def test_jaccard_join(spark, monkeypatch, near, block, rule):
+    """With a leader wherever there is a list, with none, and in between."""
     import random
 
-    monkeypatch.setattr(jaccard_join, "SHORT", short)
+    monkeypatch.setattr(jaccard_join, "NEAR_LEADER", near)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     r, rows = random.Random(5), fixtures.texts()
     base = rows[20][1].split()
