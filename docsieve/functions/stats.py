@@ -99,3 +99,9 @@ def normal_tail(z: Column) -> Column:
         series = (series + c) * t
     upper = series * F.exp(-x * x) / 2
     return F.when(z >= 0, upper).otherwise(1 - upper)
+
+
+@F.pandas_udf(T.DoubleType())
+def beta_under(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """The share of Beta(a, b), for a, b >= 1, that lies under x."""
+    return pd.Series(beta_cdf(x.to_numpy(float), a.to_numpy(float), b.to_numpy(float)))

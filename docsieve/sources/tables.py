@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,3 +95,9 @@ def validated(rows: DataFrame, **rules: Column) -> tuple[DataFrame, DataFrame]:
     )
     marked = rows.withColumn("broken", broken)
     return marked.where(F.size("broken") == 0).drop("broken"), marked.where(F.size("broken") > 0)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors see; a temporary one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{(base or tempfile.mkdtemp(prefix='docsieve-')).rstrip('/')}/files-{uuid.uuid4().hex}"

@@ -154,3 +154,16 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     query.option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination()
     want = {tuple(r)[:3] for r in stream.tumbling_counts(events, "1 day").collect()}
     assert {tuple(r)[:3] for r in spark.table("counts").collect()} == want
+
+
+def test_anchors_depend_on_the_one_before(spark):
+    from docsieve.operators import layout
+
+    rows = spark.createDataFrame([(1, i, y) for i, y in enumerate([0, 2, 4, 5, 30])], "page int, i int, y int")
+    got = layout.anchored(rows, "page", ["i"], "y", 3).orderBy("i").collect()
+    assert [r["anchor"] for r in got] == [0, 0, 4, 4, 30]
+
+
+def test_beta_under(spark):
+    got = spark.range(1).select(stats.beta_under(F.lit(0.5), F.lit(3.0), F.lit(3.0)).alias("x")).first()["x"]
+    assert abs(got - 0.5) < 1e-9
