@@ -4,7 +4,8 @@ Categories are predicted one after another by logistic models. The model of a ca
 probabilities of the categories before it; in training these are out-of-fold predictions, so that a model
 never learns from a probability whose model has seen the same row.
 
-Features are the presence of words (A-Z in lower case), hashed into buckets; those that tell toxic rows
+Features are the presence of words (A-Z in lower case) and of their first ``STEM`` bytes, hashed into
+buckets; those that tell toxic rows
 from others by their likelihood ratio on the training rows are kept. The chain is fitted on a bounded
 sample of the labelled rows (``MAX_TRAIN``, those whose ids have the least hashes, one of each text);
 all documents are scored over their whole texts in one pass without a shuffle.
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm.common import chunks, cut, flat, texts
-from docsieve.llm.hashing import LOWER, Rolling, byte_values, word_spans
+from docsieve.llm.hashing import LOWER, Rolling, byte_values, mix, word_spans
 
 MAX_TRAIN = 20_000
 FOLDS = 5
 BUCKETS = 1 << 22
+STEM = 6
 MAX_FEATURES = 256
 LEAST_RATIO = 25.0  # of chi-squared with one degree of freedom: one word in two million by chance
 LEAST_ROWS = 4
@@ -43,15 +45,16 @@ _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
 def word_buckets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """For each distinct (text, bucket): the text's number in the batch and the bucket."""
+    """For each distinct (text, bucket) of words and stems: the text's number in the batch and the bucket."""
     raw, offsets = flat(batch.column("text"))
     low = LOWER[raw]
     starts, ends, first = word_spans(low, offsets, _WORD)
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    buckets = (Rolling(byte_values(low)).ranges(starts, ends) % np.uint64(BUCKETS)).astype(np.int64)
-    doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
-    both = np.unique(doc * BUCKETS + buckets)
+    rolling, stems = Rolling(byte_values(low)), np.minimum(ends, starts + STEM)
+    hashes = np.concatenate((rolling.ranges(starts, ends), mix(rolling.ranges(starts, stems))))
+    doc = np.tile(np.repeat(np.arange(batch.num_rows), np.diff(first)), 2)
+    both = np.unique(doc * BUCKETS + (hashes % np.uint64(BUCKETS)).astype(np.int64))
     return both // BUCKETS, both % BUCKETS
 
 
@@ -122,7 +125,7 @@ def telling_buckets(rows: DataFrame) -> list[int]:
     return sorted(r["bucket"] for r in counts.orderBy(F.desc("ratio"), "bucket").limit(MAX_FEATURES).collect())
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
     """Weights, the intercept last, by Newton's method with a ridge on all but the intercept."""
     x1 = np.column_stack((x, np.ones(len(x))))
     w, penalty = np.zeros(x1.shape[1]), np.full(x1.shape[1], ridge)
