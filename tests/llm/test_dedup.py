@@ -108,6 +108,7 @@ def test_jaccard_join(spark, monkeypatch, near, block, rule):
     import random
 
     monkeypatch.setattr(jaccard_join, "NEAR_LEADER", near)
+    monkeypatch.setattr(jaccard_join, "SHORT", block * 2)  # lists are long from few entries on
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     r, rows = random.Random(5), fixtures.texts()
     base = rows[20][1].split()
