@@ -23,7 +23,7 @@ def connection(folder: str):
     return con
 
 
-def same(spark, con, folder: str, build, sql: str) -> None:
+def same(spark, con, folder: str, build, sql: str, may_be_empty: bool = False) -> None:
     df = build(spark, folder)
     columns = sorted(df.columns)
     ours = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
@@ -33,4 +33,4 @@ def same(spark, con, folder: str, build, sql: str) -> None:
     order = sorted(range(len(names)), key=lambda i: names[i])
     theirs = sorted((tuple(plain(r[i]) for i in order) for r in cursor.fetchall()), key=repr)
     assert ours == theirs
-    assert ours, "an empty result shows nothing"
+    assert ours or may_be_empty, "an empty result shows nothing"

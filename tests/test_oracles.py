@@ -15,7 +15,8 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_against_sql(spark, con, name):
-    same(spark, con, FOLDER, registry.QUERIES[name], registry.SQL[name])
+    few_suppliers = name == "jn_same_company"  # no two of the ten here are of one nation
+    same(spark, con, FOLDER, registry.QUERIES[name], registry.SQL[name], may_be_empty=few_suppliers)
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
