@@ -2,8 +2,9 @@
 
 A notice of n bytes may be met with k edits. Cut into k + 1 pieces, one of them must stand there unchanged
 (pigeonhole), so exact searches for the pieces find every candidate; the regex library's bounded-error
-matching then verifies the place and counts the edits. Words and the exact base phrases are found in the
-same pass, which needs no shuffle.
+matching then verifies the place and counts the edits; what the best match leaves of the place is searched
+again, so stacked notices are all found. Words and the exact base phrases are found in the same pass, which
+needs no shuffle.
 
 Texts are searched as UTF-8 bytes with A-Z in lower case; edits count bytes. Defined cases: a null text is
 empty and gives a row without findings; repeated rows give repeated results; an empty table gives none.
@@ -11,7 +12,9 @@ empty and gives a row without findings; repeated rows give repeated results; an
 
 from __future__ import annotations
 
+import bisect
 import functools
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,32 +90,64 @@ def places(raw: bytes, piece: bytes) -> Iterator[int]:
         at = raw.find(piece, at + 1)
 
 
+def notice_spans(raw: bytes, pattern, windows: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
+    """Start, end and edits of the notices in the windows, none over another: fewest edits first, then leftmost.
+
+    What a found notice leaves of a window is searched again, on both sides, until nothing is found.
+    """
+    heap: list[tuple[int, int, int, int, int]] = []
+    taken: list[tuple[int, int, int]] = []  # in order; they don't overlap
+
+    def search(a: int, b: int) -> None:
+        if b - a >= least and (m := pattern.search(raw, a, b)):
+            heapq.heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+    for a, b in windows:
+        search(a, b)
+    while heap:
+        edits, start, end, a, b = heapq.heappop(heap)
+        low = high = bisect.bisect(taken, (start,))
+        while low and taken[low - 1][1] > start:
+            low -= 1
+        while high < len(taken) and taken[high][0] < end:
+            high += 1
+        if low == high:
+            taken.insert(low, (start, end, edits))
+            search(a, start)
+            search(end, b)
+        else:  # the window's parts beside what was found since
+            for left, right, _ in taken[low:high]:
+                search(a, left)
+                a = max(a, right)
+            search(a, b)
+    return taken
+
+
 def fuzzy_spans(raw: bytes, offsets: np.ndarray, notices: tuple[tuple[str, str], ...]) -> dict[int, list[tuple]]:
     """For each text (by its number) with verified notices: label, start, end and edits of each, in bytes."""
     patterns, seeds = compiled(notices)
-    windows: dict[tuple[int, int], list[list[int]]] = {}
+    sizes = [len(text.encode()) for text, _ in notices]
+    windows: dict[tuple[int, int], set[tuple[int, int]]] = {}
     for piece, uses in seeds.items():
         for at in places(raw, piece):
             doc = int(np.searchsorted(offsets, at, "right")) - 1
             low, high = int(offsets[doc]), int(offsets[doc + 1])
             for i, place in uses:
-                n = len(notices[i][0].encode())
                 k = edits_of(notices[i][0].encode())
-                span = [max(low, at - place - k), min(high, at - place + n + k)]
-                windows.setdefault((doc, i), []).append(span)
+                windows.setdefault((doc, i), set()).add((max(low, at - place - k), min(high, at - place + sizes[i] + k)))
     found: dict[int, list[tuple]] = {}
     for (doc, i), spans in windows.items():
-        spans.sort()
-        merged = [spans[0]]
-        for a, b in spans[1:]:
-            if a <= merged[-1][1]:
+        k = edits_of(notices[i][0].encode())
+        merged: list[list[int]] = []
+        for a, b in sorted(spans):
+            # Seeds of one notice lie within 2k bytes; no window grows beyond that, however many notices are stacked.
+            if merged and a <= merged[-1][0] + 2 * k:
                 merged[-1][1] = max(merged[-1][1], b)
             else:
                 merged.append([a, b])
         base = int(offsets[doc])
-        for a, b in merged:
-            for m in patterns[i].finditer(raw, a, b):
-                found.setdefault(doc, []).append((notices[i][1], m.start() - base, m.end() - base, sum(m.fuzzy_counts)))
+        for start, end, edits in notice_spans(raw, patterns[i], merged, sizes[i] - k):
+            found.setdefault(doc, []).append((notices[i][1], start - base, end - base, edits))
     return {doc: best_spans(hits) for doc, hits in found.items()}
 
 

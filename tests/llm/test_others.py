@@ -116,6 +116,21 @@ def test_seeds_find_every_notice_within_the_edits():
             assert want and found[0][0][3] == sum(want.fuzzy_counts)
 
 
+def test_stacked_notices_with_falling_edits_are_all_found():
+    r = random.Random(3)
+    for text, label in licenses.NOTICES:
+        k, page, want = licenses.edits_of(text.encode()), b"", []
+        for edits in range(k, -1, -1):
+            changed = bytearray(text.encode())
+            for at in r.sample(range(1, len(changed) - 1), edits):
+                changed[at] = ord("Q")
+            want.append((label, len(page), len(page) + len(changed), edits))
+            page += bytes(changed) + b"\n"
+        assert licenses.fuzzy_spans(page, np.array([0, len(page)]), ((text, label),)) == {0: want}
+    page = b"licensd undr the gnu general public license, version 3\nlicensed under the gnu general public license, version 2"
+    assert [(h[0], h[3]) for h in licenses.fuzzy_spans(page, np.array([0, len(page)]), licenses.NOTICES)[0]] == [("gpl-3.0", 2), ("gpl-2.0", 0)]
+
+
 def labelled(spark, n=1200):
     r, bad = random.Random(4), ["grub", "slime", "muck"]
     rows, labels = [], []
