@@ -8,7 +8,13 @@ The index keeps, for each term, its items in order with impacts, in blocks with
 a chunk of documents, sums of block maxima bound the score of each passage in each block at once; blocks
 below the threshold are skipped, and passages with a live block are searched document-at-a-time, with
 pivots by the terms' maxima and deep skips by the block maxima. A retrieved item is a leak if the passage
-holds at least ``OVERLAP`` of the five-word shingles of its question and of its answer (the last sentence).
+holds at least ``OVERLAP`` of its question and of its answer (the last sentence that has words): of their
+five-word shingles, or of their words, less one for each edit (a word replaced, left out or put in) at the
+best place. As one edit can be more than that of a short part, an item is a leak too if the whole of it
+stands there with one word replaced, left out or put in, if that is no more than 1 - ``OVERLAP`` of its
+words; a part's only word may be replaced, not left out. So a question before another answer of one word
+counts, and a question alone doesn't. Items that one such edit can bring below ``THRESHOLD`` lower the bound
+of their index, and count below ``THRESHOLD`` only if the whole of them stands there so.
 
 The index is broadcast in parts of ``MOST_ITEMS`` items, by a hash of their ids; statistics are those of
 all items. Defined cases: null or empty texts and items have no terms and never match; items with a null
@@ -38,6 +44,7 @@ MIN_WORDS = 64
 MOST_ITEMS = 10_000
 BLOCKS = 512
 COMMON = 0.1
+_LETTER = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]")
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 TYPES = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
@@ -56,8 +63,8 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
-    """The item before its last sentence, and that; the whole for both if it is one sentence."""
-    parts = [p for p in re.split(r"(?<=[.!?])\s+", text.strip()) if p]
+    """The item before its last sentence with words, and that; the whole for both if there is one such sentence."""
+    parts = [p for p in re.split(r"(?<=[.!?])\s+", text.strip()) if _LETTER.search(p)]
     return (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (text, text)
 
 
@@ -80,12 +87,14 @@ class Index:
     words: int  # of half a passage
     question: list[tuple[int, np.ndarray]]  # words in a shingle (fewer than five if there are fewer), and the shingles
     answer: list[tuple[int, np.ndarray]]
+    ordered: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # words of question, answer and the whole
+    least: list[float]  # of each item, the least score with one word replaced
 
 
 def build(items: list[tuple[int | None, str]], df: dict[int, int], n_items: int, mean_length: float) -> Index:
     """The index of the given items; ``df`` has each term's number of items among all ``n_items``."""
     words, first = hashed_words(pa.array([t for _, t in items], pa.string()))
-    triples, longest = [], 0
+    triples, longest, least = [], 0, []
     for i in range(len(items)):
         own = words[first[i] : first[i + 1]]
         longest = max(longest, len(own))
@@ -93,7 +102,9 @@ def build(items: list[tuple[int | None, str]], df: dict[int, int], n_items: int,
         counts = np.array([df.get(int(t), 1) for t in signed(terms)], float)
         idf = np.log1p((n_items - counts + 0.5) / (counts + 0.5))
         impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(own) / max(mean_length, 1)))
-        triples += [(t, i, w) for t, w in zip(terms.tolist(), (impact / max(impact.sum(), 1e-12)).tolist())]
+        impact /= max(impact.sum(), 1e-12)
+        least.append(1 - float(impact[tf == 1].max(initial=0.0)))
+        triples += [(t, i, w) for t, w in zip(terms.tolist(), impact.tolist())]
     triples.sort()
     term = np.array([t for t, _, _ in triples], np.uint64)
     doc = np.array([d for _, d, _ in triples], np.int64)
@@ -114,6 +125,7 @@ def build(items: list[tuple[int | None, str]], df: dict[int, int], n_items: int,
         np.maximum.reduceat(impact, begin[:-1]) if len(terms) else np.zeros(0), common,
         np.bincount((cell % max(blocks, 1))[often], block_max[often], blocks) if blocks else np.zeros(0),
         max(MIN_WORDS, longest), [_shingles_of(q) for q, _ in parts], [_shingles_of(a) for _, a in parts],
+        [tuple(hashed_words(pa.array([t], pa.string()))[0] for t in (*p, text)) for p, (_, text) in zip(parts, items)], least,
     )
 
 
@@ -122,6 +134,31 @@ def _shingles_of(text: str) -> tuple[int, np.ndarray]:
     return min(SHINGLE, len(words)), shingles(words, SHINGLE)
 
 
+def edits_in(part: np.ndarray, text: np.ndarray) -> int:
+    """The least number of words replaced, left out or put in between ``part`` and any stretch of ``text``."""
+    at = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, np.int64)
+    for word in part:
+        below = row + 1
+        below[1:] = np.minimum(below[1:], row[:-1] + (text != word))
+        row = np.minimum.accumulate(below - at) + at
+    return int(row.min())
+
+
+def one_edit(question: np.ndarray, answer: np.ndarray, whole: np.ndarray, text: np.ndarray) -> bool:
+    """Whether the whole item stands in the text with one edit at most that leaves no part without a word."""
+    n = len(whole)
+    if n <= len(text) and (np.lib.stride_tricks.sliding_window_view(text, n) != whole).sum(axis=1).min() <= 1:
+        return True
+    # A word put in between never empties a part; one left out does if it is the only one.
+    if min(len(question), len(answer)) > 1:
+        return edits_in(whole, text) <= 1
+    stretches = np.lib.stride_tricks.sliding_window_view(text, n + 1) if n < len(text) else np.zeros((0, n + 1), text.dtype)
+    before = np.cumprod(stretches[:, :-1] == whole, axis=1).sum(axis=1)
+    behind = np.cumprod((stretches[:, 1:] == whole)[:, ::-1], axis=1).sum(axis=1)
+    return bool((before + behind >= n).any())
+
+
 class Cursor:
     """A term's postings, walked in the order of items."""
 
@@ -208,12 +245,14 @@ def leaks(batch: pa.RecordBatch, index: Index, threshold: float, overlap: float,
     both = bound.copy()
     both[:-1][~last[:-1]] += bound[1:][~last[:-1]]
     best: dict[tuple[int, int], tuple] = {}
-    for p in np.flatnonzero((both + index.common_max >= threshold - 1e-9).any(axis=1)).tolist():
+    edited = [len(own[2]) * (1 - overlap) >= 1 - 1e-9 for own in index.ordered]  # one edit is little enough
+    reach = min([threshold, *(least for least, e in zip(index.least, edited) if e)])
+    for p in np.flatnonzero((both + index.common_max >= reach - 1e-9).any(axis=1)).tolist():
         row = int(np.searchsorted(half_begin, p, "right")) - 1
         a = int(first[row]) + (p - int(half_begin[row])) * index.words
         b = min(a + 2 * index.words, int(first[row + 1]))
         terms = np.unique(term[a:b][known[a:b]]).tolist()
-        hits = block_max_wand(index, terms, threshold)
+        hits = block_max_wand(index, terms, reach)
         if not hits:
             continue
         text_shingles: dict[int, np.ndarray] = {}
@@ -223,9 +262,22 @@ def leaks(batch: pa.RecordBatch, index: Index, threshold: float, overlap: float,
                 text_shingles[k] = shingles(words[a:b], k) if b - a >= k else np.zeros(0, np.uint64)
             return float(np.isin(part, text_shingles[k]).mean()) if len(part) else 0.0
 
+        def in_order(share: float, part: np.ndarray) -> float:
+            """The larger of the share of shingles and that of words without edits, this where it may be enough."""
+            if share >= overlap or not len(part) or np.isin(part, words[a:b]).mean() < overlap:
+                return share
+            return max(share, 1 - edits_in(part, words[a:b]) / len(part))
+
         for item, score in hits:
-            q, r = held(*index.question[item]), held(*index.answer[item])
-            if min(q, r) >= overlap and score > best.get((row, item), (-1.0,))[0]:
+            if score <= best.get((row, item), (-1.0,))[0]:
+                continue
+            question, answer, whole = index.ordered[item]
+            q = in_order(held(*index.question[item]), question)
+            r = in_order(held(*index.answer[item]), answer)
+            leak = score >= threshold - 1e-9 and min(q, r) >= overlap
+            if not leak and edited[item] and np.isin(whole, words[a:b], invert=True).sum() <= 1:
+                leak = one_edit(question, answer, whole, words[a:b])
+            if leak:
                 best[row, item] = (score, q, r, a - int(first[row]))
     return [(row, item, *found) for (row, item), found in best.items()]
 
@@ -265,7 +317,10 @@ def indexes(items: DataFrame, most: int = MOST_ITEMS) -> Iterator[Index]:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """A row for each document and item of which it holds the question and the answer; see ``TYPES``."""
+    """A row for each document and item of which it holds the question and the answer, or the whole but for one word.
+
+    See ``TYPES``.
+    """
     rows, found = texts(docs), None
     for index in indexes(items):
         shared = docs.sparkSession.sparkContext.broadcast(index)

@@ -222,6 +222,32 @@ def test_decontamination(spark, monkeypatch):
     assert decontamination.remove_leaks(fixtures.empty(spark), bench).count() == 0
 
 
+def test_items_with_one_word_changed_are_leaks():
+    r = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(400)]
+
+    def prose(n):
+        return " ".join(r.choice(vocabulary) for _ in range(n))
+
+    items = [(i, f"{prose(4 + i)}. {prose(1 + i % 7)}.") for i in range(28)] + [(28, f"{prose(9)}. {prose(6)}. . ."), (29, prose(5))]
+    df = collections.Counter(w for _, t in items for w in set(decontamination.signed(decontamination.hashed_words(pa.array([t]))[0]).tolist()))
+    index = decontamination.build(items, df, len(items), 20.0)
+    docs, want = [], set()
+    for i, text in items:
+        plain = words(text)
+        changed = [plain[:at] + ["other"] + plain[at + 1 :] for at in range(len(plain))]
+        changed += [plain[:at] + ["other"] + plain[at:] for at in range(len(plain))]
+        if 1 + i % 7 > 1:
+            changed += [plain[:at] + plain[at + 1 :] for at in range(len(plain))]
+        for found in (plain, *changed):
+            want.add((len(docs), i))
+            docs.append(f"{prose(r.randint(0, 90))} {' '.join(found)} {prose(r.randint(0, 90))}")
+        if i < 28:
+            docs += [text.split(".")[0], text.split(".")[1], prose(200), " ".join(r.sample(plain, len(plain)))]
+    got = decontamination.leaks(pa.record_batch([pa.array(docs)], ["text"]), index, 0.5, 0.8)
+    assert {(row, item) for row, item, *_ in got} == want
+
+
 PAGES = [(1, "http://a/1", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://a/ b\r\n", None), (4, "u", ""), (5, "u", "é" * 5000)]
 PAGES += [(None, "u", "<p>x</p>"), (6, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n"), (6, "u", "other"), (7, "u", "seven"), (7, "u", "seven")]
 
