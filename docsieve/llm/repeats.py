@@ -105,7 +105,7 @@ def recurring_anchors(docs: DataFrame, unit: Unit) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[new])), pa.array(keys[new]), more], schema=schema)
 
     rows = docs.mapInArrow(emit, "anchor long, key long, more array<long>")
-    times = F.sum(F.lit(1) + F.coalesce(F.size("more"), F.lit(0))).over(Window.partitionBy("anchor"))
+    times = F.sum(F.lit(1) + F.size(F.coalesce("more", F.array().cast("array<long>")))).over(Window.partitionBy("anchor"))
     recurring = rows.withColumn("times", times).where("times > 1")
     everywhere = recurring.select(
         "anchor", "times", F.explode(F.concat(F.array("key"), F.coalesce("more", F.array().cast("array<long>")))).alias("key")

@@ -24,6 +24,17 @@ def brute_windows(rows, window):
     return out
 
 
+def test_passages_across_chunks_without_ansi(spark):
+    rows = [(i, f"{' '.join(f'own{i}x{j}' for j in range(30))} {fixtures.PASSAGE}") for i in range(4)]
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        docs = fixtures.table(spark, rows).repartitionByRange(4, "doc_id")
+        assert sorted(r["n_removed"] for r in passage_dedup.remove_passages(docs).collect()) == [0, 60, 60, 60]
+        assert sorted(r["n_removed"] > 0 for r in suffix_dedup.remove_substrings(docs).collect()) == [False, True, True, True]
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_exact_dedup(spark):
     groups = collections.defaultdict(list)
     for doc, text in fixtures.texts():
