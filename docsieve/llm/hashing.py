@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POSITION_BITS = 28
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Units that are hashed at a time where a sequence may be of any length; places in a block fit into ``_POSITION_BITS``.
+BLOCK = 1 << 20
+_POSITION_BITS = 22
+_kept = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,15 +29,17 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, up to n at least."""
-    if len(_powers[0]) <= n:
-        size = 1 << int(n).bit_length()
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        for i, b in enumerate((_BASE, inverse)):
-            steps = np.full(size + 1, b, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+    """Powers of an odd base and of its inverse modulo 2**64, up to n at least. Long tables aren't kept."""
+    global _kept
+    if len(_kept[0]) > n:
+        return _kept
+    steps = [np.full((1 << int(n).bit_length()) + 1, b, np.uint64) for b in (_BASE, _INVERSE)]
+    for x in steps:
+        x[0] = 1
+        np.cumprod(x, dtype=np.uint64, out=x)
+    if n <= 2 * BLOCK:
+        _kept = tuple(steps)
+    return steps[0], steps[1]
 
 
 class Rolling:
@@ -85,29 +92,60 @@ def sliding_min(keys: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[rest:], out[: len(out) - rest]) if rest else out
 
 
-def anchor_runs(grams: np.ndarray, w: int, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Winnowing: of each window's w grams, the one with the least hash is its anchor.
+def range_hashes(values: Callable[[int, int], np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ranges in the order of their starts, equal for equal ranges, about a block of units at a time.
 
-    Equal windows have equal anchors at equal places. ``bounds`` holds where the sequences begin in the
-    units of the grams, and the end; ``window`` is a window's length in these units. Returns, for each
-    run of windows of one sequence with a common anchor: the first window's start, their number, and the
-    anchor's place.
+    ``values`` gives the values of the units from one place to another; ranges are of any lengths.
+    """
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        upto = max(at + 1, int(np.searchsorted(starts, low + BLOCK)))
+        high = int(ends[at:upto].max())
+        while high > low + 2 * BLOCK and upto > at + 1:  # a range of more than a block stands alone
+            upto = at + (upto - at) // 2
+            high = int(ends[at:upto].max())
+        out[at:upto] = Rolling(values(low, high)).ranges(starts[at:upto] - low, ends[at:upto] - low)
+        at = upto
+    return out
+
+
+def anchor_runs(
+    values: Callable[[int, int], np.ndarray], gram: int, bounds: np.ndarray, window: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Winnowing: of each window's grams, the one with the least hash is its anchor.
+
+    Equal windows have equal anchors at equal places. ``values`` gives the values of the units from one
+    place to another, ``bounds`` holds where the sequences begin, and the end; ``window`` and ``gram`` are
+    lengths in units. Returns, for each run of windows of one sequence with a common anchor: the first
+    window's start, their number, the anchor's place and its hash. Long sequences are taken in blocks, so
+    that memory doesn't grow with them; a run that crosses blocks comes as two.
     """
-    place = np.arange(len(grams), dtype=np.uint64)
+    n, w = int(bounds[-1]), window - gram + 1
     low = np.uint64((1 << _POSITION_BITS) - 1)
-    least = sliding_min((grams & ~low) | place, w)
-    valid = np.zeros(len(least) + 1, np.int32)
-    a, b = bounds[:-1], bounds[1:] - window + 1
-    real = b > a
-    np.add.at(valid, a[real], 1)
-    np.add.at(valid, b[real], -1)
-    at = np.flatnonzero(np.cumsum(valid)[:-1] > 0)
-    if not len(at):
+    out: list[tuple[np.ndarray, ...]] = []
+    for begin in range(0, max(n - window + 1, 0), BLOCK):
+        high = min(begin + BLOCK + window - 1, n)
+        grams = Rolling(values(begin, high)).grams(gram)
+        least = sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), w)
+        valid = np.zeros(len(least) + 1, np.int32)
+        a = np.clip(bounds[:-1] - begin, 0, len(least))
+        b = np.clip(bounds[1:] - window + 1 - begin, 0, len(least))
+        real = b > a
+        np.add.at(valid, a[real], 1)
+        np.add.at(valid, b[real], -1)
+        at = np.flatnonzero(np.cumsum(valid)[:-1] > 0)
+        if not len(at):
+            continue
+        anchor = (least[at] & low).astype(np.int64)
+        text = np.searchsorted(bounds, at + begin, "right")
+        new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1]))))
+        out.append((at[new] + begin, np.diff(np.append(new, len(at))), anchor[new] + begin, grams[anchor[new]]))
+    if not out:
         none = np.zeros(0, np.int64)
-        return none, none, none
-    anchor = (least[at] & low).astype(np.int64)
-    new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1))))
-    return at[new], np.diff(np.append(new, len(at))), anchor[new]
+        return none, none, none, np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 SPACE_WORDS = np.ones(256, bool)

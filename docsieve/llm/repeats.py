@@ -2,11 +2,15 @@
 
 A window is a fixed number of consecutive units (bytes or words) of one document. Each window is
 represented by its anchor, the gram with the least hash in it, so that equal windows have equal anchors at
-equal places. Documents that are whole copies are set aside. One pass over the others emits the anchors (one for each run of windows that share it), a window function
-counts each, and only documents with anchors that recur go on, with a list of these. Their windows are
-routed by anchor to the tasks that compare them; the windows of an anchor with more than ``HOT``
-occurrences are routed one by one, by their own hash, so that a phrase that a third of all documents
-hold is spread over all tasks. What recurs within a chunk of documents is settled before the shuffle.
+equal places. Documents that are whole copies are set aside. One pass over the others emits the anchors
+(a row for each chunk of documents that holds one), a grouped count tells those that occur twice or more,
+and each document gets the list of its own.
+
+Anchors say where to look; they decide nothing. The windows around them are compared, first within a chunk
+of documents, then in the tasks to which they are routed by anchor. Windows of an anchor with more than
+``HOT`` occurrences are routed one by one, by their own hash, and in two rounds: first each of ``SALTS``
+parts of the documents finds its earliest copy of the window, then these meet. So neither a phrase nor a
+single window that a third of all documents hold gathers in one task.
 """
 
 from __future__ import annotations
@@ -16,22 +20,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm import exact_dedup
 from docsieve.llm.common import chunks, cut, flat
-from docsieve.llm.hashing import SPACE_WORDS, Rolling, anchor_runs, byte_values, mix, signed, word_spans
+from docsieve.llm.hashing import SPACE_WORDS, anchor_runs, byte_values, mix, range_hashes, signed, word_spans
 
 HOT = 20_000
+SALTS = 256
 ALL = -1
+PIECES = "route long, home long, key long, start long, count int, off int, bytes binary"
+_PIECES = pa.schema(
+    [("route", pa.int64()), ("home", pa.int64()), ("key", pa.int64()), ("start", pa.int64())]
+    + [("count", pa.int32()), ("off", pa.int32()), ("bytes", pa.binary())]
+)
 
 
 @dataclass(frozen=True)
 class Unit:
     """What windows are made of: their length and their anchors' in units, and whether these are words.
 
-    ``chunk`` bounds the bytes of text that are hashed at once; there are some ten numbers for each unit.
+    ``chunk`` bounds the bytes of text that are taken at once, but for a longer text, which is a chunk alone.
     """
 
     window: int
@@ -45,30 +55,24 @@ class Sequence:
 
     def __init__(self, batch: pa.RecordBatch, unit: Unit):
         self.raw, self.offsets = flat(batch.column("text"))
-        values = byte_values(self.raw)
         if unit.words:
             self.starts, self.ends, self.bounds = word_spans(self.raw, self.offsets, SPACE_WORDS)
-            values = Rolling(values).ranges(self.starts, self.ends)
+            hashes = range_hashes(lambda a, b: byte_values(self.raw[a:b]), self.starts, self.ends)
+            self.values = lambda a, b: hashes[a:b]
         else:
             self.bounds = self.offsets
-        self.hashes = Rolling(values)
-        grams = self.hashes.grams(unit.gram)
-        self.first, self.count, self.place = anchor_runs(grams, unit.window - unit.gram + 1, self.bounds, unit.window)
-        self.anchor = grams[self.place] if len(self.place) else np.zeros(0, np.uint64)
+            self.values = lambda a, b: byte_values(self.raw[a:b])
+        self.first, self.count, self.place, self.anchor = anchor_runs(self.values, unit.gram, self.bounds, unit.window)
         self.doc = np.searchsorted(self.bounds, self.first, "right") - 1
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Run and start of each window of the chosen runs."""
+        """Run and start of each window of the chosen runs, in the order of the chunk."""
         counts = self.count[chosen]
         run = np.repeat(chosen, counts)
         inner = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
         return run, self.first[run] + inner
 
 
-def lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
-
-
 def whole_copies(docs: DataFrame) -> DataFrame:
     """``key`` of each document whose whole text stands earlier; each of its windows does, then."""
     slim = cut(docs.select(F.col("key").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("digest")))
@@ -82,35 +86,46 @@ def without(docs: DataFrame, copies: DataFrame) -> DataFrame:
     return marked.where("copied IS NULL").select(docs.columns)
 
 
+def grouped_keys(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Where each distinct value stands first, that row's key, and the keys of the other rows (null if there are none)."""
+    order = np.argsort(values, kind="stable")
+    ordered, keys = values[order], keys[order]
+    new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(order) else np.zeros(0, np.int64)
+    size = np.diff(np.append(new, len(ordered)))
+    rest = np.ones(len(ordered), bool)
+    rest[new] = False
+    offsets = pa.array(np.append(0, np.cumsum(size - 1)).astype(np.int32), mask=np.append(size == 1, False))
+    return order[new], keys[new], pa.ListArray.from_arrays(offsets, pa.array(keys[rest], pa.int64()))
+
+
+def recurring(rows: DataFrame, *by: str) -> DataFrame:
+    """``by``, ``times`` and ``key`` of each document with a value of ``by`` that occurs twice or more.
+
+    ``rows`` have ``by``, ``key`` and ``more``, the keys of further occurrences in the same chunk. They are
+    dealt out once; the count reads the same shuffle, a row for each value, and is joined to it in order, so
+    that no group is held in memory.
+    """
+    dealt = rows.repartition(*by)
+    count = F.sum(F.lit(1) + F.size(F.coalesce("more", F.array().cast("array<long>"))))
+    # The count reads ``key`` too; without it, it would get a shuffle of its own.
+    times = dealt.groupBy(*by).agg(count.alias("times"), F.max("key").alias("some")).where("times > 1 AND some IS NOT NULL")
+    keys = F.explode(F.concat(F.array("key"), F.coalesce("more", F.array().cast("array<long>"))))
+    return dealt.join(times, list(by)).select(*by, "times", keys.alias("key"))
+
+
 def recurring_anchors(docs: DataFrame, unit: Unit) -> DataFrame:
     """``key`` of each document with anchors that occur twice or more, and these: ``cold`` and ``hot``."""
-    schema = pa.schema([("anchor", pa.int64()), ("key", pa.int64()), ("more", pa.list_(pa.int64()))])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, limit=unit.chunk):
                 found = Sequence(batch, unit)
-                keys = batch.column("key").to_numpy()[found.doc]
-                order = np.argsort(found.anchor, kind="stable")
-                anchor, keys = found.anchor[order], keys[order]
-                if not len(anchor):
-                    continue
-                new = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-                size = np.diff(np.append(new, len(anchor)))
-                rest = np.ones(len(anchor), bool)
-                rest[new] = False
-                # Null where an anchor occurs once in the chunk; else the other occurrences' keys.
-                offsets = pa.array(np.append(0, np.cumsum(size - 1)).astype(np.int32), mask=np.append(size == 1, False))
-                more = pa.ListArray.from_arrays(offsets, pa.array(keys[rest]))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[new])), pa.array(keys[new]), more], schema=schema)
-
-    rows = docs.mapInArrow(emit, "anchor long, key long, more array<long>")
-    times = F.sum(F.lit(1) + F.size(F.coalesce("more", F.array().cast("array<long>")))).over(Window.partitionBy("anchor"))
-    recurring = rows.withColumn("times", times).where("times > 1")
-    everywhere = recurring.select(
-        "anchor", "times", F.explode(F.concat(F.array("key"), F.coalesce("more", F.array().cast("array<long>")))).alias("key")
-    )
-    return everywhere.groupBy("key").agg(
+                if len(found.anchor):
+                    at, keys, more = grouped_keys(found.anchor, batch.column("key").to_numpy()[found.doc])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(found.anchor[at])), pa.array(keys), more], ["anchor", "key", "more"])
+
+    rows = recurring(docs.mapInArrow(emit, "anchor long, key long, more array<long>"), "anchor")
+    return rows.groupBy("key").agg(
         F.collect_set(F.when(F.col("times") <= HOT, F.col("anchor"))).alias("cold"),
         F.collect_set(F.when(F.col("times") > HOT, F.col("anchor"))).alias("hot"),
     )
@@ -122,44 +137,43 @@ def known(batch: pa.RecordBatch, column: str, anchors: np.ndarray) -> np.ndarray
     return np.isin(anchors, listed)
 
 
-@dataclass
-class Pieces:
-    """Stretches of windows of one run, to be settled elsewhere or (``again``) already known to recur."""
-
-    run: np.ndarray
-    start: np.ndarray
-    count: np.ndarray
-    route: np.ndarray
-    again: np.ndarray
-    window: np.ndarray  # of each piece, its first window's place in ``hashes``
-    hashes: np.ndarray
-
-
-def settle_chunk(found: Sequence, chosen: np.ndarray, hot: np.ndarray, keys: np.ndarray, unit: Unit) -> Pieces:
-    """Cuts the chosen runs' windows into pieces; windows that stand earlier in the chunk are marked ``again``.
+def cut_pieces(
+    found: Sequence, chosen: np.ndarray, hot: np.ndarray, keys: np.ndarray, unit: Unit,
+    again_in_chunk: Callable[[np.ndarray, np.ndarray], np.ndarray], text_of: Callable[[np.ndarray, np.ndarray], list[bytes]],
+) -> pa.RecordBatch:
+    """The windows of the chosen runs, cut into pieces that go elsewhere and such that are settled here (``off`` -1).
 
     ``hot`` says of each run whether its windows are routed one by one; ``keys`` has each text's key.
-    """
+    ``again_in_chunk`` gets runs and starts of windows in order of occurrence and says which stand earlier;
+    ``text_of`` gives the bytes from one unit to another.
+    """
     run, start = found.windows(chosen)
-    hashes = mix(found.hashes.ranges(start, start + unit.window) ^ found.anchor[run])
-    doc = found.doc[run]
-    order = np.lexsort((start, keys[doc], hashes))
+    order = np.lexsort((start, keys[found.doc[run]]))
     again = np.zeros(len(run), bool)
-    ordered = hashes[order]
-    again[order[1:]] = ordered[1:] == ordered[:-1]
+    again[order] = again_in_chunk(run[order], start[order])
     alone = hot[run] & ~again
     breaks = np.ones(len(run), bool)
     breaks[1:] = (run[1:] != run[:-1]) | (again[1:] != again[:-1]) | alone[1:] | alone[:-1]
     at = np.flatnonzero(breaks)
     count = np.diff(np.append(at, len(run)))
-    route = np.where(alone[at], hashes[at], found.anchor[run[at]])
-    route = np.where(again[at], mix(hashes[at] + start[at].astype(np.uint64)), route)  # only passing through
-    return Pieces(run[at], start[at], count, route, again[at], at, hashes)
-
-
-def pieces_schema(payload: tuple[str, pa.DataType]) -> pa.Schema:
-    return pa.schema(
-        [("route", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("count", pa.int32()), ("off", pa.int32()), payload]
+    run, start, again, alone = run[at], start[at], again[at], alone[at]
+    key = keys[found.doc[run]]
+    home = found.anchor[run].copy()
+    home[alone] ^= range_hashes(found.values, start[alone], start[alone] + unit.window)
+    route = np.where(alone, mix(home ^ mix((key % SALTS).astype(np.uint64) + np.uint64(1))), home)
+    route = np.where(again, mix(home + start.astype(np.uint64)), route)  # only passing through
+    off = np.where(again, -1, np.maximum(found.place[run] - start, 0))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(signed(route)),
+            pa.array(signed(np.where(alone, home, route))),
+            pa.array(key),
+            pa.array(start - found.bounds[found.doc[run]]),
+            pa.array(count, pa.int32()),
+            pa.array(off, pa.int32()),
+            pa.array(text_of(start, np.where(again, start, start + count - 1 + unit.window)), pa.binary()),
+        ],
+        schema=_PIECES,
     )
 
 
@@ -176,21 +190,39 @@ def blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def settle(
-    pieces: DataFrame, find: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], block: int = 1 << 15
-) -> DataFrame:
-    """Runs ``key``, ``start``, ``count`` of windows that also start earlier.
+def settle(pieces: DataFrame, find: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], block: int = 1 << 13) -> DataFrame:
+    """Runs ``key``, ``start``, ``count`` of windows that also start earlier, in two rounds of comparing pieces."""
+    for last in (False, True):
+        ranged = pieces.repartition("route").sortWithinPartitions("route", "key", "start")
+        pieces = ranged.mapInArrow(_round(find, block, last), PIECES)
+    return pieces.select("key", "start", F.col("count").cast("long").alias("count"))
+
 
-    Pieces meet by route, ordered by document and start. ``find`` gets a block of them and returns, for the
-    windows that stand earlier in the block, piece and number in the piece, in order. Of a route that goes
-    on in the next block, the pieces with a window's first occurrence are carried along.
+def _round(find: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], block: int, last: bool):
+    """Pieces meet by route, ordered by document and start.
+
+    ``find`` gets a block of them and returns, for the windows that stand earlier in the block, piece and
+    number in the piece, in order. Of a route that goes on in the next block, the pieces with a window's
+    first occurrence are carried along. What is settled passes on; so do, but for the last round, the pieces
+    that have still to meet others at home.
     """
 
+    def runs(rows: pa.Table, piece: np.ndarray, inner: np.ndarray) -> pa.RecordBatch:
+        key, start = (np.asarray(rows.column(c)).astype(np.int64) for c in ("key", "start"))
+        new = np.ones(len(piece), bool)
+        new[1:] = (piece[1:] != piece[:-1]) | (inner[1:] != inner[:-1] + 1)
+        at = np.flatnonzero(new)
+        key, start, count = key[piece[at]], start[piece[at]] + inner[at], np.diff(np.append(at, len(piece)))
+        route = signed(mix(key.view(np.uint64) + start.view(np.uint64)))
+        off = np.full(len(at), -1)
+        empty = pa.array([b""] * len(at), pa.binary())
+        return pa.RecordBatch.from_arrays([*(pa.array(x, f.type) for x, f in zip((route, route, key, start, count, off), _PIECES)), empty], schema=_PIECES)
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried: pa.Table | None = None
         for rows in blocks(batches, block):
             settled = np.asarray(rows.column("off")) < 0
-            yield out(rows.filter(pa.array(settled)), None, 0)
+            yield from rows.filter(pa.array(settled)).cast(_PIECES).to_batches()
             rows = rows.filter(pa.array(~settled))
             if not rows.num_rows:
                 continue
@@ -201,23 +233,17 @@ def settle(
                 rows = pa.concat_tables([carried, rows])
             rows = rows.combine_chunks()
             piece, inner = find(rows)
-            yield out(rows, (piece, inner), old)
-            route = np.asarray(rows.column("route"))
+            yield runs(rows, piece[piece >= old], inner[piece >= old])
+            route, home = (np.asarray(rows.column(c)) for c in ("route", "home"))
             lost = np.bincount(piece, minlength=len(route)) >= np.asarray(rows.column("count"))
+            onward = ~lost & (route != home)
+            onward[:old] = False
+            if not last and onward.any():
+                here = rows.filter(pa.array(onward))
+                yield from here.set_column(0, "route", here.column("home")).cast(_PIECES).to_batches()
             carried = rows.filter(pa.array((route == route[-1]) & ~lost))
 
-    def out(rows: pa.Table, found: tuple[np.ndarray, np.ndarray] | None, old: int) -> pa.RecordBatch:
-        key, start, count = (np.asarray(rows.column(c)).astype(np.int64) for c in ("key", "start", "count"))
-        if found is not None:
-            piece, inner = (x[found[0] >= old] for x in found)
-            new = np.ones(len(piece), bool)
-            new[1:] = (piece[1:] != piece[:-1]) | (inner[1:] != inner[:-1] + 1)
-            at = np.flatnonzero(new)
-            key, start, count = key[piece[at]], start[piece[at]] + inner[at], np.diff(np.append(at, len(piece)))
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, start, count)], ["key", "start", "count"])
-
-    ranged = pieces.repartition("route").sortWithinPartitions("route", "key", "start")
-    return ranged.mapInArrow(stream, "key long, start long, count long")
+    return stream
 
 
 def per_document(docs: DataFrame, again: DataFrame, copies: DataFrame) -> DataFrame:

@@ -1,16 +1,19 @@
 """Substring deduplication by bytes: deep-shallow suffix sorting.
 
 The suffixes that can share ``WINDOW`` bytes with another are those around anchors that recur in the
-corpus; those of one anchor, at one place relative to it, are sorted together. Multikey quicksort orders
-them by eight bytes at a time to a shallow depth, all groups of a block at once; the groups that are still
-tied there have long common prefixes, and a blind trie orders each of them to the window's end. Suffixes
-that tie over the whole window are occurrences of one string: the earliest (smaller id, or same document
-and earlier start) stays, and the bytes of the others go.
+corpus; those of one anchor, at one place relative to it, are a group. Multikey quicksort orders the groups
+by eight bytes at a time to a shallow depth: each group is split around a pivot into less, equal and more,
+and the equal part goes on to the next eight bytes. The groups that are still tied at ``SHALLOW`` bytes have
+long common prefixes; a blind trie orders each of them to the window's end. Suffixes that tie over the
+whole window are occurrences of one string, byte for byte: the earliest (smaller id, or same document and
+earlier start) stays, and the bytes of the others go. The sort decides within a chunk of documents first,
+then in the tasks where the chunks' windows meet; only whole copies of a document are set aside before, by
+their SHA-256.
 
 Defined cases: a null text is empty; texts shorter than a window stay whole; a row with a null or
 repeated id is a document of its own, in the order of id (nulls last) and text; an empty table gives no
-rows. Bytes are judged without regard to characters, so what is left may not be valid UTF-8: ``kept`` is
-binary.
+rows; long texts are hashed in blocks. Bytes are judged without regard to characters, so what is left may
+not be valid UTF-8: ``kept`` is binary.
 """
 
 from __future__ import annotations
@@ -22,17 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docsieve.llm.common import chunks, keyed
-from docsieve.llm.hashing import mix, signed
+from docsieve.llm.hashing import mix
 from docsieve.llm.repeats import (
+    PIECES,
     Sequence,
     Unit,
     covered,
+    cut_pieces,
     known,
     per_document,
-    pieces_schema,
     recurring_anchors,
     settle,
-    settle_chunk,
     whole_copies,
     without,
 )
@@ -40,7 +43,6 @@ from docsieve.llm.repeats import (
 WINDOW = 100
 GRAM = 32
 SHALLOW = 40
-_SCHEMA = pieces_schema(("bytes", pa.binary()))
 
 
 class BlindTrie:
@@ -83,28 +85,33 @@ class BlindTrie:
 
 
 def shallow_sort(text: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multikey quicksort of suffixes within their groups by ``depth`` bytes; singletons leave as they appear.
+    """Multikey quicksort of suffixes within their groups by ``depth`` bytes, all groups at a time.
 
-    Returns the suffixes (as indices) of the groups that are still tied, in order, and their new groups.
+    A group is split around the word of eight bytes in its middle; its equal part goes on to the next word.
+    A suffix that is alone leaves. Returns the suffixes (as indices) that are tied over the depth, and their groups.
     """
+    words = np.ndarray(max(len(text) - 7, 0), ">u8", text.tobytes(), strides=(1,))
     chosen = np.argsort(group, kind="stable")
     group = group[chosen]
-    for d in range(-8, depth, 8):
-        if d >= 0:
-            word = np.zeros(len(chosen), np.uint64)
-            for j in range(8):
-                word = (word << np.uint64(8)) | text[at[chosen] + d + j].astype(np.uint64)
-            order = np.lexsort((word, group))
-            chosen, group, word = chosen[order], group[order], word[order]
-            new = np.ones(len(chosen), bool)
-            new[1:] = (group[1:] != group[:-1]) | (word[1:] != word[:-1])
-            group = np.cumsum(new)
-        if not len(chosen):
-            break
-        _, where, size = np.unique(group, return_inverse=True, return_counts=True)
-        tied = size[where] > 1
-        chosen, group = chosen[tied], group[tied]
-    return chosen, group
+    done = np.zeros(len(chosen), np.int64)
+    out, seen = [(chosen[:0], np.zeros(0, np.int64))], 0
+    while len(chosen):
+        begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        size = np.diff(np.append(begin, len(group)))
+        number = np.repeat(np.arange(len(begin)), size)
+        at_end = done[begin] >= depth
+        tied = (at_end & (size > 1))[number]
+        out.append((chosen[tied], number[tied] + seen))
+        seen += len(begin)
+        active = (~at_end & (size > 1))[number]
+        middle = np.repeat(begin + size // 2, size)[active]
+        word = words[at[chosen] + np.minimum(done, depth - 8)].astype(np.uint64)
+        side = (word[active] > word[middle]).astype(np.int64) - (word[active] < word[middle])
+        part = number[active] * 3 + side + 1
+        order = np.argsort(part, kind="stable")
+        chosen, done = chosen[active][order], (done[active] + 8 * (side == 0))[order]
+        group = part[order]
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def tied_suffixes(text: np.ndarray, at: np.ndarray, group: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -112,39 +119,35 @@ def tied_suffixes(text: np.ndarray, at: np.ndarray, group: np.ndarray, window: i
     again = np.zeros(len(at), bool)
     shallow = min(SHALLOW, window // 8 * 8)
     chosen, group = shallow_sort(text, at, group, shallow)
+    if not len(chosen):
+        return again
     raw = text.tobytes()
-    for members in np.split(chosen, np.flatnonzero(group[1:] != group[:-1]) + 1) if len(chosen) else []:
-        members = members.tolist()
-        trie = BlindTrie([raw[at[m] + shallow : at[m] + window] for m in members])
-        for i, m in enumerate(members):
-            again[m] = trie.insert(i) != i
+    deep = [raw[a + shallow : a + window] for a in at[chosen].tolist()]
+    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(chosen)).tolist()
+    tied, begin = [], 0
+    for end in ends:
+        trie = BlindTrie(deep[begin:end])
+        tied += [trie.insert(i) != i for i in range(end - begin)]
+        begin = end
+    again[chosen] = tied
     return again
 
 
 def earlier(window: int):
+    """What ``settle`` asks of a block: the windows that stand earlier in it, found by sorting their suffixes."""
+
     def find(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         count, off, route = (np.asarray(rows.column(c)) for c in ("count", "off", "route"))
         pieces = rows.column("bytes").to_pylist()
-        first: dict[tuple, int] = {}
-        own = np.array([first.setdefault(k, i) == i for i, k in enumerate(zip(route.tolist(), off.tolist(), pieces))])
-        _, where, size = np.unique(np.where(own, route, -1), return_inverse=True, return_counts=True)
-        alive = np.flatnonzero(own & (size[where] > 1))
-        text = np.frombuffer(b"".join(pieces[i] for i in alive), np.uint8)
-        length = np.array([len(pieces[i]) for i in alive], np.int64)
-        n = count[alive].astype(np.int64)
-        piece = np.repeat(np.arange(len(alive)), n)
+        length = np.array([len(x) for x in pieces], np.int64)
+        n = count.astype(np.int64)
+        piece = np.repeat(np.arange(len(n)), n)
         inner = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
         at = (np.cumsum(length) - length)[piece] + inner
-        # One group for each anchor and place relative to it; a chance meeting of two only compares more.
-        group = mix(route[alive].astype(np.int64).view(np.uint64)[piece] + (off[alive][piece] - inner).astype(np.uint64))
-        again = tied_suffixes(text, at, group, window)
-        gone = np.flatnonzero(~own)
-        gone_piece = np.repeat(gone, count[gone])
-        gone_inner = np.arange(len(gone_piece)) - np.repeat(np.cumsum(count[gone]) - count[gone], count[gone])
-        out_piece = np.concatenate((alive[piece[again]], gone_piece)).astype(np.int64)
-        out_inner = np.concatenate((inner[again], gone_inner)).astype(np.int64)
-        order = np.lexsort((out_inner, out_piece))
-        return out_piece[order], out_inner[order]
+        # One group for each route and place of the anchor; a chance meeting of two only compares more.
+        group = mix(route.astype(np.int64).view(np.uint64)[piece] + mix((off[piece] - inner).astype(np.uint64)))
+        again = tied_suffixes(np.frombuffer(b"".join(pieces), np.uint8), at, group, window)
+        return piece[again], inner[again]
 
     return find
 
@@ -160,26 +163,18 @@ def suffix_pieces(docs: DataFrame, unit: Unit) -> DataFrame:
                 chosen = np.flatnonzero(hot | known(batch, "cold", found.anchor))
                 if not len(chosen):
                     continue
-                keys = batch.column("key").to_numpy()
-                p = settle_chunk(found, chosen, hot, keys, unit)
-                doc, raw = found.doc[p.run], found.raw.tobytes()
-                ends = np.where(p.again, p.start, p.start + p.count - 1 + unit.window)
-                cut = [raw[a:b] for a, b in zip(p.start.tolist(), ends.tolist())]
-                off = np.where(p.again, -1, found.place[p.run] - p.start)
-                off = np.where(~p.again & (off < 0), 0, off)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed(p.route)),
-                        pa.array(keys[doc]),
-                        pa.array(p.start - found.bounds[doc]),
-                        pa.array(p.count, pa.int32()),
-                        pa.array(off, pa.int32()),
-                        pa.array(cut, pa.binary()),
-                    ],
-                    schema=_SCHEMA,
-                )
+                raw = found.raw.tobytes()
+
+                def tied(run: np.ndarray, start: np.ndarray) -> np.ndarray:
+                    group = mix(found.anchor[run] + mix((found.place[run] - start).astype(np.uint64)))
+                    return tied_suffixes(found.raw, start, group, unit.window)
+
+                def text_of(a: np.ndarray, b: np.ndarray) -> list[bytes]:
+                    return [raw[i:j] for i, j in zip(a.tolist(), b.tolist())]
+
+                yield cut_pieces(found, chosen, hot, batch.column("key").to_numpy(), unit, tied, text_of)
 
-    return docs.mapInArrow(locate, "route long, key long, start long, count int, off int, bytes binary")
+    return docs.mapInArrow(locate, PIECES)
 
 
 def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -188,7 +183,7 @@ def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = keyed(docs, id_col, text_col)
     copies = whole_copies(rows)
     found = recurring_anchors(without(rows, copies), unit)
-    again = settle(suffix_pieces(rows.join(found, "key"), unit), earlier(window), block=1 << 13)
+    again = settle(suffix_pieces(rows.join(found, "key"), unit), earlier(window))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
