@@ -4,7 +4,8 @@ Texts are equal when identical after each run of blanks has become one space. Mi
 all partitions find the digests that may be frequent; an exact count verifies them, and the verified
 winners (fewer than ``1 / share`` of them, whatever the input) are broadcast, so that the copies of
 frequent texts go on the map side. What remains, no digest of which has more than ``share`` of all rows,
-is shuffled by digest.
+is shuffled by digest. ``share`` is 1/512 or, with many shuffle partitions, a quarter of a partition's, so
+that a group fits a task whatever the number of rows; 2^19 winners of 48 bytes at most are broadcast.
 
 Defined cases: a null text is an empty one, and empty texts equal each other. A null id is larger than
 any other. Of rows that repeat both id and text one stays. An empty table gives an empty result. Other
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from docsieve.llm.common import cut
 
 SHARE = 1 / 512
+LEAST_SHARE = 1 / (1 << 19)
 
 
 def normalised(text: Column) -> Column:
@@ -63,9 +65,12 @@ def misra_gries(digests: DataFrame, counters: int) -> DataFrame:
     return digests.select("digest").mapInArrow(summarise, "digest binary, least long")
 
 
-def frequent(digests: DataFrame, share: float = SHARE) -> DataFrame:
+def frequent(digests: DataFrame, share: float | None = None) -> DataFrame:
     """Each digest with more than ``share`` of all rows, with ``keep_id`` and ``group_size``; bounded by 1 / share."""
     n = digests.count()
+    if share is None:
+        partitions = int(digests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        share = max(min(SHARE, 1 / (4 * partitions)), LEAST_SHARE)
     counters = int(np.ceil(2 / share))
     floor = n * share - n / counters  # what the summaries leave of a frequent digest at least
     maybe = (
@@ -84,40 +89,49 @@ def frequent(digests: DataFrame, share: float = SHARE) -> DataFrame:
     )
 
 
-def resolve(rows: DataFrame, winners: DataFrame, with_dropped: bool = True) -> DataFrame:
-    """Adds ``keep_id``, ``group_size`` and ``kept`` to rows with ``doc_id`` and ``digest``."""
-    heavy = winners.select("digest", F.col("keep_id").alias("heavy_id"), F.col("group_size").alias("heavy_size"))
-    marked = rows.join(F.broadcast(heavy), "digest", "left")
-    copy = F.col("heavy_size").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("heavy_id"))
+def resolve(rows: DataFrame, winners: DataFrame) -> DataFrame:
+    """Adds ``keep_id``, ``group_size`` and ``kept`` to rows with ``doc_id``, ``digest`` and ``number``, unique and fixed.
+
+    Rows that repeat a frequent text's smallest id (or all have none) are told apart by ``number``; the least,
+    found by a grouped minimum, is broadcast with the winners.
+    """
+    heavy = F.broadcast(winners.select("digest", F.col("keep_id").alias("heavy_id"), F.col("group_size").alias("heavy_size")))
+    marked = rows.join(heavy, "digest", "left")
+    first = marked.where("heavy_size IS NOT NULL AND doc_id <=> heavy_id").groupBy("digest").agg(F.min("number").alias("first"))
+    frequent_rows = marked.where("heavy_size IS NOT NULL").join(F.broadcast(first), "digest")
     group = Window.partitionBy("digest")
     rest = (
-        marked.where(~copy)
-        .withColumn("place", F.row_number().over(group.orderBy(F.col("doc_id").asc_nulls_last())))
+        marked.where("heavy_size IS NULL")
+        .withColumn("place", F.row_number().over(group.orderBy(F.col("doc_id").asc_nulls_last(), "number")))
         .withColumn("keep_id", F.min("doc_id").over(group))
-        .withColumn("group_size", F.coalesce("heavy_size", F.count(F.lit(1)).over(group)))
+        .withColumn("group_size", F.count(F.lit(1)).over(group))
         .withColumn("kept", F.col("place") == 1)
-        .drop("place", "heavy_id", "heavy_size")
     )
-    if not with_dropped:
-        return rest.where("kept")
-    removed = (
-        marked.where(copy)
-        .withColumn("keep_id", F.col("heavy_id"))
-        .withColumn("group_size", F.col("heavy_size"))
-        .withColumn("kept", F.lit(False))
-        .drop("heavy_id", "heavy_size")
+    columns = [c for c in rows.columns if c != "number"] + ["keep_id", "group_size", "kept"]
+    return rest.select(columns).unionByName(
+        frequent_rows.withColumns({"keep_id": F.col("heavy_id"), "group_size": F.col("heavy_size"), "kept": F.col("number") == F.col("first")}).select(columns)
     )
-    return rest.unionByName(removed)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
+def numbered(rows: DataFrame) -> DataFrame:
+    """``doc_id`` and ``digest``, with a number of each row that is fixed in a checkpoint."""
+    return cut(rows.select("doc_id", "digest", F.monotonically_increasing_id().alias("number")))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None) -> DataFrame:
     """One input row of each group of equal texts, that with the smallest id, with its columns as they were."""
     rows = digested(docs, id_col, text_col)
-    slim = cut(rows.select("doc_id", "digest"))
-    return resolve(rows, cut(frequent(slim, share)), with_dropped=False).select("row.*")
+    winners = cut(frequent(cut(rows.select("doc_id", "digest")), share))
+    heavy = F.broadcast(winners.select("digest", F.col("keep_id").alias("heavy_id"), F.lit(True).alias("heavy")))
+    left = rows.join(heavy, "digest", "left").where("heavy IS NULL OR doc_id <=> heavy_id")
+    # Of the rows that repeat a frequent text's id, each task sends one.
+    one = left.where("heavy").groupBy("digest").agg(F.first("row").alias("row")).select("row.*")
+    order = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last())
+    rest = left.where("heavy IS NULL").withColumn("place", F.row_number().over(order)).where("place = 1")
+    return rest.select("row.*").unionByName(one)
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None) -> DataFrame:
     """A row for each input row: ``doc_id``, ``digest``, ``keep_id``, ``group_size`` and ``kept``."""
-    slim = cut(digested(docs, id_col, text_col).select("doc_id", "digest"))
+    slim = numbered(digested(docs, id_col, text_col))
     return resolve(slim, cut(frequent(slim, share)))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import chunks, cut, texts
+from docsieve.llm.common import chunks, cut, joinable, texts
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -42,6 +42,29 @@ def decompose(n: int, longest: int = MAX_LENGTH) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if n % longest >> b & 1]
 
 
+def plain_byte_level(spec: dict) -> bool:
+    """Whether a tokenizer file says no more than byte-level BPE whose merges are in the order of their ids.
+
+    Only then do the ranks of the vocabulary and ``SPLIT`` give the file's ids.
+    """
+    split, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    vocab = {t: i for t, i in model.get("vocab", {}).items() if t not in special}
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model.get("merges", [])]
+    made = [vocab.get("".join(m)) for m in merges]
+    return (
+        split.get("type") == "ByteLevel"
+        and not split.get("add_prefix_space")
+        and split.get("use_regex", True)
+        and spec.get("normalizer") is None
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        and None not in made
+        and all(a < b for a, b in zip(made, made[1:]))
+        and len(vocab) == 256 + len(set(made))
+    )
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
     """A function from texts to their lists of ids, by the file at ``path``."""
@@ -52,6 +75,8 @@ def encoder(path: str):
     exact = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    if not plain_byte_level(spec):
+        return lambda batch: [e.ids for e in exact.encode_batch(batch, add_special_tokens=False)]
     special = {t["content"] for t in spec.get("added_tokens", [])}
     others = iter(range(256, 512))
     byte_of = {chr(b if b in PRINTED else next(others)): b for b in range(256)}
@@ -95,16 +120,21 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int = MAX_LENGTH, end_id: i
 def numbered(rows: DataFrame) -> DataFrame:
     """Adds ``sequence_id``, gapless over all pieces with equal lengths in a row, and ``offset``.
 
-    Each partition's count of each length gives where its numbers begin: a row for each partition and
-    length, of which there are twelve, is all that meets in one place.
+    Each partition's count of each length gives where its numbers begin: a row for each partition meets in
+    the task of a length, and a row for each length in one place.
     """
     rows = cut(rows.withColumn("part", F.spark_partition_id()))
-    counts = rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy(F.desc("length"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    counts = cut(rows.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
+    totals = counts.groupBy("length").agg(F.sum("n").alias("all"))  # a row for each length
+    longer = Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1)
+    lengths = totals.select("length", F.coalesce(F.sum("all").over(longer), F.lit(0)).alias("begin"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.join(F.broadcast(lengths), "length").select(
+        "length", "part", (F.col("begin") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("first")
+    )
     within = Window.partitionBy("part", "length").orderBy("doc_id", "start")
     return (
-        rows.join(F.broadcast(starts), ["length", "part"])
+        rows.join(joinable(cut(starts)), ["length", "part"])
         .withColumn("sequence_id", F.col("first") + F.row_number().over(within) - 1)
         .withColumn("offset", F.lit(0).cast("long"))
         .drop("part", "first")

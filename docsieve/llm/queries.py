@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.llm import decontamination, exact_dedup, jaccard_join, licenses, packing, passage_dedup, sharding, suffix_dedup, toxicity, warc
-from docsieve.llm.common import default_tokenizer, shared_dir, table
+from docsieve.llm.common import cut, default_tokenizer, shared_dir, table
 
 SHARDS = 24
 
@@ -66,9 +66,11 @@ def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    return warc.read_archives(spark, path, with_payload=False).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"
-    )
+    found = warc.read_archives(spark, path, with_payload=False)
+    # Fixed in a checkpoint, so that the archives can go.
+    rows = cut(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact"))
+    warc.remove_archives(path)
+    return rows
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -75,7 +75,7 @@ class Sequence:
 
 def whole_copies(docs: DataFrame) -> DataFrame:
     """``key`` of each document whose whole text stands earlier; each of its windows does, then."""
-    slim = cut(docs.select(F.col("key").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("digest")))
+    slim = exact_dedup.numbered(docs.select(F.col("key").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("digest")))
     found = exact_dedup.resolve(slim, cut(exact_dedup.frequent(slim)))
     return cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("key")))
 

@@ -14,16 +14,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import cut
+from docsieve.llm.common import cut, keyed
 
 ROW_OVERHEAD = 8
 
 
-def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``size``, ``text_crc32``, ``first_byte`` (of all), ``shard`` and ``slot`` (gapless in the shard)."""
+def assign_shards(
+    docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", number_col: str | None = None
+) -> DataFrame:
+    """``doc_id``, ``size``, ``text_crc32``, ``first_byte`` (of all), ``shard`` and ``slot`` (gapless in the shard).
+
+    With ``number_col``, a column that tells rows apart, rows come in its order and it is kept as ``number``.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     order = [F.col("doc_id").asc_nulls_last(), F.col("size"), F.col("text_crc32")]
+    number = [] if number_col is None else [F.col(number_col).cast("long").alias("number")]
+    order = [F.col("number")] if number else order
     slim = docs.select(
+        *number,
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
@@ -52,20 +60,20 @@ def assign_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col
     placed = cut(placed)
     firsts = placed.groupBy("shard").agg(F.min("place").alias("shard_place"))  # a row for each shard
     return placed.join(F.broadcast(firsts), "shard").select(
-        "doc_id", "size", "text_crc32", "first_byte", "shard", (F.col("place") - F.col("shard_place")).alias("slot")
+        *(["number"] if number else []), "doc_id", "size", "text_crc32", "first_byte", "shard", (F.col("place") - F.col("shard_place")).alias("slot")
     )
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the input rows as Parquet under ``shard=N`` folders, in slot order, and returns the assignment.
 
-    Ids must be unique here, as they find each row's shard.
+    Each row finds its shard by a key of its own (``keyed``), so null and repeated ids are written once each.
     """
-    placed = cut(assign_shards(docs, shards, id_col, text_col))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
-    where = placed.select(F.col("doc_id"), "shard", "slot")
+    rows = keyed(docs, id_col, text_col, whole=True)
+    placed = cut(assign_shards(rows, shards, "doc_id", "text", number_col="key"))
+    where = placed.select(F.col("number").alias("key"), "shard", "slot")
     (
-        rows.join(where, "doc_id")
+        rows.join(where, "key")
         .repartitionByRange("shard", "slot")
         .sortWithinPartitions("shard", "slot")
         .select("row", "slot", "shard")
@@ -73,4 +81,4 @@ def write_shards(docs: DataFrame, path: str, shards: int, id_col: str = "doc_id"
         .partitionBy("shard")
         .parquet(path)
     )
-    return placed
+    return placed.drop("number")

@@ -2,18 +2,19 @@
 
 Categories are predicted one after another by logistic models. The model of a category also reads the
 probabilities of the categories before it; in training these are out-of-fold predictions, so that a model
-never learns from a probability whose model has seen the same row.
+never learns from a probability whose model has seen the same row. Features are chosen anew for each fold,
+without its rows, so these haven't seen it either.
 
 Features are the presence of words (A-Z in lower case) and of their first ``STEM`` bytes, hashed into
-buckets; those that tell toxic rows
-from others by their likelihood ratio on the training rows are kept. The chain is fitted on a bounded
-sample of the labelled rows (``MAX_TRAIN``, those whose ids have the least hashes, one of each text);
-all documents are scored over their whole texts in one pass without a shuffle.
-
-Defined cases: null and empty texts have no words and get the base rates; labels that repeat an id count
-by their maximum, and those with a null id or label aren't used; without a row of either class for a
-category its probability is its base rate, and without labelled rows it is 0, so that nothing is
-rejected. Repeated rows get equal scores, an empty table none.
+buckets; those that tell toxic rows from others by their likelihood ratio on the training rows are kept,
+``MAX_FEATURES`` at most. The chain is fitted on a bounded sample of the labelled documents (``MAX_TRAIN``,
+those whose ids have the least hashes, one of each text); all documents are scored over their whole texts
+in one pass without a shuffle.
+
+Defined cases: null and empty texts have no words and get the base rates; labels that repeat an id, and
+those of equal texts, count by their maximum; those with a null id or label, or of no document, aren't
+used; without a row of either class for a category its probability is its base rate, and without labelled
+rows it is 0, so that nothing is rejected. Repeated rows get equal scores, an empty table none.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.llm.common import chunks, cut, flat, texts
@@ -59,7 +60,7 @@ def word_buckets(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
-    """``text_hash``, ``toxic``, ``quality`` and ``buckets`` of the sampled labelled rows, ``most`` at most."""
+    """``text_hash``, ``toxic``, ``quality`` and ``buckets`` of the sampled labelled documents' texts, ``most`` at most."""
     rows = labels.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"), F.col("quality").cast("int").alias("quality")
     )
@@ -67,6 +68,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
         rows.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
         .groupBy("doc_id")
         .agg(F.least(F.max("toxic"), F.lit(1)).alias("toxic"), F.coalesce(F.max("quality"), F.lit(1)).alias("quality"))
+        .join(texts(docs).select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)  # of three numbers each: small enough to broadcast, whatever the input
     )
@@ -87,6 +89,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) ->
         texts(docs)
         .join(F.broadcast(sample), "doc_id")
         .mapInArrow(features, "text_hash string, toxic int, quality int, buckets array<int>")
+        .groupBy("text_hash")
+        .agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality"), F.first("buckets").alias("buckets"))
     )
 
 
@@ -95,34 +99,43 @@ def category_labels(toxic: np.ndarray, quality: np.ndarray) -> dict[str, np.ndar
     return {"toxic_prose": toxic & (quality > 0), "toxic_junk": toxic & (quality <= 0), "toxic": toxic}
 
 
-def telling_buckets(rows: DataFrame) -> list[int]:
+def telling_buckets(rows: DataFrame, folds: int = FOLDS) -> list[list[int]]:
     """The buckets whose presence tells toxic training rows from others, ``MAX_FEATURES`` at most.
 
-    The measure is twice the log-likelihood ratio of two binomial counts against one common rate.
+    One list for each fold, from the rows of the others, and last that of all rows. The measure is twice the
+    log-likelihood ratio of two binomial counts against one common rate.
     """
-    totals = rows.agg(F.sum("toxic").alias("pos"), F.sum(1 - F.col("toxic")).alias("neg")).first()
-    n_pos, n_neg = float(totals["pos"] or 0), float(totals["neg"] or 0)
-    if not n_pos or not n_neg:
-        return []
-    pos, neg = F.col("pos"), F.col("neg")
+    parts = [F.col("fold") != k for k in range(folds)] + [F.lit(True)]
+    each = rows.select("toxic", "fold", F.explode("buckets").alias("bucket"))
+
+    def sums(part: Column, i: int) -> list[Column]:
+        pos, neg = F.sum(F.when(part, F.col("toxic"))), F.sum(F.when(part, 1 - F.col("toxic")))
+        return [F.coalesce(x, F.lit(0)).cast("double").alias(f"{n}{i}") for n, x in (("pos", pos), ("neg", neg))]
+
+    both = [c for i, part in enumerate(parts) for c in sums(part, i)]
+    totals, counts = rows.agg(*both).first(), cut(each.groupBy("bucket").agg(*both).where(F.col(f"pos{folds}") + F.col(f"neg{folds}") >= LEAST_ROWS))
+    chosen = []
+    for i in range(folds + 1):
+        n_pos, n_neg = totals[f"pos{i}"], totals[f"neg{i}"]
+        if not n_pos or not n_neg:
+            chosen.append([])
+            continue
+        ratio = likelihood_ratio(F.col(f"pos{i}"), F.col(f"neg{i}"), n_pos, n_neg).alias("ratio")
+        best = counts.where(F.col(f"pos{i}") + F.col(f"neg{i}") >= LEAST_ROWS).select("bucket", ratio).where(F.col("ratio") >= LEAST_RATIO)
+        chosen.append(sorted(r["bucket"] for r in best.orderBy(F.desc("ratio"), "bucket").limit(MAX_FEATURES).collect()))
+    return chosen
+
+
+def likelihood_ratio(pos: Column, neg: Column, n_pos: float, n_neg: float) -> Column:
     rate = (pos + neg) / (n_pos + n_neg)
 
     def term(count, expected):
         return F.when(count > 0, count * F.log(count / expected)).otherwise(0.0)
 
-    ratio = 2 * (
+    return 2 * (
         term(pos, n_pos * rate) + term(neg, n_neg * rate)
         + term(n_pos - pos, n_pos * (1 - rate)) + term(n_neg - neg, n_neg * (1 - rate))
     )
-    counts = (
-        rows.select("toxic", F.explode("buckets").alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.sum("toxic").cast("double").alias("pos"), F.sum(1 - F.col("toxic")).cast("double").alias("neg"))
-        .where(F.col("pos") + F.col("neg") >= LEAST_ROWS)
-        .withColumn("ratio", ratio)
-        .where(F.col("ratio") >= LEAST_RATIO)
-    )
-    return sorted(r["bucket"] for r in counts.orderBy(F.desc("ratio"), "bucket").limit(MAX_FEATURES).collect())
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
@@ -165,39 +178,45 @@ class Chain:
         return out
 
 
-def fit_chain(rows: list, buckets: list[int], folds: int = FOLDS) -> Chain:
-    """Fits on collected training rows with the kept ones of their buckets; the sample's bound limits both."""
+def fit_chain(rows: list, buckets: list[list[int]]) -> Chain:
+    """Fits on collected training rows with the kept ones of their buckets; the sample's bound limits both.
+
+    ``buckets`` are those of each fold and, last, of all rows, as ``telling_buckets`` returns them.
+    """
     rows = sorted(rows, key=lambda r: r["text_hash"])
     toxic = np.array([r["toxic"] > 0 for r in rows], bool)
     quality = np.array([r["quality"] for r in rows], int)
-    chain = Chain(np.array(buckets, np.int64))
+    chain = Chain(np.array(buckets[-1], np.int64))
     if not rows:
         return chain
-    x = np.zeros((len(rows), len(buckets)))
+    names = np.unique(np.concatenate([np.asarray(b, np.int64) for b in buckets]))
+    x = np.zeros((len(rows), len(names)))
     for i, r in enumerate(rows):
-        x[i, np.searchsorted(chain.buckets, r["buckets"])] = 1
-    fold = np.arange(len(rows)) % folds
+        x[i, np.searchsorted(names, r["buckets"])] = 1
+    columns = [np.searchsorted(names, b) for b in buckets]
+    fold = np.array([r["fold"] for r in rows])
     out_of_fold: list[np.ndarray] = []
     for name, y in category_labels(toxic, quality).items():
         y = y.astype(float)
         chain.rates[name] = float(y.mean())
         own = np.full(len(y), y.mean())
         if 0 < y.sum() < len(y):
-            inputs = np.column_stack((x, *out_of_fold))
-            for k in range(folds):
+            for k, chosen in enumerate(columns[:-1]):
                 seen = fold != k
                 if 0 < y[seen].sum() < seen.sum():
+                    inputs = np.column_stack((x[:, chosen], *out_of_fold))
                     own[~seen] = predict(inputs[~seen], fit_logistic(inputs[seen], y[seen]))
-            chain.weights[name] = fit_logistic(inputs, y)
+            chain.weights[name] = fit_logistic(np.column_stack((x[:, columns[-1]], *out_of_fold)), y)
         out_of_fold.append(own)
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Chain:
-    rows = cut(training_rows(docs, labels, most).dropDuplicates(["text_hash"]))
-    buckets = telling_buckets(rows)
-    kept = F.array_intersect("buckets", F.array(*map(F.lit, buckets))) if buckets else F.array().cast("array<int>")
-    return fit_chain(rows.select("text_hash", "toxic", "quality", kept.alias("buckets")).collect(), buckets)
+def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, folds: int = FOLDS) -> Chain:
+    rows = cut(training_rows(docs, labels, most)).withColumn("fold", F.pmod(F.xxhash64("text_hash"), F.lit(folds)).cast("int"))
+    buckets = telling_buckets(rows, folds)
+    every = sorted({b for some in buckets for b in some})
+    kept = F.array_intersect("buckets", F.array(*map(F.lit, every))) if every else F.array().cast("array<int>")
+    return fit_chain(rows.select("text_hash", "toxic", "quality", "fold", kept.alias("buckets")).collect(), buckets)
 
 
 def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:

@@ -8,11 +8,14 @@ the manifest is written last. Readers see only files of the manifest, and the sa
 bytes, whatever was retried.
 
 Of records with equal payloads of ``min_bytes`` at least, that with the largest page id holds the
-payload, and the others are revisits of it; the payload of a revisit isn't shuffled.
+payload, and the others are revisits of it. That is decided on rows of id and digest. The digests of the
+largest groups (``MOST_HEAVY``) are broadcast, so that their revisits' payloads aren't shuffled; those of
+smaller groups, if there are more, meet their decision in the one shuffle by shard.
 
 Defined cases: a null html is an empty payload, a null url is written as ``urn:page:`` and the id, and a
-null id (smaller than any other) leaves its header out. Rows that repeat the winner's id and payload are
-responses too. An empty table gives a manifest without files. The output must be a place that executors
+null id (smaller than any other) leaves its header out and goes to the first shard. Rows that repeat the
+winner's id and payload are responses too. Other columns of the input, of whatever name, aren't read. A
+payload must fit a Python worker. An empty table gives a manifest without files. The output must be a place that executors
 reach by pyarrow's file systems (a shared mount, HDFS or an object store).
 """
 
@@ -25,17 +28,19 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm.common import cut, joinable
+from docsieve.llm.common import cut
 
 ROLL_BYTES = 32 << 20
-SHARD_BYTES = 16 << 20
-MOST_SHARDS = 4096
-SAMPLE_PER_SHARD = 32
+SHARD_BYTES = 32 << 20
+SAMPLE_PER_SHARD = 8
+MOST_HEAVY = 100_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILES = "shard int, seq int, name string, temporary string, bytes long, records long, sha256 string"
@@ -45,39 +50,63 @@ _FILE_SCHEMA = pa.schema(
 )
 
 
-def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``page_id``, ``url``, ``payload`` (null for revisits), ``sha1``, ``length`` and ``refers_to`` (null for responses)."""
+def sized(pages: DataFrame) -> DataFrame:
+    """``page_id``, ``url``, ``payload``, ``sha1`` and ``length`` of each page."""
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
-    rows = pages.select(
+    return pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")
     ).withColumns({"sha1": F.unhex(F.sha1("payload")), "length": F.octet_length("payload").cast("long")})
-    shared = (
-        rows.where(F.col("length") >= min_bytes)
-        .groupBy("sha1")
-        .agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("sha1", "winner")
-    )
-    revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
-    return rows.join(joinable(cut(shared)), "sha1", "left").select(
-        "page_id",
-        "url",
-        F.when(~revisit, F.col("payload")).alias("payload"),
-        "sha1",
-        "length",
-        F.when(revisit, F.col("winner")).alias("refers_to"),
-    )
 
 
-def shard_bounds(pages: DataFrame) -> list[int]:
-    """Page ids at which shards begin: quantiles of a sample that the ids alone decide, of bounded size."""
-    size = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit("")))
-    total = pages.agg(F.sum(size.cast("long")).alias("n")).first()["n"] or 0
-    shards = max(1, min(MOST_SHARDS, -(-total // SHARD_BYTES)))
-    ids = pages.select(F.col("page_id").cast("long").alias("page_id")).where("page_id IS NOT NULL")
-    least = ids.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PER_SHARD * shards).collect()
-    sample = sorted(r["page_id"] for r in least)
-    return sorted({sample[len(sample) * i // shards] for i in range(1, shards)} if sample else set())
+def shared_payloads(slim: DataFrame, min_bytes: int) -> DataFrame:
+    """``sha1``, ``winner`` and ``n`` of the payloads that occur twice or more."""
+    rows = slim.where(F.col("length") >= min_bytes)
+    return rows.groupBy("sha1").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def shard_bounds(slim: DataFrame) -> np.ndarray:
+    """Page ids at which shards begin: quantiles of a sample that the ids alone decide.
+
+    ``SAMPLE_PER_SHARD`` ids of eight bytes for each ``SHARD_BYTES`` come to the driver: two millionths of the payloads.
+    """
+    total = slim.agg(F.sum("length").alias("n"), F.count("page_id").alias("ids")).first()
+    shards = max(1, -(-(total["n"] or 0) // SHARD_BYTES))
+    share = min(1.0, SAMPLE_PER_SHARD * shards / max(total["ids"], 1))
+    least = F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
+    sample = np.sort(slim.where(least).select("page_id").toArrow().column(0).to_numpy())
+    return np.unique(sample[len(sample) * np.arange(1, shards) // shards]) if len(sample) else sample
+
+
+def sharded(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """Adds ``shard``, the number of bounds up to the page id; 0 without an id."""
+    shared = rows.sparkSession.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("int")
+    def shard(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, ids.to_numpy(), "right").astype(np.int32))
+
+    return rows.withColumn("shard", F.when(F.col("page_id").isNull(), 0).otherwise(shard(F.coalesce("page_id", F.lit(0)))))
+
+
+def decide(rows: DataFrame, shared: DataFrame, shards: int, most: int = MOST_HEAVY) -> DataFrame:
+    """Rows of ``sized`` with a ``shard``, dealt and ordered by it; ``payload`` is null for revisits, ``refers_to`` for responses.
+
+    A row of ``kind`` 0 says of the pages with its id and digest, which follow it, what they refer to.
+    """
+    revisit = F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner"))
+    heavy = shared.orderBy(F.desc("n"), "sha1").limit(most).select("sha1", "winner")
+    marked = rows.join(F.broadcast(heavy), "sha1", "left").withColumn("refers_to", F.when(revisit, F.col("winner")))
+    kept = F.when(F.col("refers_to").isNull(), F.col("payload"))
+    columns = ["shard", "page_id", "url", kept.alias("payload"), "sha1", "length", "refers_to", F.lit(1).alias("kind")]
+    out = marked.select(*columns)
+    if shared.count() > most:
+        slim = rows.select("shard", "page_id", "sha1").distinct().join(heavy.select("sha1"), "sha1", "left_anti")
+        others = slim.join(shared, "sha1").where(revisit).withColumn("refers_to", F.col("winner"))
+        nothing = {"url": "string", "payload": "binary", "length": "long"}
+        found = others.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()}).withColumn("kind", F.lit(0))
+        out = out.unionByName(found.select(out.columns))
+    order = [F.col("shard"), F.col("page_id").asc_nulls_first(), F.col("sha1"), F.col("kind"), F.col("url")]
+    return out.repartitionByRange(shards, "shard").sortWithinPartitions(*order)
 
 
 def base32(sha1: bytes) -> str:
@@ -171,19 +200,22 @@ def write_archives(
     pages: DataFrame, path: str, min_bytes: int = 0, roll_bytes: int = ROLL_BYTES, date: str = DATE
 ) -> DataFrame:
     """Writes all pages under ``path`` and returns the manifest."""
-    bounds = shard_bounds(pages)
-    shard = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("page_id"))) if bounds else F.lit(0)
-    rows = decide(pages, min_bytes).withColumn("shard", F.when(F.col("page_id").isNull(), 0).otherwise(shard))
-    order = [F.col("shard"), F.col("page_id").asc_nulls_first(), F.col("sha1"), F.col("url")]
-    ranged = rows.repartitionByRange(len(bounds) + 1, "shard").sortWithinPartitions(*order)
+    slim = cut(sized(pages).select("page_id", "sha1", "length"))
+    bounds = shard_bounds(slim)
+    ranged = decide(sharded(sized(pages), bounds), cut(shared_payloads(slim, min_bytes)), len(bounds) + 1)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, root = fs.FileSystem.from_uri(path)
         file: RollingFile | None = None
+        said = None
         for batch in batches:
             done = []
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+            for row in batch.to_pylist():
+                if row["kind"] == 0:
+                    said = row
+                    continue
+                if said and (row["page_id"], row["sha1"]) == (said["page_id"], said["sha1"]):
+                    row |= {"payload": None, "refers_to": said["refers_to"]}
                 if file is None or file.shard != row["shard"]:
                     if file is not None and file.out is not None:
                         done.append(file.close())
@@ -269,4 +301,9 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
     files = manifest(spark, path).select("name")
     types = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, intact boolean, payload binary"
-    return files.repartition(max(1, min(MOST_SHARDS, files.count()))).mapInArrow(read, types)
+    return files.repartition(max(1, files.count())).mapInArrow(read, types)
+
+
+def remove_archives(path: str) -> None:
+    place, root = fs.FileSystem.from_uri(path)
+    place.delete_dir(root)

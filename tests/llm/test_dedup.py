@@ -2,6 +2,8 @@ import collections
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from docsieve.llm import exact_dedup, jaccard_join, passage_dedup, suffix_dedup
@@ -56,6 +58,14 @@ def test_exact_dedup_heavy_hitters_are_found(spark):
     assert exact_dedup.exact_dedup(rows, share=1 / 10).count() == 2001
 
 
+def test_exact_dedup_of_frequent_rows_without_ids(spark):
+    rows = fixtures.table(spark, [(None, "hot")] * 300 + [(5, "warm")] * 200 + [(i, f"text {i}") for i in range(500)]).repartition(5)
+    assert exact_dedup.exact_dedup(rows, share=1 / 10).count() == 502
+    got = exact_dedup.duplicate_groups(rows, share=1 / 10).where("group_size > 1")
+    counts = {(r["keep_id"], r["group_size"], r["kept"]): r["count"] for r in got.groupBy("keep_id", "group_size", "kept").count().collect()}
+    assert counts == {(None, 300, True): 1, (None, 300, False): 299, (5, 200, True): 1, (5, 200, False): 199}
+
+
 @pytest.mark.parametrize("window", [100, 24])
 def test_suffix_dedup(spark, window):
     rows = [(d, (t or "").encode()) for d, t in fixtures.texts()]
@@ -68,6 +78,61 @@ def test_suffix_dedup(spark, window):
         assert (got[doc]["n_bytes"], got[doc]["n_removed"], got[doc]["n_spans"], bytes(got[doc]["kept"])) == want, doc
 
 
+def test_multikey_quicksort_ties_over_the_depth():
+    r = np.random.default_rng(4)
+    text = r.integers(97, 99, 3000).astype(np.uint8)
+    at, group = r.integers(0, 2900, 800), r.integers(0, 3, 800).astype(np.uint64)
+    chosen, tied = suffix_dedup.shallow_sort(text, at, group, 16)
+    want = collections.defaultdict(list)
+    for i in range(800):
+        want[int(group[i]), text[at[i] : at[i] + 16].tobytes()].append(i)
+    got = collections.defaultdict(list)
+    for i, g in zip(chosen.tolist(), tied.tolist()):
+        got[g].append(i)
+    assert sorted(got.values()) == sorted(v for v in want.values() if len(v) > 1)
+
+
+def test_nothing_is_removed_without_the_methods_own_decision(spark, monkeypatch):
+    """With a sort that ties nothing, and an automaton without phrases, all but whole copies stays."""
+    monkeypatch.setattr(suffix_dedup, "tied_suffixes", lambda text, at, group, window=100: np.zeros(len(at), bool))
+    docs = fixtures.table(spark).where("doc_id in (24, 25, 26)").repartition(1)
+    find = suffix_dedup.earlier(100)
+    rows = pa.table({"route": [1, 1], "off": [3, 3], "count": [1, 1], "bytes": [b"x" * 100] * 2})
+    assert not len(find(rows)[0]) and docs.count() == 3
+    batch = pa.record_batch([pa.array([fixtures.PASSAGE] * 2)], ["text"])
+    from docsieve.llm.repeats import Sequence, Unit
+
+    found = Sequence(batch, Unit(20, 8, True, 1 << 20))
+    phrase = " ".join(fixtures.PASSAGE.split()[5:13]).encode()
+    assert np.flatnonzero(passage_dedup.located(passage_dedup.compiled({phrase: False}), found)).tolist() == [5, 65]
+    assert not passage_dedup.located(passage_dedup.compiled({b"another phrase": False}), found).any()
+
+
+def test_windows_with_one_hash_and_other_words_are_told_apart(monkeypatch):
+    monkeypatch.setattr(passage_dedup, "mix", lambda x: np.zeros(len(x), np.uint64))
+    words = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
+    got = passage_dedup.repeated(words, np.array([0, 3, 6]), np.zeros(3, np.int64), 3)
+    assert got.tolist() == [False, False, True]
+
+
+@pytest.mark.parametrize("words", [True, False])
+def test_long_texts_are_hashed_in_blocks(monkeypatch, words):
+    from docsieve.llm import hashing, repeats
+
+    text = " ".join(f"w{i * 7919 % 1000}" for i in range(4000))
+    batch = pa.record_batch([pa.array([text, "", text[500:]])], ["text"])
+    unit = repeats.Unit(20, 8, words, 1 << 20)
+
+    def windows():
+        found = repeats.Sequence(batch, unit)
+        run, start = found.windows(np.arange(len(found.first)))
+        return dict(zip(start.tolist(), zip(found.anchor[run].tolist(), found.place[run].tolist())))
+
+    whole = windows()
+    monkeypatch.setattr(hashing, "BLOCK", 333)
+    assert windows() == whole
+
+
 def test_blind_trie_ties_are_equal_strings():
     import random
 
@@ -91,6 +156,7 @@ def test_hot_anchors_are_routed_by_window(spark, monkeypatch):
     from docsieve.llm import repeats
 
     monkeypatch.setattr(repeats, "HOT", 2)
+    monkeypatch.setattr(repeats, "SALTS", 2)
     test_passage_dedup(spark)
     test_suffix_dedup(spark, 100)
 

@@ -165,13 +165,44 @@ def test_toxicity_edges(spark):
 
 
 def test_out_of_fold_chain_feeds_later_categories():
-    rows = [{"text_hash": f"{i:04d}", "toxic": int(i % 4 == 0), "quality": int(i % 8 != 0), "buckets": [5] if i % 4 == 0 else []} for i in range(200)]
-    chain = toxicity.fit_chain(rows, [5])
+    rows = [{"text_hash": f"{i:04d}", "toxic": int(i % 4 == 0), "quality": int(i % 8 != 0), "buckets": [5] if i % 4 == 0 else [], "fold": i % 3} for i in range(200)]
+    chain = toxicity.fit_chain(rows, [[5]] * 4)
     assert [len(chain.weights[c]) for c in toxicity.CATEGORIES] == [2, 3, 4]
     p = chain.scores(np.array([[1.0], [0.0]]))["toxic"]
     assert p[0] > 0.5 > p[1]
 
 
+def test_features_of_a_fold_come_from_the_others(spark):
+    """A word that only one fold's toxic rows hold is no feature for that fold."""
+    rows = [(f"{i:04d}", int(i % 2 == 0), 1, ([7] if i % 2 == 0 and i % 5 == 0 else []) + ([9] if i % 2 == 0 else [3]), i % 5) for i in range(400)]
+    frame = spark.createDataFrame(rows, "text_hash string, toxic int, quality int, buckets array<int>, fold int")
+    assert toxicity.telling_buckets(frame) == [[3, 9], *[[3, 7, 9]] * 5]
+
+
+def test_labels_of_equal_texts_count_by_their_maximum_and_others_not_at_all(spark):
+    docs = fixtures.table(spark, [(1, "same text"), (2, "same text"), (3, "other")])
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 1), *((i, 1, 1) for i in range(100, 200))], "doc_id long, quality int, toxic int")
+    for parts in (1, 3):
+        got = toxicity.training_rows(docs.repartition(parts), labels.repartition(parts), most=2).collect()
+        assert [(r["toxic"], r["quality"]) for r in got] == [(1, 1)]
+
+
+def test_the_chain_scores_what_its_weights_say(spark):
+    """Brute force: presence of words and stems, one logistic model after another."""
+    docs, labels, _ = labelled(spark)
+    chain = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, chain).collect()}
+    for doc, text in [(r["doc_id"], r["text"]) for r in docs.collect()]:
+        held = {int(b) for w in words(text or "") for x in {w, w.encode()[: toxicity.STEM].decode("utf-8", "ignore")} for b in toxicity.word_buckets(pa.record_batch([pa.array([x])], ["text"]))[1]}
+        x, earlier = [float(b in held) for b in chain.buckets.tolist()], []
+        for name in toxicity.CATEGORIES:
+            w = chain.weights.get(name)
+            z = None if w is None else sum(a * b for a, b in zip([*x, *earlier, 1.0], w))
+            earlier.append(chain.rates[name] if w is None else 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            assert abs(got[doc][f"p_{name}"] - earlier[-1]) < 1e-6, (doc, name)
+        assert got[doc]["toxic"] == (earlier[-1] >= toxicity.THRESHOLD)
+
+
 def test_block_max_wand_is_exhaustive():
     r = random.Random(6)
     vocabulary = [f"t{i}" for i in range(60)]
@@ -252,8 +283,11 @@ PAGES = [(1, "http://a/1", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://a/ b\
 PAGES += [(None, "u", "<p>x</p>"), (6, "u", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n"), (6, "u", "other"), (7, "u", "seven"), (7, "u", "seven")]
 
 
-@pytest.mark.parametrize(("roll", "least"), [(32 << 20, 0), (1, 0), (700, 6)])
-def test_warc_round_trip(spark, tmp_path, roll, least):
+@pytest.mark.parametrize(("roll", "least", "heavy", "shard"), [(32 << 20, 0, 9, 1 << 20), (1, 0, 1, 1 << 20), (700, 6, 0, 2000), (700, 0, 1, 2000)])
+def test_warc_round_trip(spark, tmp_path, monkeypatch, roll, least, heavy, shard):
+    """With all shared payloads broadcast, some, and none; with one shard and several."""
+    monkeypatch.setattr(warc.decide, "__defaults__", (heavy,))
+    monkeypatch.setattr(warc, "SHARD_BYTES", shard)
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3)
     path = f"file://{tmp_path}/out"
     files = warc.write_archives(pages, path, min_bytes=least, roll_bytes=roll)
