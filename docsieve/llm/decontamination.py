@@ -1,7 +1,8 @@
 """Benchmark decontamination: a BM25 index of the test items, searched by block-max WAND.
 
-Every training passage is a query. Passages are windows of twice the longest item's words (``MIN_WORDS``
-at least), each half overlapping the next, so that no item can fall between two. BM25 impacts are divided
+Every training passage is a query. The passages that an item is held against are windows of twice its number
+of words, rounded up to a power of two (``MIN_WORDS`` at least), each half overlapping the next, so that no
+item can fall between two; items with equal windows share an index. BM25 impacts are divided
 by the item's score against itself; a passage retrieves every item with a share of ``THRESHOLD`` or more.
 
 The index keeps, for each term, its items in order with impacts, in blocks with their largest impact. For
@@ -16,14 +17,15 @@ words; a part's only word may be replaced, not left out. So a question before an
 counts, and a question alone doesn't. Items that one such edit can bring below ``THRESHOLD`` lower the bound
 of their index, and count below ``THRESHOLD`` only if the whole of them stands there so.
 
-The index is broadcast in parts of ``MOST_ITEMS`` items, by a hash of their ids; statistics are those of
-all items. Defined cases: null or empty texts and items have no terms and never match; items with a null
+Indexes are broadcast in parts of about ``MOST_ITEMS`` items, by a hash of their ids, ``AT_ONCE`` parts for each pass
+over the documents; statistics are those of all items, and the result doesn't depend on the parts. Defined cases: null or empty texts and items have no terms and never match; items with a null
 id are kept under that id; items with equal texts are all reported; a row with a repeated id is searched
 on its own, and the best match of each (id, item) is reported; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +44,7 @@ OVERLAP = 0.8
 SHINGLE = 5
 MIN_WORDS = 64
 MOST_ITEMS = 10_000
+AT_ONCE = 8
 BLOCKS = 512
 COMMON = 0.1
 _LETTER = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]")
@@ -91,13 +94,12 @@ class Index:
     least: list[float]  # of each item, the least score with one word replaced
 
 
-def build(items: list[tuple[int | None, str]], df: dict[int, int], n_items: int, mean_length: float) -> Index:
-    """The index of the given items; ``df`` has each term's number of items among all ``n_items``."""
+def build(items: list[tuple[int | None, str]], df: dict[int, int], n_items: int, mean_length: float, half: int) -> Index:
+    """The index of the given items, of ``half`` words at most; ``df`` has each term's number of items among all ``n_items``."""
     words, first = hashed_words(pa.array([t for _, t in items], pa.string()))
-    triples, longest, least = [], 0, []
+    triples, least = [], []
     for i in range(len(items)):
         own = words[first[i] : first[i + 1]]
-        longest = max(longest, len(own))
         terms, tf = np.unique(own, return_counts=True)
         counts = np.array([df.get(int(t), 1) for t in signed(terms)], float)
         idf = np.log1p((n_items - counts + 0.5) / (counts + 0.5))
@@ -124,7 +126,7 @@ def build(items: list[tuple[int | None, str]], df: dict[int, int], n_items: int,
         [i for i, _ in items], terms, begin, doc, impact, width, block_begin, cell % max(blocks, 1), block_max,
         np.maximum.reduceat(impact, begin[:-1]) if len(terms) else np.zeros(0), common,
         np.bincount((cell % max(blocks, 1))[often], block_max[often], blocks) if blocks else np.zeros(0),
-        max(MIN_WORDS, longest), [_shingles_of(q) for q, _ in parts], [_shingles_of(a) for _, a in parts],
+        half, [_shingles_of(q) for q, _ in parts], [_shingles_of(a) for _, a in parts],
         [tuple(hashed_words(pa.array([t], pa.string()))[0] for t in (*p, text)) for p, (_, text) in zip(parts, items)], least,
     )
 
@@ -304,16 +306,27 @@ def indexes(items: DataFrame, most: int = MOST_ITEMS) -> Iterator[Index]:
     n = rows.count()
     if not n:
         return
-    parts = -(-n // most)
     found = cut(rows.mapInArrow(count, "at long, term long, length long"))
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    mean = found.select("at", "length").distinct().agg(F.avg("length").alias("mean")).first()["mean"] or 1.0
-    for part in range(parts):
-        here = F.pmod("at", F.lit(parts)) == part
-        own = df.join(found.where(here).select("term").distinct(), "term").collect()
-        some = rows.where(here).collect()
-        chosen = sorted(((r["doc_id"], r["text"]) for r in some), key=lambda x: (x[0] is None, x[0], x[1]))
-        yield build(chosen, {r["term"]: r["df"] for r in own}, n, mean)
+    lengths = found.select("at", "length").distinct()
+    mean = lengths.agg(F.avg("length").alias("mean")).first()["mean"] or 1.0
+    half = F.greatest(F.lit(MIN_WORDS), F.expr("shiftleft(1, cast(ceil(log2(length)) as int))"))
+    placed = cut(rows.join(lengths, "at").withColumn("half", half))  # items without words match nothing
+    for size, some in sorted((r["half"], r["count"]) for r in placed.groupBy("half").count().collect()):  # a row for each power of two
+        parts = -(-some // most)
+        for part in range(parts):
+            here = placed.where((F.col("half") == size) & (F.pmod("at", F.lit(parts)) == part))
+            own = df.join(found.join(here.select("at"), "at", "left_semi").select("term").distinct(), "term").collect()
+            chosen = sorted(((r["doc_id"], r["text"]) for r in here.collect()), key=lambda x: (x[0] is None, x[0], x[1]))
+            if chosen:
+                yield build(chosen, {r["term"]: r["df"] for r in own}, n, mean, size)
+
+
+def passes(items: DataFrame) -> Iterator[list[Index]]:
+    """``AT_ONCE`` indexes at a time."""
+    rest = indexes(items)
+    while group := list(itertools.islice(rest, AT_ONCE)):
+        yield group
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
@@ -322,8 +335,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     See ``TYPES``.
     """
     rows, found = texts(docs), None
-    for index in indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for group in passes(items):
+        shared = docs.sparkSession.sparkContext.broadcast(group)
         part = rows.mapInArrow(_searcher(shared, threshold, overlap), TYPES)
         found = part if found is None else found.unionByName(part)
     if found is None:
@@ -333,13 +346,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
 def _searcher(shared, threshold: float, overlap: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for whole in batches:
             for batch in chunks(whole):
-                hits = leaks(batch, index, threshold, overlap)
+                hits = [(row, index.items[i], *rest) for index in shared.value for row, i, *rest in leaks(batch, index, threshold, overlap)]
                 row, item, *rest = zip(*hits) if hits else [()] * 6
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array([index.items[i] for i in item], pa.int64())]
+                    [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(item, pa.int64())]
                     + [pa.array(c, pa.float64()) for c in rest[:3]]
                     + [pa.array(rest[3], pa.int64())],
                     ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"],
@@ -353,14 +365,15 @@ def remove_leaks(
 ) -> DataFrame:
     """The input rows that hold no item, with their columns as they were; no shuffle."""
     schema = docs.schema
-    for index in indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for group in passes(items):
+        shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in chunks(whole, text_col):
                     keep = np.ones(batch.num_rows, bool)
-                    keep[[h[0] for h in leaks(batch, shared.value, threshold, overlap, text_col)]] = False
+                    for index in shared.value:
+                        keep[[h[0] for h in leaks(batch, index, threshold, overlap, text_col)]] = False
                     yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, schema)

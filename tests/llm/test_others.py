@@ -208,7 +208,7 @@ def test_block_max_wand_is_exhaustive():
     vocabulary = [f"t{i}" for i in range(60)]
     items = [(i, " ".join(r.choice(vocabulary[: 10 + i % 50]) for _ in range(r.randint(1, 30)))) for i in range(80)]
     df = collections.Counter(int(h) for _, t in items for h in set(decontamination.signed(decontamination.hashed_words(pa.array([t]))[0]).tolist()))
-    index = decontamination.build(items, df, len(items), 15.0)
+    index = decontamination.build(items, df, len(items), 15.0, 64)
     dense = np.zeros((len(index.terms), len(items)))
     for t in range(len(index.terms)):
         span = slice(index.begin[t], index.begin[t + 1])
@@ -253,6 +253,82 @@ def test_decontamination(spark, monkeypatch):
     assert decontamination.remove_leaks(fixtures.empty(spark), bench).count() == 0
 
 
+def word_edits(part, text):
+    """Least edits between ``part`` and any stretch of ``text``, by the textbook's table."""
+    row = [0] * (len(text) + 1)
+    for i, w in enumerate(part, 1):
+        below = [i]
+        for j, x in enumerate(text, 1):
+            below.append(min(row[j] + 1, below[j - 1] + 1, row[j - 1] + (w != x)))
+        row = below
+    return min(row)
+
+
+def brute_leaks(docs, items, threshold=0.5, overlap=0.8):
+    """BM25 shares, overlaps and edits of every item against every passage."""
+    known = [(i, t, words(t)) for i, t in items if t is not None and words(t)]
+    n, mean = len(items), sum(len(w) for _, _, w in known) / len(known)
+    df = collections.Counter(x for _, _, w in known for x in set(w))
+    out = {}
+    for i, text, w in known:
+        tf = collections.Counter(w)
+        impact = {x: np.log1p((n - df[x] + 0.5) / (df[x] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, c in tf.items()}
+        total, half = sum(impact.values()), 64
+        while half < len(w):
+            half *= 2
+        parts = [words(p) for p in decontamination.question_and_answer(text)]
+        for row, (d, doc) in enumerate(docs):
+            own = words(doc or "")
+            for a in range(0, max(len(own), 1), half):
+                passage = own[a : a + 2 * half]
+                score = sum(impact[x] for x in set(passage) if x in impact) / total
+                shares = []
+                for p in parts:
+                    k = min(5, len(p))
+                    grams = {tuple(p[j : j + k]) for j in range(len(p) - k + 1)}
+                    held = {tuple(passage[j : j + k]) for j in range(len(passage) - k + 1)}
+                    shares.append(max(len(grams & held) / len(grams), 1 - word_edits(p, passage) / len(p)))
+                leak = score >= threshold - 1e-9 and min(shares) >= overlap
+                if not leak and len(w) * (1 - overlap) >= 1 - 1e-9 and word_edits(w, passage) <= 1:
+                    # A part's only word may be replaced, not left out.
+                    shorter = [w[:j] + w[j + 1 :] for j in range(len(w))]
+                    inside = lambda x: any(passage[j : j + len(x)] == x for j in range(len(passage) - len(x) + 1))
+                    only_left_out = min(map(len, parts)) == 1 and any(map(inside, shorter))
+                    swapped = any(sum(x != y for x, y in zip(w, passage[j : j + len(w)])) <= 1 for j in range(len(passage) - len(w) + 1))
+                    put_in = any(inside(w[:j] + [passage[m]] + w[j:]) for j in range(1, len(w)) for m in range(len(passage)))
+                    leak = not only_left_out or swapped or put_in
+                if leak and score > out.get((d, i), (-1,))[0]:
+                    out[d, i] = (score, a)
+    return out
+
+
+def test_decontamination_against_brute_force(spark, monkeypatch):
+    """Long and short items, whole and changed, in parts of any size: the same rows."""
+    r = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(150)]
+
+    def prose(n):
+        return " ".join(r.choice(vocabulary) for _ in range(n))
+
+    items = [(i, f"{prose(r.randint(2, 25))}. {prose(r.randint(1, 9))}.") for i in range(12)] + [(12, f"{prose(70)}. {prose(10)}."), (13, None)]
+    docs = [(i, prose(r.randint(0, 150))) for i in range(6)]
+    for i, t in items[:13]:
+        for edits in (0, 1, 3):
+            w = t.split()
+            for _ in range(edits):
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+            docs.append((100 * (i + 1) + edits, f"{prose(r.randint(0, 70))} {' '.join(w)} {prose(r.randint(0, 70))}"))
+    want = brute_leaks(docs, items)
+    assert len(want) > 13
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for most, at_once in ((10_000, 8), (3, 2)):
+        monkeypatch.setattr(decontamination.indexes, "__defaults__", (most,))
+        monkeypatch.setattr(decontamination, "AT_ONCE", at_once)
+        got = {(x["doc_id"], x["item_id"]): x for x in decontamination.find_leaks(fixtures.table(spark, docs), bench).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k]["score"] - v[0]) < 1e-6 for k, v in want.items())
+
+
 def test_items_with_one_word_changed_are_leaks():
     r = random.Random(9)
     vocabulary = [f"v{i}" for i in range(400)]
@@ -262,7 +338,7 @@ def test_items_with_one_word_changed_are_leaks():
 
     items = [(i, f"{prose(4 + i)}. {prose(1 + i % 7)}.") for i in range(28)] + [(28, f"{prose(9)}. {prose(6)}. . ."), (29, prose(5))]
     df = collections.Counter(w for _, t in items for w in set(decontamination.signed(decontamination.hashed_words(pa.array([t]))[0]).tolist()))
-    index = decontamination.build(items, df, len(items), 20.0)
+    index = decontamination.build(items, df, len(items), 20.0, 64)
     docs, want = [], set()
     for i, text in items:
         plain = words(text)
