@@ -201,6 +201,25 @@ def test_jaccard_join(spark, monkeypatch, near, block, rule):
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(d for d, v in brute_join(rows, rule).items() if v[1] == d)
 
 
+def test_position_blocks_skip_what_cannot_link():
+    r = np.random.default_rng(2)
+    rule = jaccard_join.Rule(3, 90)
+    n = r.integers(5, 80, 600)
+    rows = sorted((int(t), int(x), int(r.integers(0, rule.prefix(x)))) for t, x in zip(r.integers(0, 4, 600), n))
+    token, n, pos = (np.array(c) for c in zip(*rows))
+    want = set()
+    for i in range(600):
+        for j in range(i + 1, 600):
+            bound = min(pos[i], pos[j]) + 1 + min(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
+            if token[i] == token[j] and 100 * n[i] >= 90 * n[j] and bound >= rule.overlap(n[i], n[j]):
+                want.add((i, j))
+    got = [(i, j) for a, b in jaccard_join.unskipped(token, n, pos, rule, 0, most=50) for i, j in zip(a.tolist(), b.tolist())]
+    assert set(got) == want and len(got) == len(want)
+    in_size = sum(int(token[i] == token[j] and 100 * n[i] >= 90 * n[j]) for i in range(600) for j in range(i + 1, 600))
+    assert len(got) < 0.9 * in_size  # so many pairs that the lists' order by size alone leaves
+    assert {p for p in got if p[1] >= 300} == {(i, j) for a, b in jaccard_join.unskipped(token, n, pos, rule, 300) for i, j in zip(a.tolist(), b.tolist())}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
