@@ -52,13 +52,19 @@ def seed_groups(rows: DataFrame, owner: str, order: list[str], similar, group: s
     item = F.struct(*columns)
     held = rows.groupBy(owner).agg(F.array_sort(F.collect_list(item)).alias("items"))
     kind = rows.select(item.alias("item")).schema["item"].dataType.simpleString()
-    start = F.from_json(F.lit("[]"), f"array<struct<item: {kind}, seed: {kind}>>")
+    start = F.struct(F.from_json(F.lit("[]"), f"array<{kind}>").alias("seeds"), F.array().cast("array<int>").alias("of"))
 
     def step(done: Column, row: Column) -> Column:
-        seeds = F.array_distinct(F.transform(done, lambda d: d["seed"]))
-        found = F.filter(seeds, lambda s: similar(row, s))
-        seed = F.when(F.size(found) > 0, found[0]).otherwise(row)
-        return F.concat(done, F.array(F.struct(row.alias("item"), seed.alias("seed"))))
-
-    folded = held.select(owner, F.explode(F.aggregate("items", start, step)).alias("d"))
-    return folded.select(owner, "d.item.*", F.col(f"d.seed.{order[0]}").alias(group))
+        found = F.array_position(F.transform(done["seeds"], lambda s: similar(row, s)), True).cast("int")
+        new = found == 0
+        return F.struct(
+            F.when(new, F.concat(done["seeds"], F.array(row))).otherwise(done["seeds"]).alias("seeds"),
+            F.concat(done["of"], F.array(F.when(new, F.size(done["seeds"]) + 1).otherwise(found))).alias("of"),
+        )
+
+    def finish(done: Column) -> Column:
+        return F.transform(done["of"], lambda i: F.element_at(done["seeds"], i)[order[0]])
+
+    folded = held.withColumn("of", F.aggregate("items", start, step, finish))
+    pairs = folded.select(owner, F.explode(F.arrays_zip("items", "of")).alias("d"))
+    return pairs.select(owner, "d.items.*", F.col("d.of").alias(group))

@@ -47,40 +47,10 @@ def jn_alias_canonical(t: Tables) -> DataFrame:
     return mt.canonical(t.part.select("p_partkey", "p_name"), "p_name", aliases).select("p_partkey", "canonical")
 
 
-NAMES = "names AS (SELECT p_name AS name, min(p_partkey) AS ordinal FROM part GROUP BY p_name)"
-
-
 def names(t: Tables) -> DataFrame:
     return t.part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ordinal"))
 
 
-def word_pairs(t: Tables) -> DataFrame:
-    """Pairs of different names with a common word."""
-    n = names(t).withColumn("words", F.split("name", " "))
-    a = n.select(F.col("name").alias("a"), F.col("ordinal").alias("a_ordinal"), F.col("words").alias("wa"))
-    b = n.select(F.col("name").alias("b"), F.col("ordinal").alias("b_ordinal"), F.col("words").alias("wb"))
-    pairs = mt.share_a_word(a, b, "wa", "wb", ["a", "a_ordinal", "b", "b_ordinal"])
-    return pairs.where("a <> b")
-
-
-@query(
-    "jn_skill_theta",
-    f"WITH {NAMES} SELECT x.name AS a, y.name AS b FROM names x JOIN names y ON x.name <> y.name AND len(list_intersect(string_split(x.name, ' '), string_split(y.name, ' '))) > 0",
-)
-def jn_skill_theta(t: Tables) -> DataFrame:
-    return word_pairs(t).select("a", "b")
-
-
-@query(
-    "jn_best_skill",
-    f"""WITH {NAMES}, p AS (SELECT x.name AS a, y.name AS b, y.ordinal, CASE WHEN string_split(x.name, ' ')[2] = string_split(y.name, ' ')[2] THEN 0 ELSE 1 END AS class FROM names x JOIN names y ON x.name <> y.name AND len(list_intersect(string_split(x.name, ' '), string_split(y.name, ' '))) > 0)
-    SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY class, ordinal) = 1""",
-)
-def jn_best_skill(t: Tables) -> DataFrame:
-    same = F.split("a", " ")[1] == F.split("b", " ")[1]
-    return mt.first_match(word_pairs(t), ["a"], [F.when(same, 0).otherwise(1), F.col("b_ordinal")]).select("a", "b")
-
-
 # A requirement: a brand that the next owner has used most.
 REQUIREMENTS = f"""{NODES}, reqs AS (SELECT owner - 1 AS owner, node AS keyword, row_number() OVER (PARTITION BY owner ORDER BY total_months DESC, node) AS req FROM nodes QUALIFY req <= 5)"""
 
@@ -90,80 +60,6 @@ def requirements(t: Tables) -> DataFrame:
     return top.select((F.col("owner") - 1).alias("owner"), F.col("node").alias("keyword"), F.col("place").cast("long").alias("req"))
 
 
-STRENGTH = "n_roles + CASE WHEN has_impact THEN 2 ELSE 0 END"
-
-
-@query(
-    "jn_requirement_node",
-    f"WITH {REQUIREMENTS} SELECT r.owner, req, keyword, coalesce({STRENGTH}, 0) AS strength FROM reqs r LEFT JOIN nodes n ON n.owner = r.owner AND n.node = r.keyword WHERE r.owner >= 0",
-)
-def jn_requirement_node(t: Tables) -> DataFrame:
-    n = nodes(t).select("owner", F.col("node").alias("keyword"), (F.col("n_roles") + F.when(F.col("has_impact"), 2).otherwise(0)).alias("s"))
-    joined = requirements(t).where("owner >= 0").join(n, ["owner", "keyword"], "left")
-    return joined.select("owner", "req", "keyword", F.coalesce("s", F.lit(0)).alias("strength"))
-
-
-@query(
-    "jn_adjacent",
-    f"""WITH {REQUIREMENTS}, missing AS (SELECT * FROM reqs r WHERE owner >= 0 AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.owner = r.owner AND n.node = r.keyword))
-    SELECT m.owner, req, min(node) AS adjacent FROM missing m JOIN nodes n ON n.owner = m.owner AND left(n.node, 7) = left(m.keyword, 7) GROUP BY m.owner, req""",
-)
-def jn_adjacent(t: Tables) -> DataFrame:
-    """For requirements without a node: the first node whose name begins alike."""
-    n = nodes(t).select("owner", "node")
-    direct = n.withColumnRenamed("node", "keyword")
-    missing = requirements(t).where("owner >= 0").join(direct, ["owner", "keyword"], "left_anti")
-    stem = missing.withColumn("stem", F.left("keyword", F.lit(7)))
-    near = stem.join(n.withColumn("stem", F.left("node", F.lit(7))), ["owner", "stem"])
-    return near.groupBy("owner", "req").agg(F.min("node").alias("adjacent"))
-
-
-@query(
-    "jn_tech_node",
-    f"WITH {EVIDENCE} SELECT s.c_custkey AS owner, min(e.node) AS first_node FROM customer s LEFT JOIN evidence e ON e.owner = s.c_custkey AND e.domain = 'PROMO' GROUP BY s.c_custkey",
-)
-def jn_tech_node(t: Tables) -> DataFrame:
-    promo = evidence(t).where("domain = 'PROMO'").groupBy("owner").agg(F.min("node").alias("first_node"))
-    return t.customer.select(F.col("c_custkey").alias("owner")).join(promo, "owner", "left")
-
-
-@query(
-    "jn_eligibility_semi",
-    "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AS urgent, c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 480000) AS large FROM customer",
-)
-def jn_eligibility_semi(t: Tables) -> DataFrame:
-    flags = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("u"), F.bool_or(F.col("o_totalprice") > 480000).alias("l")
-    )
-    no = F.lit(False)
-    return t.customer.join(flags, "c_custkey", "left").select("c_custkey", F.coalesce("u", no).alias("urgent"), F.coalesce("l", no).alias("large"))
-
-
-@query("jn_domain_overlap", f"WITH {EVIDENCE} SELECT DISTINCT owner, domain FROM evidence e WHERE EXISTS (SELECT 1 FROM evidence o WHERE o.owner = e.owner + 1 AND o.domain = e.domain)")
-def jn_domain_overlap(t: Tables) -> DataFrame:
-    d = evidence(t).select("owner", "domain").distinct()
-    return d.join(d.select((F.col("owner") - 1).alias("owner"), "domain"), ["owner", "domain"], "left_semi")
-
-
-@query(
-    "jn_company_match",
-    f"WITH {NAMES} SELECT x.name AS a, y.name AS b FROM names x JOIN names y ON x.name < y.name AND len(list_intersect(string_split(x.name, ' '), string_split(y.name, ' '))) / len(list_distinct(list_concat(string_split(x.name, ' '), string_split(y.name, ' ')))) >= 0.3",
-)
-def jn_company_match(t: Tables) -> DataFrame:
-    share = F.col("n_shared") / F.size(F.array_union(F.split("a", " "), F.split("b", " ")))
-    return word_pairs(t).where((F.col("a") < F.col("b")) & (share >= 0.3)).select("a", "b")
-
-
-@query("jn_title_synonym", f"WITH {NAMES} SELECT x.name AS a, y.name AS b FROM names x JOIN names y ON x.name < y.name AND string_split(x.name, ' ')[2] = string_split(y.name, ' ')[2]")
-def jn_title_synonym(t: Tables) -> DataFrame:
-    n = names(t).select("name", F.split("name", " ")[1].alias("noun"))
-    return n.select(F.col("name").alias("a"), "noun").join(n.select(F.col("name").alias("b"), "noun"), "noun").where("a < b").select("a", "b")
-
-
-OVERLAPS = """o AS (SELECT a.owner, a.ordinal AS a, b.ordinal AS b, least(a.end_m, b.end_m) - greatest(a.start_m, b.start_m) AS shared
-    FROM roles a JOIN roles b ON a.owner = b.owner AND a.ordinal < b.ordinal AND a.start_m < b.end_m AND b.start_m < a.end_m)"""
-
-
 def overlaps(t: Tables) -> DataFrame:
     r = roles(t)
     a = r.select("owner", F.col("ordinal").alias("a"), F.col("start_m").alias("a_start"), F.col("end_m").alias("a_end"), F.col("source").alias("a_source"))
@@ -172,123 +68,6 @@ def overlaps(t: Tables) -> DataFrame:
     return mt.overlapping(a, b, "owner").where("a < b").withColumn("shared", shared)
 
 
-@query("jn_interval_overlap", f"WITH {ROLES}, {OVERLAPS} SELECT owner, a, b, shared FROM o")
-def jn_interval_overlap(t: Tables) -> DataFrame:
-    return overlaps(t).select("owner", "a", "b", "shared")
-
-
-@query(
-    "jn_cross_doc_roles",
-    f"WITH {ROLES}, {OVERLAPS} SELECT o.owner, a, b FROM o JOIN roles x ON x.ordinal = a JOIN roles y ON y.ordinal = b WHERE x.source <> y.source",
-)
-def jn_cross_doc_roles(t: Tables) -> DataFrame:
-    return overlaps(t).where("a_source <> b_source").select("owner", "a", "b")
-
-
-@query("jn_greedy_group")
-def jn_greedy_group(t: Tables) -> DataFrame:
-    """Roles of one owner, in the order of their start, grouped with the first seed that starts within a year."""
-    r = roles(t).select("owner", "start_m", "ordinal", "source")
-    near = mt.seed_groups(r, "owner", ["start_m", "ordinal"], lambda row, s: (row["start_m"] - s["start_m"] <= 12) & (row["source"] == s["source"]))
-    return near.select("owner", "ordinal", F.col("seed").alias("seed_start"))
-
-
-@query("jn_merge_group")
-def jn_merge_group(t: Tables) -> DataFrame:
-    r = roles(t).select("owner", "start_m", "ordinal", "end_m")
-
-    def similar(row, s):
-        shared = F.least(row["end_m"], s["end_m"]) - F.greatest(row["start_m"], s["start_m"])
-        shorter = F.least(row["end_m"] - row["start_m"], s["end_m"] - s["start_m"])
-        return (shared > 0) & (shared >= 0.3 * shorter)
-
-    return mt.seed_groups(r, "owner", ["start_m", "ordinal"], similar).select("owner", "ordinal", F.col("seed").alias("seed_start"))
-
-
-@query("jn_share_context", f"WITH {NAMES} SELECT x.name AS a, y.name AS b FROM names x JOIN names y ON x.name < y.name AND len(list_filter(list_intersect(string_split(x.name, ' '), string_split(y.name, ' ')), lambda w: length(w) >= 4)) >= 1")
-def jn_share_context(t: Tables) -> DataFrame:
-    common = F.filter(F.array_intersect(F.split("a", " "), F.split("b", " ")), lambda w: F.length(w) >= 4)
-    return word_pairs(t).where((F.col("a") < F.col("b")) & (F.size(common) >= 1)).select("a", "b")
-
-
-@query("jn_best_overlap", f"WITH {ROLES}, {OVERLAPS} SELECT owner, a, b, shared FROM o QUALIFY row_number() OVER (PARTITION BY a ORDER BY shared DESC, b) = 1")
-def jn_best_overlap(t: Tables) -> DataFrame:
-    return mt.first_match(overlaps(t), ["a"], [F.desc("shared"), F.col("b")]).select("owner", "a", "b", "shared")
-
-
-@query(
-    "jn_correction_period",
-    f"WITH {ROLES}, fixes AS (SELECT c_custkey AS owner, 1996 * 12 AS p0, 1999 * 12 AS p1, c_mktsegment AS fix FROM customer WHERE c_custkey % 10 = 0) SELECT r.owner, ordinal, coalesce(fix, title) AS title FROM roles r LEFT JOIN fixes f ON f.owner = r.owner AND start_m >= p0 AND start_m < p1",
-)
-def jn_correction_period(t: Tables) -> DataFrame:
-    fixes = t.customer.where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("owner"), F.lit(1996 * 12).alias("p0"), F.lit(1999 * 12).alias("p1"), F.col("c_mktsegment").alias("fix"))
-    r = roles(t).join(fixes, "owner", "left")
-    inside = (F.col("start_m") >= F.col("p0")) & (F.col("start_m") < F.col("p1"))
-    return r.select("owner", "ordinal", F.coalesce(F.when(inside, F.col("fix")), F.col("title")).alias("title"))
-
-
-@query(
-    "jn_cert_attach",
-    "SELECT s_suppkey, coalesce(min(p_partkey) FILTER (p_size = s_suppkey % 50), min(p_partkey)) AS node FROM supplier JOIN part ON p_partkey % 100 = s_suppkey % 100 GROUP BY s_suppkey",
-)
-def jn_cert_attach(t: Tables) -> DataFrame:
-    """A certificate goes to its exact node, else to the first of its block."""
-    block = t.supplier.select("s_suppkey", (F.col("s_suppkey") % 100).alias("k")).join(t.part.withColumn("k", F.col("p_partkey") % 100), "k")
-    exact = F.min(F.when(F.col("p_size") == F.col("s_suppkey") % 50, F.col("p_partkey")))
-    return block.groupBy("s_suppkey").agg(F.coalesce(exact, F.min("p_partkey")).alias("node"))
-
-
-@query("jn_post_dedup", "SELECT upper(left(p_name, 1)) || upper(regexp_extract(p_name, ' (.)', 1)) AS k, arg_max(p_name, length(p_name) * 100000 - p_partkey) AS name, count(*) AS n FROM part GROUP BY k")
-def jn_post_dedup(t: Tables) -> DataFrame:
-    k = F.concat(F.upper(F.left("p_name", F.lit(1))), F.upper(F.regexp_extract("p_name", " (.)", 1)))
-    return t.part.groupBy(k.alias("k")).agg(
-        F.max_by("p_name", F.struct(F.length("p_name"), -F.col("p_partkey"))).alias("name"), F.count(F.lit(1)).alias("n")
-    )
-
-
-@query("jn_evidence_link", f"WITH {EVIDENCE} SELECT owner, role_id, count(DISTINCT node) AS n_linked FROM evidence GROUP BY owner, role_id")
-def jn_evidence_link(t: Tables) -> DataFrame:
-    return evidence(t).groupBy("owner", "role_id").agg(F.countDistinct("node").alias("n_linked"))
-
-
-@query(
-    "jn_metric_attach",
-    f"""WITH {EVIDENCE}, f AS (SELECT role_id, min(node) AS fallback FROM evidence GROUP BY role_id) SELECT o_orderkey, coalesce(min(e.node) FILTER (impact), min(fallback)) AS node FROM orders JOIN f ON f.role_id = o_orderkey JOIN evidence e ON e.role_id = o_orderkey GROUP BY o_orderkey""",
-)
-def jn_metric_attach(t: Tables) -> DataFrame:
-    node = F.coalesce(F.min(F.when(F.col("impact"), F.col("node"))), F.min("node"))
-    return evidence(t).groupBy(F.col("role_id").alias("o_orderkey")).agg(node.alias("node"))
-
-
-@query(
-    "jn_socratic_carry",
-    f"WITH {NODES} SELECT c_custkey AS owner, CASE WHEN count(n.node) > 0 THEN min(n.node) ELSE 'orphan' END AS target FROM customer LEFT JOIN nodes n ON n.owner = c_custkey AND n.node = 'Brand#' || (c_custkey % 25 + 1) GROUP BY c_custkey",
-)
-def jn_socratic_carry(t: Tables) -> DataFrame:
-    asked = t.customer.select(F.col("c_custkey").alias("owner"), F.concat(F.lit("Brand#"), (F.col("c_custkey") % 25 + 1).cast("string")).alias("node"))
-    found = asked.join(nodes(t).select("owner", "node", F.lit(True).alias("there")), ["owner", "node"], "left")
-    return found.select("owner", F.when(F.col("there"), F.col("node")).otherwise("orphan").alias("target"))
-
-
-@query("jn_feedback_node", "SELECT event_id, n_name FROM events JOIN nation ON n_nationkey = user_id % 50 WHERE event_type = 'signup'")
-def jn_feedback_node(t: Tables) -> DataFrame:
-    signal = t.events.where("event_type = 'signup'").withColumn("n_nationkey", F.col("user_id") % 50)
-    return signal.join(F.broadcast(t.nation), "n_nationkey").select("event_id", "n_name")
-
-
-@query("jn_outcome_fallback", f"WITH {NODES} SELECT owner, CASE WHEN bool_or(has_validation) THEN min(node) FILTER (has_validation) ELSE min(node) FILTER (NOT has_validation) END AS node FROM nodes GROUP BY owner")
-def jn_outcome_fallback(t: Tables) -> DataFrame:
-    good = F.min(F.when(F.col("has_validation"), F.col("node")))
-    return nodes(t).groupBy("owner").agg(F.coalesce(good, F.min("node")).alias("node"))
-
-
-@query("jn_same_company", "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey AND regexp_replace(a.s_name, '[0-9#]+', '') = regexp_replace(b.s_name, '[0-9#]+', '')")
-def jn_same_company(t: Tables) -> DataFrame:
-    s = t.supplier.select("s_suppkey", "s_nationkey", F.regexp_replace("s_name", "[0-9#]+", "").alias("core"))
-    pairs = s.withColumnRenamed("s_suppkey", "a").join(s.withColumnRenamed("s_suppkey", "b"), ["s_nationkey", "core"])
-    return pairs.where("a < b").select("a", "b")
-
-
 @query(
     "jn_jd_similarity",
     f"""WITH w AS (SELECT item_id, {SIGNIFICANT.format('text')} AS k FROM benchmark), p AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.k, b.k)) / least(len(a.k), len(b.k)) AS s FROM w a JOIN w b ON a.item_id <> b.item_id AND len(list_intersect(a.k, b.k)) > 0)
@@ -310,16 +89,6 @@ def jn_industry_block(t: Tables) -> DataFrame:
     return joined.select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_suppliers"), F.when(F.col("n").isNull(), "unknown").otherwise("matched").alias("block"))
 
 
-@query(
-    "jn_rank_candidates",
-    "SELECT c_custkey, s_suppkey, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) AS place FROM customer JOIN supplier ON s_nationkey = c_nationkey",
-)
-def jn_rank_candidates(t: Tables) -> DataFrame:
-    both = t.customer.join(t.supplier, F.col("s_nationkey") == F.col("c_nationkey"))
-    w = Window.partitionBy("c_custkey").orderBy(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), "s_suppkey")
-    return both.select("c_custkey", "s_suppkey", F.row_number().over(w).cast("long").alias("place"))
-
-
 @query(
     "jn_greedy_one_to_one",
     "WITH c AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i FROM customer), s AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier) SELECT c_custkey, s_suppkey FROM c JOIN s ON s_nationkey = c_nationkey AND s.i = c.i",
@@ -330,38 +99,11 @@ def jn_greedy_one_to_one(t: Tables) -> DataFrame:
     return c.join(s, ["nation", "i"]).select("c_custkey", "s_suppkey")
 
 
-@query("jn_anti_fabricated", f"WITH {REQUIREMENTS} SELECT owner, keyword FROM reqs r WHERE owner >= 0 AND NOT EXISTS (SELECT 1 FROM nodes n WHERE n.owner = r.owner AND n.node = r.keyword)")
-def jn_anti_fabricated(t: Tables) -> DataFrame:
-    have = nodes(t).select("owner", F.col("node").alias("keyword"))
-    return requirements(t).where("owner >= 0").join(have, ["owner", "keyword"], "left_anti").select("owner", "keyword")
-
-
-@query("jn_semi_recall", f"WITH {REQUIREMENTS}, h AS (SELECT r.owner, EXISTS (SELECT 1 FROM nodes n WHERE n.owner = r.owner AND n.node = r.keyword) AS hit FROM reqs r WHERE owner >= 0) SELECT owner, round(avg(CAST(hit AS INT)), 6) AS recall FROM h GROUP BY owner")
-def jn_semi_recall(t: Tables) -> DataFrame:
-    have = nodes(t).select("owner", F.col("node").alias("keyword"), F.lit(1).alias("hit"))
-    r = requirements(t).where("owner >= 0").join(have, ["owner", "keyword"], "left")
-    return r.groupBy("owner").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
-
-
 # Our own rules: who has the first brand would be expected to have the second.
 EXPECTED = [("Brand#1", "Brand#2"), ("Brand#3", "Brand#4"), ("Brand#5", "Brand#6")]
 EXPECTED_SQL = "expected(node, want) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in EXPECTED) + ")"
 
 
-@query("jn_anti_gap_expected", f"WITH {NODES}, {EXPECTED_SQL} SELECT n.owner, want FROM nodes n JOIN expected e ON e.node = n.node WHERE NOT EXISTS (SELECT 1 FROM nodes m WHERE m.owner = n.owner AND m.node = want)")
-def jn_anti_gap_expected(t: Tables) -> DataFrame:
-    rules = F.broadcast(t.spark.createDataFrame(EXPECTED, "node string, want string"))
-    n = nodes(t).select("owner", "node")
-    return n.join(rules, "node").join(n.withColumnRenamed("node", "want"), ["owner", "want"], "left_anti").select("owner", "want")
-
-
-@query("jn_role_implied", f"WITH {ROLES}, {EVIDENCE} SELECT DISTINCT r.owner, 'Brand#1' AS implied FROM roles r WHERE title = '1-URGENT' AND NOT EXISTS (SELECT 1 FROM evidence e WHERE e.owner = r.owner AND e.node = 'Brand#1')")
-def jn_role_implied(t: Tables) -> DataFrame:
-    urgent = roles(t).where("title = '1-URGENT'").select("owner").distinct()
-    have = evidence(t).where("node = 'Brand#1'").select("owner")
-    return urgent.join(have, "owner", "left_anti").select("owner", F.lit("Brand#1").alias("implied"))
-
-
 @query("jn_contradiction_pairs", "SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND a.o_orderkey < b.o_orderkey AND a.o_orderstatus <> b.o_orderstatus")
 def jn_contradiction_pairs(t: Tables) -> DataFrame:
     o = t.orders.select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus")
@@ -370,18 +112,6 @@ def jn_contradiction_pairs(t: Tables) -> DataFrame:
     return pairs.where("a < b AND o_orderstatus <> other").select("a", "b")
 
 
-@query("jn_licensing", "SELECT c_custkey, coalesce(s.rule, 'no rule known') AS rule FROM customer LEFT JOIN (SELECT n_nationkey, 'register in ' || n_name AS rule FROM nation WHERE n_regionkey = 1) s ON n_nationkey = c_nationkey")
-def jn_licensing(t: Tables) -> DataFrame:
-    rules = t.nation.where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"), F.concat(F.lit("register in "), "n_name").alias("rule"))
-    return t.customer.join(F.broadcast(rules), "c_nationkey", "left").select("c_custkey", F.coalesce("rule", F.lit("no rule known")).alias("rule"))
-
-
-@query("jn_outcome_context", "SELECT user_id, event_id FROM events WHERE event_type IN ('purchase', 'signup') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10")
-def jn_outcome_context(t: Tables) -> DataFrame:
-    wanted = t.events.where(F.col("event_type").isin("purchase", "signup"))
-    return ev.top_k(wanted, ["user_id"], [F.desc("ts"), F.desc("event_id")], 10).select("user_id", "event_id")
-
-
 # --- merges ---
 
 
