@@ -66,6 +66,14 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    size = F.size(tokens)
-    at = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.slice(tokens, i, n))))
+    """Distinct runs of n tokens.
+
+    The tokens are bound once, as the one element that the outer step maps; named in the inner step, they would be
+    computed anew for each run.
+    """
+
+    def runs(bound: Column) -> Column:
+        at = F.when(F.size(bound) >= n, F.sequence(F.lit(1), F.size(bound) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(bound, i, n), " ")))
+
+    return F.flatten(F.transform(F.array(tokens), runs))

@@ -760,22 +760,6 @@ def agg_industry_argmax(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", label.alias("industry"))
 
 
-@query(
-    "agg_failure_breakdown",
-    """WITH c AS (SELECT role, CAST(length(text) >= 20 AS INT) AS long_enough, CAST(turn > 0 AS INT) AS later FROM conversations)
-    SELECT role, count(*) AS n, count(*) FILTER (long_enough = 0) AS short_fails, round(avg(long_enough), 6) AS pass_rate, round(avg(later), 6) AS later_rate FROM c GROUP BY GROUPING SETS ((role), ())""",
-)
-def agg_failure_breakdown(t: Tables) -> DataFrame:
-    ok, later = (F.length("text") >= 20).cast("int"), (F.col("turn") > 0).cast("int")
-    c = t.conversations.select("role", ok.alias("ok"), later.alias("later"))
-    return c.rollup("role").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("ok") == 0).alias("short_fails"),
-        F.round(F.avg("ok"), 6).alias("pass_rate"),
-        F.round(F.avg("later"), 6).alias("later_rate"),
-    )
-
-
 @query(
     "agg_achievements",
     f"WITH {EVIDENCE} SELECT owner, role_id, node, line FROM evidence WHERE impact AND validated",

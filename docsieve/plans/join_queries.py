@@ -234,18 +234,6 @@ def agg_clean_report(t: Tables) -> DataFrame:
     return lines(t).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_before"), F.count_if(F.length(F.trim("line")) >= 15).alias("n_after"))
 
 
-@query(
-    "agg_grounding_report",
-    "SELECT b.item_id, count(d.doc_id) AS n_grounded, count(d.doc_id) > 0 AS grounded FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id",
-)
-def agg_grounding_report(t: Tables) -> DataFrame:
-    from docsieve.plans.text_queries import fn_field_exists
-
-    hits = fn_field_exists(t).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return t.benchmark.select("item_id").join(hits, "item_id", "left").select("item_id", n.alias("n_grounded"), (n > 0).alias("grounded"))
-
-
 # --- scorecards: long tables of checks, with gates ---
 
 CHECKS = f"""checks AS (
@@ -272,25 +260,6 @@ def scorecard(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.inline(checks))
 
 
-@query("sc_cv_scorecard", f"WITH {CHECKS} SELECT doc_id, check_name, round(score, 6) AS score, passed FROM checks")
-def sc_cv_scorecard(t: Tables) -> DataFrame:
-    return scorecard(t).select("doc_id", "check_name", F.round("score", 6).alias("score"), "passed")
-
-
-@query("agg_gate_result", f"WITH {CHECKS} SELECT doc_id, bool_and(passed OR NOT hard) AND avg(score) FILTER (NOT hard) >= 0.5 AS passed, round(avg(score), 6) AS mean FROM checks GROUP BY doc_id")
-def agg_gate_result(t: Tables) -> DataFrame:
-    soft = F.avg(F.when(~F.col("hard"), F.col("score")))
-    return scorecard(t).groupBy("doc_id").agg(
-        (F.bool_and(F.col("passed") | ~F.col("hard")) & (soft >= 0.5)).alias("passed"), F.round(F.avg("score"), 6).alias("mean")
-    )
-
-
-@query("agg_scorecards", f"WITH {CHECKS}, d AS (SELECT doc_id, avg(CAST(passed AS INT)) >= 0.75 AS ok FROM checks GROUP BY doc_id) SELECT count(*) AS n, count(*) FILTER (ok) AS n_ok, avg(CAST(ok AS INT)) >= 0.7 AS passed FROM d")
-def agg_scorecards(t: Tables) -> DataFrame:
-    d = scorecard(t).groupBy("doc_id").agg((F.avg(F.col("passed").cast("int")) >= 0.75).alias("ok"))
-    return d.agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("n_ok"), (F.avg(F.col("ok").cast("int")) >= 0.7).alias("passed"))
-
-
 def _single(name: str, check: str) -> None:
     def build(t: Tables) -> DataFrame:
         return scorecard(t).where(F.col("check_name") == check).select("doc_id", F.round("score", 6).alias("score"), "passed")
@@ -302,44 +271,6 @@ for _name, _check in (("sc_word_count", "word_count"), ("sc_structure", "structu
     _single(_name, _check)
 
 
-@query(
-    "sc_compare",
-    f"WITH {CHECKS}, m AS (SELECT d.lang, avg(score) AS s FROM checks c JOIN documents d ON d.doc_id = c.doc_id GROUP BY d.lang) SELECT a.lang AS a, b.lang AS b, CASE WHEN a.s - b.s > 0.01 THEN 'a' WHEN b.s - a.s > 0.01 THEN 'b' ELSE 'tie' END AS winner FROM m a JOIN m b ON a.lang < b.lang",
-)
-def sc_compare(t: Tables) -> DataFrame:
-    """The few languages' mean scores against each other."""
-    m = scorecard(t).join(t.documents.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg("score").alias("s"))
-    a, b = m.select(F.col("lang").alias("a"), F.col("s").alias("sa")), m.select(F.col("lang").alias("b"), F.col("s").alias("sb"))
-    d = F.col("sa") - F.col("sb")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.when(d > 0.01, "a").when(d < -0.01, "b").otherwise("tie").alias("winner"))
-
-
-@query("sc_risk_tag", f"WITH {CHECKS} SELECT DISTINCT check_name, CASE check_name WHEN 'no_contacts' THEN 'high' WHEN 'structure' THEN 'low' ELSE 'medium' END AS risk FROM checks")
-def sc_risk_tag(t: Tables) -> DataFrame:
-    risks = F.broadcast(t.spark.createDataFrame([("no_contacts", "high"), ("structure", "low")], "check_name string, risk string"))
-    return scorecard(t).select("check_name").distinct().join(risks, "check_name", "left").select("check_name", F.coalesce("risk", F.lit("medium")).alias("risk"))
-
-
-@query("agg_baseline_report", f"WITH {CHECKS} SELECT check_name, round(avg(score), 6) AS mean, round(avg(CAST(passed AS INT)), 6) AS pass_rate FROM checks GROUP BY check_name")
-def agg_baseline_report(t: Tables) -> DataFrame:
-    return scorecard(t).groupBy("check_name").agg(F.round(F.avg("score"), 6).alias("mean"), F.round(F.avg(F.col("passed").cast("int")), 6).alias("pass_rate"))
-
-
-@query("sc_readiness", f"WITH {CHECKS} SELECT doc_id, coalesce(string_agg(check_name, ',' ORDER BY check_name) FILTER (NOT passed AND hard), '') AS blockers, coalesce(string_agg(check_name, ',' ORDER BY check_name) FILTER (NOT passed AND NOT hard), '') AS warnings FROM checks GROUP BY doc_id")
-def sc_readiness(t: Tables) -> DataFrame:
-    def failed(hard):
-        return F.concat_ws(",", F.sort_array(F.collect_list(F.when(~F.col("passed") & hard, F.col("check_name")))))
-
-    return scorecard(t).groupBy("doc_id").agg(failed(F.col("hard")).alias("blockers"), failed(~F.col("hard")).alias("warnings"))
-
-
-@query("sc_degrade", f"SELECT doc_id, {count_sql('[0-9]+')} AS n_before, len(regexp_extract_all(regexp_replace(text, '[0-9]', '', 'g'), '[0-9]+')) AS n_after FROM documents")
-def sc_degrade(t: Tables) -> DataFrame:
-    """Erasing digits must erase the metrics."""
-    erased = F.regexp_replace("text", "[0-9]", "")
-    return t.documents.select("doc_id", tx.count_of(F.col("text"), "[0-9]+").alias("n_before"), tx.count_of(erased, "[0-9]+").alias("n_after"))
-
-
 # --- state over time ---
 
 

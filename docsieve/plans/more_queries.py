@@ -15,7 +15,7 @@ from docsieve.plans.core_queries import POSITION
 from docsieve.plans.join_queries import CHECKS, REQUIREMENTS, requirements, scorecard
 from docsieve.plans.registry import EVIDENCE, LINES, NODES, ROLES, VERDICT, query
 from docsieve.plans.standins import evidence, lines, nodes, roles
-from docsieve.plans.text_queries import name_pairs, written_dates
+from docsieve.plans.text_queries import written_dates
 from docsieve.sources import tables as src
 from docsieve.sources.tables import Tables
 
@@ -206,18 +206,6 @@ def fn_preprocess(t: Tables) -> DataFrame:
 FIELDS = """fields AS (SELECT page_id, html, unnest(['title', 'lang', 'path']) AS field, unnest([regexp_extract(html, '<title>([^<]*)</title>', 1), regexp_extract(html, 'lang="([a-z]+)"', 1), regexp_extract(url, '/([^/?]*)[^/]*$', 1)]) AS value FROM pages)"""
 
 
-@query("fn_ground_document", f"WITH {FIELDS} SELECT page_id, field, length(value) < 3 OR contains(lower(html), lower(value)) AS grounded FROM fields")
-def fn_ground_document(t: Tables) -> DataFrame:
-    """Every field of a document and whether its source holds it; short values aren't judged."""
-    values = F.create_map(
-        F.lit("title"), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("lang"), F.regexp_extract("html", 'lang="([a-z]+)"', 1),
-        F.lit("path"), F.regexp_extract("url", "/([^/?]*)[^/]*$", 1),
-    )
-    fields = t.pages.select("page_id", "html", F.explode(values).alias("field", "value"))
-    grounded = (F.length("value") < 3) | F.contains(F.lower("html"), F.lower("value"))
-    return fields.select("page_id", "field", grounded.alias("grounded"))
-
-
 @query("fn_certificate", "SELECT doc_id, regexp_extract(text, '[Ll]icensed under (the )?([A-Z][A-Za-z -]+)', 2) AS certificate, regexp_matches(text, '[Ll]icensed') AND regexp_matches(text, '[Vv]ersion') AS certain FROM documents")
 def fn_certificate(t: Tables) -> DataFrame:
     certain = F.col("text").rlike("[Ll]icensed") & F.col("text").rlike("[Vv]ersion")
@@ -270,14 +258,6 @@ def fn_beta_inc(t: Tables) -> DataFrame:
     return s.select("user_id", F.round(stats.beta_under(F.lit(0.5), 1.0 + F.col("s"), 1.0 + F.col("n") - F.col("s")), 6).alias("under_half"))
 
 
-@query("fn_fuzzy_field")
-def fn_fuzzy_field(t: Tables) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    best = F.greatest(F.coalesce(tx.jaccard(tx.words(a), tx.words(b)), F.lit(0.0)), tx.similarity(a, b), stats.jaro_winkler_udf(a, b))
-    score = F.when(a == b, 1.0).when(a.contains(b) | b.contains(a), 0.9).otherwise(best)
-    return name_pairs(t).select("p_partkey", F.round(score, 6).alias("score"), (score >= 0.6).alias("passed"))
-
-
 # --- rules ---
 
 
@@ -420,32 +400,6 @@ def sc_adapters(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.count_if(role == "user").alias("n_asked"), F.count_if(role == "assistant").alias("n_answered"), F.bool_or(role == "system").alias("has_system"))
 
 
-TRIAL = """SELECT l.doc_id, l.quality, CAST(d.n_chars >= 300 AS INT) AS guess FROM labels l JOIN documents d ON d.doc_id = l.doc_id"""
-
-
-def trial(t: Tables) -> DataFrame:
-    """A plain guess at the quality label, to be scored."""
-    return t.labels.join(t.documents.select("doc_id", "n_chars", "lang"), "doc_id").withColumn("guess", (F.col("n_chars") >= 300).cast("int"))
-
-
-@query("sc_trial_arrays", f"WITH p AS ({TRIAL}) SELECT round(count(*) FILTER (quality = 1 AND guess = 1) / nullif(count(*) FILTER (guess = 1), 0), 6) AS prec, round(count(*) FILTER (quality = 1 AND guess = 1) / nullif(count(*) FILTER (quality = 1), 0), 6) AS recall FROM p")
-def sc_trial_arrays(t: Tables) -> DataFrame:
-    both = F.count_if((F.col("quality") == 1) & (F.col("guess") == 1))
-    guessed, real = F.count_if(F.col("guess") == 1), F.count_if(F.col("quality") == 1)
-    return trial(t).agg(F.round(both / F.nullif(guessed, F.lit(0)), 6).alias("prec"), F.round(both / F.nullif(real, F.lit(0)), 6).alias("recall"))
-
-
-@query("sc_trial_all", f"WITH p AS ({TRIAL}) SELECT p.doc_id, CASE WHEN quality = guess THEN 1.0 ELSE 0.0 END AS score FROM p")
-def sc_trial_all(t: Tables) -> DataFrame:
-    return trial(t).select("doc_id", F.when(F.col("quality") == F.col("guess"), 1.0).otherwise(0.0).alias("score"))
-
-
-@query("sc_jd_scorecard", f"WITH p AS ({TRIAL}) SELECT lang, round(avg(CAST(quality = guess AS INT)), 6) AS accuracy, avg(CAST(quality = guess AS INT)) >= 0.8 AS passed FROM p JOIN documents d ON d.doc_id = p.doc_id GROUP BY lang")
-def sc_jd_scorecard(t: Tables) -> DataFrame:
-    a = F.avg((F.col("quality") == F.col("guess")).cast("int"))
-    return trial(t).groupBy("lang").agg(F.round(a, 6).alias("accuracy"), (a >= 0.8).alias("passed"))
-
-
 # --- state ---
 
 

@@ -217,32 +217,6 @@ def fn_redact_pii(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(masked).alias("masked"))
 
 
-@query(
-    "fn_field_exists",
-    f"""WITH w AS (SELECT doc_id, text, {WORDS.format('text')} AS l FROM documents), b AS (SELECT item_id, text AS item, {WORDS.format('text')} AS k FROM benchmark)
-    SELECT item_id, doc_id FROM b JOIN w ON contains(w.text, b.item)""",
-)
-def fn_field_exists(t: Tables) -> DataFrame:
-    """Items that stand in a document: candidates share the item's first three words, the text decides."""
-    head = F.concat_ws(" ", F.slice(tx.words(F.col("text")), 1, 3))
-    items = t.benchmark.select("item_id", F.col("text").alias("item"), head.alias("gram"))
-    grams = t.documents.select("doc_id", "text", F.explode(tx.ngrams(tx.words(F.col("text")), 3)).alias("gram"))
-    return grams.join(items, "gram").where(F.contains("text", "item")).select("item_id", "doc_id").distinct()
-
-
-@query(
-    "fn_ground_value",
-    """SELECT b.item_id, count(*) FILTER (contains(d.text, b.text)) AS n_exact, min(strpos(d.text, b.text)) FILTER (contains(d.text, b.text)) AS first_at FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id""",
-)
-def fn_ground_value(t: Tables) -> DataFrame:
-    head = F.concat_ws(" ", F.slice(tx.words(F.col("text")), 1, 3))
-    items = t.benchmark.select("item_id", F.col("text").alias("item"), head.alias("gram"))
-    grams = t.documents.select("doc_id", "text", F.explode(tx.ngrams(tx.words(F.col("text")), 3)).alias("gram"))
-    at = F.expr("instr(text, item)")
-    hits = grams.join(items, "gram").where(F.contains("text", "item")).select("item_id", "doc_id", at.alias("at")).distinct()
-    return hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_exact"), F.min("at").cast("long").alias("first_at"))
-
-
 @query("fn_norm_cert", f"SELECT p_partkey, regexp_extract({BASIC.format('p_name')}, '^([a-z]+( [a-z]+)?)', 1) AS cert FROM part")
 def fn_norm_cert(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.regexp_extract(tx.basic(F.col("p_name")), "^([a-z]+( [a-z]+)?)", 1).alias("cert"))
@@ -400,11 +374,6 @@ def fn_lev_sim(t: Tables) -> DataFrame:
     return name_pairs(t).select("p_partkey", F.round(tx.similarity(F.col("a"), F.col("b")), 6).alias("sim"))
 
 
-@query("fn_jaro_winkler")
-def fn_jaro_winkler(t: Tables) -> DataFrame:
-    return name_pairs(t).select("p_partkey", F.round(stats.jaro_winkler_udf("a", "b"), 6).alias("sim"))
-
-
 JACCARD = "len(list_intersect({0}, {1})) / nullif(len(list_distinct(list_concat({0}, {1}))), 0)"
 
 
