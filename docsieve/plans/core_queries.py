@@ -342,14 +342,6 @@ def agg_primary_domain(t: Tables) -> DataFrame:
     return ev.primary(evidence(t).where("domain <> 'STANDARD'"), "owner", "domain", "n_months")
 
 
-@query(
-    "agg_domain_distribution",
-    f"WITH {EVIDENCE} SELECT owner, domain, count(DISTINCT node) AS n_nodes FROM evidence GROUP BY owner, domain",
-)
-def agg_domain_distribution(t: Tables) -> DataFrame:
-    return evidence(t).groupBy("owner", "domain").agg(F.countDistinct("node").alias("n_nodes"))
-
-
 @query(
     "agg_career_span",
     f"WITH {ROLES} SELECT owner, least(60, greatest(0, max(CAST(floor((end_m - 1) / 12) AS BIGINT)) - min(CAST(floor((start_m - 1) / 12) AS BIGINT)))) AS n_years FROM roles GROUP BY owner",
@@ -733,15 +725,6 @@ def agg_p95_latency(t: Tables) -> DataFrame:
     return nearest(t.events, "event_type", "value", "event_id", 0.95).select("event_type", F.col("value").alias("p95"))
 
 
-@query(
-    "agg_taxonomy_gaps",
-    "SELECT DISTINCT p_type AS unknown FROM part WHERE p_type NOT IN ('ECONOMY', 'SMALL', 'LARGE')",
-)
-def agg_taxonomy_gaps(t: Tables) -> DataFrame:
-    known = t.spark.createDataFrame([("ECONOMY",), ("SMALL",), ("LARGE",)], "unknown string")
-    return t.part.select(F.col("p_type").alias("unknown")).distinct().join(F.broadcast(known), "unknown", "left_anti")
-
-
 @query(
     "agg_industry_argmax",
     """WITH h AS (SELECT p_partkey, unnest(['warm', 'cold', 'tiny']) AS industry, unnest([CAST(p_name LIKE '%red%' AS INT) + CAST(p_name LIKE '%hot%' AS INT),

@@ -261,26 +261,6 @@ def fn_beta_inc(t: Tables) -> DataFrame:
 # --- rules ---
 
 
-@query("cls_norm_category", f"SELECT DISTINCT p_name, {rules.CATEGORY.sql('p_name')} AS category FROM part")
-def cls_norm_category(t: Tables) -> DataFrame:
-    return t.part.select("p_name", rules.CATEGORY.first(F.col("p_name")).alias("category")).distinct()
-
-
-@query("cls_maturity_lookup", f"WITH {EVIDENCE}, d AS (SELECT DISTINCT owner, domain FROM evidence) SELECT c_custkey AS owner, coalesce(min(domain) FILTER (domain = 'PROMO'), min(domain) FILTER (contains(domain, 'M')), 'none') AS found FROM customer LEFT JOIN d ON d.owner = c_custkey GROUP BY c_custkey")
-def cls_maturity_lookup(t: Tables) -> DataFrame:
-    """The exact domain, else the first that contains part of its name, else none."""
-    domain = F.col("domain")
-    d = evidence(t).select("owner", "domain").distinct().groupBy("owner").agg(
-        F.coalesce(F.min(F.when(domain == "PROMO", domain)), F.min(F.when(domain.contains("M"), domain))).alias("found")
-    )
-    return t.customer.select(F.col("c_custkey").alias("owner")).join(d, "owner", "left").select("owner", F.coalesce("found", F.lit("none")).alias("found"))
-
-
-@query("cls_licensing_keys", f"SELECT n_nationkey, lower(replace(n_name, '_', ' ')) AS place, {rules.COUNTRY.sql('n_name')} AS country FROM nation")
-def cls_licensing_keys(t: Tables) -> DataFrame:
-    return t.nation.select("n_nationkey", F.lower(F.replace("n_name", F.lit("_"), F.lit(" "))).alias("place"), rules.COUNTRY.first(F.col("n_name")).alias("country"))
-
-
 @query("flt_terminal_degree", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
 def flt_terminal_degree(t: Tables) -> DataFrame:
     return t.orders.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey")

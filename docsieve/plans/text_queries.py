@@ -284,17 +284,6 @@ def fn_topic_addressed(t: Tables) -> DataFrame:
     return t.benchmark.select("item_id", ((F.size(k) == 0) | (hits >= need)).alias("addressed"))
 
 
-@query("fn_specifics", "SELECT conv_id, turn, len(regexp_extract_all(text, '(on|in|at) [A-Z][a-z]+')) AS n FROM conversations")
-def fn_specifics(t: Tables) -> DataFrame:
-    return t.conversations.select("conv_id", "turn", tx.count_of(F.col("text"), "(?:on|in|at) [A-Z][a-z]+").alias("n"))
-
-
-@query("fn_orgs", "SELECT doc_id, len(list_distinct(regexp_extract_all(text, '(at|for|with|from) ([a-z]+)', 2))) AS n FROM documents")
-def fn_orgs(t: Tables) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit("(at|for|with|from) ([a-z]+)"), 2)
-    return t.documents.select("doc_id", F.size(F.array_distinct(found)).cast("long").alias("n"))
-
-
 @query("fn_flatten_doc", "SELECT conv_id, CAST(sum(length(coalesce(text, ''))) + count(*) - 1 AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id")
 def fn_flatten_doc(t: Tables) -> DataFrame:
     turns = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
@@ -593,50 +582,6 @@ def fn_evidence_decay(t: Tables) -> DataFrame:
 
 # --- classifiers: rules in order ---
 
-CLASSIFIERS = {
-    "cls_skill": ("part", "p_partkey", "p_name", rules.SKILL_KIND, "kind"),
-    "cls_domain_keywords": ("part", "p_partkey", "p_name", rules.DOMAIN, "domain"),
-    "cls_category_keywords": ("part", "p_partkey", "p_name", rules.CATEGORY, "category"),
-    "cls_tier": ("part", "p_partkey", "p_name", rules.TIER, "tier"),
-    "cls_cert_tier": ("part", "p_partkey", "p_name", rules.CERT_TIER, "tier"),
-    "cls_issuer": ("part", "p_partkey", "p_name", rules.ISSUER, "issuer"),
-    "cls_seniority": ("orders", "o_orderkey", "o_orderpriority", rules.SENIORITY, "seniority"),
-    "cls_training": ("orders", "o_orderkey", "o_orderpriority", rules.TRAINING, "kind"),
-    "cls_career_stage": ("orders", "o_orderkey", "o_orderpriority", rules.STAGE, "stage"),
-    "cls_country": ("nation", "n_nationkey", "n_name", rules.COUNTRY, "country"),
-    "cls_role_domain": ("customer", "c_custkey", "c_mktsegment", rules.ROLE_DOMAIN, "domain"),
-    "cls_skill_kind": ("part", "p_partkey", "p_name", rules.SKILL_KIND, "skill_kind"),
-    "cls_feedback_intent": ("documents", "doc_id", "text", rules.INTENT, "intent"),
-    "cls_industry": ("customer", "c_custkey", "c_mktsegment", rules.INDUSTRY, "industry"),
-    "cls_resume_seniority": ("orders", "o_orderkey", "o_orderpriority", rules.SENIORITY, "level"),
-    "cls_jd_seniority": ("orders", "o_orderkey", "o_orderpriority", rules.STAGE, "level"),
-}
-
-
-def _classifier(name: str, table: str, key: str, column: str, ruleset: rules.Rules, out: str) -> None:
-    def build(t: Tables) -> DataFrame:
-        return getattr(t, table).select(key, ruleset.first(F.col(column)).alias(out))
-
-    query(name, f"SELECT {key}, {ruleset.sql(column)} AS {out} FROM {table}")(build)
-
-
-for _name, _spec in CLASSIFIERS.items():
-    _classifier(_name, *_spec)
-
-
-@query("cls_jd_domains", f"SELECT doc_id, {rules.INTENT.sql_every('text')} AS labels FROM documents")
-def cls_jd_domains(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.concat_ws(",", rules.INTENT.every(F.col("text"))).alias("labels"))
-
-
-@query(
-    "cls_norm_domain",
-    "SELECT DISTINCT p_type, CASE WHEN p_type = 'PROMO' THEN 'promotion' WHEN p_type IN ('SMALL', 'MEDIUM', 'LARGE') THEN 'size' ELSE 'general' END AS domain FROM part",
-)
-def cls_norm_domain(t: Tables) -> DataFrame:
-    alias = t.spark.createDataFrame([("PROMO", "promotion"), ("SMALL", "size"), ("MEDIUM", "size"), ("LARGE", "size")], "p_type string, d string")
-    return t.part.select("p_type").distinct().join(F.broadcast(alias), "p_type", "left").select("p_type", F.coalesce("d", F.lit("general")).alias("domain"))
-
 
 @query("cls_verdict", f"WITH {NODES} SELECT owner, node, CASE WHEN (n_roles >= 2 AND (has_impact OR has_validation)) OR (n_roles >= 1 AND has_depth AND has_impact) THEN 'strong' WHEN n_roles >= 1 OR has_depth THEN 'exists' ELSE 'claimed' END AS verdict FROM nodes")
 def cls_verdict(t: Tables) -> DataFrame:
@@ -645,82 +590,12 @@ def cls_verdict(t: Tables) -> DataFrame:
     return nodes(t).select("owner", "node", verdict().alias("verdict"))
 
 
-@query(
-    "cls_jd_complexity",
-    f"""WITH {LINES}, s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(line) > 150) AS n_long FROM lines GROUP BY doc_id)
-    SELECT s.doc_id, CAST(n_chars > 2000 AS INT) + CAST(n_lines > 10 AS INT) + CAST(n_long > 3 AS INT) + CAST({count_sql('[0-9]+')} > 2 AS INT) >= 3 AS is_complex FROM s JOIN documents d ON d.doc_id = s.doc_id""",
-)
-def cls_jd_complexity(t: Tables) -> DataFrame:
-    each = tx.lines(F.col("text"))
-    long_lines = F.size(F.filter(each, lambda x: F.length(x) > 150))
-    points = [F.col("n_chars") > 2000, F.size(each) > 10, long_lines > 3, tx.count_of(F.col("text"), "[0-9]+") > 2]
-    return t.documents.select("doc_id", (sum((p.cast("int") for p in points[1:]), points[0].cast("int")) >= 3).alias("is_complex"))
-
-
-@query("cls_answer_signals", f"SELECT conv_id, turn, concat_ws(',', CASE WHEN {count_sql('[0-9]+')} >= 1 THEN 'dates' END, CASE WHEN {count_sql('[A-Z][a-z]+')} >= 4 THEN 'orgs' END, CASE WHEN length(text) > 200 THEN 'long' END) AS signals FROM conversations WHERE text IS NOT NULL")
-def cls_answer_signals(t: Tables) -> DataFrame:
-    found = [
-        F.when(tx.count_of(F.col("text"), "[0-9]+") >= 1, "dates"), F.when(tx.count_of(F.col("text"), "[A-Z][a-z]+") >= 4, "orgs"), F.when(F.length("text") > 200, "long"),
-    ]
-    return t.conversations.where("text IS NOT NULL").select("conv_id", "turn", F.concat_ws(",", *found).alias("signals"))
-
-
 @query("cls_skip_answer", "SELECT conv_id, turn, length(trim(text)) < 5 OR regexp_matches(lower(text), '^(skip|no|none|pass)$') AS skipped FROM conversations WHERE text IS NOT NULL")
 def cls_skip_answer(t: Tables) -> DataFrame:
     skip = (F.length(F.trim("text")) < 5) | F.lower("text").rlike("^(skip|no|none|pass)$")
     return t.conversations.where("text IS NOT NULL").select("conv_id", "turn", skip.alias("skipped"))
 
 
-@query("cls_feedback_action", "SELECT event_type, CASE event_type WHEN 'error' THEN 'escalate' WHEN 'view' THEN 'cloud_gap' WHEN 'purchase' THEN 'de_escalate' ELSE 'maintain' END AS action, count(*) AS n FROM events GROUP BY event_type")
-def cls_feedback_action(t: Tables) -> DataFrame:
-    kind = F.col("event_type")
-    action = F.when(kind == "error", "escalate").when(kind == "view", "cloud_gap").when(kind == "purchase", "de_escalate").otherwise("maintain")
-    return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("action", action)
-
-
-@query("cls_gates", f"WITH {NODES} SELECT owner, node, n_roles >= 2 AS relevant, NOT has_validation AS evidence_gap, n_roles >= 2 AND NOT has_validation AND NOT has_impact AS ask FROM nodes")
-def cls_gates(t: Tables) -> DataFrame:
-    relevant, gap = F.col("n_roles") >= 2, ~F.col("has_validation")
-    return nodes(t).select("owner", "node", relevant.alias("relevant"), gap.alias("evidence_gap"), (relevant & gap & ~F.col("has_impact")).alias("ask"))
-
-
-@query("cls_question_kind", f"WITH {NODES} SELECT owner, node, CASE WHEN has_validation THEN 'certification' WHEN has_depth THEN 'qualification' ELSE 'applied' END AS kind FROM nodes")
-def cls_question_kind(t: Tables) -> DataFrame:
-    return nodes(t).select("owner", "node", F.when(F.col("has_validation"), "certification").when(F.col("has_depth"), "qualification").otherwise("applied").alias("kind"))
-
-
-@query(
-    "cls_persona",
-    f"WITH {ROLES} SELECT owner, CASE WHEN count(*) >= 15 THEN 'veteran' WHEN count(DISTINCT source) >= 3 THEN 'switcher' WHEN count(*) <= 5 THEN 'starter' ELSE 'builder' END AS persona FROM roles GROUP BY owner",
-)
-def cls_persona(t: Tables) -> DataFrame:
-    n = F.count(F.lit(1))
-    persona = F.when(n >= 15, "veteran").when(F.countDistinct("source") >= 3, "switcher").when(n <= 5, "starter").otherwise("builder")
-    return roles(t).groupBy("owner").agg(persona.alias("persona"))
-
-
-@query("cls_gap_complexity", f"WITH {PAIRS}, s AS (SELECT p_partkey, {JACCARD.format(WORDS.format('a'), WORDS.format('b'))} AS s FROM pairs) SELECT p_partkey, CASE WHEN s >= 0.7 THEN 'simple' WHEN s >= 0.3 THEN 'moderate' ELSE 'hard' END AS kind FROM s")
-def cls_gap_complexity(t: Tables) -> DataFrame:
-    s = tx.jaccard(tx.words(F.col("a")), tx.words(F.col("b")))
-    return name_pairs(t).select("p_partkey", F.when(s >= 0.7, "simple").when(s >= 0.3, "moderate").otherwise("hard").alias("kind"))
-
-
-@query("cls_model_tier", f"WITH {NODES}, m AS (SELECT owner, avg(n_evidence) AS d FROM nodes GROUP BY owner) SELECT owner, CASE WHEN d >= 2 THEN 'fast' WHEN d >= 1.3 THEN 'standard' ELSE 'quality' END AS tier FROM m")
-def cls_model_tier(t: Tables) -> DataFrame:
-    d = F.avg("n_evidence")
-    return nodes(t).groupBy("owner").agg(F.when(d >= 2, "fast").when(d >= 1.3, "standard").otherwise("quality").alias("tier"))
-
-
-@query(
-    "cls_domain_guard",
-    "SELECT p_partkey, CASE WHEN p_type = 'STANDARD' AND p_name NOT LIKE '%ring%' THEN 'STANDARD' WHEN p_name LIKE '%ring%' THEN 'RING' ELSE p_type END AS domain FROM part",
-)
-def cls_domain_guard(t: Tables) -> DataFrame:
-    ring = F.col("p_name").contains("ring")
-    domain = F.when((F.col("p_type") == "STANDARD") & ~ring, "STANDARD").when(ring, "RING").otherwise(F.col("p_type"))
-    return t.part.select("p_partkey", domain.alias("domain"))
-
-
 @query(
     "win_item_lengths",
     "SELECT lang, doc_id, n_chars - avg(n_chars) OVER (PARTITION BY lang) > 0 AS above_mean FROM documents",
