@@ -743,14 +743,6 @@ def agg_industry_argmax(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", label.alias("industry"))
 
 
-@query(
-    "agg_achievements",
-    f"WITH {EVIDENCE} SELECT owner, role_id, node, line FROM evidence WHERE impact AND validated",
-)
-def agg_achievements(t: Tables) -> DataFrame:
-    return evidence(t).where("impact AND validated").select("owner", "role_id", "node", "line")
-
-
 @query(
     "agg_skill_gaps",
     f"""WITH {NODES} SELECT owner, node, CASE WHEN n_roles = 1 AND total_months >= 5 AND NOT has_depth THEN 'shallow' ELSE 'unproven' END AS kind FROM nodes
@@ -825,17 +817,6 @@ def win_repeated_lines(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    "win_section_fill",
-    """WITH h AS (SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN turn END AS header FROM conversations)
-    SELECT conv_id, turn, role, last_value(header IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM h""",
-)
-def win_section_fill(t: Tables) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    header = F.when(F.col("role") == "user", F.col("turn"))
-    return t.conversations.select("conv_id", "turn", "role", F.last_value(header, True).over(w).alias("section"))
-
-
 @query(
     "win_section_bounds",
     "WITH a AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS first_turn FROM conversations GROUP BY conv_id) SELECT c.conv_id, first_turn, min(turn) AS end_turn FROM conversations c JOIN a ON a.conv_id = c.conv_id "

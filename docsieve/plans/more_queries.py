@@ -171,14 +171,6 @@ def win_peak_merge(t: Tables) -> DataFrame:
     return layout.anchored(peaks, "page", ["edge"], "edge", 30, "kept").select("page", "edge", "kept")
 
 
-@query("win_date_range_context", f"WITH {LINES}, m AS (SELECT doc_id, pos, regexp_matches(line, '[0-9]') AS hit FROM lines), h AS (SELECT doc_id, pos, lead(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS until FROM m WHERE hit) SELECT doc_id, pos, coalesce(until - pos, 0) AS n_lines FROM h")
-def win_date_range_context(t: Tables) -> DataFrame:
-    """From each line with a number to the next such line."""
-    hits = lines(t).where(F.col("line").rlike("[0-9]"))
-    until = F.lead("pos").over(Window.partitionBy("doc_id").orderBy("pos"))
-    return hits.select("doc_id", "pos", F.coalesce(until - F.col("pos"), F.lit(0)).alias("n_lines"))
-
-
 # --- text ---
 
 
@@ -194,44 +186,9 @@ def fn_char_spacing_old(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.count_of(F.col("text"), "[A-Za-z] [A-Za-z] [A-Za-z] ").alias("n_runs"))
 
 
-@query("fn_preprocess", f"WITH {LINES} SELECT doc_id, md5(string_agg(CASE WHEN regexp_matches(line, '^[#*-]') THEN '[item] ' || line WHEN length(line) BETWEEN 1 AND 30 THEN '[head] ' || line ELSE line END, chr(10) ORDER BY pos)) AS marked FROM lines GROUP BY doc_id")
-def fn_preprocess(t: Tables) -> DataFrame:
-    def marked(line):
-        head = F.length(line).between(1, 30)
-        return F.when(line.rlike("^[#*-]"), F.concat(F.lit("[item] "), line)).when(head, F.concat(F.lit("[head] "), line)).otherwise(line)
-
-    return t.documents.select("doc_id", F.md5(F.concat_ws("\n", F.transform(tx.lines(F.col("text")), marked))).alias("marked"))
-
-
 FIELDS = """fields AS (SELECT page_id, html, unnest(['title', 'lang', 'path']) AS field, unnest([regexp_extract(html, '<title>([^<]*)</title>', 1), regexp_extract(html, 'lang="([a-z]+)"', 1), regexp_extract(url, '/([^/?]*)[^/]*$', 1)]) AS value FROM pages)"""
 
 
-@query("fn_certificate", "SELECT doc_id, regexp_extract(text, '[Ll]icensed under (the )?([A-Z][A-Za-z -]+)', 2) AS certificate, regexp_matches(text, '[Ll]icensed') AND regexp_matches(text, '[Vv]ersion') AS certain FROM documents")
-def fn_certificate(t: Tables) -> DataFrame:
-    certain = F.col("text").rlike("[Ll]icensed") & F.col("text").rlike("[Vv]ersion")
-    return t.documents.select("doc_id", F.regexp_extract("text", "[Ll]icensed under (the )?([A-Z][A-Za-z -]+)", 2).alias("certificate"), certain.alias("certain"))
-
-
-@query("fn_cert_date_name", "SELECT doc_id, nullif(regexp_extract(text, '([12][0-9]{3})', 1), '') AS yr, nullif(regexp_extract(text, '(^|\n)([A-Z][a-z]+ [a-z]+)', 2), '') AS recipient FROM documents")
-def fn_cert_date_name(t: Tables) -> DataFrame:
-    def first(pattern: str, i: int):
-        return F.nullif(F.regexp_extract("text", pattern, i), F.lit(""))
-
-    return t.documents.select("doc_id", first("([12][0-9]{3})", 1).alias("yr"), first("(^|\n)([A-Z][a-z]+ [a-z]+)", 2).alias("recipient"))
-
-
-@query("fn_date_ranges", "SELECT doc_id, len(regexp_extract_all(text, '[0-9]{1,4} ?[-/.] ?[0-9]{1,4}')) AS n_ranges FROM documents")
-def fn_date_ranges(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.count_of(F.col("text"), "[0-9]{1,4} ?[-/.] ?[0-9]{1,4}").alias("n_ranges"))
-
-
-@query("fn_date_range_line", f"WITH {LINES} SELECT doc_id, pos, regexp_extract(line, '([0-9]+)[-./]([0-9]+)', 1) AS low, regexp_extract(line, '([0-9]+)[-./]([0-9]+)', 2) AS high FROM lines WHERE regexp_matches(line, '[0-9]+[-./][0-9]+')")
-def fn_date_range_line(t: Tables) -> DataFrame:
-    p = "([0-9]+)[-./]([0-9]+)"
-    hits = lines(t).where(F.col("line").rlike("[0-9]+[-./][0-9]+"))
-    return hits.select("doc_id", "pos", F.regexp_extract("line", p, 1).alias("low"), F.regexp_extract("line", p, 2).alias("high"))
-
-
 @query("fn_parse_sanity_date", "SELECT o_orderkey, year(o_orderdate) * 12 + CASE WHEN o_orderkey % 5 = 1 THEN 0 ELSE month(o_orderdate) END AS month_no FROM orders")
 def fn_parse_sanity_date(t: Tables) -> DataFrame:
     """A bare year has month 0."""
@@ -298,23 +255,12 @@ def agg_quick_analysis(t: Tables) -> DataFrame:
     return p.withColumn("label", ev.position(F.col("met"), F.col("total")))
 
 
-@query("jn_jd_questions", f"WITH {REQUIREMENTS} SELECT r.owner, req, keyword FROM reqs r JOIN nodes n ON n.owner = r.owner AND n.node = r.keyword WHERE r.owner >= 0 AND NOT has_validation QUALIFY row_number() OVER (PARTITION BY r.owner ORDER BY req) <= 3")
-def jn_jd_questions(t: Tables) -> DataFrame:
-    weak = nodes(t).where("NOT has_validation").select("owner", F.col("node").alias("keyword"))
-    return ev.top_k(requirements(t).where("owner >= 0").join(weak, ["owner", "keyword"]), ["owner"], [F.col("req")], 3).select("owner", "req", "keyword")
-
-
 @query("agg_contradictions", f"WITH {ROLES} SELECT owner, count(DISTINCT source) AS n_sources, bool_or(title = '5-LOW') AND count(DISTINCT source) > 2 AS contradicts FROM roles GROUP BY owner")
 def agg_contradictions(t: Tables) -> DataFrame:
     n = F.countDistinct("source")
     return roles(t).groupBy("owner").agg(n.alias("n_sources"), (F.bool_or(F.col("title") == "5-LOW") & (n > 2)).alias("contradicts"))
 
 
-@query("agg_export_experience", f"WITH {ROLES} SELECT owner, CAST(floor((max(end_m) - min(start_m)) / 12.0 + 0.5) AS BIGINT) AS n_years FROM roles GROUP BY owner")
-def agg_export_experience(t: Tables) -> DataFrame:
-    return roles(t).groupBy("owner").agg(F.floor((F.max("end_m") - F.min("start_m")) / 12.0 + 0.5).cast("long").alias("n_years"))
-
-
 @query("agg_ground_truth_fixes", "SELECT l_orderkey, count(*) AS n_fixes FROM lineitem WHERE l_tax = 0 AND l_discount > 0.05 GROUP BY l_orderkey")
 def agg_ground_truth_fixes(t: Tables) -> DataFrame:
     return t.lineitem.where("l_tax = 0 AND l_discount > 0.05").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_fixes"))

@@ -36,14 +36,6 @@ def fn_norm_basic(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(tx.basic(F.col("text"))).alias("norm"))
 
 
-@query(
-    "fn_norm_diacritics",
-    f"SELECT doc_id, md5({BASIC.format(f'translate(lower(text), {chr(39)}{tx.ACCENTED}{chr(39)}, {chr(39)}{tx.PLAIN}{chr(39)})')}) AS norm FROM documents",
-)
-def fn_norm_diacritics(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(tx.without_accents(F.col("text"))).alias("norm"))
-
-
 @query(
     "fn_norm_verify",
     "SELECT doc_id, length(trim(regexp_replace(regexp_replace(lower(text), '[-_/]+', ' ', 'g'), '[.,;:!?]+', '', 'g'))) AS n FROM documents",
@@ -82,25 +74,6 @@ def fn_fix_encoding(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(tx.repaired(F.col("text"))).alias("fixed"))
 
 
-@query(
-    "fn_page_artifacts",
-    f"WITH {LINES} SELECT doc_id, count(*) FILTER (regexp_matches(line, '^ *[0-9]{{1,3}} *$') OR regexp_matches(line, '(?i)^ *page [0-9]+( of [0-9]+)? *$')) AS n_artifacts FROM lines GROUP BY doc_id",
-)
-def fn_page_artifacts(t: Tables) -> DataFrame:
-    bad = F.col("line").rlike("^ *[0-9]{1,3} *$") | F.col("line").rlike("(?i)^ *page [0-9]+( of [0-9]+)? *$")
-    return lines(t).groupBy("doc_id").agg(F.count_if(bad).alias("n_artifacts"))
-
-
-@query(
-    "fn_spaced_lines",
-    f"WITH {LINES}, s AS (SELECT doc_id, string_split(trim(line), ' ') AS w FROM lines) SELECT doc_id, count(*) FILTER (len(w) >= 5 AND len(list_filter(w, lambda x: length(x) = 1)) > 0.6 * len(w)) AS n_spaced FROM s GROUP BY doc_id",
-)
-def fn_spaced_lines(t: Tables) -> DataFrame:
-    w = F.split(F.trim("line"), " ")
-    spaced = (F.size(w) >= 5) & (F.size(F.filter(w, lambda x: F.length(x) == 1)) > 0.6 * F.size(w))
-    return lines(t).groupBy("doc_id").agg(F.count_if(spaced).alias("n_spaced"))
-
-
 @query(
     "fn_whitespace",
     "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), ' \n', '\n', 'g'), '\n{4,}', '\n\n\n', 'g')) AS spaced FROM documents",
@@ -119,226 +92,18 @@ def fn_column_flag(t: Tables) -> DataFrame:
     return lines(t).groupBy("doc_id").agg(((F.count(F.lit(1)) > 30) & (narrow > 0.7 * filled)).alias("columned"))
 
 
-QUALITY = f"""CASE WHEN length(text) < 100 THEN 'failed' WHEN {count_sql('[^a-zA-Z0-9 ]')} > 0.3 * length(text) THEN 'failed'
-    WHEN {count_sql('[^a-zA-Z0-9 ]')} > 0.15 * length(text) THEN 'poor' ELSE 'good' END"""
-
-
-@query("fn_quality", f"SELECT doc_id, {QUALITY} AS quality FROM documents")
-def fn_quality(t: Tables) -> DataFrame:
-    odd, size = tx.count_of(F.col("text"), "[^a-zA-Z0-9 ]"), F.length("text")
-    quality = F.when((size < 100) | (odd > 0.3 * size), "failed").when(odd > 0.15 * size, "poor").otherwise("good")
-    return t.documents.select("doc_id", quality.alias("quality"))
-
-
-@query(
-    "fn_normalize_pipeline",
-    f"SELECT doc_id, CAST(floor((length(text) - length(regexp_replace({chained('text')}, '[ \t\n]+', ' ', 'g'))) / 4) AS BIGINT) AS saved FROM documents",
-)
-def fn_normalize_pipeline(t: Tables) -> DataFrame:
-    short = F.regexp_replace(tx.repaired(F.col("text")), "[ \t\n]+", " ")
-    return t.documents.select("doc_id", F.floor((F.length("text") - F.length(short)) / 4).alias("saved"))
-
-
-@query("fn_section_detect", f"WITH {LINES} SELECT doc_id, pos, {rules.LINE_KIND.sql('line')} AS kind FROM lines WHERE length(line) <= 60")
-def fn_section_detect(t: Tables) -> DataFrame:
-    return lines(t).where(F.length("line") <= 60).select("doc_id", "pos", rules.LINE_KIND.first(F.col("line")).alias("kind"))
-
-
-@query(
-    "fn_role_header",
-    f"WITH {LINES} SELECT doc_id, count(*) FILTER (length(line) BETWEEN 10 AND 120 AND regexp_matches(line, '[0-9]')) AS n_headers FROM lines GROUP BY doc_id",
-)
-def fn_role_header(t: Tables) -> DataFrame:
-    header = F.length("line").between(10, 120) & F.col("line").rlike("[0-9]")
-    return lines(t).groupBy("doc_id").agg(F.count_if(header).alias("n_headers"))
-
-
-@query(
-    "fn_edu_cert_line",
-    f"WITH {LINES} SELECT doc_id, count(*) FILTER (regexp_matches(line, '(?i)licen[sc]e') AND NOT regexp_matches(line, '(?i)public')) AS n_lines FROM lines GROUP BY doc_id",
-)
-def fn_edu_cert_line(t: Tables) -> DataFrame:
-    wanted = F.col("line").rlike("(?i)licen[sc]e") & ~F.col("line").rlike("(?i)public")
-    return lines(t).groupBy("doc_id").agg(F.count_if(wanted).alias("n_lines"))
-
-
-@query("fn_unglue_titles", "SELECT doc_id, md5(regexp_replace(text, '([a-z])([A-Z])', '\\1\n\\2', 'g')) AS unglued FROM documents")
-def fn_unglue_titles(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5(F.regexp_replace("text", "([a-z])([A-Z])", "$1\n$2")).alias("unglued"))
-
-
-@query(
-    "fn_clean_title",
-    f"WITH {LINES} SELECT doc_id, md5(trim(regexp_replace(regexp_replace(line, '^[ *#-]+', ''), '[ (]*[0-9]{{4}}[ )]*$', ''))) AS title FROM lines WHERE pos = 1",
-)
-def fn_clean_title(t: Tables) -> DataFrame:
-    title = F.trim(F.regexp_replace(F.regexp_replace("line", "^[ *#-]+", ""), "[ (]*[0-9]{4}[ )]*$", ""))
-    return lines(t).where("pos = 1").select("doc_id", F.md5(title).alias("title"))
-
-
-@query(
-    "fn_filter_bullets",
-    f"WITH {LINES} SELECT doc_id, count(*) FILTER (length(line) BETWEEN 15 AND 500 AND NOT regexp_matches(line, '^[^a-zA-Z]*$')) AS n_kept FROM lines GROUP BY doc_id",
-)
-def fn_filter_bullets(t: Tables) -> DataFrame:
-    good = F.length("line").between(15, 500) & ~F.col("line").rlike("^[^a-zA-Z]*$")
-    return lines(t).groupBy("doc_id").agg(F.count_if(good).alias("n_kept"))
-
-
-@query(
-    "fn_verify_skills",
-    "SELECT doc_id, len(list_filter(string_split(text, ' '), lambda w: length(w) >= 3 AND NOT regexp_matches(w, '^[0-9.,%]+$'))) AS n_accepted, len(list_filter(string_split(text, ' '), lambda w: NOT (length(w) >= 3 AND NOT regexp_matches(w, '^[0-9.,%]+$')))) AS n_rejected FROM documents",
-)
-def fn_verify_skills(t: Tables) -> DataFrame:
-    words = F.split("text", " ")
-
-    def good(w):
-        return (F.length(w) >= 3) & ~w.rlike("^[0-9.,%]+$")
-
-    return t.documents.select(
-        "doc_id",
-        F.size(F.filter(words, good)).cast("long").alias("n_accepted"),
-        F.size(F.filter(words, lambda w: ~good(w))).cast("long").alias("n_rejected"),
-    )
-
-
-@query(
-    "fn_contact",
-    f"SELECT doc_id, {count_sql(tx.EMAIL)} AS n_emails, {count_sql(tx.PHONE)} AS n_phones, {count_sql(tx.URL)} AS n_urls FROM documents",
-)
-def fn_contact(t: Tables) -> DataFrame:
-    counts = {"n_emails": tx.EMAIL, "n_phones": tx.PHONE, "n_urls": tx.URL}
-    return t.documents.select("doc_id", *[tx.count_of(F.col("text"), p).alias(n) for n, p in counts.items()])
-
-
-@query("fn_redact_pii", f"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '{tx.EMAIL}', '[e-mail]', 'g'), '{tx.PHONE}', '[phone]', 'g')) AS masked FROM documents")
-def fn_redact_pii(t: Tables) -> DataFrame:
-    masked = F.regexp_replace(F.regexp_replace("text", tx.EMAIL, "[e-mail]"), tx.PHONE, "[phone]")
-    return t.documents.select("doc_id", F.md5(masked).alias("masked"))
-
-
-@query("fn_norm_cert", f"SELECT p_partkey, regexp_extract({BASIC.format('p_name')}, '^([a-z]+( [a-z]+)?)', 1) AS cert FROM part")
-def fn_norm_cert(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.regexp_extract(tx.basic(F.col("p_name")), "^([a-z]+( [a-z]+)?)", 1).alias("cert"))
-
-
-@query("fn_norm_credential", "SELECT p_partkey, upper(left(p_name, 1)) || upper(regexp_extract(p_name, ' (.)', 1)) AS credential FROM part")
-def fn_norm_credential(t: Tables) -> DataFrame:
-    first = F.upper(F.left("p_name", F.lit(1)))
-    return t.part.select("p_partkey", F.concat(first, F.upper(F.regexp_extract("p_name", " (.)", 1))).alias("credential"))
-
-
-@query("fn_norm_degree_field", f"SELECT p_partkey, {rules.CATEGORY.sql('p_name')} AS field FROM part")
-def fn_norm_degree_field(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", rules.CATEGORY.first(F.col("p_name")).alias("field"))
-
-
-@query("fn_norm_company_title", "SELECT s_suppkey, regexp_replace(replace(lower(s_name), 'supplier', 'sup'), '#0*', ' ') AS company FROM supplier")
-def fn_norm_company_title(t: Tables) -> DataFrame:
-    name = F.replace(F.lower("s_name"), F.lit("supplier"), F.lit("sup"))
-    return t.supplier.select("s_suppkey", F.regexp_replace(name, "#0*", " ").alias("company"))
-
-
-@query("fn_company_core", "SELECT s_suppkey, regexp_extract(s_name, '^([A-Za-z]+)', 1) AS core FROM supplier")
-def fn_company_core(t: Tables) -> DataFrame:
-    return t.supplier.select("s_suppkey", F.regexp_extract("s_name", "^([A-Za-z]+)", 1).alias("core"))
-
-
-@query("fn_short_name", "SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[?].*$', '') AS name FROM pages")
-def fn_short_name(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.regexp_replace(F.regexp_extract("url", "([^/]*)$", 1), "[?].*$", "").alias("name"))
-
-
-@query("fn_metrics", f"SELECT doc_id, {count_sql('[0-9]+%')} AS n_percent, {count_sql('[$€][0-9]+')} AS n_money, {count_sql('[0-9]+')} AS n_numbers FROM documents")
-def fn_metrics(t: Tables) -> DataFrame:
-    kinds = {"n_percent": "[0-9]+%", "n_money": "[$€][0-9]+", "n_numbers": "[0-9]+"}
-    return t.documents.select("doc_id", *[tx.count_of(F.col("text"), p).alias(n) for n, p in kinds.items()])
-
-
-@query("fn_metrics_basic", "SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[0-9]{2,}'))) AS n FROM documents")
-def fn_metrics_basic(t: Tables) -> DataFrame:
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit("([0-9]{2,})"), 1))
-    return t.documents.select("doc_id", F.size(found).cast("long").alias("n"))
-
-
-@query("fn_tech_terms", "SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), 'license|version|rights|public|apache'))) AS n_terms FROM documents")
-def fn_tech_terms(t: Tables) -> DataFrame:
-    found = F.regexp_extract_all(F.lower("text"), F.lit("(license|version|rights|public|apache)"), 1)
-    return t.documents.select("doc_id", F.size(F.array_distinct(found)).cast("long").alias("n_terms"))
-
-
-@query("fn_term_match", f"SELECT p_partkey, len(list_filter({WORDS.format('p_name')}, lambda w: length(w) > 2 AND contains('blue ring of gears', w))) > 0 AS matched FROM part")
-def fn_term_match(t: Tables) -> DataFrame:
-    hit = F.exists(tx.words(F.col("p_name")), lambda w: (F.length(w) > 2) & F.lit("blue ring of gears").contains(w))
-    return t.part.select("p_partkey", hit.alias("matched"))
-
-
-@query(
-    "fn_topic_addressed",
-    f"""WITH b AS (SELECT item_id, {SIGNIFICANT.format('text')} AS k FROM benchmark) SELECT item_id, len(k) = 0 OR len(list_filter(k, lambda w: length(w) >= 5)) >= CASE WHEN len(k) <= 2 THEN 1 ELSE 2 END AS addressed FROM b""",
-)
-def fn_topic_addressed(t: Tables) -> DataFrame:
-    k = tx.significant(F.col("text"))
-    hits = F.size(F.filter(k, lambda w: F.length(w) >= 5))
-    need = F.when(F.size(k) <= 2, 1).otherwise(2)
-    return t.benchmark.select("item_id", ((F.size(k) == 0) | (hits >= need)).alias("addressed"))
-
-
 @query("fn_flatten_doc", "SELECT conv_id, CAST(sum(length(coalesce(text, ''))) + count(*) - 1 AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id")
 def fn_flatten_doc(t: Tables) -> DataFrame:
     turns = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
     return t.conversations.groupBy("conv_id").agg(F.length(F.concat_ws(" ", turns["text"])).cast("long").alias("n_chars"))
 
 
-@query(
-    "fn_jd_fields",
-    "SELECT page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title, nullif(regexp_extract(html, 'lang=\"([a-z]+)\"', 1), '') AS lang FROM pages",
-)
-def fn_jd_fields(t: Tables) -> DataFrame:
-    def first(pattern: str):
-        return F.nullif(F.regexp_extract("html", pattern, 1), F.lit(""))
-
-    return t.pages.select("page_id", first("<title>([^<]*)</title>").alias("title"), first('lang="([a-z]+)"').alias("lang"))
-
-
-@query("fn_json_repair", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
-def fn_json_repair(t: Tables) -> DataFrame:
-    """Fences and trailing commas are taken off before the parse."""
-    fenced = F.concat(F.lit("```json\n"), F.regexp_replace("props", "}$", ",}"), F.lit("\n```"))
-    body = F.regexp_replace(F.regexp_replace(fenced, "^```[a-z]*\n|\n```$", ""), ",[ \n]*}", "}")
-    return t.events.select("event_id", F.get_json_object(body, "$.k").cast("int").alias("k"))
-
-
 @query("fn_template", f"WITH {NODES} SELECT owner, node, 'Used ' || node || ' in ' || n_roles || ' roles over ' || total_months || ' months.' AS sentence FROM nodes")
 def fn_template(t: Tables) -> DataFrame:
     sentence = F.format_string("Used %s in %d roles over %d months.", "node", "n_roles", "total_months")
     return nodes(t).select("owner", "node", sentence.alias("sentence"))
 
 
-@query(
-    "fn_gap_questions",
-    f"""WITH {NODES}, q AS (SELECT owner, node, unnest([CASE WHEN NOT has_impact THEN 'impact?' END, CASE WHEN NOT has_validation THEN 'who saw it?' END, CASE WHEN n_roles = 1 THEN 'elsewhere?' END]) AS question FROM nodes)
-    SELECT * FROM q WHERE question IS NOT NULL""",
-)
-def fn_gap_questions(t: Tables) -> DataFrame:
-    asked = F.array(
-        F.when(~F.col("has_impact"), "impact?"), F.when(~F.col("has_validation"), "who saw it?"), F.when(F.col("n_roles") == 1, "elsewhere?")
-    )
-    return nodes(t).select("owner", "node", F.explode(asked).alias("question")).where("question IS NOT NULL")
-
-
-@query("fn_placeholder", "SELECT conv_id, turn, regexp_matches(lower(trim(text)), '^(n/a|none|tbd|unknown|[.-]*)$') AS placeholder FROM conversations WHERE text IS NOT NULL")
-def fn_placeholder(t: Tables) -> DataFrame:
-    hit = F.lower(F.trim("text")).rlike("^(n/a|none|tbd|unknown|[.-]*)$")
-    return t.conversations.where("text IS NOT NULL").select("conv_id", "turn", hit.alias("placeholder"))
-
-
-@query("fn_years_required", "SELECT doc_id, try_cast(nullif(regexp_extract(text, '([0-9]+)[.] ', 1), '') AS BIGINT) AS years FROM documents")
-def fn_years_required(t: Tables) -> DataFrame:
-    found = F.nullif(F.regexp_extract("text", "([0-9]+)[.] ", 1), F.lit(""))
-    return t.documents.select("doc_id", found.try_cast("long").alias("years"))
-
-
 # --- similarity and statistics ---
 
 PAIRS = """pairs AS (SELECT p_partkey, p_name AS a, lead(p_name) OVER (ORDER BY p_partkey) AS b FROM part QUALIFY b IS NOT NULL)"""
@@ -430,41 +195,6 @@ def fn_numeric_tol(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.when(d == 0, 1.0).when(d <= 1, 0.8).otherwise(0.0).alias("score"))
 
 
-@query(
-    "fn_company_score",
-    f"WITH {PAIRS} SELECT p_partkey, round(CASE WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.9 ELSE {LEV} END, 6) AS score FROM pairs",
-)
-def fn_company_score(t: Tables) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    score = F.when(a == b, 1.0).when(a.contains(b) | b.contains(a), 0.9).otherwise(tx.similarity(a, b))
-    return name_pairs(t).select("p_partkey", F.round(score, 6).alias("score"))
-
-
-@query(
-    "fn_string_field_score",
-    f"WITH {PAIRS} SELECT p_partkey, CASE WHEN a = '' AND b = '' THEN 1.0 WHEN a = '' THEN 0.5 WHEN b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN contains(a, b) THEN 0.9 WHEN {LEV} >= 0.6 THEN 0.6 ELSE 0.0 END AS score FROM pairs",
-)
-def fn_string_field_score(t: Tables) -> DataFrame:
-    a, b = F.col("a"), F.col("b")
-    score = (
-        F.when((a == "") & (b == ""), 1.0).when(a == "", 0.5).when(b == "", 0.0).when(a == b, 1.0)
-        .when(a.contains(b), 0.9).when(tx.similarity(a, b) >= 0.6, 0.6).otherwise(0.0)
-    )
-    return name_pairs(t).select("p_partkey", score.alias("score"))
-
-
-@query(
-    "fn_location_score",
-    "SELECT c_custkey, CASE WHEN c_nationkey = s_nationkey THEN 1.0 WHEN a.n_regionkey = b.n_regionkey THEN 0.8 ELSE 0.0 END AS score FROM customer JOIN supplier ON s_suppkey = c_custkey % 100 JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey",
-)
-def fn_location_score(t: Tables) -> DataFrame:
-    a = F.broadcast(t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("ra")))
-    b = F.broadcast(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("rb")))
-    both = t.customer.join(t.supplier, F.col("s_suppkey") == F.col("c_custkey") % 100).join(a, "c_nationkey").join(b, "s_nationkey")
-    score = F.when(F.col("c_nationkey") == F.col("s_nationkey"), 1.0).when(F.col("ra") == F.col("rb"), 0.8).otherwise(0.0)
-    return both.select("c_custkey", score.alias("score"))
-
-
 HALVES = "h AS (SELECT user_id, avg(CAST(event_type = 'purchase' AS INT)) FILTER (ts < TIMESTAMP '2024-01-15') AS a, avg(CAST(event_type = 'purchase' AS INT)) FILTER (ts >= TIMESTAMP '2024-01-15') AS b FROM events GROUP BY user_id)"
 
 
@@ -568,12 +298,6 @@ def fn_duration_text(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", (years * 12 + rest).alias("total"))
 
 
-@query("fn_staleness", "SELECT user_id, date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-10') >= 14 AS stale FROM events GROUP BY user_id")
-def fn_staleness(t: Tables) -> DataFrame:
-    age = F.datediff(F.lit("2024-02-10").cast("date"), F.max("ts").cast("date"))
-    return t.events.groupBy("user_id").agg((age >= 14).alias("stale"))
-
-
 @query("fn_evidence_decay", "SELECT user_id, max(ts) FILTER (event_type = 'signup') >= TIMESTAMP '2024-01-20' AS answered_lately FROM events GROUP BY user_id")
 def fn_evidence_decay(t: Tables) -> DataFrame:
     last = F.max(F.when(F.col("event_type") == "signup", F.col("ts")))
