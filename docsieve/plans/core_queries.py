@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsieve.operators import evidence as ev
 from docsieve.operators import temporal as tm
-from docsieve.plans.registry import APPLICATIONS, EVIDENCE, LINES, NODES, ROLES, VERDICT, query
+from docsieve.plans.registry import APPLICATIONS, EVIDENCE, LINES, NODES, ROLES, query
 from docsieve.plans.standins import applications, evidence, lines, nodes, roles
 from docsieve.sources import tables as src
 from docsieve.sources.tables import Tables
@@ -216,11 +216,6 @@ def prj_value_rename(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.col("event_type").alias("outcome")).na.replace({"error": "closed"}, subset=["outcome"])
 
 
-@query("flt_union_variant", f"WITH {EVIDENCE} SELECT owner, node, line, role_id FROM evidence WHERE impact AND NOT validated")
-def flt_union_variant(t: Tables) -> DataFrame:
-    return evidence(t).where("impact AND NOT validated").select("owner", "node", "line", "role_id")
-
-
 @query("flt_validated", f"WITH {NODES} SELECT owner, node FROM nodes WHERE has_validation")
 def flt_validated(t: Tables) -> DataFrame:
     return nodes(t).where("has_validation").select("owner", "node")
@@ -236,25 +231,6 @@ def flt_repeated(t: Tables) -> DataFrame:
     return nodes(t).where("n_roles >= 2").select("owner", "node", "n_roles")
 
 
-@query(
-    "flt_find_node",
-    f"WITH {NODES} SELECT owner, min(node) AS node FROM nodes WHERE contains(lower(node), 'brand#1') GROUP BY owner",
-)
-def flt_find_node(t: Tables) -> DataFrame:
-    return nodes(t).where(F.lower("node").contains("brand#1")).groupBy("owner").agg(F.min("node").alias("node"))
-
-
-@query(
-    "prj_strength_map",
-    f"WITH {NODES}, v AS (SELECT *, {VERDICT} AS verdict FROM nodes) SELECT owner, node, "
-    "CASE verdict WHEN 'strong' THEN 'strong' WHEN 'exists' THEN 'related' ELSE 'gap' END AS strength FROM v",
-)
-def prj_strength_map(t: Tables) -> DataFrame:
-    v = nodes(t).withColumn("verdict", ev.verdict())
-    strength = F.when(F.col("verdict") == "strong", "strong").when(F.col("verdict") == "exists", "related").otherwise("gap")
-    return v.select("owner", "node", strength.alias("strength"))
-
-
 @query("prj_whitelist", "SELECT c_custkey, c_mktsegment FROM customer")
 def prj_whitelist(t: Tables) -> DataFrame:
     allowed = ("c_custkey", "c_mktsegment", "c_notes")
@@ -342,57 +318,6 @@ def agg_primary_domain(t: Tables) -> DataFrame:
     return ev.primary(evidence(t).where("domain <> 'STANDARD'"), "owner", "domain", "n_months")
 
 
-@query(
-    "agg_career_span",
-    f"WITH {ROLES} SELECT owner, least(60, greatest(0, max(CAST(floor((end_m - 1) / 12) AS BIGINT)) - min(CAST(floor((start_m - 1) / 12) AS BIGINT)))) AS n_years FROM roles GROUP BY owner",
-)
-def agg_career_span(t: Tables) -> DataFrame:
-    years = F.max(F.floor((F.col("end_m") - 1) / 12)) - F.min(F.floor((F.col("start_m") - 1) / 12))
-    return roles(t).groupBy("owner").agg(F.least(F.lit(60), F.greatest(F.lit(0), years)).cast("long").alias("n_years"))
-
-
-@query(
-    "agg_trajectory",
-    f"""WITH {ROLES} SELECT owner, CAST(floor(avg(end_m - start_m) + 0.5) AS BIGINT) AS avg_tenure,
-    CASE WHEN count(DISTINCT source) <= 2 THEN 'consistent' ELSE 'diverse' END AS consistency,
-    CASE WHEN arg_max(title, start_m * 1000000000 + ordinal) < arg_min(title, start_m * 1000000000 + ordinal) THEN 'rising' ELSE 'steady' END AS progression
-    FROM roles GROUP BY owner""",
-)
-def agg_trajectory(t: Tables) -> DataFrame:
-    at = F.col("start_m") * F.lit(1_000_000_000).cast("long") + F.col("ordinal")
-    return roles(t).groupBy("owner").agg(
-        F.floor(F.avg(F.col("end_m") - F.col("start_m")) + 0.5).alias("avg_tenure"),
-        F.when(F.countDistinct("source") <= 2, "consistent").otherwise("diverse").alias("consistency"),
-        F.when(F.max_by("title", at) < F.min_by("title", at), "rising").otherwise("steady").alias("progression"),
-    )
-
-
-@query(
-    "agg_reconstruct_roles",
-    f"""WITH {EVIDENCE}, r AS (SELECT owner, node, domain, role_id, CAST(sum(n_months) AS BIGINT) AS n_months FROM evidence GROUP BY owner, node, domain, role_id)
-    SELECT owner, node, domain, role_id, n_months FROM r QUALIFY row_number() OVER (PARTITION BY owner, node ORDER BY n_months DESC, role_id, domain) = 1""",
-)
-def agg_reconstruct_roles(t: Tables) -> DataFrame:
-    r = evidence(t).groupBy("owner", "node", "domain", "role_id").agg(F.sum("n_months").cast("long").alias("n_months"))
-    return ev.top_k(r, ["owner", "node"], [F.desc("n_months"), F.col("role_id"), F.col("domain")], 1).drop("place")
-
-
-@query(
-    "agg_identity",
-    f"""WITH {ROLES} SELECT owner, arg_max(title, start_m * 1000000000 + ordinal) AS recent_title, min(title) AS best_title, count(*) AS n_roles,
-    CASE WHEN max(end_m) - min(start_m) >= 60 THEN 'senior' WHEN max(end_m) - min(start_m) >= 24 THEN 'mid' ELSE 'junior' END AS bucket FROM roles GROUP BY owner""",
-)
-def agg_identity(t: Tables) -> DataFrame:
-    span = F.max("end_m") - F.min("start_m")
-    at = F.col("start_m") * F.lit(1_000_000_000).cast("long") + F.col("ordinal")
-    return roles(t).groupBy("owner").agg(
-        F.max_by("title", at).alias("recent_title"),
-        F.min("title").alias("best_title"),
-        F.count(F.lit(1)).alias("n_roles"),
-        F.when(span >= 60, "senior").when(span >= 24, "mid").otherwise("junior").alias("bucket"),
-    )
-
-
 @query(
     "agg_terminal_degree",
     f"WITH {ROLES} SELECT owner, title, ordinal FROM roles QUALIFY row_number() OVER (PARTITION BY owner ORDER BY title, ordinal) = 1",
@@ -432,11 +357,6 @@ DEPTH = """CAST(least(n_roles * 10, 40) + least(floor(total_months / 6) * 5, 30)
 LEVEL = "CASE WHEN score >= 80 THEN 'expert' WHEN score >= 60 THEN 'advanced' WHEN score >= 40 THEN 'applied' ELSE 'foundational' END"
 
 
-@query("agg_depth", f"WITH {NODES}, d AS (SELECT owner, node, {DEPTH} AS score FROM nodes) SELECT owner, node, score, {LEVEL} AS level FROM d")
-def agg_depth(t: Tables) -> DataFrame:
-    return nodes(t).select("owner", "node", ev.depth_score().alias("score")).withColumn("level", ev.depth_level(F.col("score")))
-
-
 @query(
     "agg_depth_from_summary",
     f"WITH {NODES}, d AS (SELECT {DEPTH} AS score FROM nodes), l AS (SELECT {LEVEL} AS level FROM d) SELECT level, count(*) AS n FROM l GROUP BY level",
@@ -445,14 +365,6 @@ def agg_depth_from_summary(t: Tables) -> DataFrame:
     return nodes(t).groupBy(ev.depth_level(ev.depth_score()).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "agg_classify_cloud",
-    f"WITH {EVIDENCE} SELECT domain, node, count(*) AS n, CAST(sum(n_months) AS BIGINT) AS score FROM evidence GROUP BY ROLLUP (domain, node)",
-)
-def agg_classify_cloud(t: Tables) -> DataFrame:
-    return evidence(t).rollup("domain", "node").agg(F.count(F.lit(1)).alias("n"), F.sum("n_months").cast("long").alias("score"))
-
-
 ISLANDS = f"""{ROLES},
 reach AS (SELECT *, max(end_m) OVER (PARTITION BY owner ORDER BY start_m, end_m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM roles),
 numbered AS (SELECT *, sum(CASE WHEN start_m <= r THEN 0 ELSE 1 END) OVER (PARTITION BY owner ORDER BY start_m, end_m ROWS UNBOUNDED PRECEDING) AS island FROM reach),
@@ -487,47 +399,6 @@ def agg_union_coverage(t: Tables) -> DataFrame:
     return tm.union_coverage(r, windows).select("owner", F.round("share", 6).alias("share"))
 
 
-@query(
-    "agg_employer_groups",
-    f"WITH {ROLES} SELECT owner, source, count(*) AS n, count(DISTINCT title) AS n_titles, count(DISTINCT title) >= 2 AS rotational FROM roles GROUP BY owner, source HAVING count(DISTINCT start_m) >= 2",
-)
-def agg_employer_groups(t: Tables) -> DataFrame:
-    g = roles(t).groupBy("owner", "source").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("title").alias("n_titles"), F.countDistinct("start_m").alias("starts")
-    )
-    return g.where("starts >= 2").select("owner", "source", "n", "n_titles", (F.col("n_titles") >= 2).alias("rotational"))
-
-
-@query(
-    "agg_group_conflicts",
-    f"""WITH {ROLES} SELECT owner, source, count(DISTINCT start_m) > 1 AS date_conflict, count(DISTINCT title) > 1 AS title_conflict,
-    bool_or(end_m - start_m >= 6) AND bool_or(end_m - start_m < 3) AS detail_conflict FROM roles GROUP BY owner, source HAVING count(*) >= 2""",
-)
-def agg_group_conflicts(t: Tables) -> DataFrame:
-    length = F.col("end_m") - F.col("start_m")
-    g = roles(t).groupBy("owner", "source").agg(
-        (F.countDistinct("start_m") > 1).alias("date_conflict"),
-        (F.countDistinct("title") > 1).alias("title_conflict"),
-        (F.bool_or(length >= 6) & F.bool_or(length < 3)).alias("detail_conflict"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    return g.where("n >= 2").drop("n")
-
-
-@query(
-    "agg_conflict_report",
-    f"""WITH {ROLES}, g AS (SELECT owner, source, count(DISTINCT title) > 1 AS titles, max(start_m) - min(start_m) > 24 AS spread FROM roles GROUP BY owner, source HAVING count(*) >= 2)
-    SELECT owner, count(*) AS n_groups, count(*) FILTER (titles) AS n_title_conflicts, count(*) FILTER (spread) AS n_spread FROM g GROUP BY owner""",
-)
-def agg_conflict_report(t: Tables) -> DataFrame:
-    g = roles(t).groupBy("owner", "source").agg(
-        (F.countDistinct("title") > 1).alias("titles"), (F.max("start_m") - F.min("start_m") > 24).alias("spread"), F.count(F.lit(1)).alias("n")
-    )
-    return g.where("n >= 2").groupBy("owner").agg(
-        F.count(F.lit(1)).alias("n_groups"), F.count_if("titles").alias("n_title_conflicts"), F.count_if("spread").alias("n_spread")
-    )
-
-
 @query(
     "agg_gap_patterns",
     f"WITH {APPLICATIONS} SELECT gap, count(*) AS n, count(DISTINCT user_id) AS n_users FROM applications GROUP BY gap HAVING count(*) >= 2",
@@ -593,21 +464,6 @@ def agg_evidence_tag_counts(t: Tables) -> DataFrame:
     return counts.unpivot(["owner"], list(tags), "tag", "n").where("n > 0")
 
 
-@query(
-    "agg_eligibility",
-    f"""WITH {NODES}, c AS (SELECT owner, CASE WHEN has_validation THEN 0 WHEN n_roles >= 2 THEN 1 ELSE 2 END AS s FROM nodes)
-    SELECT owner, CASE max(s) WHEN 2 THEN 'fail' WHEN 1 THEN 'hold' ELSE 'pass' END AS status, count(*) FILTER (s = 2) AS n_fail, count(*) FILTER (s = 1) AS n_hold FROM c GROUP BY owner""",
-)
-def agg_eligibility(t: Tables) -> DataFrame:
-    c = nodes(t).withColumn("s", F.when(F.col("has_validation"), 0).when(F.col("n_roles") >= 2, 1).otherwise(2))
-    worst = F.max("s")
-    return c.groupBy("owner").agg(
-        F.when(worst == 2, "fail").when(worst == 1, "hold").otherwise("pass").alias("status"),
-        F.count_if(F.col("s") == 2).alias("n_fail"),
-        F.count_if(F.col("s") == 1).alias("n_hold"),
-    )
-
-
 POSITION = """CASE WHEN total = 0 THEN 'competitive' WHEN floor(100.0 * met / total + 0.5) >= 90 THEN 'strong fit' WHEN floor(100.0 * met / total + 0.5) >= 75 THEN 'good fit'
     WHEN floor(100.0 * met / total + 0.5) >= 50 THEN 'partial fit' ELSE 'stretch' END"""
 
@@ -621,20 +477,6 @@ def agg_position(t: Tables) -> DataFrame:
     return p.withColumn("label", ev.position(F.col("met"), F.col("total")))
 
 
-@query(
-    "agg_match_report",
-    f"""WITH {NODES}, v AS (SELECT *, {VERDICT} AS verdict FROM nodes), p AS (SELECT owner, count(*) AS total, count(*) FILTER (verdict = 'strong') AS met,
-    count(*) FILTER (verdict = 'exists') AS thin, count(*) FILTER (verdict = 'claimed') AS missing FROM v GROUP BY owner) SELECT *, {POSITION} AS label FROM p""",
-)
-def agg_match_report(t: Tables) -> DataFrame:
-    v = nodes(t).withColumn("verdict", ev.verdict())
-    p = v.groupBy("owner").agg(
-        F.count(F.lit(1)).alias("total"),
-        *[F.count_if(F.col("verdict") == a).alias(b) for a, b in (("strong", "met"), ("exists", "thin"), ("claimed", "missing"))],
-    )
-    return p.withColumn("label", ev.position(F.col("met"), F.col("total")))
-
-
 @query(
     "agg_nested_parse_flatten",
     f"WITH {EVIDENCE} SELECT owner, len(list_distinct(list_concat(list(node), list(domain)))) AS n_terms FROM evidence GROUP BY owner",
@@ -656,29 +498,6 @@ def agg_cluster(t: Tables) -> DataFrame:
     return best.select(*keys, "c_custkey", F.col("place").cast("long").alias("place"), "n")
 
 
-@query(
-    "agg_feedback_signals",
-    "SELECT user_id, count(*) FILTER (event_type = 'error') AS negative, count(*) FILTER (event_type = 'purchase') AS positive FROM events "
-    "WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY user_id",
-)
-def agg_feedback_signals(t: Tables) -> DataFrame:
-    recent = t.events.where(F.col("ts") >= F.lit("2024-01-10").cast("timestamp"))
-    kind = F.col("event_type")
-    return recent.groupBy("user_id").agg(F.count_if(kind == "error").alias("negative"), F.count_if(kind == "purchase").alias("positive"))
-
-
-@query(
-    "agg_pair_weights",
-    """WITH s AS (SELECT user_id, count(*) FILTER (event_type = 'error') AS neg, count(*) FILTER (event_type = 'purchase') AS pos FROM events GROUP BY user_id)
-    SELECT user_id, round(greatest(0.5, least(3.0, 1 + least(0.3 * neg, 2) - CASE WHEN pos > neg THEN 0.3 ELSE 0 END)), 6) AS weight FROM s""",
-)
-def agg_pair_weights(t: Tables) -> DataFrame:
-    kind = F.col("event_type")
-    s = t.events.groupBy("user_id").agg(F.count_if(kind == "error").alias("neg"), F.count_if(kind == "purchase").alias("pos"))
-    raw = 1 + F.least(0.3 * F.col("neg"), F.lit(2.0)) - F.when(F.col("pos") > F.col("neg"), 0.3).otherwise(0.0)
-    return s.select("user_id", F.round(F.greatest(F.lit(0.5), F.least(F.lit(3.0), raw)), 6).alias("weight"))
-
-
 @query(
     "agg_mutation_stats",
     "SELECT event_type, count(*) AS total, count(*) FILTER (value >= 10) AS kept, round(count(*) FILTER (value >= 10) / count(*) + CASE WHEN count(*) < 1500 THEN 0.1 ELSE 0 END, 6) AS score FROM events GROUP BY event_type",
@@ -725,35 +544,6 @@ def agg_p95_latency(t: Tables) -> DataFrame:
     return nearest(t.events, "event_type", "value", "event_id", 0.95).select("event_type", F.col("value").alias("p95"))
 
 
-@query(
-    "agg_industry_argmax",
-    """WITH h AS (SELECT p_partkey, unnest(['warm', 'cold', 'tiny']) AS industry, unnest([CAST(p_name LIKE '%red%' AS INT) + CAST(p_name LIKE '%hot%' AS INT),
-    CAST(p_name LIKE '%blue%' AS INT), CAST(p_name LIKE '%small%' AS INT) + CAST(p_size < 10 AS INT)]) AS hits FROM part)
-    SELECT p_partkey, CASE WHEN max(hits) = 0 THEN 'unknown' ELSE arg_max(industry, hits * 10 - CASE industry WHEN 'warm' THEN 0 WHEN 'cold' THEN 1 ELSE 2 END) END AS industry FROM h GROUP BY p_partkey""",
-)
-def agg_industry_argmax(t: Tables) -> DataFrame:
-    def has(word: str):
-        return F.col("p_name").contains(word).cast("int")
-
-    hits = [("warm", has("red") + has("hot")), ("cold", has("blue")), ("tiny", has("small") + (F.col("p_size") < 10).cast("int"))]
-    best = F.greatest(*[h for _, h in hits])
-    label = F.when(best == 0, "unknown")
-    for name, h in hits:
-        label = label.when(h == best, name)
-    return t.part.select("p_partkey", label.alias("industry"))
-
-
-@query(
-    "agg_skill_gaps",
-    f"""WITH {NODES} SELECT owner, node, CASE WHEN n_roles = 1 AND total_months >= 5 AND NOT has_depth THEN 'shallow' ELSE 'unproven' END AS kind FROM nodes
-    WHERE (n_roles = 1 AND total_months >= 5 AND NOT has_depth) OR (NOT has_impact AND NOT has_validation)""",
-)
-def agg_skill_gaps(t: Tables) -> DataFrame:
-    shallow = (F.col("n_roles") == 1) & (F.col("total_months") >= 5) & ~F.col("has_depth")
-    unproven = ~F.col("has_impact") & ~F.col("has_validation")
-    return nodes(t).where(shallow | unproven).select("owner", "node", F.when(shallow, "shallow").otherwise("unproven").alias("kind"))
-
-
 # --- windows ---
 
 

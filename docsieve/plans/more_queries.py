@@ -11,7 +11,6 @@ from docsieve.functions import text as tx
 from docsieve.operators import evidence as ev
 from docsieve.operators import layout
 from docsieve.operators import temporal as tm
-from docsieve.plans.core_queries import POSITION
 from docsieve.plans.join_queries import CHECKS, REQUIREMENTS, requirements, scorecard
 from docsieve.plans.registry import EVIDENCE, LINES, NODES, ROLES, VERDICT, query
 from docsieve.plans.standins import evidence, lines, nodes, roles
@@ -196,18 +195,6 @@ def fn_parse_sanity_date(t: Tables) -> DataFrame:
     return written_dates(t).select("o_orderkey", parsed.alias("month_no"))
 
 
-@query("fn_conflict_questions", f"""WITH {ROLES}, g AS (SELECT owner, source, count(DISTINCT title) > 1 AS titles, max(start_m) - min(start_m) > 24 AS spread FROM roles GROUP BY owner, source HAVING count(*) >= 2),
-    q AS (SELECT owner, source, unnest([CASE WHEN titles THEN 'which title?' END, CASE WHEN spread THEN 'which dates?' END]) AS question FROM g)
-    SELECT owner, source, question FROM q WHERE question IS NOT NULL QUALIFY row_number() OVER (PARTITION BY owner ORDER BY question, source) <= 4""")
-def fn_conflict_questions(t: Tables) -> DataFrame:
-    g = roles(t).groupBy("owner", "source").agg(
-        (F.countDistinct("title") > 1).alias("titles"), (F.max("start_m") - F.min("start_m") > 24).alias("spread"), F.count(F.lit(1)).alias("n")
-    )
-    asked = F.explode(F.array(F.when(F.col("titles"), "which title?"), F.when(F.col("spread"), "which dates?")))
-    q = g.where("n >= 2").select("owner", "source", asked.alias("question")).where("question IS NOT NULL")
-    return ev.top_k(q, ["owner"], [F.col("question"), F.col("source")], 4).drop("place")
-
-
 @query("fn_beta_inc")
 def fn_beta_inc(t: Tables) -> DataFrame:
     """The chance that a part's true share is under a half, after s of n."""
@@ -229,38 +216,9 @@ def arc_extractors(t: Tables) -> DataFrame:
     return lines(t).groupBy("doc_id").agg(F.min(F.when(F.length(line) > 40, F.col("pos"))).alias("summary_line"), F.count_if(line.rlike("^[A-Z]")).alias("n_titles"))
 
 
-@query("arc_matcher_parts", f"WITH {REQUIREMENTS} SELECT r.owner, count(*) FILTER (n.node IS NOT NULL AND n.n_roles >= 2) AS met, count(*) FILTER (n.node IS NOT NULL AND n.n_roles < 2) AS partially, count(*) FILTER (n.node IS NULL) AS not_met FROM reqs r LEFT JOIN nodes n ON n.owner = r.owner AND n.node = r.keyword WHERE r.owner >= 0 GROUP BY r.owner")
-def arc_matcher_parts(t: Tables) -> DataFrame:
-    n = nodes(t).select("owner", F.col("node").alias("keyword"), "n_roles")
-    j = requirements(t).where("owner >= 0").join(n, ["owner", "keyword"], "left")
-    k = F.col("n_roles")
-    return j.groupBy("owner").agg(F.count_if(k >= 2).alias("met"), F.count_if(k < 2).alias("partially"), F.count_if(k.isNull()).alias("not_met"))
-
-
 # --- graph, contradictions and reports ---
 
 
-@query("agg_graph_builder", f"WITH {EVIDENCE}, e AS (SELECT owner, node, domain, count(*) AS n FROM evidence GROUP BY ALL) SELECT owner, node, domain, CAST(sum(n) OVER (PARTITION BY owner, node) AS BIGINT) AS n_evidence FROM e QUALIFY row_number() OVER (PARTITION BY owner, node ORDER BY n DESC, domain) = 1")
-def agg_graph_builder(t: Tables) -> DataFrame:
-    """Nodes with their most frequent domain and all their evidence."""
-    each = evidence(t).groupBy("owner", "node", "domain").agg(F.count(F.lit(1)).alias("n"))
-    total = each.withColumn("n_evidence", F.sum("n").over(Window.partitionBy("owner", "node")))
-    return ev.top_k(total, ["owner", "node"], [F.desc("n"), F.col("domain")], 1).select("owner", "node", "domain", "n_evidence")
-
-
-@query("agg_quick_analysis", f"WITH {REQUIREMENTS}, p AS (SELECT r.owner, count(*) AS total, count(n.node) AS met FROM reqs r LEFT JOIN nodes n ON n.owner = r.owner AND n.node = r.keyword WHERE r.owner >= 0 GROUP BY r.owner) SELECT *, {POSITION} AS label FROM p")
-def agg_quick_analysis(t: Tables) -> DataFrame:
-    n = nodes(t).select("owner", F.col("node").alias("keyword"), F.lit(1).alias("hit"))
-    p = requirements(t).where("owner >= 0").join(n, ["owner", "keyword"], "left").groupBy("owner").agg(F.count(F.lit(1)).alias("total"), F.count("hit").alias("met"))
-    return p.withColumn("label", ev.position(F.col("met"), F.col("total")))
-
-
-@query("agg_contradictions", f"WITH {ROLES} SELECT owner, count(DISTINCT source) AS n_sources, bool_or(title = '5-LOW') AND count(DISTINCT source) > 2 AS contradicts FROM roles GROUP BY owner")
-def agg_contradictions(t: Tables) -> DataFrame:
-    n = F.countDistinct("source")
-    return roles(t).groupBy("owner").agg(n.alias("n_sources"), (F.bool_or(F.col("title") == "5-LOW") & (n > 2)).alias("contradicts"))
-
-
 @query("agg_ground_truth_fixes", "SELECT l_orderkey, count(*) AS n_fixes FROM lineitem WHERE l_tax = 0 AND l_discount > 0.05 GROUP BY l_orderkey")
 def agg_ground_truth_fixes(t: Tables) -> DataFrame:
     return t.lineitem.where("l_tax = 0 AND l_discount > 0.05").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_fixes"))
