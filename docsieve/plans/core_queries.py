@@ -116,32 +116,6 @@ def sink_tsv(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", src.tsv_line(F.col("n_nationkey"), F.col("n_name")).alias("line"))
 
 
-@query(
-    "src_csv_two_col",
-    "SELECT url AS line_url, left(url, position('/' IN substr(url, 8)) + 6) AS site, substr(url, position('/' IN substr(url, 8)) + 8) AS rest FROM pages",
-)
-def src_csv_two_col(t: Tables) -> DataFrame:
-    """A line cut at the first separator after a fixed prefix."""
-    return t.pages.select(
-        F.col("url").alias("line_url"),
-        F.expr("left(url, instr(substring(url, 8), '/') + 6)").alias("site"),
-        F.expr("substring(url, instr(substring(url, 8), '/') + 8)").alias("rest"),
-    )
-
-
-@query(
-    "src_zip_detect",
-    "SELECT c_mktsegment, len(list_intersect(list(DISTINCT n_name), ['NATION_1', 'NATION_2', 'NATION_3'])) >= 2 AS is_export "
-    "FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_mktsegment",
-)
-def src_zip_detect(t: Tables) -> DataFrame:
-    """Whether a set of names holds two of the known ones."""
-    known = F.array(*[F.lit(f"NATION_{i}") for i in (1, 2, 3)])
-    names = t.customer.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey"))
-    held = names.groupBy("c_mktsegment").agg(F.collect_set("n_name").alias("names"))
-    return held.select("c_mktsegment", (F.size(F.array_intersect("names", known)) >= 2).alias("is_export"))
-
-
 # --- filters and projections ---
 
 
@@ -399,15 +373,6 @@ def agg_union_coverage(t: Tables) -> DataFrame:
     return tm.union_coverage(r, windows).select("owner", F.round("share", 6).alias("share"))
 
 
-@query(
-    "agg_gap_patterns",
-    f"WITH {APPLICATIONS} SELECT gap, count(*) AS n, count(DISTINCT user_id) AS n_users FROM applications GROUP BY gap HAVING count(*) >= 2",
-)
-def agg_gap_patterns(t: Tables) -> DataFrame:
-    g = applications(t).groupBy("gap").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"))
-    return g.where("n >= 2").orderBy(F.desc("n"), "gap")
-
-
 FUNNEL = """count(*) AS total, count(*) FILTER (stage <> 'saved') AS applied, count(*) FILTER (stage IN ('interview', 'offer')) AS interviews,
     count(*) FILTER (stage = 'offer') AS offers"""
 
@@ -791,14 +756,6 @@ def smp_longest_and_median(t: Tables) -> DataFrame:
     return r.where((F.col("k") == 1) | (F.col("k") == F.floor(F.col("n") / 2) + 1)).select("lang", "doc_id", (F.col("k") == 1).alias("longest"))
 
 
-@query(
-    "smp_weighted_or_fixed",
-    "SELECT c_custkey FROM customer WHERE c_acctbal < 0 ORDER BY c_acctbal, c_custkey LIMIT 20",
-)
-def smp_weighted_or_fixed(t: Tables) -> DataFrame:
-    return t.customer.where("c_acctbal < 0").orderBy("c_acctbal", "c_custkey").limit(20).select("c_custkey")
-
-
 # --- sets ---
 
 

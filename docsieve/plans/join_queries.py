@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docsieve.functions import text as tx
 from docsieve.operators import evidence as ev
 from docsieve.operators import matching as mt
-from docsieve.plans.registry import EVIDENCE, LINES, NODES, ROLES, query
+from docsieve.plans.registry import EVIDENCE, NODES, ROLES, query
 from docsieve.plans.standins import evidence, lines, nodes, roles
 from docsieve.plans.text_queries import SIGNIFICANT, WORDS, count_sql
 from docsieve.sources import tables as src
@@ -160,15 +160,6 @@ def win_training_floor(t: Tables) -> DataFrame:
 # --- validation and repair ---
 
 
-@query(
-    "val_schema",
-    "SELECT event_id, CASE WHEN value < 0 THEN 'value' END AS broken_value, user_id IS NULL AS no_user FROM events WHERE value < 0 OR user_id IS NULL OR value > 40",
-)
-def val_schema(t: Tables) -> DataFrame:
-    bad = t.events.where("value < 0 OR user_id IS NULL OR value > 40")
-    return bad.select("event_id", F.when(F.col("value") < 0, "value").alias("broken_value"), F.col("user_id").isNull().alias("no_user"))
-
-
 @query("val_repair", "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, 0 AS n_tags FROM events")
 def val_repair(t: Tables) -> DataFrame:
     """Numbers from strings, and empty arrays for missing ones."""
@@ -185,12 +176,6 @@ def val_request(t: Tables) -> DataFrame:
     return valid.select("c_custkey")
 
 
-SANITY = f"""{LINES}, issues AS (
-  SELECT doc_id, 'short' AS issue, 'error' AS severity FROM documents WHERE n_chars < 100
-  UNION ALL SELECT doc_id, 'digits', 'warning' FROM documents WHERE regexp_matches(text, '[0-9]{{5,}}')
-  UNION ALL SELECT doc_id, 'repeated line', 'warning' FROM (SELECT doc_id, line FROM lines WHERE length(line) >= 4 GROUP BY doc_id, line HAVING count(*) >= 3) GROUP BY doc_id)"""
-
-
 def sanity(t: Tables) -> DataFrame:
     docs = t.documents
     repeated = lines(t).where("length(line) >= 4").groupBy("doc_id", "line").count().where("count >= 3").select("doc_id").distinct()
@@ -205,35 +190,6 @@ def sanity(t: Tables) -> DataFrame:
     )
 
 
-@query("val_sanity", f"WITH {SANITY} SELECT * FROM issues")
-def val_sanity(t: Tables) -> DataFrame:
-    return sanity(t)
-
-
-@query("agg_sanity_report", f"WITH {SANITY} SELECT doc_id, count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings, count(*) FILTER (severity = 'error') = 0 AS passed FROM issues GROUP BY doc_id")
-def agg_sanity_report(t: Tables) -> DataFrame:
-    errors, warnings = F.count_if(F.col("severity") == "error"), F.count_if(F.col("severity") == "warning")
-    return sanity(t).groupBy("doc_id").agg(errors.alias("n_errors"), warnings.alias("n_warnings"), (errors == 0).alias("passed"))
-
-
-@query("rpt_text_reports", f"WITH {SANITY} SELECT doc_id, string_agg(severity || ': ' || issue, '; ' ORDER BY severity, issue) AS report FROM issues GROUP BY doc_id")
-def rpt_text_reports(t: Tables) -> DataFrame:
-    each = F.sort_array(F.collect_list(F.concat("severity", F.lit(": "), "issue")))
-    return sanity(t).groupBy("doc_id").agg(F.concat_ws("; ", each).alias("report"))
-
-
-@query("val_quota", "SELECT user_id, count(*) AS used, count(*) > 80 AS over FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01' GROUP BY user_id")
-def val_quota(t: Tables) -> DataFrame:
-    month = t.events.where((F.col("ts") >= F.lit("2024-01-01").cast("timestamp")) & (F.col("ts") < F.lit("2024-02-01").cast("timestamp")))
-    n = F.count(F.lit(1))
-    return month.groupBy("user_id").agg(n.alias("used"), (n > 80).alias("over"))
-
-
-@query("agg_clean_report", f"WITH {LINES} SELECT doc_id, count(*) AS n_before, count(*) FILTER (length(trim(line)) >= 15) AS n_after FROM lines GROUP BY doc_id")
-def agg_clean_report(t: Tables) -> DataFrame:
-    return lines(t).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_before"), F.count_if(F.length(F.trim("line")) >= 15).alias("n_after"))
-
-
 # --- scorecards: long tables of checks, with gates ---
 
 CHECKS = f"""checks AS (
@@ -279,18 +235,6 @@ def st_recent_30d(t: Tables) -> DataFrame:
     return t.events.where(F.col("ts") >= F.lit("2024-01-21").cast("timestamp")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("st_status_machine", "SELECT event_id, user_id, lag(event_type) OVER w AS came_from, event_type AS state, coalesce(lag(event_type) OVER w <> 'purchase', TRUE) AS allowed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
-def st_status_machine(t: Tables) -> DataFrame:
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return t.events.select("event_id", "user_id", before.alias("came_from"), F.col("event_type").alias("state"), F.coalesce(before != "purchase", F.lit(True)).alias("allowed"))
-
-
-@query("st_loop_state", "SELECT event_id, user_id, count(*) OVER w AS n_seen, count(*) FILTER (event_type = 'purchase') OVER w AS n_kept FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
-def st_loop_state(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return t.events.select("event_id", "user_id", F.count(F.lit(1)).over(w).alias("n_seen"), F.count_if(F.col("event_type") == "purchase").over(w).alias("n_kept"))
-
-
 @query("st_rate_limit", "WITH g AS (SELECT event_id, user_id, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events) SELECT user_id, count(*) FILTER (d < 600) AS n_too_soon FROM g GROUP BY user_id")
 def st_rate_limit(t: Tables) -> DataFrame:
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from docsieve.functions import rules, stats
 from docsieve.functions import text as tx
-from docsieve.operators import evidence as ev
 from docsieve.operators import layout
 from docsieve.operators import temporal as tm
-from docsieve.plans.join_queries import CHECKS, REQUIREMENTS, requirements, scorecard
-from docsieve.plans.registry import EVIDENCE, LINES, NODES, ROLES, VERDICT, query
+from docsieve.plans.join_queries import REQUIREMENTS, requirements
+from docsieve.plans.registry import LINES, NODES, query
 from docsieve.plans.standins import evidence, lines, nodes, roles
 from docsieve.plans.text_queries import written_dates
 from docsieve.sources import tables as src
@@ -100,38 +98,6 @@ def sink_json_report(t: Tables) -> DataFrame:
     return t.spark.read.schema("c_mktsegment string, n bigint").json(path)
 
 
-@query("src_indexes", "SELECT user_id, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY user_id")
-def src_indexes(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
-
-
-@query("src_jd_sources", "SELECT 'part' AS corpus, CAST(p_partkey AS VARCHAR) AS id, p_name AS title FROM part UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplier")
-def src_jd_sources(t: Tables) -> DataFrame:
-    a = t.part.select(F.lit("part").alias("corpus"), F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("title"))
-    b = t.supplier.select(F.lit("supplier").alias("corpus"), F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("title"))
-    return a.unionByName(b)
-
-
-@query("src_zip_guard", "SELECT url, length(html) <= 20000 AS small_enough FROM pages")
-def src_zip_guard(t: Tables) -> DataFrame:
-    """Members over the limit are marked."""
-    return t.pages.select("url", (F.length("html") <= 20000).alias("small_enough"))
-
-
-EXPORT = T.StructType([T.StructField(c, T.StringType()) for c in ("title", "company", "started")])
-
-
-@query("src_export_files", f"WITH {ROLES} SELECT owner, ordinal, title, 'status ' || source AS company FROM roles")
-def src_export_files(t: Tables) -> DataFrame:
-    shaped = roles(t).withColumn("position", F.to_json(F.struct("title", F.concat(F.lit("status "), "source").alias("company"), F.col("start_m").cast("string").alias("started"))))
-    return shaped.select("owner", "ordinal", F.from_json("position", EXPORT).alias("p")).select("owner", "ordinal", "p.title", "p.company")
-
-
-@query("prj_resume_reshape", f"WITH {EVIDENCE} SELECT owner, role_id, string_agg(DISTINCT node, ',' ORDER BY node) AS skills FROM evidence GROUP BY owner, role_id")
-def prj_resume_reshape(t: Tables) -> DataFrame:
-    return evidence(t).groupBy("owner", "role_id").agg(F.concat_ws(",", F.sort_array(F.collect_set("node"))).alias("skills"))
-
-
 # --- layout: a part's line items as the items of a page ---
 
 ITEMS = "items AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS item, CAST(l_quantity AS INTEGER) * 12 AS x, l_linenumber * 10 AS y FROM lineitem)"
@@ -210,20 +176,9 @@ def flt_terminal_degree(t: Tables) -> DataFrame:
     return t.orders.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey")
 
 
-@query("arc_extractors", f"WITH {LINES} SELECT doc_id, min(pos) FILTER (length(line) > 40) AS summary_line, count(*) FILTER (regexp_matches(line, '^[A-Z]')) AS n_titles FROM lines GROUP BY doc_id")
-def arc_extractors(t: Tables) -> DataFrame:
-    line = F.col("line")
-    return lines(t).groupBy("doc_id").agg(F.min(F.when(F.length(line) > 40, F.col("pos"))).alias("summary_line"), F.count_if(line.rlike("^[A-Z]")).alias("n_titles"))
-
-
 # --- graph, contradictions and reports ---
 
 
-@query("agg_ground_truth_fixes", "SELECT l_orderkey, count(*) AS n_fixes FROM lineitem WHERE l_tax = 0 AND l_discount > 0.05 GROUP BY l_orderkey")
-def agg_ground_truth_fixes(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_tax = 0 AND l_discount > 0.05").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_fixes"))
-
-
 @query("txt_prompts", f"WITH {NODES} SELECT owner, string_agg(node || ': ' || n_roles || ' roles', chr(10) ORDER BY node) AS context FROM nodes GROUP BY owner")
 def txt_prompts(t: Tables) -> DataFrame:
     each = F.sort_array(F.collect_list(F.struct("node", F.format_string("%s: %d roles", "node", "n_roles").alias("line"))))
@@ -233,11 +188,6 @@ def txt_prompts(t: Tables) -> DataFrame:
 # --- validation and scores ---
 
 
-@query("val_generated", "SELECT page_id, regexp_matches(html, '<title>') AND regexp_matches(html, '</html>') AS well_formed FROM pages")
-def val_generated(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", (F.col("html").rlike("<title>") & F.col("html").rlike("</html>")).alias("well_formed"))
-
-
 @query("val_retry_ladder", "SELECT user_id, event_id, CASE row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) WHEN 1 THEN 'same tier' WHEN 2 THEN 'with a hint' WHEN 3 THEN 'quality tier' ELSE 'failed' END AS step FROM events WHERE event_type = 'error'")
 def val_retry_ladder(t: Tables) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
@@ -259,51 +209,15 @@ def sc_action_verbs(t: Tables) -> DataFrame:
     return s.select("doc_id", F.round("s", 6).alias("score"), (F.col("s") >= 0.5).alias("passed"))
 
 
-@query("sc_variant", f"WITH {CHECKS} SELECT source, round(avg(score), 6) AS mean, count(DISTINCT c.doc_id) AS n_docs FROM checks c JOIN documents d ON d.doc_id = c.doc_id GROUP BY source")
-def sc_variant(t: Tables) -> DataFrame:
-    j = scorecard(t).join(t.documents.select("doc_id", "source"), "doc_id")
-    return j.groupBy("source").agg(F.round(F.avg("score"), 6).alias("mean"), F.countDistinct("doc_id").alias("n_docs"))
-
-
-@query("sc_safeguards", f"WITH {CHECKS} SELECT doc_id, bool_and(passed) FILTER (hard) AS ready, avg(score) FILTER (NOT hard) >= 0.5 AS steady, bool_and(passed) FILTER (hard) AND avg(score) FILTER (NOT hard) >= 0.5 AS overall FROM checks GROUP BY doc_id")
-def sc_safeguards(t: Tables) -> DataFrame:
-    ready = F.bool_and(F.when(F.col("hard"), F.col("passed")))
-    steady = F.avg(F.when(~F.col("hard"), F.col("score"))) >= 0.5
-    return scorecard(t).groupBy("doc_id").agg(ready.alias("ready"), steady.alias("steady"), (ready & steady).alias("overall"))
-
-
-@query("sc_pretest", "WITH p AS (SELECT event_type, stddev_samp(value) / sqrt(count(*)) AS e FROM events GROUP BY event_type) SELECT event_type, CASE WHEN e < 0.3 THEN 'proceed' WHEN e < 1 THEN 'investigate' ELSE 'abort' END AS verdict FROM p")
-def sc_pretest(t: Tables) -> DataFrame:
-    e = F.stddev_samp("value") / F.sqrt(F.count(F.lit(1)))
-    return t.events.groupBy("event_type").agg(F.when(e < 0.3, "proceed").when(e < 1, "investigate").otherwise("abort").alias("verdict"))
-
-
-@query("sc_adapters", "SELECT conv_id, count(*) FILTER (role = 'user') AS n_asked, count(*) FILTER (role = 'assistant') AS n_answered, bool_or(role = 'system') AS has_system FROM conversations GROUP BY conv_id")
-def sc_adapters(t: Tables) -> DataFrame:
-    role = F.col("role")
-    return t.conversations.groupBy("conv_id").agg(F.count_if(role == "user").alias("n_asked"), F.count_if(role == "assistant").alias("n_answered"), F.bool_or(role == "system").alias("has_system"))
-
-
 # --- state ---
 
 
-@query("st_snapshot", f"WITH {NODES}, v AS (SELECT owner, {VERDICT} AS verdict FROM nodes) SELECT owner, verdict, count(*) AS n FROM v GROUP BY owner, verdict")
-def st_snapshot(t: Tables) -> DataFrame:
-    return nodes(t).groupBy("owner", ev.verdict().alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("st_decay_90d", "SELECT o_custkey AS owner, date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2001-12-31') < 90 AS fresh FROM orders GROUP BY o_custkey")
 def st_decay_90d(t: Tables) -> DataFrame:
     age = F.datediff(F.lit("2001-12-31").cast("date"), F.max("o_orderdate").cast("date"))
     return t.orders.groupBy(F.col("o_custkey").alias("owner")).agg((age < 90).alias("fresh"))
 
 
-@query("st_incremental_append", f"WITH {NODES} SELECT owner, node, n_evidence + coalesce(a.n, 0) AS n_evidence FROM nodes LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY user_id) a ON a.user_id = owner")
-def st_incremental_append(t: Tables) -> DataFrame:
-    new = t.events.where("event_type = 'signup'").groupBy(F.col("user_id").alias("owner")).agg(F.count(F.lit(1)).alias("n"))
-    return nodes(t).join(new, "owner", "left").select("owner", "node", (F.col("n_evidence") + F.coalesce("n", F.lit(0))).alias("n_evidence"))
-
-
 @query("st_cron", "SELECT CAST(ts AS DATE) AS run_day, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_failed FROM events GROUP BY run_day ORDER BY run_day DESC LIMIT 100")
 def st_cron(t: Tables) -> DataFrame:
     """A log of nightly runs, of which the last hundred are kept."""
