@@ -121,13 +121,17 @@ def numbered(rows: DataFrame) -> DataFrame:
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None) -> DataFrame:
     """One input row of each group of equal texts, that with the smallest id, with its columns as they were."""
     rows = digested(docs, id_col, text_col)
-    winners = cut(frequent(cut(rows.select("doc_id", "digest")), share))
-    heavy = F.broadcast(winners.select("digest", F.col("keep_id").alias("heavy_id"), F.lit(True).alias("heavy")))
-    left = rows.join(heavy, "digest", "left").where("heavy IS NULL OR doc_id <=> heavy_id")
-    # Of the rows that repeat a frequent text's id, each task sends one.
-    one = left.where("heavy").groupBy("digest").agg(F.first("row").alias("row")).select("row.*")
+    slim = cut(rows.select("doc_id", "digest"))
+    heavy = cut(frequent(slim, share)).select("digest", F.col("keep_id").alias("heavy_id"), F.lit(True).alias("heavy"))
+    left = rows.join(F.broadcast(heavy), "digest", "left").where("heavy IS NULL OR doc_id <=> heavy_id")
     order = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last())
-    rest = left.where("heavy IS NULL").withColumn("place", F.row_number().over(order)).where("place = 1")
+    first = F.row_number().over(order)
+    firsts = slim.join(F.broadcast(heavy), "digest").where("doc_id <=> heavy_id").groupBy("digest").count()
+    if (firsts.agg(F.max("count").alias("most")).first()["most"] or 1) == 1:
+        return left.withColumn("place", first).where("place = 1").select("row.*")
+    # Rows repeat a frequent text's id (or none has one): each task sends one of them.
+    one = left.where("heavy").groupBy("digest").agg(F.first("row").alias("row")).select("row.*")
+    rest = left.where("heavy IS NULL").withColumn("place", first).where("place = 1")
     return rest.select("row.*").unionByName(one)
 
 

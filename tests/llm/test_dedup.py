@@ -185,7 +185,6 @@ def test_jaccard_join(spark, monkeypatch, near, block, rule):
     import random
 
     monkeypatch.setattr(jaccard_join, "NEAR_LEADER", near)
-    monkeypatch.setattr(jaccard_join, "SHORT", block * 2)  # lists are long from few entries on
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
     r, rows = random.Random(5), fixtures.texts()
     base = rows[20][1].split()
@@ -204,20 +203,53 @@ def test_jaccard_join(spark, monkeypatch, near, block, rule):
 def test_position_blocks_skip_what_cannot_link():
     r = np.random.default_rng(2)
     rule = jaccard_join.Rule(3, 90)
-    n = r.integers(5, 80, 600)
-    rows = sorted((int(t), int(x), int(r.integers(0, rule.prefix(x)))) for t, x in zip(r.integers(0, 4, 600), n))
-    token, n, pos = (np.array(c) for c in zip(*rows))
+    rows = []
+    for t in r.integers(0, 4, 600).tolist():
+        lo = int(r.integers(5, 80))
+        hi = lo + int(r.integers(0, 3)) * int(r.integers(0, 2))
+        pos = int(r.integers(0, rule.prefix(lo)))
+        rows.append((t, lo, max(hi, pos + 1 + hi - pos - 1), pos, hi))
+    rows.sort()
+    t = dict(zip(jaccard_join.ORDERED, np.array(rows).T))
     want = set()
-    for i in range(600):
+    for i, (ti, li, ri, pi, hi) in enumerate(rows):
         for j in range(i + 1, 600):
-            bound = min(pos[i], pos[j]) + 1 + min(n[i] - pos[i] - 1, n[j] - pos[j] - 1)
-            if token[i] == token[j] and 100 * n[i] >= 90 * n[j] and bound >= rule.overlap(n[i], n[j]):
+            tj, lj, rj, pj, _ = rows[j]
+            bound = min(pi, pj) + 1 + min(ri - pi - 1, rj - pj - 1)
+            if ti == tj and 100 * hi >= 90 * lj and bound >= rule.overlap(li, lj):
                 want.add((i, j))
-    got = [(i, j) for a, b in jaccard_join.unskipped(token, n, pos, rule, 0, most=50) for i, j in zip(a.tolist(), b.tolist())]
+    got = [p for a, b in jaccard_join.unskipped(t, rule, 0, most=50) for p in zip(a.tolist(), b.tolist())]
     assert set(got) == want and len(got) == len(want)
-    in_size = sum(int(token[i] == token[j] and 100 * n[i] >= 90 * n[j]) for i in range(600) for j in range(i + 1, 600))
+    in_size = sum(rows[i][0] == rows[j][0] and 100 * rows[i][4] >= 90 * rows[j][1] for i in range(600) for j in range(i + 1, 600))
     assert len(got) < 0.9 * in_size  # so many pairs that the lists' order by size alone leaves
-    assert {p for p in got if p[1] >= 300} == {(i, j) for a, b in jaccard_join.unskipped(token, n, pos, rule, 300) for i, j in zip(a.tolist(), b.tolist())}
+    assert {p for p in got if p[1] >= 300} == {p for a, b in jaccard_join.unskipped(t, rule, 300) for p in zip(a.tolist(), b.tolist())}
+
+
+def test_members_are_answered_through_their_leader(spark):
+    """A group's members have no entries in the lists that their leader heads, and links beyond the group are derived."""
+    r = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(int(r.integers(0, 9))):
+            w[int(r.integers(0, 400))] = f"n{int(r.integers(0, 50))}"
+        rows.append((i, " ".join(w)))
+    far = list(base)
+    far[::26] = [f"z{i}" for i in range(len(far[::26]))]  # near some members only
+    rows += [(100 + k, " ".join([*far[: 400 - k], *(f"q{k}{j}" for j in range(k))])) for k in range(4)]
+    rule = jaccard_join.Rule(3, 80)
+    docs = fixtures.table(spark, rows)
+    from docsieve.llm.common import keyed
+
+    keys = keyed(docs)
+    order = jaccard_join.order_of(jaccard_join.survey(keys, rule))
+    lists = jaccard_join.shared_lists(jaccard_join.postings(keys, rule, order), rule).cache()
+    led = jaccard_join.leaders(lists, rule)
+    entries = jaccard_join.grouped_entries(lists, led)
+    assert led.count() > 30 and entries.count() < lists.count() / 4
+    got = jaccard_join.jaccard_join(docs, rule).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in got} == brute_join(rows, rule)
 
 
 def test_components(spark):
