@@ -32,14 +32,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsieve.llm.common import cut
 
 ROLL_BYTES = 32 << 20
-SHARD_BYTES = 32 << 20
-SAMPLE_PER_SHARD = 8
+SHARD_BYTES = 16 << 20
+SAMPLE_PER_SHARD = 64
 MOST_HEAVY = 100_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -67,14 +67,25 @@ def shared_payloads(slim: DataFrame, min_bytes: int) -> DataFrame:
 def shard_bounds(slim: DataFrame) -> np.ndarray:
     """Page ids at which shards begin: quantiles of a sample that the ids alone decide.
 
-    ``SAMPLE_PER_SHARD`` ids of eight bytes for each ``SHARD_BYTES`` come to the driver: two millionths of the payloads.
+    The sample, ``SAMPLE_PER_SHARD`` ids for each ``SHARD_BYTES``, is ranked where it lies; of each shard the driver
+    gets one id of eight bytes: half a millionth of the payloads.
     """
     total = slim.agg(F.sum("length").alias("n"), F.count("page_id").alias("ids")).first()
     shards = max(1, -(-(total["n"] or 0) // SHARD_BYTES))
     share = min(1.0, SAMPLE_PER_SHARD * shards / max(total["ids"], 1))
     least = F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id"), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    sample = np.sort(slim.where(least).select("page_id").toArrow().column(0).to_numpy())
-    return np.unique(sample[len(sample) * np.arange(1, shards) // shards]) if len(sample) else sample
+    sample = slim.where(least).select("page_id").repartitionByRange("page_id").sortWithinPartitions("page_id")
+    sample = cut(sample.withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    counts = sample.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    n = sample.count()
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("page_id")) - 1 + F.col("start")
+    ranked = sample.join(F.broadcast(starts), "part").select("page_id", rank.alias("rank"))
+    # A shard begins where rank * shards / n passes the next whole number.
+    begins = F.expr(f"rank > 0 AND (rank * {shards}) div {max(n, 1)} > ((rank - 1) * {shards}) div {max(n, 1)}")
+    bounds = ranked.where(begins).select("page_id").distinct()
+    return np.sort(bounds.toArrow().column(0).to_numpy())
 
 
 def sharded(rows: DataFrame, bounds: np.ndarray) -> DataFrame:
