@@ -86,9 +86,11 @@ def src_json_dir(t: Tables) -> DataFrame:
 
 @query("src_json_array", "SELECT r_regionkey, r_name FROM region")
 def src_json_array(t: Tables) -> DataFrame:
+    """An array of records in each file; a file holds those of a bucket of keys, whose number sets its size."""
     path = src.shared_folder(t.spark)
-    t.region.agg(F.to_json(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("value")).write.text(path)
-    return src.read_json_documents(t.spark, path, "r_regionkey int, r_name string")
+    arrays = t.region.groupBy(F.pmod(F.xxhash64("r_regionkey"), F.lit(4)).alias("bucket")).agg(F.to_json(F.collect_list(F.struct("r_regionkey", "r_name"))).alias("value"))
+    arrays.repartition("bucket").select("bucket", "value").write.partitionBy("bucket").text(path)
+    return src.read_json_documents(t.spark, f"{path}/bucket=*", "r_regionkey int, r_name string")
 
 
 @query("sink_json_report", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment")

@@ -254,11 +254,13 @@ def fn_parse_months(t: Tables) -> DataFrame:
     return written_dates(t).select("o_orderkey", parsed.alias("month_no"))
 
 
-@query("fn_parse_export_date", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE o_orderkey % 5 = 0")
+@query("fn_parse_export_date", "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m') WHEN 1 THEN strftime(o_orderdate, '%Y') END AS month FROM orders")
 def fn_parse_export_date(t: Tables) -> DataFrame:
-    parsed = tm.parse_role_date(F.col("written"), False, F.lit(0)) - 1
-    month = F.format_string("%04d-%02d", F.floor(parsed / 12), (parsed % 12 + 1).cast("int"))
-    return written_dates(t).where("way = 0").select("o_orderkey", month.alias("month"))
+    """'Mon YYYY' as 'YYYY-MM' and a bare year as itself; null for other forms, which an export doesn't have."""
+    text = F.col("written")
+    number = tm.month_number(F.regexp_extract(text, "^([A-Za-z]{3,9}) [0-9]{4}$", 1))
+    month = F.format_string("%s-%02d", F.regexp_extract(text, "([0-9]{4})$", 1), number)
+    return written_dates(t).select("o_orderkey", F.when(number.isNotNull(), month).when(text.rlike("^[0-9]{4}$"), text).alias("month"))
 
 
 @query("fn_months_between", f"WITH {ROLES} SELECT ordinal, end_m - start_m AS signed_months, greatest(0, 24 - (end_m - start_m)) AS left_months FROM roles")
@@ -267,10 +269,11 @@ def fn_months_between(t: Tables) -> DataFrame:
     return roles(t).select("ordinal", d.alias("signed_months"), F.greatest(F.lit(0), 24 - d).alias("left_months"))
 
 
-@query("fn_extract_year", "SELECT o_orderkey, year(o_orderdate) AS yr FROM orders WHERE o_orderkey % 5 <> 4")
+@query("fn_extract_year", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 4 THEN year(o_orderdate) END AS yr FROM orders")
 def fn_extract_year(t: Tables) -> DataFrame:
+    """The first plausible year of four digits; null where there is none."""
     year = F.nullif(F.regexp_extract("written", "((19|20)[0-9]{2})", 1), F.lit("")).cast("int")
-    return written_dates(t).where("way <> 4").select("o_orderkey", year.alias("yr"))
+    return written_dates(t).select("o_orderkey", year.alias("yr"))
 
 
 @query("fn_date_in_text", "SELECT doc_id, regexp_matches(text, '(19|20)[0-9][0-9]') AS has_year FROM documents")

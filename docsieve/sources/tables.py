@@ -98,6 +98,8 @@ def validated(rows: DataFrame, **rules: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; a temporary one where that is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors see; a temporary one for a local master where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{(base or tempfile.mkdtemp(prefix='docsieve-')).rstrip('/')}/files-{uuid.uuid4().hex}"
