@@ -42,6 +42,12 @@ NOTICES = (
     ("licensed under cc by 4.0", "cc-by"),
     ("creative commons attribution 4.0 international", "cc-by"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("permission to use, copy, modify, and/or distribute this software for any purpose", "isc"),
+    ("neither the name of the copyright holder nor the names of its contributors", "bsd"),
+    ("this software is provided 'as-is', without any express or implied warranty", "zlib"),
+    ("boost software license - version 1.0", "boost"),
+    ("eclipse public license", "epl"),
+    ("cc0 1.0 universal", "cc0"),
     ("all rights reserved", "reserved"),
 )
 BYTES_PER_EDIT = 12

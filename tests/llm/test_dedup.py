@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from docsieve.llm import exact_dedup, jaccard_join, passage_dedup, suffix_dedup
 from docsieve.llm.components import components
@@ -108,6 +109,24 @@ def test_nothing_is_removed_without_the_methods_own_decision(spark, monkeypatch)
     assert not passage_dedup.located(passage_dedup.compiled({b"another phrase": False}), found).any()
 
 
+def test_windows_are_only_those_around_what_the_automata_report(spark):
+    from docsieve.llm.repeats import Unit
+
+    unit = Unit(20, 8, True, 1 << 20)
+    rows = fixtures.table(spark, [(1, fixtures.PASSAGE), (2, f"own words {fixtures.PASSAGE}")]).select("doc_id", "text")
+    keys = rows.select(F.col("doc_id").alias("key"), "text").repartition(1)
+    none = F.array().cast("array<binary>")
+    assert passage_dedup.window_pieces(keys.withColumns({"cold": none, "hot": none}), unit).count() == 0
+    found = passage_dedup.confirmed_phrases(keys.join(passage_dedup.recurring_anchors(keys, unit), "key"), unit)
+    phrases = sorted({bytes(p) for r in found.collect() for p in r["cold"]})
+    words = fixtures.PASSAGE.split()
+    assert phrases and all(p.decode() in fixtures.PASSAGE and len(p.split()) == 8 for p in phrases)
+    one = F.array(F.lit(bytearray(phrases[0])))
+    at = words.index(phrases[0].split()[0].decode())
+    pieces = passage_dedup.window_pieces(keys.withColumns({"cold": one, "hot": none}), unit).where("key = 1").collect()
+    assert pieces and all(at - 12 <= p["start"] and p["start"] + p["count"] - 1 <= at for p in pieces)
+
+
 def test_windows_with_one_hash_and_other_words_are_told_apart(monkeypatch):
     monkeypatch.setattr(passage_dedup, "mix", lambda x: np.zeros(len(x), np.uint64))
     words = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])

@@ -131,6 +131,19 @@ def test_stacked_notices_with_falling_edits_are_all_found():
     assert [(h[0], h[3]) for h in licenses.fuzzy_spans(page, np.array([0, len(page)]), licenses.NOTICES)[0]] == [("gpl-3.0", 2), ("gpl-2.0", 0)]
 
 
+def test_repeated_near_notices_take_linear_time():
+    import time
+
+    took = []
+    for n in (200, 1600):
+        raw = b"licensed under the gnu general public license, versoin 7 " * n
+        began = time.process_time()
+        found = licenses.fuzzy_spans(raw, np.array([0, len(raw)]), licenses.NOTICES)[0]
+        took.append(time.process_time() - began)
+        assert len(found) >= n
+    assert took[1] < 30 * took[0]  # eight times the text; by the square, 64 times
+
+
 def labelled(spark, n=1200):
     r, bad = random.Random(4), ["grub", "slime", "muck"]
     rows, labels = [], []
