@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. Rows with null texts are kept as empty documents by the first stages (one of them by the
 exact deduplication) and end as a sequence of the end id alone. A row with a null or repeated id is a
-document of its own.
+document of its own. Texts are read whole, however long; one must fit a Python worker. Other columns, of
+whatever names, come along unchanged until the last stage, which returns its own. An empty table gives an
+empty one at every stage; without labels nothing is toxic, and without benchmark items nothing leaks.
 """
 
 from __future__ import annotations
