@@ -12,17 +12,17 @@ def anchored(rows: DataFrame, key: str, order: list[str], value: str, width: flo
     An ordered fold over each key's rows (a page's), as the anchor depends on all rows before.
     """
     item = F.struct(*order, *[c for c in rows.columns if c not in (key, *order)])
-    kind = rows.select(item.alias("item")).schema["item"].dataType.simpleString()
     held = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.from_json(F.lit("[]"), f"array<struct<item: {kind}, anchor: double>>")
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("all"))
 
     def step(done, row):
-        here, last = row[value].cast("double"), F.try_element_at(done, F.lit(-1))["anchor"]
-        kept = F.when(F.abs(here - last) <= width, last).otherwise(here)
-        return F.concat(done, F.array(F.struct(row.alias("item"), kept.alias("anchor"))))
+        here = row[value].cast("double")
+        kept = F.when(F.abs(here - done["last"]) <= width, done["last"]).otherwise(here)
+        return F.struct(kept.alias("last"), F.concat(done["all"], F.array(kept)).alias("all"))
 
-    folded = held.select(key, F.explode(F.aggregate("items", start, step)).alias("d"))
-    return folded.select(key, "d.item.*", F.col("d.anchor").alias(out))
+    folded = held.withColumn("all", F.aggregate("items", start, step, lambda x: x["all"]))
+    pairs = folded.select(key, F.explode(F.arrays_zip("items", "all")).alias("d"))
+    return pairs.select(key, "d.items.*", F.col("d.all").alias(out))
 
 
 def edge_peaks(items: DataFrame, page: str, x: str, width: int = 10, share: float = 0.05) -> DataFrame:

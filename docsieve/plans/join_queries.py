@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docsieve.functions import text as tx
 from docsieve.operators import evidence as ev
 from docsieve.operators import matching as mt
-from docsieve.plans.registry import EVIDENCE, NODES, ROLES, query
+from docsieve.plans.registry import NODES, query
 from docsieve.plans.standins import evidence, lines, nodes, roles
 from docsieve.plans.text_queries import SIGNIFICANT, WORDS, count_sql
 from docsieve.sources import tables as src
@@ -115,48 +115,6 @@ def jn_contradiction_pairs(t: Tables) -> DataFrame:
 # --- merges ---
 
 
-@query(
-    "agg_merge_profile",
-    f"""WITH {ROLES}, k AS (SELECT *, row_number() OVER (PARTITION BY owner, source ORDER BY start_m, ordinal) AS i FROM roles), confirmed AS (SELECT * FROM k WHERE i = 1),
-    absorbed AS (SELECT DISTINCT r.ordinal FROM k r JOIN confirmed c ON c.owner = r.owner AND c.ordinal <> r.ordinal WHERE r.i > 1 AND least(r.end_m, c.end_m) - greatest(r.start_m, c.start_m) >= 0.5 * (r.end_m - r.start_m))
-    SELECT owner, count(*) AS n_roles, count(*) FILTER (ordinal IN (SELECT ordinal FROM absorbed)) AS n_absorbed FROM k GROUP BY owner""",
-)
-def agg_merge_profile(t: Tables) -> DataFrame:
-    """The first role of each source is confirmed; roles that one covers to a half are absorbed."""
-    k = roles(t).withColumn("i", F.row_number().over(Window.partitionBy("owner", "source").orderBy("start_m", "ordinal")))
-    c = k.where("i = 1").select("owner", F.col("ordinal").alias("c"), F.col("start_m").alias("cs"), F.col("end_m").alias("ce"))
-    shared = F.least("end_m", "ce") - F.greatest("start_m", "cs")
-    covered = (F.col("ordinal") != F.col("c")) & (F.col("i") > 1) & (shared >= 0.5 * (F.col("end_m") - F.col("start_m")))
-    each = k.join(c, "owner").groupBy("owner", "ordinal").agg(F.bool_or(covered).alias("absorbed"))
-    return each.groupBy("owner").agg(F.count(F.lit(1)).alias("n_roles"), F.count_if("absorbed").alias("n_absorbed"))
-
-
-@query(
-    "agg_to_parsed",
-    f"WITH {EVIDENCE} SELECT owner, count(DISTINCT node) AS n_skills, count(DISTINCT domain) AS n_domains, count(*) FILTER (impact) AS n_metrics FROM evidence GROUP BY owner",
-)
-def agg_to_parsed(t: Tables) -> DataFrame:
-    return evidence(t).groupBy("owner").agg(F.countDistinct("node").alias("n_skills"), F.countDistinct("domain").alias("n_domains"), F.count_if("impact").alias("n_metrics"))
-
-
-@query(
-    "win_training_floor",
-)
-def win_training_floor(t: Tables) -> DataFrame:
-    """Levels by role in order; a training role's level is at least the adjusted one before it (an ordered fold)."""
-    level = F.when(F.col("title") == "1-URGENT", 5).when(F.col("title") == "2-HIGH", 4).when(F.col("title") == "3-MEDIUM", 3).otherwise(2)
-    r = roles(t).withColumn("level", level).withColumn("training", F.col("title") == "5-LOW")
-    held = r.groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("start_m", "ordinal", "level", "training"))).alias("items"))
-
-    def step(done, row):
-        last = F.coalesce(F.try_element_at(done, F.lit(-1))["level"], F.lit(0))
-        fixed = F.when(row["training"], F.greatest(row["level"], last)).otherwise(row["level"])
-        return F.concat(done, F.array(F.struct(row["ordinal"].alias("ordinal"), fixed.alias("level"))))
-
-    start = F.from_json(F.lit("[]"), "array<struct<ordinal: bigint, level: int>>")
-    return held.select("owner", F.explode(F.aggregate("items", start, step)).alias("d")).select("owner", "d.*")
-
-
 # --- validation and repair ---
 
 

@@ -11,7 +11,7 @@ from docsieve.operators import layout
 from docsieve.operators import temporal as tm
 from docsieve.plans.join_queries import REQUIREMENTS, requirements
 from docsieve.plans.registry import LINES, NODES, query
-from docsieve.plans.standins import evidence, lines, nodes, roles
+from docsieve.plans.standins import lines, nodes, roles
 from docsieve.plans.text_queries import written_dates
 from docsieve.sources import tables as src
 from docsieve.sources.tables import Tables
@@ -125,14 +125,20 @@ def lay_reading_order(t: Tables) -> DataFrame:
     return placed.select("page", "item", "x", "col", F.rank().over(w).cast("long").alias("place"))
 
 
-@query("win_pdf_lines")
+def anchored_sql(rows: str, value: str, order: str, width: int, out: str) -> str:
+    """A fold in order: a value further than ``width`` from the last anchor is the next one."""
+    return f"""WITH RECURSIVE {rows}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY {order}) AS i FROM src),
+    f AS (SELECT *, CAST({value} AS DOUBLE) AS {out} FROM o WHERE i = 1 UNION ALL SELECT o.*, CASE WHEN abs(o.{value} - f.{out}) <= {width} THEN f.{out} ELSE CAST(o.{value} AS DOUBLE) END FROM f JOIN o ON o.page = f.page AND o.i = f.i + 1)"""
+
+
+@query("win_pdf_lines", anchored_sql(f"{ITEMS}, src AS (SELECT page, y + x % 7 AS y, x, item FROM items)", "y", "y, x, item", 3, "line") + " SELECT page, item, line FROM f")
 def win_pdf_lines(t: Tables) -> DataFrame:
     """Items of one line: not more than 3 from the line's first item."""
     tops = items(t).select("page", (F.col("y") + F.col("x") % 7).alias("y"), "x", "item")
     return layout.anchored(tops, "page", ["y", "x", "item"], "y", 3, "line").select("page", "item", "line")
 
 
-@query("win_peak_merge")
+@query("win_peak_merge", anchored_sql(f"{ITEMS}, src AS (SELECT DISTINCT page, CAST(floor(x / 10) * 10 AS BIGINT) AS edge FROM items)", "edge", "edge", 30, "kept") + " SELECT page, edge, kept FROM f")
 def win_peak_merge(t: Tables) -> DataFrame:
     peaks = layout.edge_peaks(items(t), "page", "x", share=0.0)
     return layout.anchored(peaks, "page", ["edge"], "edge", 30, "kept").select("page", "edge", "kept")

@@ -52,17 +52,28 @@ def agg_career_span(t: Tables) -> DataFrame:
 
 
 TRAJECTORY = f"""{ROLES}, l AS (SELECT owner, ordinal, start_m, end_m, title, {lx.TRAINING.sql('title')} = 'training' AS training, {S_LEVEL.format(lx.SENIORITY.sql('title'))} AS raw, {TITLE_DOMAIN.sql('title')} AS domain FROM roles),
-s AS (SELECT *, CASE WHEN training THEN greatest(raw, coalesce(max(raw) FILTER (NOT training) OVER (PARTITION BY owner ORDER BY start_m, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), raw)) ELSE raw END AS level FROM l)"""
+k AS (SELECT *, count(*) FILTER (NOT training) OVER (PARTITION BY owner ORDER BY start_m, ordinal ROWS UNBOUNDED PRECEDING) AS k FROM l),
+s AS (SELECT *, max(raw) OVER (PARTITION BY owner, k ORDER BY start_m, ordinal ROWS UNBOUNDED PRECEDING) AS level FROM k)"""
 
 
 def levelled(t: Tables) -> DataFrame:
-    """Roles in the order of start with their levels; training doesn't go below the highest level before it."""
-    title = F.col("title")
+    """Roles in the order of start with their levels; training doesn't go below the level before it.
+
+    A role that isn't training begins a run with its own level; of the training behind it, the level is the largest
+    of the run so far.
+    """
+    title, order = F.col("title"), ("start_m", "ordinal")
     raw, training = level_of(lx.SENIORITY.first(title)), lx.TRAINING.first(title) == "training"
     rows = d.roles(t).withColumns({"raw": raw, "training": training, "domain": TITLE_DOMAIN.first(title)})
-    before = Window.partitionBy("owner").orderBy("start_m", "ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    high = F.max(F.when(~F.col("training"), F.col("raw"))).over(before)
-    return rows.withColumn("level", F.when(F.col("training"), F.greatest(F.col("raw"), F.coalesce(high, "raw"))).otherwise(F.col("raw")))
+    so_far = Window.partitionBy("owner").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumn("run", F.count_if(~F.col("training")).over(so_far))
+    within = Window.partitionBy("owner", "run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return run.withColumn("level", F.max("raw").over(within))
+
+
+@query("win_training_floor", f"{TRAJECTORY} SELECT owner, ordinal, training, level FROM s")
+def win_training_floor(t: Tables) -> DataFrame:
+    return levelled(t).select("owner", "ordinal", "training", "level")
 
 
 @query(
@@ -502,3 +513,77 @@ def agg_industry_argmax(t: Tables) -> DataFrame:
     h = text.select("app", F.inline(hits)).groupBy("app", "industry").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i"))
     best = first_of(h, ["app"], F.desc("n"), "i").select("app", "industry", "n")
     return text.select("app").join(best, "app", "left").select("app", F.coalesce("industry", F.lit("unknown")).alias("industry"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# --- merging sources ---
+
+CONFIRMED = "source = 'F'"
+MERGE_SIMILAR = f"s.source <> n.source AND least(s.end_m, n.end_m) - greatest(s.start_m, n.start_m) > 0 AND least(s.end_m, n.end_m) - greatest(s.start_m, n.start_m) >= 0.3 * least(s.end_m - s.start_m, n.end_m - n.start_m) AND {d.s_context('s', 'n')}"
+MERGED = greedy_sql(MERGE_SIMILAR).replace("FROM roles)", "FROM roles WHERE source <> 'F')").rsplit("SELECT owner, ordinal, seed FROM g", 1)[0] + f""",
+mem AS (SELECT g.owner, g.seed, r.* EXCLUDE (owner, i) FROM g JOIN r ON r.owner = g.owner AND r.ordinal = g.ordinal), head AS (SELECT * FROM mem WHERE ordinal = seed),
+ok AS (SELECT owner, ordinal, title, company, start_m, end_m FROM roles WHERE {CONFIRMED}),
+clip AS (SELECT h.owner, h.seed, greatest(o.start_m, h.start_m) AS a, least(o.end_m, h.end_m) AS b FROM head h JOIN ok o ON o.owner = h.owner AND least(o.end_m, h.end_m) > greatest(o.start_m, h.start_m)),
+reach AS (SELECT *, max(b) OVER (PARTITION BY owner, seed ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM clip), isl AS (SELECT *, sum(CASE WHEN a <= r THEN 0 ELSE 1 END) OVER (PARTITION BY owner, seed ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM reach),
+cov AS (SELECT owner, seed, sum(b - a) AS covered FROM (SELECT owner, seed, k, min(a) AS a, max(b) AS b FROM isl GROUP BY owner, seed, k) GROUP BY owner, seed),
+st AS (SELECT h.owner, h.seed, coalesce(c.covered / nullif(h.end_m - h.start_m, 0), 0) >= 0.5 AS absorbed FROM head h LEFT JOIN cov c ON c.owner = h.owner AND c.seed = h.seed),
+absorb AS (SELECT m.owner, m.ordinal, o.ordinal AS target, m.title, m.source FROM mem m JOIN st ON st.owner = m.owner AND st.seed = m.seed AND st.absorbed JOIN ok o ON o.owner = m.owner AND least(o.end_m, m.end_m) - greatest(o.start_m, m.start_m) > 0
+  QUALIFY row_number() OVER (PARTITION BY m.owner, m.ordinal ORDER BY least(o.end_m, m.end_m) - greatest(o.start_m, m.start_m) DESC, o.ordinal) = 1),
+fin AS (SELECT o.owner, o.ordinal, 'confirmed' AS origin, o.title, o.company, o.start_m, o.end_m, coalesce((SELECT string_agg(DISTINCT title, '; ' ORDER BY title) FROM absorb i WHERE i.target = o.ordinal AND lower(trim(i.title)) <> lower(trim(o.title))), '') AS alt_titles, coalesce((SELECT count(DISTINCT source) FROM absorb i WHERE i.target = o.ordinal), 0) AS n_sources FROM ok o
+  UNION ALL SELECT h.owner, h.ordinal, 'parsed', h.title, h.company, h.start_m, h.end_m, coalesce((SELECT string_agg(DISTINCT title, '; ' ORDER BY title) FROM mem m WHERE m.owner = h.owner AND m.seed = h.seed AND lower(trim(m.title)) <> lower(trim(h.title))), ''), (SELECT count(DISTINCT source) FROM mem m WHERE m.owner = h.owner AND m.seed = h.seed) FROM head h JOIN st ON st.owner = h.owner AND st.seed = h.seed AND NOT st.absorbed)"""
+
+
+def merged(t: Tables) -> DataFrame:
+    """Confirmed roles first; groups of other sources' roles are absorbed where confirmed ones cover half of them, else they stand on their own."""
+    from docsieve.operators import temporal as tm
+
+    roles = d.roles(t)
+    sure, others = roles.where("source = 'F'"), roles.where("source <> 'F'")
+
+    def similar(a: Column, s: Column) -> Column:
+        o = F.least(a["end_m"], s["end_m"]) - F.greatest(a["start_m"], s["start_m"])
+        near = (o > 0) & (o >= 0.3 * F.least(a["end_m"] - a["start_m"], s["end_m"] - s["start_m"]))
+        return (a["source"] != s["source"]) & near & nm.share_context(s["title"], s["company"], a["title"], a["company"])
+
+    members = mt.seed_groups(others, "owner", ["ordinal"], similar)
+    heads = members.where("ordinal = seed")
+    windows = heads.select(F.concat_ws("-", "owner", "seed").alias("key"), "owner", "seed", F.col("start_m").alias("low"), F.col("end_m").alias("high"))
+    known = windows.select("key", "owner").join(sure.select("owner", "start_m", "end_m"), "owner").drop("owner")
+    share = tm.union_coverage(known, windows.select("key", "low", "high"), "key").select("key", F.coalesce("share", F.lit(0.0)).alias("share"))
+    state = windows.join(share, "key").select("owner", "seed", (F.col("share") >= 0.5).alias("absorbed"))
+    with_state = members.join(state, ["owner", "seed"])
+    a = with_state.where("absorbed").select("owner", "ordinal", "source", F.col("title").alias("other_title"), F.col("start_m").alias("a_start"), F.col("end_m").alias("a_end"))
+    b = sure.select("owner", F.col("ordinal").alias("target"), F.col("start_m").alias("b_start"), F.col("end_m").alias("b_end"))
+    met = mt.overlapping(a, b, "owner").withColumn("overlap", F.least("a_end", "b_end") - F.greatest("a_start", "b_start"))
+    into = first_of(met, ["owner", "ordinal"], F.desc("overlap"), "target").select("owner", F.col("target").alias("ordinal"), "other_title", "source")
+
+    def lineage(base: DataFrame, parts: DataFrame, origin: str) -> DataFrame:
+        both = base.join(parts, ["owner", "ordinal"], "left")
+        different = F.lower(F.trim("other_title")) != F.lower(F.trim("title"))
+        titles = F.array_join(F.array_sort(F.collect_set(F.when(different, F.col("other_title")))), "; ")
+        keys = ["owner", "ordinal", "title", "company", "start_m", "end_m"]
+        return both.groupBy(*keys).agg(titles.alias("alt_titles"), F.countDistinct("source").alias("n_sources")).withColumn("origin", F.lit(origin))
+
+    own = with_state.where("NOT absorbed").select("owner", F.col("seed").alias("ordinal"), F.col("title").alias("other_title"), "source")
+    plain = ["owner", "ordinal", "title", "company", "start_m", "end_m"]
+    alone = heads.join(state.where("NOT absorbed"), ["owner", "seed"]).select(*plain)
+    return lineage(sure.select(*plain), into, "confirmed").unionByName(lineage(alone, own, "parsed"))
+
+
+@query("agg_merge_profile", f"{MERGED} SELECT owner, ordinal, origin, title, company, start_m, end_m, alt_titles, n_sources, row_number() OVER (PARTITION BY owner ORDER BY end_m DESC, ordinal) AS place FROM fin")
+def agg_merge_profile(t: Tables) -> DataFrame:
+    """The merged timeline of each owner, latest first, with other titles and the number of sources of each role."""
+    place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("end_m"), "ordinal")).cast("long")
+    return merged(t).withColumn("place", place)
+
+
+@query(
+    "agg_to_parsed",
+    f"""{MERGED}, tech AS (SELECT role_id, list_sort(list(DISTINCT lower(node))) AS techs, count(*) FILTER (impact) AS n_metrics FROM (SELECT o_orderkey AS role_id, {d.SKILL_SQL} AS node, l_returnflag = 'R' AS impact FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey) GROUP BY role_id)
+    SELECT f.owner, f.ordinal, f.title, f.company, array_to_string(coalesce(techs, [])[1:15], ',') AS technologies, coalesce(n_metrics, 0) AS n_metrics FROM fin f LEFT JOIN tech ON role_id = f.ordinal""",
+)
+def agg_to_parsed(t: Tables) -> DataFrame:
+    """Merged roles in a parsed profile's shape: the known terms and the metrics of their evidence."""
+    each = d.facts(t).groupBy(F.col("role_id").alias("ordinal")).agg(F.array_sort(F.collect_set(F.lower("node"))).alias("techs"), F.count_if("impact").alias("n_metrics"))
+    rows = merged(t).join(each, "ordinal", "left")
+    terms = F.array_join(F.slice(F.coalesce("techs", F.array().cast("array<string>")), 1, 15), ",")
+    return rows.select("owner", "ordinal", "title", "company", terms.alias("technologies"), F.coalesce("n_metrics", F.lit(0)).alias("n_metrics"))
