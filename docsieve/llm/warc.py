@@ -117,7 +117,7 @@ def decide(rows: DataFrame, shared: DataFrame, shards: int, most: int = MOST_HEA
         found = others.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()}).withColumn("kind", F.lit(0))
         out = out.unionByName(found.select(out.columns))
     order = [F.col("shard"), F.col("page_id").asc_nulls_first(), F.col("sha1"), F.col("kind"), F.col("url")]
-    return out.repartitionByRange(shards, "shard").sortWithinPartitions(*order)
+    return out.repartitionById(shards, "shard").sortWithinPartitions(*order)
 
 
 def base32(sha1: bytes) -> str:
