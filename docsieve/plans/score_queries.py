@@ -53,7 +53,12 @@ def generated(t: Tables) -> DataFrame:
         made_company.alias("company"), F.when(app % 7 == 0, None).when(app % 5 == 0, F.col("yr") + 3).otherwise(F.col("yr")).alias("yr"),
     )
     made = F.lower(F.concat_ws(" ", "summary", "company", "title", F.array_join("skills", " "), F.array_join("bullets", " ")))
-    return out.withColumn("made", made)
+    return bound(out.withColumn("made", made))
+
+
+def bound(rows: DataFrame) -> DataFrame:
+    """The rows with their columns computed: a generator keeps them from being computed anew wherever a check names them."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
 
 def alternation(words) -> str:
@@ -259,7 +264,7 @@ def postings(t: Tables) -> DataFrame:
         "want_company": d.chosen(d.COMPANIES, a), "company": F.when(a % 11 != 0, d.chosen(d.COMPANIES, a + a % 3)),
         "want_title": d.chosen(d.TITLES, a), "title": d.chosen(d.TITLES, a + a % 2), "want_location": d.chosen(PLACES, a), "location": d.chosen(PLACES, a * 3),
     }
-    return rows.withColumns(years | named)
+    return bound(rows.withColumns(years | named))
 
 
 def s_similar(pairs: str) -> str:
