@@ -5,24 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.operators.folds import ordered_fold
+
 
 def anchored(rows: DataFrame, key: str, order: list[str], value: str, width: float, out: str = "anchor") -> DataFrame:
-    """In order, a row whose value is more than ``width`` from the last anchor becomes the next anchor.
-
-    An ordered fold over each key's rows (a page's), as the anchor depends on all rows before.
-    """
-    item = F.struct(*order, *[c for c in rows.columns if c not in (key, *order)])
-    held = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("all"))
-
-    def step(done, row):
-        here = row[value].cast("double")
-        kept = F.when(F.abs(here - done["last"]) <= width, done["last"]).otherwise(here)
-        return F.struct(kept.alias("last"), F.concat(done["all"], F.array(kept)).alias("all"))
-
-    folded = held.withColumn("all", F.aggregate("items", start, step, lambda x: x["all"]))
-    pairs = folded.select(key, F.explode(F.arrays_zip("items", "all")).alias("d"))
-    return pairs.select(key, "d.items.*", F.col("d.all").alias(out))
+    """In order, a row whose value is more than ``width`` from the last anchor becomes the next anchor."""
+
+    def step(last: list[float], here: float) -> float:
+        if not last or abs(here - last[0]) > width:
+            last[:] = [float(here)]
+        return last[0]
+
+    return ordered_fold(rows, [key], order, [value], list, step, out, "double")
 
 
 def edge_peaks(items: DataFrame, page: str, x: str, width: int = 10, share: float = 0.05) -> DataFrame:

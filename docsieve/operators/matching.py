@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsieve.operators.folds import ordered_fold
+
 
 def canonical(rows: DataFrame, name: str, aliases: DataFrame, out: str = "canonical") -> DataFrame:
     """The alias table's (``alias``, ``canonical``) name, else the trimmed lower-case one; the table is a small lexicon."""
@@ -42,29 +46,76 @@ def overlapping(a: DataFrame, b: DataFrame, owner: str, bucket: int = 12) -> Dat
     return met.where((F.col("a_start") < F.col("b_end")) & (F.col("b_start") < F.col("a_end")) & (F.col("bucket") == first)).drop("bucket")
 
 
-def seed_groups(rows: DataFrame, owner: str, order: list[str], similar, group: str = "seed") -> DataFrame:
+def alike_lists(pairs: DataFrame) -> DataFrame:
+    """``name`` and ``alike``, the sorted keys of the names that it matches, of pairs (``a``, ``b``) of keys of distinct names."""
+    return pairs.groupBy(F.col("a").alias("_name")).agg(F.array_sort(F.collect_set("b")).alias("_alike"))
+
+
+class Seeds:
+    """The seeds of one owner, by name, what they must differ in, and the years that they touch."""
+
+    def __init__(self):
+        self.of: dict[tuple, list[tuple]] = {}
+        self.kinds: dict[int, set] = {}
+        self.n = 0
+
+    def place(self, near: Callable | None, apart: bool, first, name: int, alike: list[int] | None, kind, low: int, high: int):
+        """The first seed that a row is similar to, else the row's own, as it becomes one. Empty intervals touch their first year."""
+        years = range(low // 12, max(low, high) // 12 + 1) if near else (None,)
+        best = None
+        for other in alike or ():
+            for group in self.kinds.get(other, ()):
+                if apart and group == kind:
+                    continue
+                for year in years:
+                    for n, seed, a, b in self.of.get((other, group, year), ()):
+                        if best is not None and n > best[0]:
+                            break  # those that follow came later
+                        if near is None or near(a, b, low, high):
+                            best = (n, seed)
+                            break
+        if best is not None:
+            return best[1]
+        self.kinds.setdefault(name, set()).add(kind)
+        for year in years:
+            self.of.setdefault((name, kind, year), []).append((self.n, first, low, high))
+        self.n += 1
+        return first
+
+
+def seed_groups(
+    rows: DataFrame, owner: str, order: str, names: list[str], pairs: DataFrame, near: Callable | None = None, apart: str | None = None, group: str = "seed"
+) -> DataFrame:
     """Greedy groups in a fixed order: a row joins the first group whose seed it is similar to, else it seeds one.
 
-    An ordered fold over each owner's rows (of which there are few). ``similar`` gets the structs of a row
-    and a seed. Returns the rows, each with its seed's first ``order`` column as ``group``.
+    An ordered fold whose state is the owner's seeds. A row is similar to a seed whose names its own match (``pairs``
+    of ``name_key``), whose ``start_m`` and ``end_m`` are ``near`` its own (of intervals that touch), and whose ``apart``
+    column differs. Returns the rows, each with its seed's ``order`` column as ``group``.
+    """
+    keyed = rows.withColumn("_name", name_key(*names)).join(alike_lists(pairs), "_name", "left")
+    kind = [apart] if apart else ["_name"]
+
+    def step(state: Seeds, first, name, alike, other, low, high):
+        return state.place(near, apart is not None, first, name, alike, other if apart else None, low, high)
+
+    using = [order, "_name", "_alike", *kind, "start_m", "end_m"]
+    kinds = dict(rows.dtypes)[order].replace("bigint", "long")
+    return ordered_fold(keyed, [owner], [order], using, Seeds, step, group, kinds).drop("_name", "_alike")
+
+
+def name_key(*names: str) -> Column:
+    """A 64-bit key of a name, or of several together."""
+    return F.xxhash64(*names)
+
+
+def bucketed_pairs(rows: DataFrame, owner: str, columns: list[str], slack: int = 0, bucket: int = 12) -> DataFrame:
+    """Pairs ``a``, ``b`` (structs, ``a.ordinal < b.ordinal``) of one owner's rows whose intervals are no more than ``slack`` apart.
+
+    Met in buckets of months that both touch; a pair is kept in the first of them.
     """
-    columns = [*order, *[c for c in rows.columns if c not in (owner, *order)]]
-    item = F.struct(*columns)
-    held = rows.groupBy(owner).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = rows.select(item.alias("item")).schema["item"].dataType.simpleString()
-    start = F.struct(F.from_json(F.lit("[]"), f"array<{kind}>").alias("seeds"), F.array().cast("array<int>").alias("of"))
-
-    def step(done: Column, row: Column) -> Column:
-        found = F.array_position(F.transform(done["seeds"], lambda s: similar(row, s)), True).cast("int")
-        new = found == 0
-        return F.struct(
-            F.when(new, F.concat(done["seeds"], F.array(row))).otherwise(done["seeds"]).alias("seeds"),
-            F.concat(done["of"], F.array(F.when(new, F.size(done["seeds"]) + 1).otherwise(found))).alias("of"),
-        )
-
-    def finish(done: Column) -> Column:
-        return F.transform(done["of"], lambda i: F.element_at(done["seeds"], i)[order[0]])
-
-    folded = held.withColumn("of", F.aggregate("items", start, step, finish))
-    pairs = folded.select(owner, F.explode(F.arrays_zip("items", "of")).alias("d"))
-    return pairs.select(owner, "d.items.*", F.col("d.of").alias(group))
+    own = F.struct(*columns)
+    low, high = F.col("start_m") - slack, F.greatest("start_m", "end_m")
+    dealt = rows.select(owner, own.alias("r"), F.explode(F.sequence(F.floor(low / bucket), F.floor(high / bucket))).alias("bucket"))
+    a, b = dealt.withColumnRenamed("r", "a"), dealt.withColumnRenamed("r", "b")
+    first = F.floor((F.greatest("a.start_m", "b.start_m") - slack) / bucket)
+    return a.join(b, [owner, "bucket"]).where("a.ordinal < b.ordinal").where(F.col("bucket") == first).drop("bucket")

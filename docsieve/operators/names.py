@@ -89,6 +89,30 @@ def companies_match(a: Column, b: Column) -> Column:
     return (x == y) | F.contains(x, y) | F.contains(y, x) | common | reduce(Column.__or__, short)
 
 
+def company_matches(names: DataFrame) -> DataFrame:
+    """``a`` < ``b`` of the matching ones among distinct ``company`` names.
+
+    Candidates share a word, the first letters of what one must hold, or an abbreviation's entry; then all rules apply.
+    """
+    keyed = names.withColumn("norm", tx.basic(F.col("company")))
+    expanded = [F.when(F.contains("norm", F.lit(s)) | F.contains("norm", F.lit(e)), F.lit(f"={s}")) for s, e in ABBREVIATIONS.items()]
+    keys = F.filter(F.concat(tx.words(F.col("company")), F.array(*expanded)), lambda k: k.isNotNull())
+    blocks = keyed.withColumn("key", F.explode(F.array_distinct(keys)))
+    a, b = blocks.select(F.col("company").alias("a"), "key"), blocks.select(F.col("company").alias("b"), "key")
+    within = either_contains(keyed.select(F.col("norm").alias("p")), keyed.select(F.col("norm").alias("q")), "p", "q")
+    by_text = within.join(keyed.select(F.col("norm").alias("p"), F.col("company").alias("a")), "p").join(keyed.select(F.col("norm").alias("q"), F.col("company").alias("b")), "q")
+    ordered = by_text.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = a.join(b, "key").select("a", "b").unionByName(ordered).where("a < b").distinct()
+    return pairs.where(companies_match(F.col("a"), F.col("b")))
+
+
+def context_matches(names: DataFrame) -> DataFrame:
+    """``a``, ``b`` (structs of ``title`` and ``company``) of the distinct ones that share a context, each with itself too where it does."""
+    named = names.select(F.struct("title", "company").alias("a"), long_words(F.concat_ws(" ", "title", "company"), 3).alias("words")).withColumn("word", F.explode("words"))
+    met = named.select("a", "word").join(named.select(F.col("a").alias("b"), "word"), "word").select("a", "b").distinct()
+    return met.where(share_context(F.col("a.title"), F.col("a.company"), F.col("b.title"), F.col("b.company")))
+
+
 def stem_match(a: Column, b: Column) -> Column:
     """The first six letters (or all of a shorter word) are equal; words under five letters must be equal."""
     n = F.least(F.length(a), F.length(b))

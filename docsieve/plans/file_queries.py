@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from docsieve.functions import stats
 from docsieve.functions import text as tx
 from docsieve.operators import names as nm
+from docsieve.operators.folds import ordered_fold
 from docsieve.plans import domain as d
 from docsieve.plans.profile_queries import BASIC_NUMBERS, GARBAGE, HOLDER, HOLDERS, LINES, SECTIONS, profile_lines
 from docsieve.plans.registry import query
 from docsieve.plans.score_queries import CHECKS, CV_CHECKS, GATED, cv_scores, gate
+from docsieve.plans.text_queries import s_beta_ci, s_f_pvalue, s_two_groups
 from docsieve.sources import archives as ar
 from docsieve.sources import tables as src
 from docsieve.sources.tables import Tables
@@ -297,36 +299,51 @@ def sc_variant(t: Tables) -> DataFrame:
     return rows.groupBy("variant").agg(F.round(F.avg("score"), 6).alias("mean"), F.countDistinct("app").alias("n_pairs"), F.countDistinct(F.when(F.col("ok"), F.col("app"))).alias("n_ok"))
 
 
-SPLITS = f"{CHECKS}, p AS (SELECT app, {GATED} AS ok FROM checks GROUP BY app), r AS (SELECT app // 500 AS run, avg(CAST(ok AS INT)) FILTER (app % 4 <> 0) AS train, avg(CAST(ok AS INT)) FILTER (app % 4 = 0) AS held, count(*) FILTER (app % 4 = 0) AS n_held FROM p GROUP BY run)"
+SPLITS = f"{CHECKS.replace('WITH ', 'WITH RECURSIVE ', 1)}, p AS (SELECT app, {GATED} AS ok FROM checks GROUP BY app), r AS (SELECT app // 500 AS run, avg(CAST(ok AS INT)) FILTER (app % 4 <> 0) AS train, avg(CAST(ok AS INT)) FILTER (app % 4 = 0) AS held, count(*) FILTER (app % 4 = 0) AS n, count(*) FILTER (app % 4 = 0 AND ok) AS s FROM p GROUP BY run)"
 
 
 @query(
     "sc_safeguards",
-    f"""{SPLITS} SELECT run, round(train - held, 6) AS gap, CASE WHEN train - held > 0.25 THEN 'severe' WHEN train - held > 0.15 THEN 'mild' ELSE 'none' END AS overfit, n_held >= 20 AND train >= 0.2 AS ready, run * 40 >= 90 AS stale,
-    n_held >= 20 AND train >= 0.2 AND NOT train - held > 0.15 AND NOT run * 40 >= 90 AS overall FROM r""",
+    f"""{SPLITS}, {s_beta_ci('r', 'run, train, held')} SELECT run, round(train - held, 6) AS gap, CASE WHEN train - held > 0.25 THEN 'severe' WHEN train - held > 0.15 THEN 'mild' ELSE 'none' END AS overfit, n >= 20 AND train >= 0.2 AS ready, run * 40 >= 90 AS stale,
+    round(low, 6) AS ci_low, round(high, 6) AS ci_high, round(high - low, 6) AS ci_width, n >= 20 AND train >= 0.2 AND NOT train - held > 0.15 AND NOT run * 40 >= 90 AS overall FROM ci""",
 )
 def sc_safeguards(t: Tables) -> DataFrame:
-    """Of each run: ready, not overfitted (training against held-out pairs) and not stale."""
+    """Of each run: ready, not overfitted (training against held-out pairs) and not stale, with the held-out share's credible interval."""
     pairs = cv_scores(t).groupBy("app").agg(gate().cast("int").alias("ok")).withColumn("held", F.col("app") % 4 == 0)
-    r = pairs.groupBy(F.floor(F.col("app") / 500).alias("run")).agg(F.avg(F.when(~F.col("held"), F.col("ok"))).alias("train"), F.avg(F.when(F.col("held"), F.col("ok"))).alias("h"), F.count_if("held").alias("n_held"))
+    held = F.when(F.col("held"), F.col("ok"))
+    r = pairs.groupBy(F.floor(F.col("app") / 500).alias("run")).agg(F.avg(F.when(~F.col("held"), F.col("ok"))).alias("train"), F.avg(held).alias("h"), F.count_if("held").alias("n"), F.coalesce(F.sum(held), F.lit(0)).alias("s"))
+    r = r.withColumn("ci", stats.beta_interval("s", "n"))
     gap, stale = F.col("train") - F.col("h"), F.col("run") * 40 >= 90
-    ready = (F.col("n_held") >= 20) & (F.col("train") >= 0.2)
+    ready = (F.col("n") >= 20) & (F.col("train") >= 0.2)
     overfit = F.when(gap > 0.25, "severe").when(gap > 0.15, "mild").otherwise("none")
-    return r.select("run", F.round(gap, 6).alias("gap"), overfit.alias("overfit"), ready.alias("ready"), stale.alias("stale"), (ready & ~(gap > 0.15) & ~stale).alias("overall"))
+    low, high = F.col("ci.low"), F.col("ci.high")
+    ends = [F.round(low, 6).alias("ci_low"), F.round(high, 6).alias("ci_high"), F.round(high - low, 6).alias("ci_width")]
+    return r.select("run", F.round(gap, 6).alias("gap"), overfit.alias("overfit"), ready.alias("ready"), stale.alias("stale"), *ends, (ready & ~(gap > 0.15) & ~stale).alias("overall"))
 
 
 @query(
     "sc_pretest",
-    f"""{CHECKS}, p AS (SELECT check_name, app % 2 AS g, count(*) AS n, sum(score) AS s, sum(score * score) AS q FROM checks GROUP BY ALL), fx AS (SELECT check_name, sum(n) AS n, sum(q) - sum(s * s / n) AS within, sum(s * s / n) - sum(s) * sum(s) / sum(n) AS between_groups FROM p GROUP BY check_name)
-    SELECT check_name, CASE WHEN within <= 1e-12 THEN 'abort' WHEN between_groups / (within / (n - 2)) >= 6.7 THEN 'proceed' WHEN between_groups / (within / (n - 2)) >= 2.7 THEN 'investigate' ELSE 'abort' END AS verdict FROM fx""",
+    f"""{CHECKS}, tried AS (SELECT app // 24 AS run, check_name, app % 2 = 1 AS fresh, score, app // 6 AS step FROM checks),
+    steps AS (SELECT run, check_name, step, coalesce(avg(score) FILTER (fresh) > avg(score) FILTER (NOT fresh), FALSE) AS kept FROM tried GROUP BY run, check_name, step),
+    keeps AS (SELECT run, check_name, count(*) FILTER (kept) / count(*) AS keep_rate FROM steps GROUP BY run, check_name),
+    {s_two_groups('tried', 'run, check_name', 'fresh', 'score')},
+    ps AS (SELECT run, check_name, n, coalesce(gain, 0) AS gain, keep_rate, {s_f_pvalue('f', '(n - 2)')} AS p FROM fs JOIN keeps USING (run, check_name))
+    SELECT run, check_name, round(p, 6) AS p_value, round(gain, 6) + 0.0 AS gain, round(keep_rate, 6) AS keep_rate,
+      CASE WHEN p < 0.05 AND gain > 0 THEN 'proceed' WHEN p < 0.05 THEN 'abort' WHEN keep_rate < 0.05 THEN 'abort' ELSE 'investigate' END AS verdict FROM ps""",
 )
 def sc_pretest(t: Tables) -> DataFrame:
-    """Whether a check tells two groups apart, by the F of an analysis of variance (at one and five in ten per cent)."""
-    p = cv_scores(t).groupBy("check_name", (F.col("app") % 2).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("s"), F.sum(F.col("score") * F.col("score")).alias("q"))
-    part = F.sum(F.col("s") * F.col("s") / F.col("n"))
-    f = p.groupBy("check_name").agg(F.sum("n").alias("n"), (F.sum("q") - part).alias("w"), (part - F.sum("s") * F.sum("s") / F.sum("n")).alias("b"))
-    ratio = F.col("b") / (F.col("w") / (F.col("n") - 2))
-    return f.select("check_name", F.when(F.col("w") <= 1e-12, "abort").when(ratio >= 6.7, "proceed").when(ratio >= 2.7, "investigate").otherwise("abort").alias("verdict"))
+    """Of each run and check, whether fresh outputs beat the first ones: significantly better, worse, seldom kept, or open."""
+    app, fresh = F.col("app"), F.col("app") % 2 == 1
+    rows = cv_scores(t).select(F.floor(app / 24).alias("run"), "check_name", fresh.alias("fresh"), "score", F.floor(app / 6).alias("step"))
+    better = F.avg(F.when(F.col("fresh"), F.col("score"))) > F.avg(F.when(~F.col("fresh"), F.col("score")))
+    steps = rows.groupBy("run", "check_name", "step").agg(F.coalesce(better, F.lit(False)).alias("kept"))
+    keeps = steps.groupBy("run", "check_name").agg((F.count_if("kept") / F.count(F.lit(1))).alias("keep_rate"))
+    found = stats.two_groups(rows, ["run", "check_name"], F.col("fresh"), "score").join(keeps, ["run", "check_name"])
+    gain, clear = F.coalesce("gain", F.lit(0.0)), F.col("p_value") < 0.05
+    verdict = F.when(clear & (gain > 0), "proceed").when(clear, "abort").when(F.col("keep_rate") < 0.05, "abort").otherwise("investigate")
+    # Zero is added so that there is no negative one.
+    rounded = [(F.round(c, 6) + 0.0).alias(n) for c, n in ((F.col("p_value"), "p_value"), (gain, "gain"), (F.col("keep_rate"), "keep_rate"))]
+    return found.select("run", "check_name", *rounded, verdict.alias("verdict"))
 
 
 @query("sc_adapters", f"{CHECKS} SELECT app, company, title, CAST(yr AS VARCHAR) AS start_date, array_to_string(skills, '|') AS skills, len(bullets) AS n_bullets FROM c")
@@ -356,17 +373,16 @@ ALLOWED = "[" + ", ".join(f"'{a}>{b}'" for a, bs in STEPS.items() for b in bs) +
 )
 def st_status_machine(t: Tables) -> DataFrame:
     """A fold over each user's wanted moves: only those that the state allows are taken."""
-    allowed = F.array(*[F.lit(f"{a}>{b}") for a, bs in STEPS.items() for b in bs])
-    wanted = d.chosen(STATES, F.col("event_id") + F.col("user_id"))
-    held = t.events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", wanted.alias("state")))).alias("items"))
+    rows = t.events.select("event_id", "user_id", "ts", d.chosen(STATES, F.col("event_id") + F.col("user_id")).alias("wanted"))
 
-    def step(done: Column, row: Column) -> Column:
-        ok = ((done["now"] == "none") & (row["state"] == "uploaded")) | F.array_contains(allowed, F.concat_ws(">", done["now"], row["state"]))
-        now = F.when(ok, row["state"]).otherwise(done["now"])
-        return F.struct(now.alias("now"), F.concat(done["log"], F.array(F.struct(row["event_id"].alias("event_id"), now.alias("state"), ok.alias("taken")))).alias("log"))
+    def step(now: list[str], wanted: str) -> str:
+        if wanted in STEPS.get(now[0], ()) or (now[0] == "none" and wanted == "uploaded"):
+            now[0] = wanted
+            return f"+{wanted}"
+        return now[0]
 
-    start = F.struct(F.lit("none").alias("now"), F.from_json(F.lit("[]"), "array<struct<event_id: bigint, state: string, taken: boolean>>").alias("log"))
-    return held.select("user_id", F.inline(F.aggregate("items", start, step, lambda x: x["log"]))).select("event_id", "user_id", "state", "taken")
+    moved = ordered_fold(rows, ["user_id"], ["ts", "event_id"], ["wanted"], lambda: ["none"], step, "moved", "string")
+    return moved.select("event_id", "user_id", F.ltrim("moved", F.lit("+")).alias("state"), F.startswith("moved", F.lit("+")).alias("taken"))
 
 
 @query(

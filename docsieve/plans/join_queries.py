@@ -148,43 +148,6 @@ def sanity(t: Tables) -> DataFrame:
     )
 
 
-# --- scorecards: long tables of checks, with gates ---
-
-CHECKS = f"""checks AS (
-  SELECT doc_id, 'word_count' AS check_name, least(1.0, 800.0 / greatest(len({WORDS.format('text')}), 1)) AS score, len({WORDS.format('text')}) <= 800 AS passed, FALSE AS hard FROM documents
-  UNION ALL SELECT doc_id, 'structure', greatest(0.0, 1 - 0.15 * {count_sql('[|]')}), {count_sql('[|]')} <= 2, FALSE FROM documents
-  UNION ALL SELECT doc_id, 'no_contacts', CASE WHEN {count_sql(tx.EMAIL)} = 0 THEN 1.0 ELSE 0.0 END, {count_sql(tx.EMAIL)} = 0, TRUE FROM documents
-  UNION ALL SELECT doc_id, 'metrics', CASE WHEN {count_sql('[0-9]+')} > 0 THEN 1.0 ELSE 0.3 END, {count_sql('[0-9]+')} > 0, FALSE FROM documents)"""
-
-
-def scorecard(t: Tables) -> DataFrame:
-    """A row for each document and check."""
-    text = F.col("text")
-    n, bars, mails, digits = F.size(tx.words(text)), tx.count_of(text, "[|]"), tx.count_of(text, tx.EMAIL), tx.count_of(text, "[0-9]+")
-
-    def check(name, score, passed, hard=False):
-        return F.struct(F.lit(name).alias("check_name"), score.cast("double").alias("score"), passed.alias("passed"), F.lit(hard).alias("hard"))
-
-    checks = F.array(
-        check("word_count", F.least(F.lit(1.0), 800.0 / F.greatest(n, F.lit(1))), n <= 800),
-        check("structure", F.greatest(F.lit(0.0), 1 - 0.15 * bars), bars <= 2),
-        check("no_contacts", F.when(mails == 0, 1.0).otherwise(0.0), mails == 0, True),
-        check("metrics", F.when(digits > 0, 1.0).otherwise(0.3), digits > 0),
-    )
-    return t.documents.select("doc_id", F.inline(checks))
-
-
-def _single(name: str, check: str) -> None:
-    def build(t: Tables) -> DataFrame:
-        return scorecard(t).where(F.col("check_name") == check).select("doc_id", F.round("score", 6).alias("score"), "passed")
-
-    query(name, f"WITH {CHECKS} SELECT doc_id, round(score, 6) AS score, passed FROM checks WHERE check_name = '{check}'")(build)
-
-
-for _name, _check in (("sc_word_count", "word_count"), ("sc_structure", "structure"), ("sc_metrics", "metrics"), ("sc_no_fabrication", "no_contacts")):
-    _single(_name, _check)
-
-
 # --- state over time ---
 
 

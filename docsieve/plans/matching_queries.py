@@ -142,12 +142,27 @@ def jn_domain_overlap(t: Tables) -> DataFrame:
     return asked.join(pairs.join(had, "own").select("owner", "domain").distinct(), ["owner", "domain"], "left_semi").select("app", "domain")
 
 
-def role_pairs(t: Tables) -> DataFrame:
-    """Pairs of one owner's roles, each once, as structs ``a`` and ``b``."""
-    rows = d.roles(t)
-    own = F.struct(*[c for c in rows.columns if c != "owner"])
-    a, b = rows.select("owner", own.alias("a")), rows.select("owner", own.alias("b"))
-    return a.join(b, "owner").where("a.ordinal < b.ordinal")
+def company_pairs(roles: DataFrame) -> DataFrame:
+    """``a``, ``b``: keys of all matching companies of the roles, both ways round and each with itself."""
+    names = roles.select("company").distinct()
+    found = nm.company_matches(names)
+    both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(names.select(F.col("company").alias("a"), F.col("company").alias("b")))
+    return both.select(mt.name_key("a").alias("a"), mt.name_key("b").alias("b"))
+
+
+def context_pairs(roles: DataFrame) -> DataFrame:
+    """``a``, ``b``: keys of all titles and companies that share a context."""
+    found = nm.context_matches(roles.select("title", "company").distinct())
+    return found.select(mt.name_key("a.title", "a.company").alias("a"), mt.name_key("b.title", "b.company").alias("b"))
+
+
+def near_dates(a_start: int, a_end: int, b_start: int, b_end: int) -> bool:
+    """Intervals of months that overlap by 30 % of the shorter one."""
+    return min(a_end, b_end) - max(a_start, b_start) >= 0.3 * min(a_end - a_start, b_end - b_start)
+
+
+def near_merge(a_start: int, a_end: int, b_start: int, b_end: int) -> bool:
+    return min(a_end, b_end) > max(a_start, b_start) and near_dates(a_start, a_end, b_start, b_end)
 
 
 PAIRS = "pairs AS (SELECT a.owner, a.ordinal AS x, b.ordinal AS y, a.company AS ca, b.company AS cb, a.title AS ta, b.title AS tb, a.source AS sa, b.source AS sb FROM roles a JOIN roles b ON b.owner = a.owner AND a.ordinal < b.ordinal)"
@@ -157,17 +172,7 @@ TITLES_OF = f"{with_tables('roles')}, c AS (SELECT DISTINCT title FROM roles)"
 
 @query("jn_company_match", f"{COMPANIES_OF} SELECT a.company AS a, b.company AS b FROM c a JOIN c b ON a.company < b.company AND {d.s_companies('a.company', 'b.company')}")
 def jn_company_match(t: Tables) -> DataFrame:
-    """Candidates share a word, the first letters of what one must hold, or an abbreviation's entry; then all rules apply."""
-    names = d.roles(t).select("company").distinct()
-    keyed = names.withColumn("norm", tx.basic(F.col("company")))
-    expanded = [F.when(F.contains("norm", F.lit(s)) | F.contains("norm", F.lit(e)), F.lit(f"={s}")) for s, e in nm.ABBREVIATIONS.items()]
-    keys = F.filter(F.concat(tx.words(F.col("company")), F.array(*expanded)), lambda k: k.isNotNull())
-    blocks = keyed.withColumn("key", F.explode(F.array_distinct(keys)))
-    a, b = blocks.select(F.col("company").alias("a"), "key"), blocks.select(F.col("company").alias("b"), "key")
-    within = nm.either_contains(keyed.select(F.col("norm").alias("p")), keyed.select(F.col("norm").alias("q")), "p", "q")
-    by_text = within.join(keyed.select(F.col("norm").alias("p"), F.col("company").alias("a")), "p").join(keyed.select(F.col("norm").alias("q"), F.col("company").alias("b")), "q")
-    pairs = a.join(b, "key").select("a", "b").unionByName(by_text.select("a", "b")).where("a < b").distinct()
-    return pairs.where(nm.companies_match(F.col("a"), F.col("b")))
+    return nm.company_matches(d.roles(t).select("company").distinct())
 
 
 @query("jn_title_synonym", f"{TITLES_OF} SELECT a.title AS a, b.title AS b FROM c a JOIN c b ON a.title < b.title AND {d.s_titles('a.title', 'b.title')}")
@@ -185,7 +190,9 @@ def agreeing() -> Column:
 
 @query("jn_interval_overlap", f"{with_tables('roles')} SELECT a.owner, a.ordinal AS x, b.ordinal AS y FROM roles a JOIN roles b ON b.owner = a.owner AND a.ordinal < b.ordinal AND {d.s_dates('a', 'b')}")
 def jn_interval_overlap(t: Tables) -> DataFrame:
-    return role_pairs(t).where(agreeing()).select("owner", F.col("a.ordinal").alias("x"), F.col("b.ordinal").alias("y"))
+    """Met in years that both touch: an overlap of 30 % of the shorter is never negative."""
+    pairs = mt.bucketed_pairs(d.roles(t), "owner", ["ordinal", "start_m", "end_m"])
+    return pairs.where(agreeing()).select("owner", F.col("a.ordinal").alias("x"), F.col("b.ordinal").alias("y"))
 
 
 @query(
@@ -193,8 +200,12 @@ def jn_interval_overlap(t: Tables) -> DataFrame:
     f"{with_tables('roles')} SELECT a.owner, a.ordinal AS x, b.ordinal AS y FROM roles a JOIN roles b ON b.owner = a.owner AND a.ordinal < b.ordinal AND a.source <> b.source AND {d.s_companies('a.company', 'b.company')} AND {d.s_dates('a', 'b')}",
 )
 def jn_cross_doc_roles(t: Tables) -> DataFrame:
-    same = nm.companies_match(F.col("a.company"), F.col("b.company"))
-    found = role_pairs(t).where("a.source <> b.source").where(agreeing()).where(same)
+    """Roles of two sources that overlap, met in years, and then by the pairs of matching names."""
+    roles = d.roles(t)
+    keyed = roles.withColumn("name", mt.name_key("company"))
+    met = mt.bucketed_pairs(keyed, "owner", ["ordinal", "source", "name", "start_m", "end_m"]).where("a.source <> b.source").where(agreeing())
+    pairs = company_pairs(roles).distinct().select(F.col("a").alias("name_a"), F.col("b").alias("name_b"))
+    found = met.join(pairs, (F.col("a.name") == F.col("name_a")) & (F.col("b.name") == F.col("name_b")), "left_semi")
     return found.select("owner", F.col("a.ordinal").alias("x"), F.col("b.ordinal").alias("y"))
 
 
@@ -209,11 +220,16 @@ def greedy_sql(similar: str) -> str:
 
 @query("jn_greedy_group", greedy_sql(f"s.source <> n.source AND {d.s_companies('s.company', 'n.company')} AND {d.s_dates('s', 'n')}"))
 def jn_greedy_group(t: Tables) -> DataFrame:
-    def similar(a: Column, s: Column) -> Column:
-        dates = nm.dates_agree(s["start_m"], s["end_m"], a["start_m"], a["end_m"])
-        return (a["source"] != s["source"]) & dates & nm.companies_match(s["company"], a["company"])
+    return same_positions(d.roles(t)).select("owner", "ordinal", "seed")
+
+
+def same_positions(roles: DataFrame) -> DataFrame:
+    """Roles with the seed of their group: the same position in other sources."""
+    return mt.seed_groups(roles, "owner", "ordinal", ["company"], company_pairs(roles), near_dates, "source")
 
-    return mt.seed_groups(d.roles(t), "owner", ["ordinal"], similar).select("owner", "ordinal", "seed")
+
+def same_contexts(roles: DataFrame) -> DataFrame:
+    return mt.seed_groups(roles, "owner", "ordinal", ["title", "company"], context_pairs(roles), near_merge, "source")
 
 
 MERGES = "least(s.end_m, n.end_m) - greatest(s.start_m, n.start_m)"
@@ -221,18 +237,17 @@ MERGES = "least(s.end_m, n.end_m) - greatest(s.start_m, n.start_m)"
 
 @query("jn_merge_group", greedy_sql(f"s.source <> n.source AND {MERGES} > 0 AND {MERGES} >= 0.3 * least(s.end_m - s.start_m, n.end_m - n.start_m) AND {d.s_context('s', 'n')}"))
 def jn_merge_group(t: Tables) -> DataFrame:
-    def similar(a: Column, s: Column) -> Column:
-        o = F.least(a["end_m"], s["end_m"]) - F.greatest(a["start_m"], s["start_m"])
-        near = (o > 0) & (o >= 0.3 * F.least(a["end_m"] - a["start_m"], s["end_m"] - s["start_m"]))
-        return (a["source"] != s["source"]) & near & nm.share_context(s["title"], s["company"], a["title"], a["company"])
-
-    return mt.seed_groups(d.roles(t), "owner", ["ordinal"], similar).select("owner", "ordinal", "seed")
+    return same_contexts(d.roles(t)).select("owner", "ordinal", "seed")
 
 
 @query("jn_share_context", f"{with_tables('roles')} SELECT a.owner, a.ordinal AS x, b.ordinal AS y FROM roles a JOIN roles b ON b.owner = a.owner AND a.ordinal < b.ordinal AND {d.s_context('a', 'b')}")
 def jn_share_context(t: Tables) -> DataFrame:
+    """An owner's roles meet by a common word of titles and companies; the rule decides."""
+    words = nm.long_words(F.concat_ws(" ", "title", "company"), 3)
+    rows = d.roles(t).select("owner", F.struct("ordinal", "title", "company").alias("r"), F.explode(words).alias("word"))
+    met = rows.withColumnRenamed("r", "a").join(rows.withColumnRenamed("r", "b"), ["owner", "word"]).where("a.ordinal < b.ordinal").select("owner", "a", "b").distinct()
     same = nm.share_context(F.col("a.title"), F.col("a.company"), F.col("b.title"), F.col("b.company"))
-    return role_pairs(t).where(same).select("owner", F.col("a.ordinal").alias("x"), F.col("b.ordinal").alias("y"))
+    return met.where(same).select("owner", F.col("a.ordinal").alias("x"), F.col("b.ordinal").alias("y"))
 
 
 BEST = "least(a.end_m, b.end_m) - greatest(a.start_m, b.start_m)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.functions import rules, stats
+from docsieve.functions import rules
 from docsieve.functions import text as tx
 from docsieve.operators import layout
 from docsieve.operators import temporal as tm
@@ -169,13 +169,6 @@ def fn_parse_sanity_date(t: Tables) -> DataFrame:
     return written_dates(t).select("o_orderkey", parsed.alias("month_no"))
 
 
-@query("fn_beta_inc")
-def fn_beta_inc(t: Tables) -> DataFrame:
-    """The chance that a part's true share is under a half, after s of n."""
-    s = t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("s"), F.count(F.lit(1)).alias("n"))
-    return s.select("user_id", F.round(stats.beta_under(F.lit(0.5), 1.0 + F.col("s"), 1.0 + F.col("n") - F.col("s")), 6).alias("under_half"))
-
-
 # --- rules ---
 
 
@@ -203,20 +196,6 @@ def val_retry_ladder(t: Tables) -> DataFrame:
     return t.events.where("event_type = 'error'").select("user_id", "event_id", step.alias("step"))
 
 
-@query("sc_requirements", f"WITH {REQUIREMENTS}, p AS (SELECT r.owner, 0.7 * count(n.node) / count(*) + 0.3 * count(n.node) FILTER (n.has_impact) / count(*) AS s FROM reqs r LEFT JOIN nodes n ON n.owner = r.owner AND n.node = r.keyword WHERE r.owner >= 0 GROUP BY r.owner) SELECT owner, round(s, 6) AS score, s >= 0.55 AS passed FROM p")
-def sc_requirements(t: Tables) -> DataFrame:
-    n = nodes(t).select("owner", F.col("node").alias("keyword"), "has_impact")
-    j = requirements(t).where("owner >= 0").join(n, ["owner", "keyword"], "left")
-    s = 0.7 * F.count("has_impact") / F.count(F.lit(1)) + 0.3 * F.count_if(F.col("has_impact")) / F.count(F.lit(1))
-    return j.groupBy("owner").agg(s.alias("s")).select("owner", F.round("s", 6).alias("score"), (F.col("s") >= 0.55).alias("passed"))
-
-
-@query("sc_action_verbs", f"WITH {LINES}, p AS (SELECT doc_id, avg(CAST(regexp_matches(line, '^[A-Z][a-z]+') AS INT)) AS s FROM lines WHERE line <> '' GROUP BY doc_id) SELECT doc_id, round(s, 6) AS score, s >= 0.5 AS passed FROM p")
-def sc_action_verbs(t: Tables) -> DataFrame:
-    s = lines(t).where("line <> ''").groupBy("doc_id").agg(F.avg(F.col("line").rlike("^[A-Z][a-z]+").cast("int")).alias("s"))
-    return s.select("doc_id", F.round("s", 6).alias("score"), (F.col("s") >= 0.5).alias("passed"))
-
-
 # --- state ---
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsieve.functions import grounding as gr
+from docsieve.functions import spans as sp
 from docsieve.functions import text as tx
 from docsieve.functions.rules import Rules
 from docsieve.operators import names as nm
@@ -360,14 +361,42 @@ def fn_topic_addressed(t: Tables) -> DataFrame:
 # --- dates ---
 
 
-@query(
-    "fn_date_ranges",
-    f"""{TEXTS}, f AS (SELECT owner, text, unnest({s_all(RANGE)}) AS range FROM texts) SELECT owner, range, min(strpos(text, range) - 1) AS first_at, count(*) AS n FROM f GROUP BY owner, range""",
-)
+NOW = 2002
+COURSES = ("Course (2008 - 12)", "Course\t1999 - 01\tand\t1996 - 98", "Since 2001 – Present, before (1997 - 95)", "Sept. 1999-Current and Mon 1990 — 1991", "Nothing (1998-99), twice (1998-99)")
+
+
+def dated_texts(t: Tables) -> DataFrame:
+    """Profiles with a line of dates in other forms at their end."""
+    return profile_texts(t).select("owner", F.concat_ws("\n", "text", d.chosen(COURSES, F.col("owner"))).alias("text"))
+
+
+def s_forms() -> str:
+    """Places from the lengths of what lies between the matches and of the matches; the last form's lookahead is a letter more."""
+    forms = [f.replace("(?![0-9])", "(?:[^0-9]|$)").replace("'", "''") for f in sp.FORMS]
+    each = " UNION ALL ".join(
+        f"SELECT owner, text, {i} AS form, string_split_regex(text, '{f}') AS gap, regexp_extract_all(text, '{f}') AS hit, regexp_extract_all(text, '{f}', 1) AS low, regexp_extract_all(text, '{f}', 2) AS high FROM dated"
+        for i, f in enumerate(forms, 1)
+    )
+    tail = "CASE WHEN form = 3 THEN regexp_replace(h, '[^0-9]$', '') ELSE h END"
+    return f"""{TEXTS}, dated AS (SELECT owner, text || chr(10) || {d.sql_chosen(COURSES, 'owner').replace(chr(92) + 't', chr(9))} AS text FROM texts), each AS ({each}),
+    placed AS (SELECT owner, text, form, i, hit[i] AS h, CAST(list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: length(x))), 0) AS INT) AS place, CAST(low[i] AS INT) AS low, high[i] AS last FROM each, unnest(range(1, len(hit) + 1)) u(i)),
+    read AS (SELECT owner, text, form, place, {tail} AS raw, low, CASE WHEN length(last) = 2 THEN low // 100 * 100 + CAST(last AS INT) WHEN regexp_matches(last, '^[0-9]') THEN CAST(last AS INT) ELSE {NOW} END AS high, length(last) = 2 AS short FROM placed),
+    good AS (SELECT * FROM read WHERE NOT short OR high BETWEEN low AND {NOW + 1}),
+    ranges AS (SELECT owner, text, form, place, place + length(raw) AS stop, trim(raw, chr(9) || ' ') AS range, low, high FROM good g WHERE form = 1 OR NOT EXISTS (SELECT 1 FROM good o WHERE o.owner = g.owner AND abs(o.place - g.place) < {sp.NEAR} AND (o.form < g.form OR (o.form = g.form AND o.place < g.place))))"""
+
+
+DATED = s_forms()
+
+
+def date_ranges(t: Tables) -> DataFrame:
+    return sp.with_ranges(dated_texts(t), "text", NOW)
+
+
+@query("fn_date_ranges", f"{DATED} SELECT owner, place, stop, form, range, low, high, greatest(1, (high - low) * 12) AS months FROM ranges")
 def fn_date_ranges(t: Tables) -> DataFrame:
-    """All date ranges of a text, where each stands first (from 0), and how often."""
-    found = profile_texts(t).select("owner", "text", F.explode(F.regexp_extract_all("text", F.lit(f"({RANGE})"), 1)).alias("range"))
-    return found.select("owner", "range", (F.instr(F.col("text"), F.col("range")) - 1).alias("at")).groupBy("owner", "range").agg(F.min("at").alias("first_at"), F.count(F.lit(1)).alias("n"))
+    """Every date range of a text with its place (letters from 0), by four forms; near ones are one range."""
+    months = F.greatest(F.lit(1), (F.col("high") - F.col("low")) * 12)
+    return date_ranges(t).select("owner", F.inline("ranges")).select("owner", F.col("at").alias("place"), "stop", "form", "range", "low", "high", months.alias("months"))
 
 
 YEARS = "([12][0-9]{3}) *[-–] *([12][0-9]{3}|[0-9]{2})"
@@ -384,17 +413,26 @@ def fn_date_range_line(t: Tables) -> DataFrame:
     return rows.select("owner", "pos", low.cast("int").alias("low"), F.when(F.length(high) == 2, F.concat(F.left(low, F.lit(2)), high)).otherwise(high).cast("int").alias("high"))
 
 
+BEFORE, AFTER = 300, 800
+
+
 @query(
     "win_date_range_context",
-    f"""{LINES}, h AS (SELECT owner, pos, row_number() OVER (PARTITION BY owner ORDER BY pos) AS place, line FROM lines), m AS (SELECT owner, place, regexp_extract(line, '{RANGE}', 0) AS range FROM h WHERE regexp_matches(line, '{RANGE}'))
-    SELECT m.owner, m.place, m.range, (SELECT string_agg(h.line, ' | ' ORDER BY h.place) FROM h WHERE h.owner = m.owner AND h.place BETWEEN m.place - 1 AND m.place + 2) AS context FROM m""",
+    f"""{DATED}, n AS (SELECT *, lead(place) OVER (PARTITION BY owner ORDER BY place) AS following FROM ranges)
+    SELECT owner, place, range, substring(text, greatest(0, place - {BEFORE}) + 1, place - greatest(0, place - {BEFORE})) AS before, substring(text, stop + 1, greatest(0, coalesce(following, least(length(text), place + {AFTER})) - stop)) AS after FROM n""",
 )
 def win_date_range_context(t: Tables) -> DataFrame:
-    """Each date range with the line before it, its own and the two behind."""
-    w = Window.partitionBy("owner").orderBy("pos")
-    near = [F.lag("line").over(w), F.col("line"), F.lead("line", 1).over(w), F.lead("line", 2).over(w)]
-    rows = profile_lines(t).select("owner", F.row_number().over(w).cast("long").alias("place"), "line", F.concat_ws(" | ", *near).alias("context"))
-    return rows.where(F.col("line").rlike(RANGE)).select("owner", "place", F.regexp_extract("line", RANGE, 0).alias("range"), "context")
+    """What stands before each date range, up to 300 letters, and behind it, up to the next range or 800 letters from its start."""
+    ranges = F.col("ranges")
+    following = F.slice(F.concat(F.transform(ranges, lambda r: r["at"]), F.array(F.lit(None).cast("int"))), 2, F.greatest(F.size(ranges), F.lit(1)))
+    rows = date_ranges(t).where(F.size(ranges) > 0).select("owner", "text", F.inline(F.arrays_zip(ranges.alias("r"), following.alias("following"))))
+    at, stop = F.col("r.at"), F.col("r.stop")
+    low = F.greatest(F.lit(0), at - BEFORE)
+    end = F.coalesce("following", F.least(F.length("text"), at + AFTER))
+    return rows.select(
+        "owner", at.alias("place"), F.col("r.range").alias("range"), F.substring(F.col("text"), low + 1, at - low).alias("before"),
+        F.substring(F.col("text"), stop + 1, F.greatest(F.lit(0), end - stop)).alias("after"),
+    )
 
 
 ASKS = ("At least 5 years experience", "3+ years of experience", "2-4 years' experience", "experience of years", "10 YEARS EXPERIENCE required")

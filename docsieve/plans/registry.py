@@ -56,7 +56,11 @@ lines AS (
 
 
 def query(name: str, sql: str | None = None):
+    """Registers a query under an id that no other has."""
+
     def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
         if sql:
             SQL[name] = sql

@@ -12,7 +12,7 @@ from docsieve.operators import matching as mt
 from docsieve.operators import names as nm
 from docsieve.plans import domain as d
 from docsieve.plans.class_queries import CLASSIFIED, MESSAGES, classified, messages
-from docsieve.plans.matching_queries import FIXES, REQ_NODES, first_of, greedy_sql, keyword_nodes, requirement_nodes
+from docsieve.plans.matching_queries import FIXES, REQ_NODES, company_pairs, first_of, greedy_sql, keyword_nodes, requirement_nodes, same_contexts, same_positions
 from docsieve.plans.profile_queries import DEGREE, DEGREES, LINES, profile_lines
 from docsieve.plans.registry import VERDICT, query
 from docsieve.plans.score_queries import CHECKS, cv_scores, gate
@@ -33,7 +33,9 @@ def level_of(seniority: Column) -> Column:
 
 # --- careers ---
 
-SPAN = "least(60, greatest(0, max(y1) FILTER (y0 BETWEEN 1950 AND 2100 AND y1 BETWEEN 1950 AND 2100) - min(y0) FILTER (y0 BETWEEN 1950 AND 2100 AND y1 BETWEEN 1950 AND 2100)))"
+GOOD_YEARS = "FILTER (y0 BETWEEN 1950 AND 2100 AND y1 BETWEEN 1950 AND 2100)"
+# greatest() skips nulls, so a span without a plausible year is told apart first.
+SPAN = f"CASE WHEN count(*) {GOOD_YEARS} > 0 THEN least(60, greatest(0, max(y1) {GOOD_YEARS} - min(y0) {GOOD_YEARS})) END"
 
 
 @query(
@@ -227,11 +229,7 @@ GROUPS = greedy_sql(MATCHES).rsplit("SELECT owner, ordinal, seed FROM g", 1)[0]
 
 def groups(t: Tables) -> DataFrame:
     """Roles with the seed of their group: the same position in other documents."""
-
-    def similar(a: Column, s: Column) -> Column:
-        return (a["source"] != s["source"]) & nm.dates_agree(s["start_m"], s["end_m"], a["start_m"], a["end_m"]) & nm.companies_match(s["company"], a["company"])
-
-    return mt.seed_groups(d.roles(t), "owner", ["ordinal"], similar)
+    return same_positions(d.roles(t))
 
 
 SYNONYMS = f"len(list_filter(titles, lambda a: len(list_filter(titles, lambda b: NOT {d.s_titles('a', 'b')})) > 0)) = 0"
@@ -261,7 +259,8 @@ EMPLOYERS_SQL = greedy_sql(d.s_companies("s.company", "n.company")).rsplit("SELE
 
 def employers(t: Tables) -> DataFrame:
     """Roles by employer, one for each pair of dates."""
-    grouped = mt.seed_groups(d.roles(t), "owner", ["ordinal"], lambda a, s: nm.companies_match(s["company"], a["company"]))
+    roles = d.roles(t)
+    grouped = mt.seed_groups(roles, "owner", "ordinal", ["company"], company_pairs(roles))
     return first_of(grouped, ["owner", "seed", "start_m", "end_m"], "ordinal")
 
 
@@ -539,12 +538,7 @@ def merged(t: Tables) -> DataFrame:
     roles = d.roles(t)
     sure, others = roles.where("source = 'F'"), roles.where("source <> 'F'")
 
-    def similar(a: Column, s: Column) -> Column:
-        o = F.least(a["end_m"], s["end_m"]) - F.greatest(a["start_m"], s["start_m"])
-        near = (o > 0) & (o >= 0.3 * F.least(a["end_m"] - a["start_m"], s["end_m"] - s["start_m"]))
-        return (a["source"] != s["source"]) & near & nm.share_context(s["title"], s["company"], a["title"], a["company"])
-
-    members = mt.seed_groups(others, "owner", ["ordinal"], similar)
+    members = same_contexts(others)
     heads = members.where("ordinal = seed")
     windows = heads.select(F.concat_ws("-", "owner", "seed").alias("key"), "owner", "seed", F.col("start_m").alias("low"), F.col("end_m").alias("high"))
     known = windows.select("key", "owner").join(sure.select("owner", "start_m", "end_m"), "owner").drop("owner")

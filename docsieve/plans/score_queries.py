@@ -11,6 +11,7 @@ from docsieve.functions import stats
 from docsieve.operators import scoring as sc
 from docsieve.plans import domain as d
 from docsieve.plans.registry import query
+from docsieve.plans.text_queries import s_beta_ci, s_f_pvalue, s_two_groups
 from docsieve.sources.tables import Tables
 
 OPENERS = ("Led", "Built", "Improved", "Responsible for", "co-authored", "Acme Labs: Designed")
@@ -377,17 +378,36 @@ def sc_jd_scorecard(t: Tables) -> DataFrame:
 
 @query(
     "agg_baseline_report",
-    f"""{CHECKS}, p AS (SELECT app, app % 2 = 0 AS ceiling, {GATED} AS ok FROM checks GROUP BY app), r AS (SELECT check_name, round(avg(score) FILTER (app % 2 = 0), 6) AS ceiling_mean, round(avg(score) FILTER (app % 2 = 1), 6) AS baseline_mean FROM checks GROUP BY check_name)
-    SELECT r.*, round(100 * ((SELECT avg(CAST(ok AS INT)) FROM p WHERE ceiling) - (SELECT avg(CAST(ok AS INT)) FROM p WHERE NOT ceiling)), 4) AS gap_pp FROM r""",
+    f"""{CHECKS.replace('WITH ', 'WITH RECURSIVE ', 1)}, pr AS (SELECT app, app % 2 = 1 AS baseline, {GATED} AS ok, avg(score) FILTER (NOT hard) AS mean FROM checks GROUP BY app),
+    each AS (SELECT app % 2 = 1 AS baseline, check_name, round(avg(score), 6) AS mean, count(*) FILTER (NOT passed) AS n_failed FROM checks GROUP BY ALL),
+    one AS (SELECT 0 AS z, count(*) FILTER (baseline) AS n, count(*) FILTER (baseline AND ok) AS s, avg(CAST(ok AS INT)) FILTER (baseline) AS base_rate, avg(CAST(ok AS INT)) FILTER (NOT baseline) AS top_rate FROM pr),
+    {s_beta_ci('one', 'z')}, zero AS (SELECT 0 AS z, baseline, mean FROM pr), {s_two_groups('zero', 'z', 'baseline', 'mean')}
+    SELECT c.check_name, c.mean AS ceiling_mean, b.mean AS baseline_mean, b.n_failed, o.s AS n_passed, o.n AS n_pairs, round(100 * (o.top_rate - o.base_rate), 4) AS gap_pp, round(ci.low, 6) AS ci_low, round(ci.high, 6) AS ci_high,
+      round(fs.f, 4) AS f, round({s_f_pvalue('fs.f', '(fs.n - 2)')}, 6) AS p_value, CASE WHEN o.base_rate > 0.9 THEN 'high' WHEN o.base_rate > 0.5 THEN 'moderate' ELSE 'low' END AS level
+    FROM each c JOIN each b ON b.check_name = c.check_name AND b.baseline AND NOT c.baseline, one o, ci, fs""",
 )
 def agg_baseline_report(t: Tables) -> DataFrame:
-    """Two groups of pairs: each check's mean in both, and the gap of their pass rates in points."""
+    """Two groups of pairs, ceiling and baseline: each check's means and failures; the pass rates' gap, the baseline's
+    credible interval, and whether the mean scores differ, by an analysis of variance."""
     rows = cv_scores(t)
-    even = F.col("app") % 2 == 0
-    ok = rows.groupBy("app").agg(gate().cast("int").alias("ok"))
-    gap = ok.agg(F.round(100 * (F.avg(F.when(even, F.col("ok"))) - F.avg(F.when(~even, F.col("ok")))), 4).alias("gap_pp"))
-    means = rows.groupBy("check_name").agg(F.round(F.avg(F.when(even, F.col("score"))), 6).alias("ceiling_mean"), F.round(F.avg(F.when(~even, F.col("score"))), 6).alias("baseline_mean"))
-    return means.join(F.broadcast(gap))
+    base = F.col("app") % 2 == 1
+    soft = F.avg(F.when(~F.col("hard"), F.col("score"))).alias("mean")
+    pairs = rows.groupBy("app").agg(gate().cast("int").alias("ok"), soft).withColumn("k", F.lit(0))
+    one = pairs.groupBy("k").agg(
+        F.count_if(base).alias("n_pairs"), F.coalesce(F.sum(F.when(base, F.col("ok"))), F.lit(0)).alias("n_passed"),
+        F.avg(F.when(base, F.col("ok"))).alias("base_rate"), F.avg(F.when(~base, F.col("ok"))).alias("top_rate"),
+    ).withColumn("ci", stats.beta_interval("n_passed", "n_pairs"))
+    apart = stats.two_groups(pairs, ["k"], base, "mean").select("k", F.round("f", 4).alias("f"), F.round("p_value", 6).alias("p_value"))
+    level = F.when(F.col("base_rate") > 0.9, "high").when(F.col("base_rate") > 0.5, "moderate").otherwise("low")
+    total = one.join(F.broadcast(apart), "k").select(
+        "n_passed", "n_pairs", F.round(100 * (F.col("top_rate") - F.col("base_rate")), 4).alias("gap_pp"), F.round("ci.low", 6).alias("ci_low"),
+        F.round("ci.high", 6).alias("ci_high"), "f", "p_value", level.alias("level"),
+    )
+    means = rows.groupBy("check_name").agg(
+        F.round(F.avg(F.when(~base, F.col("score"))), 6).alias("ceiling_mean"), F.round(F.avg(F.when(base, F.col("score"))), 6).alias("baseline_mean"),
+        F.count_if(base & ~F.col("passed")).alias("n_failed"),
+    )
+    return means.join(F.broadcast(total))
 
 
 RUNS = f"{CHECKS}, runs AS (SELECT app // 50 AS run, {GATED} AS gate, avg(score) AS mean, count(*) FILTER (passed) AS n_passed FROM checks GROUP BY run), s AS (SELECT run, mean, n_passed, gate, lag(mean) OVER w AS old_mean, lag(n_passed) OVER w AS old_n, lag(gate) OVER w AS old_gate FROM runs WINDOW w AS (ORDER BY run))"

@@ -174,21 +174,76 @@ def fn_anova(t: Tables) -> DataFrame:
     return stats.anova(rows, ["event_type"], "g", "value").withColumn("f", F.round("f", 5))
 
 
-@query("fn_f_pvalue")
+def s_beta(x: str, a: str, b: str, terms: int = 300) -> str:
+    """The regularised incomplete beta function: its continued fraction, folded from its far end, on the side where it converges."""
+
+    def lower(x: str, a: str, b: str) -> str:
+        top = f"CASE WHEN j % 2 = 0 THEN j / 2 * ({b} - j / 2) ELSE -({a} + (j - 1) / 2) * ({a} + {b} + (j - 1) / 2) END"
+        fraction = f"list_reduce(list_transform(range({terms}, 0, -1), lambda j: CAST(j AS DOUBLE)), lambda t, j: 1 + ({top}) * {x} / (({a} + j - 1) * ({a} + j) * t), CAST(1 AS DOUBLE))"
+        return f"exp({a} * ln({x}) + {b} * ln(1 - {x}) + lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) / ({a} * {fraction})"
+
+    return f"(CASE WHEN {x} > ({a} + 1) / ({a} + {b} + 2) THEN 1 - {lower(f'(1 - {x})', b, a)} ELSE {lower(x, a, b)} END)"
+
+
+def s_normal_tail(z: str) -> str:
+    t = f"(1 / (1 + 0.3275911 * {z} / sqrt(2)))"
+    series = "0.0"
+    for c in (1.061405429, -1.453152027, 1.421413741, -0.284496736, 0.254829592):
+        series = f"({series} + {c}) * {t}"
+    return f"({series} * exp(-{z} * {z} / 2) / 2)"
+
+
+def s_f_pvalue(f: str, df2: str) -> str:
+    """With one degree of freedom above."""
+    x, half = f"({df2} / ({df2} + {f}))", f"({df2} / 2.0)"
+    return f"(CASE WHEN {f} <= 0 THEN 1.0 WHEN isinf({f}) THEN 0.0 WHEN {df2} >= {stats.MANY} THEN 2 * {s_normal_tail(f'sqrt({f})')} ELSE {s_beta(x, half, '0.5')} END)"
+
+
+def s_two_groups(rows: str, keys: str, second: str, value: str) -> str:
+    """CTEs ``sums``, ``spread`` and ``fs`` (keys, n, gain, f)."""
+    side = [f"count({value}) FILTER ({w}) AS n{i}, sum({value}) FILTER ({w}) AS s{i}, sum({value} * {value}) FILTER ({w}) AS q{i}" for i, w in ((1, f"NOT ({second})"), (2, second))]
+    return f"""sums AS (SELECT {keys}, {', '.join(side)} FROM {rows} GROUP BY {keys}),
+    spread AS (SELECT {keys}, n1, n2, n1 + n2 AS n, s2 / nullif(n2, 0) - s1 / nullif(n1, 0) AS gain, q1 - s1 * s1 / n1 + q2 - s2 * s2 / n2 AS within FROM sums),
+    fs AS (SELECT {keys}, n, gain, CAST(CASE WHEN n1 < 2 OR n2 < 2 THEN 0 WHEN within <= 1e-12 THEN CASE WHEN abs(gain) > 1e-12 THEN 'inf' ELSE 0 END ELSE gain * gain * n1 * n2 / n / (within / (n - 2)) END AS DOUBLE) AS f FROM spread)"""
+
+
+FEW_EVENTS = "ev AS (SELECT user_id, event_id % 2 = 1 AS odd, value FROM events)"
+
+
+@query("fn_f_pvalue", f"WITH {FEW_EVENTS}, {s_two_groups('ev', 'user_id', 'odd', 'value')} SELECT user_id, n, round(f, 5) AS f, round({s_f_pvalue('f', '(n - 2)')}, 6) AS p_value FROM fs")
 def fn_f_pvalue(t: Tables) -> DataFrame:
-    """With one and many degrees of freedom, F is the square of a normal variable."""
-    rows = t.events.withColumn("g", F.when(F.col("user_id") % 2 == 0, "a").otherwise("b"))
-    found = stats.anova(rows, ["event_type"], "g", "value")
-    return found.select("event_type", F.round(2 * stats.normal_tail(F.sqrt("f")), 6).alias("p_value"))
+    """Of each user whether the values of odd and even events differ; users have few events and many."""
+    rows = t.events.withColumn("value", F.col("value").cast("double"))
+    found = stats.two_groups(rows, ["user_id"], F.col("event_id") % 2 == 1, "value")
+    return found.select("user_id", "n", F.round("f", 5).alias("f"), F.round("p_value", 6).alias("p_value"))
+
+
+PURCHASES = "b AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS s, count(*) AS n FROM events GROUP BY user_id)"
 
 
-@query("fn_beta_ci")
+def s_beta_ci(rows: str, keys: str, s: str = "s", n: str = "n") -> str:
+    """CTEs ``halving`` and ``ci`` (keys, s, n, low, high): both ends by 45 halvings."""
+    step = s_beta("((lo + hi) / 2)", f"(1.0 + {s})", f"(1.0 + {n} - {s})", 120)
+    return f"""halving AS (SELECT {keys}, {s}, {n}, p, 0 AS k, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi FROM {rows}, (VALUES (0.025), (0.975)) v(p)
+      UNION ALL SELECT {keys}, {s}, {n}, p, k + 1, CASE WHEN under THEN (lo + hi) / 2 ELSE lo END, CASE WHEN under THEN hi ELSE (lo + hi) / 2 END FROM (SELECT *, {step} < p AS under FROM halving) WHERE k < 45),
+    ci AS (SELECT {keys}, {s}, {n}, max(lo) FILTER (p = 0.025) AS low, max(lo) FILTER (p = 0.975) AS high FROM halving WHERE k = 45 GROUP BY {keys}, {s}, {n})"""
+
+
+@query("fn_beta_ci", f"WITH RECURSIVE {PURCHASES}, {s_beta_ci('b', 'user_id')} SELECT user_id, s, n, round(low, 6) AS low, round(high, 6) AS high FROM ci")
 def fn_beta_ci(t: Tables) -> DataFrame:
     s = t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("s"), F.count(F.lit(1)).alias("n"))
     ci = stats.beta_interval("s", "n")
     return s.select("user_id", "s", "n", ci.alias("ci")).select("user_id", "s", "n", F.round("ci.low", 6).alias("low"), F.round("ci.high", 6).alias("high"))
 
 
+@query("fn_beta_inc", f"WITH {PURCHASES} SELECT user_id, round({s_beta('0.5', '(0.5 + s)', '(0.5 + n - s)')}, 6) AS under_half, round({s_beta('0.1', '(0.5 + s)', '(0.5 + n - s)')}, 6) AS under_tenth FROM b")
+def fn_beta_inc(t: Tables) -> DataFrame:
+    """The chances that a user's true share of purchases is under a half, and under a tenth, after s of n, with shapes from a half on."""
+    s = t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("s"), F.count(F.lit(1)).alias("n"))
+    a, b = 0.5 + F.col("s"), 0.5 + F.col("n") - F.col("s")
+    return s.select("user_id", *[F.round(stats.beta_under(F.lit(x), a, b), 6).alias(name) for x, name in ((0.5, "under_half"), (0.1, "under_tenth"))])
+
+
 @query("fn_numeric_tol", "SELECT p_partkey, CASE WHEN abs(p_size - 25) = 0 THEN 1.0 WHEN abs(p_size - 25) <= 1 THEN 0.8 ELSE 0.0 END AS score FROM part")
 def fn_numeric_tol(t: Tables) -> DataFrame:
     d = F.abs(F.col("p_size") - 25)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,7 +58,8 @@ def read_archives(
     """A row for each member of the archives in a folder: ``MEMBERS``.
 
     ``text`` is null unless the ``verdict`` is ok: the base name is allowed, the member and its archive, by their
-    sizes when unpacked, are under the limits. A file that is no archive has one row with the verdict so.
+    sizes when unpacked, are under the limits. A file that is no archive has one row with the verdict so; a member
+    that is encrypted or can't be unpacked has that as its verdict.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +81,13 @@ def read_archives(
             for i in infos:
                 base = i.filename.rsplit("/", 1)[-1]
                 verdict = "not allowed" if base.lower() not in allowed else "archive too large" if total > most_archive else "too large" if i.file_size > most_member else "ok"
-                out.append((archive, base, i.file_size, verdict, packed.read(i).decode("utf-8", "replace") if verdict == "ok" else None))
+                text = None
+                if verdict == "ok":
+                    try:
+                        text = packed.read(i).decode("utf-8", "replace")
+                    except (RuntimeError, zipfile.BadZipFile, zlib.error, NotImplementedError, EOFError):
+                        verdict = "encrypted" if i.flag_bits & 1 else "damaged"
+                out.append((archive, base, i.file_size, verdict, text))
             return out or [(archive, None, 0, "empty", None)]
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, MEMBERS)
@@ -92,17 +100,23 @@ def is_export(members: DataFrame, least: int = 2) -> DataFrame:
 
 
 def csv_rows(members: DataFrame, member: str) -> DataFrame:
-    """The records of one kind of member as maps by lower-case header; blank records are dropped."""
+    """The records of one kind of member as maps by lower-case header; blank records are dropped.
+
+    Cells beyond the header's are kept as one, joined by commas, under ``extra``; missing ones are empty, and of
+    headers that are alike the last counts.
+    """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             archives, rows = [], []
             for archive, text in zip(batch.column("archive").to_pylist(), batch.column("text").to_pylist()):
-                for record in csv.DictReader(io.StringIO(text)):
-                    cells = [((k or "").strip().lower().replace(" ", "_"), (v or "").strip()) for k, v in record.items()]
-                    if any(v for _, v in cells):
+                for record in csv.DictReader(io.StringIO(text), restkey="extra"):
+                    cells: dict[str, str] = {}
+                    for k, v in record.items():
+                        cells[(k or "").strip().lower().replace(" ", "_")] = (",".join(v) if isinstance(v, list) else v or "").strip()
+                    if any(cells.values()):
                         archives.append(archive)
-                        rows.append(cells)
+                        rows.append(list(cells.items()))
             yield pa.RecordBatch.from_arrays([pa.array(archives, pa.string()), pa.array(rows, pa.map_(pa.string(), pa.string()))], ["archive", "record"])
 
     chosen = members.where((F.lower("member") == member) & (F.col("verdict") == "ok")).select("archive", "text")
