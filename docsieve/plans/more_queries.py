@@ -102,43 +102,68 @@ def sink_json_report(t: Tables) -> DataFrame:
 
 # --- layout: a part's line items as the items of a page ---
 
-ITEMS = "items AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS item, CAST(l_quantity AS INTEGER) * 12 AS x, l_linenumber * 10 AS y FROM lineitem)"
+PAGE_WIDTH = 612
+# A third of the pages have one column, a third two, a third an indent; some items stand anywhere.
+EDGE = "CAST(40 + l_partkey % 8 + CASE WHEN l_orderkey % 25 = 0 THEN l_quantity * 9 WHEN l_suppkey % 3 = 1 THEN (l_linenumber % 2) * 300 WHEN l_suppkey % 3 = 2 THEN (l_linenumber % 2) * 60 ELSE 0 END AS BIGINT)"
+ITEMS = f"items AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS item, {EDGE} AS x, CAST(30 + l_quantity AS BIGINT) AS width, CAST(l_orderkey % 60 * 12 + l_partkey % 3 AS BIGINT) AS y FROM lineitem)"
 
 
 def items(t: Tables) -> DataFrame:
+    """A supplier's line items as the pieces of text of its page."""
+    edge = F.when(F.col("l_orderkey") % 25 == 0, F.col("l_quantity") * 9).when(F.col("l_suppkey") % 3 == 1, (F.col("l_linenumber") % 2) * 300).when(F.col("l_suppkey") % 3 == 2, (F.col("l_linenumber") % 2) * 60).otherwise(0)
     return t.lineitem.select(
         F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"),
-        (F.col("l_quantity").cast("int") * 12).alias("x"), (F.col("l_linenumber") * 10).alias("y"),
+        (40 + F.col("l_partkey") % 8 + edge).cast("long").alias("x"), (30 + F.col("l_quantity")).cast("long").alias("width"),
+        (F.col("l_orderkey") % 60 * 12 + F.col("l_partkey") % 3).cast("long").alias("y"),
     )
 
 
-@query("lay_columns", f"WITH {ITEMS}, b AS (SELECT page, CAST(floor(x / 10) * 10 AS BIGINT) AS edge, count(*) AS n FROM items GROUP BY page, edge), p AS (SELECT page, count(*) AS total FROM items GROUP BY page) SELECT b.page, edge, n FROM b JOIN p ON p.page = b.page WHERE n >= 0.03 * total")
-def lay_columns(t: Tables) -> DataFrame:
-    return layout.edge_peaks(items(t), "page", "x", share=0.03)
+def anchored_ctes(source: str, value: str, order: str, width: int, out: str, name: str) -> str:
+    """A fold in order: a value further than ``width`` from the last anchor is the next one."""
+    return f"""o_{name} AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY {order}) AS i FROM {source}),
+    {name} AS (SELECT *, CAST({value} AS DOUBLE) AS {out} FROM o_{name} WHERE i = 1 UNION ALL SELECT o.*, CASE WHEN abs(o.{value} - f.{out}) <= {width} THEN f.{out} ELSE CAST(o.{value} AS DOUBLE) END FROM {name} f JOIN o_{name} o ON o.page = f.page AND o.i = f.i + 1)"""
 
 
-@query("lay_reading_order", f"WITH {ITEMS} SELECT page, item, x, CASE WHEN x >= 400 THEN 2 WHEN x >= 200 THEN 1 ELSE 0 END AS col, rank() OVER (PARTITION BY page, CASE WHEN x >= 400 THEN 2 WHEN x >= 200 THEN 1 ELSE 0 END ORDER BY y, x, item) AS place FROM items")
-def lay_reading_order(t: Tables) -> DataFrame:
-    col = F.when(F.col("x") >= 400, 2).when(F.col("x") >= 200, 1).otherwise(0)
-    placed = items(t).withColumn("col", col)
-    w = Window.partitionBy("page", "col").orderBy("y", "x", "item")
-    return placed.select("page", "item", "x", "col", F.rank().over(w).cast("long").alias("place"))
+LAID = f"""WITH RECURSIVE {ITEMS}, {anchored_ctes('items', 'y', 'y, x, item', 3, 'line', 'lined')},
+  bins AS (SELECT page, floor(x / 10) * 10 AS edge, count(*) AS n FROM lined GROUP BY page, edge), size AS (SELECT page, count(DISTINCT line) AS n_lines, count(*) AS n_items FROM lined GROUP BY page),
+  peaks AS (SELECT b.page, b.edge FROM bins b JOIN size s ON s.page = b.page WHERE b.n >= 0.05 * s.n_items), {anchored_ctes('peaks', 'edge', 'edge', 30, 'start', 'merged')},
+  starts AS (SELECT page, start, row_number() OVER (PARTITION BY page ORDER BY start) AS k FROM (SELECT DISTINCT page, start FROM merged)),
+  several AS (SELECT s.page FROM size s JOIN starts a ON a.page = s.page AND a.k = 1 JOIN starts b ON b.page = s.page AND b.k = 2 WHERE n_lines >= 5 AND n_items >= 10 AND b.start - a.start >= {PAGE_WIDTH} * 0.25),
+  cols AS (SELECT page, k - 1 AS col, start - 10 AS min_x FROM starts WHERE page IN (SELECT page FROM several) UNION ALL SELECT page, 0, 0.0 FROM size WHERE page NOT IN (SELECT page FROM several))"""
 
 
-def anchored_sql(rows: str, value: str, order: str, width: int, out: str) -> str:
-    """A fold in order: a value further than ``width`` from the last anchor is the next one."""
-    return f"""WITH RECURSIVE {rows}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY {order}) AS i FROM src),
-    f AS (SELECT *, CAST({value} AS DOUBLE) AS {out} FROM o WHERE i = 1 UNION ALL SELECT o.*, CASE WHEN abs(o.{value} - f.{out}) <= {width} THEN f.{out} ELSE CAST(o.{value} AS DOUBLE) END FROM f JOIN o ON o.page = f.page AND o.i = f.i + 1)"""
+def page_columns(t: Tables) -> tuple[DataFrame, DataFrame]:
+    lined = layout.text_lines(items(t))
+    return lined, layout.columns(lined, PAGE_WIDTH)
+
+
+@query("lay_columns", f"{LAID} SELECT page, col, min_x, coalesce(lead(min_x) OVER (PARTITION BY page ORDER BY col), {PAGE_WIDTH}.0) AS max_x FROM cols")
+def lay_columns(t: Tables) -> DataFrame:
+    """The columns of each page, from their left border to the next one's, or to the page's end."""
+    starts = F.col("starts")
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.lit(float(PAGE_WIDTH))))
+    each = page_columns(t)[1].select("page", F.posexplode(F.arrays_zip(starts.alias("min_x"), ends.alias("max_x"))).alias("col", "c"))
+    return each.select("page", F.col("col").cast("long").alias("col"), "c.min_x", "c.max_x")
+
+
+@query(
+    "lay_reading_order",
+    f"""{LAID}, placed AS (SELECT l.page, l.item, l.x, l.line, coalesce((SELECT max(c.col) FROM cols c WHERE c.page = l.page AND c.min_x <= l.x + l.width / 2.0), 0) AS col FROM lined l)
+    SELECT page, item, line, col, row_number() OVER (PARTITION BY page ORDER BY col, line, x, item) AS place FROM placed""",
+)
+def lay_reading_order(t: Tables) -> DataFrame:
+    """Items in the columns that were found: column by column, line by line, from left to right."""
+    read = layout.in_reading_order(*page_columns(t))
+    return read.select("page", "item", "line", F.col("col").cast("long").alias("col"), "place")
 
 
-@query("win_pdf_lines", anchored_sql(f"{ITEMS}, src AS (SELECT page, y + x % 7 AS y, x, item FROM items)", "y", "y, x, item", 3, "line") + " SELECT page, item, line FROM f")
+@query("win_pdf_lines", f"WITH RECURSIVE {ITEMS}, {anchored_ctes('items', 'y', 'y, x, item', 3, 'line', 'lined')} SELECT page, item, line FROM lined")
 def win_pdf_lines(t: Tables) -> DataFrame:
     """Items of one line: not more than 3 from the line's first item."""
-    tops = items(t).select("page", (F.col("y") + F.col("x") % 7).alias("y"), "x", "item")
-    return layout.anchored(tops, "page", ["y", "x", "item"], "y", 3, "line").select("page", "item", "line")
+    return layout.text_lines(items(t)).select("page", "item", "line")
 
 
-@query("win_peak_merge", anchored_sql(f"{ITEMS}, src AS (SELECT DISTINCT page, CAST(floor(x / 10) * 10 AS BIGINT) AS edge FROM items)", "edge", "edge", 30, "kept") + " SELECT page, edge, kept FROM f")
+@query("win_peak_merge", f"WITH RECURSIVE {ITEMS}, edges AS (SELECT DISTINCT page, floor(x / 10) * 10 AS edge FROM items), {anchored_ctes('edges', 'edge', 'edge', 30, 'kept', 'merged')} SELECT page, CAST(edge AS BIGINT) AS edge, kept FROM merged")
 def win_peak_merge(t: Tables) -> DataFrame:
     peaks = layout.edge_peaks(items(t), "page", "x", share=0.0)
     return layout.anchored(peaks, "page", ["edge"], "edge", 30, "kept").select("page", "edge", "kept")
