@@ -15,6 +15,7 @@ from docsieve.plans.registry import query
 from docsieve.plans.score_queries import CHECKS, CV_CHECKS, GATED, cv_scores, gate
 from docsieve.plans.text_queries import s_beta_ci, s_f_pvalue, s_two_groups
 from docsieve.sources import archives as ar
+from docsieve.sources import schemas as sm
 from docsieve.sources import tables as src
 from docsieve.sources.tables import Tables
 
@@ -156,43 +157,109 @@ def prj_resume_reshape(t: Tables) -> DataFrame:
 # --- validation ---
 
 
+ROLE = sm.Record((
+    ("title", sm.Text(least=1)), ("company", sm.Text(nullable=True)), ("months", sm.Number(least=0)),
+    ("level", sm.Text(one_of=("entry", "mid", "senior"))), ("bullets", sm.Items(sm.Text())),
+))
+CERTIFICATE = sm.Record((("name", sm.Text(least=1)), ("issuer", sm.Text(nullable=True)), ("active", sm.Flag())), from_text="name", made=(("active", True),))
+PROFILE = sm.Record((
+    ("name", sm.Text(least=1)), ("location", sm.Record((("city", sm.Text(nullable=True)), ("country", sm.Text(nullable=True))))),
+    ("years", sm.Number(least=0)), ("roles", sm.Items(ROLE)), ("certificates", sm.Items(CERTIFICATE)), ("links", sm.Record((("other", sm.Items(sm.Items(sm.Text()))),))),
+))
+
+
+def raw_profiles(t: Tables) -> DataFrame:
+    """Each customer's record as JSON, with the faults that models' outputs have, by the keys."""
+    n, o = F.col("ordinal"), F.col("owner")
+
+    def text(c: Column | str) -> Column:
+        return F.concat(F.lit('"'), c, F.lit('"'))
+
+    def member(name: str, value: Column | str) -> Column:
+        return F.concat(F.lit(f'"{name}":'), value if isinstance(value, Column) else F.lit(value))
+
+    months = (F.col("end_m") - F.col("start_m")).cast("string")
+    fields = [
+        member("title", F.when(n % 7 == 0, F.lit('""')).otherwise(text(F.col("title")))),
+        F.when(n % 11 != 0, member("company", F.when(n % 5 == 0, F.lit("null")).otherwise(text(F.col("company"))))),
+        member("months", F.when(n % 6 == 0, text(F.concat(months, F.lit(" months")))).when(n % 13 == 0, F.lit("-1")).otherwise(months)),
+        member("level", F.when(n % 4 == 0, F.lit('"boss"')).otherwise(F.lit('"mid"'))),
+        F.when(n % 9 != 0, member("bullets", F.when(n % 3 == 0, F.lit('["did it", 7]')).otherwise(F.lit('["did it"]')))),
+    ]
+    role = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    roles = d.roles(t).groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("ordinal", role.alias("j")))).alias("l"))
+    listed = F.coalesce(F.array_join(F.transform("l", lambda x: x["j"]), ","), F.lit(""))
+    parts = [
+        member("name", F.when(o % 12 == 0, F.lit('""')).otherwise(F.lit('"N"'))),
+        F.when(o % 4 != 0, member("location", '{"city": null, "country": "X"}')),
+        F.when(o % 10 != 3, member("years", F.when(o % 5 == 0, F.lit('"7.5 years"')).otherwise((o % 40).cast("string")))),
+        member("roles", F.concat(F.lit("["), listed, F.lit("]"))),
+        member("certificates", F.when(o % 3 == 0, F.lit('["PMP", {"name": "CKA", "issuer": null, "active": "yes"}]')).when(o % 3 == 1, F.lit("null")).otherwise(F.lit('[{"name": "CKA", "issuer": "I", "active": true}]'))),
+        F.when(o % 6 != 0, member("links", '{"other": [["a"], ["b", 5], []]}')),
+    ]
+    whole = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.when(o % 17 == 0, "").otherwise("}"))
+    return t.customer.select(F.col("c_custkey").alias("owner")).join(roles, "owner", "left").select("owner", whole.alias("json"))
+
+
+FAULTY = f"""{d.with_tables('roles')}, r AS (SELECT owner, ordinal, row_number() OVER (PARTITION BY owner ORDER BY ordinal) - 1 AS i, end_m - start_m AS months FROM roles),
+rf AS (SELECT owner, i, unnest([CASE WHEN ordinal % 7 = 0 THEN 'title: too short' END, CASE WHEN ordinal % 11 = 0 THEN 'company: missing' END, CASE WHEN ordinal % 6 = 0 THEN 'months: expected number' WHEN ordinal % 13 = 0 THEN 'months: too small' END,
+  CASE WHEN ordinal % 4 = 0 THEN 'level: not one of entry, mid, senior' END, CASE WHEN ordinal % 9 = 0 THEN 'bullets: missing' WHEN ordinal % 3 = 0 THEN 'bullets[1]: expected text' END]) AS said, unnest([1, 2, 3, 4, 5]) AS k FROM r),
+each AS (SELECT owner, string_agg('roles[' || i || '].' || said, '; ' ORDER BY i, k) AS said, string_agg('roles[' || i || '].' || said, '; ' ORDER BY i, k) FILTER (k IN (1, 4) OR said = 'months: too small') AS left_over FROM rf WHERE said IS NOT NULL GROUP BY owner)"""
+
+
 @query(
     "val_schema",
-    f"""{d.with_tables('roles')}, j AS (SELECT ordinal, CASE WHEN ordinal % 7 = 0 THEN '' ELSE title END AS title, CASE WHEN ordinal % 5 = 0 THEN NULL ELSE company END AS company, CASE WHEN ordinal % 6 = 0 THEN 'many' ELSE CAST(end_m - start_m AS VARCHAR) END AS months, CASE WHEN ordinal % 4 = 0 THEN 'boss' ELSE 'mid' END AS level FROM roles)
-    SELECT ordinal, concat_ws('; ', CASE WHEN title = '' THEN 'role.title: empty' END, CASE WHEN company IS NULL THEN 'role.company: missing' END, CASE WHEN try_cast(months AS INT) IS NULL THEN 'role.months: not a number' END, CASE WHEN level = 'boss' THEN 'role.level: not one of entry, mid, senior' END) AS errors FROM j""",
+    f"""{FAULTY} SELECT c_custkey AS owner, CASE WHEN c_custkey % 17 = 0 THEN 'not JSON' ELSE concat_ws('; ', CASE WHEN c_custkey % 12 = 0 THEN 'name: too short' END, CASE WHEN c_custkey % 4 = 0 THEN 'location: missing' END,
+      CASE WHEN c_custkey % 10 = 3 THEN 'years: missing' WHEN c_custkey % 5 = 0 THEN 'years: expected number' END, said, CASE c_custkey % 3 WHEN 0 THEN 'certificates[0]: expected record; certificates[1].active: expected flag' WHEN 1 THEN 'certificates: is null' END,
+      CASE WHEN c_custkey % 6 = 0 THEN 'links: missing' ELSE 'links.other[1][1]: expected text' END) END AS errors FROM customer LEFT JOIN each ON owner = c_custkey""",
 )
 def val_schema(t: Tables) -> DataFrame:
-    """A nested JSON record against its schema: every broken path with its message."""
-    n = F.col("ordinal")
-    record = F.struct(
-        F.when(n % 7 == 0, "").otherwise(F.col("title")).alias("title"), F.when(n % 5 != 0, F.col("company")).alias("company"),
-        F.when(n % 6 == 0, "many").otherwise((F.col("end_m") - F.col("start_m")).cast("string")).alias("months"), F.when(n % 4 == 0, "boss").otherwise("mid").alias("level"),
-    )
-    written = d.roles(t).select("ordinal", F.to_json(F.struct(record.alias("role"))).alias("json"))
-    role = F.from_json("json", "role struct<title: string, company: string, months: string, level: string>")["role"]
-    checks = [
-        F.when(role["title"] == "", "role.title: empty"), F.when(role["company"].isNull(), "role.company: missing"),
-        F.when(role["months"].try_cast("int").isNull(), "role.months: not a number"), F.when(~role["level"].isin("entry", "mid", "senior"), "role.level: not one of entry, mid, senior"),
-    ]
-    return written.select("ordinal", F.concat_ws("; ", *checks).alias("errors"))
+    """Nested records against a schema, lists in lists included: every broken path with its message."""
+    return raw_profiles(t).select("owner", F.array_join(sm.errors(F.col("json"), PROFILE), "; ").alias("errors"))
+
+
+@query(
+    "val_repair",
+    f"""{FAULTY}, m AS (SELECT owner, sum(CASE WHEN ordinal % 13 = 0 AND ordinal % 6 <> 0 THEN -1 ELSE months END) AS months, sum(CASE WHEN ordinal % 9 = 0 THEN 0 WHEN ordinal % 3 = 0 THEN 2 ELSE 1 END) AS bullets FROM r GROUP BY owner)
+    SELECT c_custkey AS owner, CASE WHEN c_custkey % 10 = 3 THEN 0.0 WHEN c_custkey % 5 = 0 THEN 7.5 ELSE c_custkey % 40 END AS years, CAST(coalesce(months, 0) AS DOUBLE) AS months, CAST(coalesce(bullets, 0) AS BIGINT) AS n_bullets,
+      CASE c_custkey % 3 WHEN 0 THEN 'PMP:true,CKA:true' WHEN 1 THEN '' ELSE 'CKA:true' END AS certificates, concat_ws('; ', CASE WHEN c_custkey % 12 = 0 THEN 'name: too short' END, left_over) AS errors
+    FROM customer LEFT JOIN m ON m.owner = c_custkey LEFT JOIN each e ON e.owner = c_custkey WHERE c_custkey % 17 <> 0""",
+)
+def val_repair(t: Tables) -> DataFrame:
+    """Records as the schema's structs: lists and records that were missing, numbers and records from texts; what can't be mended is still said."""
+    raw = raw_profiles(t).select("owner", sm.repaired(F.col("json"), PROFILE).alias("r")).where("r IS NOT NULL")
+    roles, certificates = F.col("r.roles"), F.col("r.certificates")
+    total = F.aggregate(F.transform(roles, lambda x: x["months"]), F.lit(0.0), lambda a, b: a + b)
+    bullets = F.aggregate(F.transform(roles, lambda x: F.size(x["bullets"])), F.lit(0), lambda a, b: a + b).cast("long")
+    named = F.array_join(F.transform(certificates, lambda c: F.concat_ws(":", c["name"], c["active"].cast("string"))), ",")
+    left = F.array_join(sm.errors(F.to_json("r", {"ignoreNullFields": "false"}), PROFILE), "; ")
+    return raw.select("owner", F.col("r.years").alias("years"), total.alias("months"), bullets.alias("n_bullets"), named.alias("certificates"), left.alias("errors"))
 
 
 ISSUES = f"""{d.with_tables('roles', 'nodes')}, own AS (SELECT owner, count(*) AS n, sum(end_m - start_m) AS worked, max(end_m) - min(start_m) AS span, owner % 8 AS said FROM roles GROUP BY owner), sk AS (SELECT owner, count(*) AS n FROM nodes GROUP BY owner),
 hold AS (SELECT c_custkey AS owner, regexp_matches(lower(trim({d.sql_chosen(HOLDERS, 'c_custkey')})), '{HOLDER}') AS placeholder FROM customer),
 issues AS (SELECT owner, 'duration beyond span' AS issue, 'error' AS severity FROM own WHERE worked > span + 2 UNION ALL SELECT owner, 'years differ from span', 'warning' FROM own WHERE abs(span / 12.0 - said) > 2
   UNION ALL SELECT owner, 'placeholder name', 'error' FROM hold WHERE placeholder UNION ALL SELECT owner, 'few skills', 'warning' FROM sk WHERE n < 20
+  UNION ALL SELECT DISTINCT owner, 'date format', 'warning' FROM roles WHERE ordinal % 90 IN (7, 11)
   UNION ALL SELECT owner, 'duplicate role', 'warning' FROM (SELECT DISTINCT owner FROM (SELECT owner, company, title FROM roles GROUP BY owner, company, title HAVING count(*) > 1)) UNION ALL SELECT c_custkey, 'no roles', 'error' FROM customer WHERE c_custkey NOT IN (SELECT owner FROM own))"""
 
 
+#: Forms of dates that a profile may have: month and year by name or number, a year, an open end.
+DATE_FORMS = r"^((Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]* [0-9]{4}|[0-9]{4}(-(0[1-9]|1[0-2]))?|(0?[1-9]|1[0-2])/[0-9]{4}|[Pp]resent)$"
+
+
 def sanity(t: Tables) -> DataFrame:
     roles = d.roles(t)
     own = roles.groupBy("owner").agg(F.sum(F.col("end_m") - F.col("start_m")).alias("worked"), (F.max("end_m") - F.min("start_m")).alias("span"))
     customers = t.customer.select(F.col("c_custkey").alias("owner"))
+    year = F.floor((F.col("start_m") - 1) / 12).cast("string")
+    written = F.when(F.col("ordinal") % 90 == 7, F.concat(F.lit("13/"), year)).when(F.col("ordinal") % 90 == 11, F.lit("long ago")).when(F.col("ordinal") % 2 == 0, F.concat(year, F.lit("-05"))).otherwise(F.concat(F.lit("Mar "), year))
+    odd_dates = roles.where(~written.rlike(DATE_FORMS)).select("owner").distinct()
     twice = roles.groupBy("owner", "company", "title").count().where("count > 1").select("owner").distinct()
     found = (
         (own.where("worked > span + 2"), "duration beyond span", "error"), (own.where(F.abs(F.col("span") / 12.0 - F.col("owner") % 8) > 2), "years differ from span", "warning"),
         (customers.where(F.lower(F.trim(d.chosen(HOLDERS, F.col("owner")))).rlike(HOLDER)), "placeholder name", "error"), (d.nodes(t).groupBy("owner").count().where("count < 20"), "few skills", "warning"),
-        (twice, "duplicate role", "warning"), (customers.join(own, "owner", "left_anti"), "no roles", "error"),
+        (odd_dates, "date format", "warning"), (twice, "duplicate role", "warning"), (customers.join(own, "owner", "left_anti"), "no roles", "error"),
     )
     out = None
     for rows, issue, severity in found:
@@ -203,7 +270,7 @@ def sanity(t: Tables) -> DataFrame:
 
 @query("val_sanity", f"{ISSUES} SELECT owner, issue, severity FROM issues")
 def val_sanity(t: Tables) -> DataFrame:
-    """Durations against spans, years against spans, placeholders, few skills, duplicates and missing roles, a row each."""
+    """Durations against spans, years against spans, placeholders, few skills, forms of dates, duplicates and missing roles, a row each."""
     return sanity(t)
 
 

@@ -9,7 +9,7 @@ from docsieve.functions import text as tx
 from docsieve.operators import evidence as ev
 from docsieve.operators import matching as mt
 from docsieve.plans.registry import NODES, query
-from docsieve.plans.standins import evidence, lines, nodes, roles
+from docsieve.plans.standins import evidence, nodes, roles
 from docsieve.plans.text_queries import SIGNIFICANT, WORDS, count_sql
 from docsieve.sources import tables as src
 from docsieve.sources.tables import Tables
@@ -112,20 +112,9 @@ def jn_contradiction_pairs(t: Tables) -> DataFrame:
     return pairs.where("a < b AND o_orderstatus <> other").select("a", "b")
 
 
-# --- merges ---
-
-
 # --- validation and repair ---
 
 
-@query("val_repair", "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, 0 AS n_tags FROM events")
-def val_repair(t: Tables) -> DataFrame:
-    """Numbers from strings, and empty arrays for missing ones."""
-    parsed = F.from_json("props", "struct<k: string, tags: array<string>>")
-    tags = F.coalesce(parsed["tags"], F.array().cast("array<string>"))
-    return t.events.select("event_id", F.coalesce(parsed["k"].try_cast("long"), F.lit(0)).alias("k"), F.size(tags).alias("n_tags"))
-
-
 @query("val_request", "SELECT c_custkey FROM customer WHERE length(c_name) >= 3 AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal BETWEEN 0 AND 9000")
 def val_request(t: Tables) -> DataFrame:
     valid, _ = src.validated(
@@ -134,20 +123,6 @@ def val_request(t: Tables) -> DataFrame:
     return valid.select("c_custkey")
 
 
-def sanity(t: Tables) -> DataFrame:
-    docs = t.documents
-    repeated = lines(t).where("length(line) >= 4").groupBy("doc_id", "line").count().where("count >= 3").select("doc_id").distinct()
-
-    def issue(rows: DataFrame, name: str, severity: str) -> DataFrame:
-        return rows.select("doc_id", F.lit(name).alias("issue"), F.lit(severity).alias("severity"))
-
-    return (
-        issue(docs.where("n_chars < 100"), "short", "error")
-        .unionByName(issue(docs.where(F.col("text").rlike("[0-9]{5,}")), "digits", "warning"))
-        .unionByName(issue(repeated, "repeated line", "warning"))
-    )
-
-
 # --- state over time ---
 
 
