@@ -12,13 +12,17 @@ MARKS = "[.,;:()'\"‘’“”&·•®]"
 
 
 def normalised(text: Column) -> Column:
-    """Lower case without accents and punctuation; dashes and slashes are blanks, runs of blanks one."""
-    plain = F.translate(F.lower(text), tx.ACCENTED, tx.PLAIN)
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, DASHES, " "), MARKS, ""), r"\s+", " "))
+    """Lower case without the letters' marks and punctuation; dashes and slashes are blanks, runs of blanks one."""
+    return verified(tx.without_marks(text))
+
+
+def all_without_marks(values: Column) -> Column:
+    """An array of texts without their marks, by one call for all; none of them may hold the control that parts them."""
+    return F.split(tx.without_marks(F.array_join(values, "\x01")), "\x01")
 
 
 def verified(text: Column) -> Column:
-    """As ``normalised``, but with accents."""
+    """As ``normalised``, but with the marks."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(text), DASHES, " "), MARKS, ""), r"\s+", " "))
 
 
@@ -27,11 +31,11 @@ def all_words(norm_value: Column, norm_source: Column) -> Column:
     return (F.size(words) >= 2) & F.forall(words, lambda w: F.contains(norm_source, w))
 
 
-def field_exists(value: Column, source: Column, norm_source: Column) -> Column:
+def field_exists(value: Column, low_source: Column, norm_source: Column) -> Column:
     """True of values under three letters; else the value, its normal form or all its words of three letters stand there."""
     norm = verified(value)
     short = F.length(F.trim(value)) < 3
-    return short | F.contains(F.lower(source), F.lower(value)) | F.contains(norm_source, norm) | all_words(norm, norm_source)
+    return short | F.contains(low_source, F.lower(value)) | F.contains(norm_source, norm) | all_words(norm, norm_source)
 
 
 def source_words(norm_source: Column) -> Column:
@@ -42,14 +46,14 @@ def near(word: Column, words: Column) -> Column:
     return F.exists(words, lambda w: F.levenshtein(word, w, 2) >= 0)
 
 
-def grounded(value: Column, low_source: Column, norm_source: Column, words: Column) -> Column:
-    """``how`` a value stands in its source, and the place (``start``, ``end``, from 0) where one is known.
+def grounded(value: Column, unmarked: Column, low_source: Column, norm_source: Column, words: Column) -> Column:
+    """``how`` a value (``unmarked``: without marks) stands in its source, and the place (``start``, ``end``, from 0) where one is known.
 
     In this order: exact (or under three letters), URL without scheme and last slash, letters set apart,
     two-digit year behind a range, normalised, fuzzy (two edits a word, four words at most), all words, none.
     """
     trimmed = F.trim(value)
-    low, norm = F.lower(trimmed), normalised(trimmed)
+    low, norm = F.lower(trimmed), verified(unmarked)
     url = F.regexp_replace(F.regexp_replace(low, "^https?://", ""), "/$", "")
     apart = F.trim(F.regexp_replace(low, "(.)", "$1 "))
     parts = F.split(norm, " ")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Accented letters and their base letters.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 # Ligatures, quotes, dashes, bullets and blanks that extraction leaves behind.
 REPAIRS = [("ﬁ", "fi"), ("ﬂ", "fl"), ("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"), ("–", "-"), ("—", "-"), ("•", "-"), ("\u00a0", " "), ("\u200b", "")]
 STOP = ("the", "and", "of", "to", "in", "is", "for", "on", "with", "that", "at", "it", "an", "was", "as")
@@ -21,8 +21,15 @@ def basic(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
+@F.arrow_udf(T.StringType())
+def without_marks(text: pa.Array) -> pa.Array:
+    """Letters without their marks, in any script: decomposed, marks taken off, composed again."""
+    decomposed = pc.utf8_normalize(text, form="NFD")
+    return pc.utf8_normalize(pc.replace_substring_regex(decomposed, r"\p{M}", ""), form="NFC")
+
+
 def without_accents(text: Column) -> Column:
-    return basic(F.translate(F.lower(text), ACCENTED, PLAIN))
+    return basic(without_marks(text))
 
 
 def words(text: Column) -> Column:

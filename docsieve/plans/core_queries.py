@@ -43,7 +43,7 @@ def src_limit_recent(t: Tables) -> DataFrame:
 
 @query(
     "src_feedback_export",
-    "SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 14 DAY "
+    "SELECT event_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-02-15' - INTERVAL 30 DAY "
     "ORDER BY ts DESC, event_id DESC LIMIT 1000",
 )
 def src_feedback_export(t: Tables) -> DataFrame:

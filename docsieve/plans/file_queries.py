@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from docsieve.functions import stats
 from docsieve.functions import text as tx
 from docsieve.operators import names as nm
-from docsieve.operators.folds import ordered_fold
 from docsieve.plans import domain as d
 from docsieve.plans.profile_queries import BASIC_NUMBERS, GARBAGE, HOLDER, HOLDERS, LINES, SECTIONS, profile_lines
 from docsieve.plans.registry import query
@@ -18,6 +17,7 @@ from docsieve.sources import archives as ar
 from docsieve.sources import schemas as sm
 from docsieve.sources import tables as src
 from docsieve.sources.tables import Tables
+from docsieve.streaming import state
 
 # --- archives ---
 
@@ -439,17 +439,22 @@ ALLOWED = "[" + ", ".join(f"'{a}>{b}'" for a, bs in STEPS.items() for b in bs) +
     SELECT event_id, user_id, now AS state, taken FROM s""",
 )
 def st_status_machine(t: Tables) -> DataFrame:
-    """A fold over each user's wanted moves: only those that the state allows are taken."""
-    rows = t.events.select("event_id", "user_id", "ts", d.chosen(STATES, F.col("event_id") + F.col("user_id")).alias("wanted"))
+    """Each user's wanted moves: only those that the state allows are taken. On a stream of the events it gives the same."""
+    rows = t.events.withColumn("wanted", d.chosen(STATES, F.col("event_id") + F.col("user_id")))
+    moves = state.status_moves(rows, "user_id", {**STEPS, state.NONE: ("uploaded",)})
+    return moves.withColumnRenamed("key", "user_id")
 
-    def step(now: list[str], wanted: str) -> str:
-        if wanted in STEPS.get(now[0], ()) or (now[0] == "none" and wanted == "uploaded"):
-            now[0] = wanted
-            return f"+{wanted}"
-        return now[0]
 
-    moved = ordered_fold(rows, ["user_id"], ["ts", "event_id"], ["wanted"], lambda: ["none"], step, "moved", "string")
-    return moved.select("event_id", "user_id", F.ltrim("moved", F.lit("+")).alias("state"), F.startswith("moved", F.lit("+")).alias("taken"))
+@query(
+    "st_decay_90d",
+    """WITH RECURSIVE o AS (SELECT o_custkey AS owner, o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS asked, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+    f AS (SELECT owner, o_orderkey, i, TRUE AS ask, asked AS last FROM o WHERE i = 1 UNION ALL SELECT o.owner, o.o_orderkey, o.i, o.asked - f.last >= INTERVAL 90 DAY, CASE WHEN o.asked - f.last >= INTERVAL 90 DAY THEN o.asked ELSE f.last END FROM f JOIN o ON o.owner = f.owner AND o.i = f.i + 1)
+    SELECT owner, o_orderkey, ask FROM f""",
+)
+def st_decay_90d(t: Tables) -> DataFrame:
+    """Whether an owner is asked at each order: at the first, and when the last question is 90 days old."""
+    rows = t.orders.select(F.col("o_orderkey").alias("event_id"), F.col("o_orderdate").alias("ts"), "o_custkey")
+    return state.asked_again(rows, "o_custkey", 90).select(F.col("key").alias("owner"), F.col("event_id").alias("o_orderkey"), "ask")
 
 
 @query(
@@ -478,13 +483,19 @@ def st_snapshot(t: Tables) -> DataFrame:
 
 @query("st_incremental_append", f"{d.with_tables('facts')}, more AS (SELECT owner, node, role_id, impact FROM facts UNION ALL SELECT c_custkey, {d.sql_chosen(d.SKILLS, 'c_custkey * 3')}, -1, TRUE FROM customer) SELECT owner, node, count(*) AS n_evidence, count(DISTINCT role_id) FILTER (role_id >= 0) AS n_roles, bool_or(impact) AS has_impact FROM more GROUP BY owner, node")
 def st_incremental_append(t: Tables) -> DataFrame:
-    """Answers appended to the table of evidence, and the summaries made anew from all of it."""
+    """Evidence and then answers, appended by a stream whose batches may be repeated; the summaries are made anew from all of it."""
     path = src.shared_folder(t.spark)
-    d.facts(t).select("owner", "node", "role_id", "impact").write.parquet(path)
-    key = F.col("c_custkey")
-    t.customer.select(key.alias("owner"), d.chosen(d.SKILLS, key * 3).alias("node"), F.lit(-1).cast("long").alias("role_id"), F.lit(True).alias("impact")).write.mode("append").parquet(path)
-    rows = t.spark.read.parquet(path)
-    return rows.groupBy("owner", "node").agg(F.count(F.lit(1)).alias("n_evidence"), F.countDistinct(F.when(F.col("role_id") >= 0, F.col("role_id"))).alias("n_roles"), F.bool_or("impact").alias("has_impact"))
+    facts = d.facts(t).select("owner", "node", "role_id", "impact")
+    facts.write.parquet(f"{path}/in")
+    schema = "owner bigint, node string, role_id bigint, impact boolean"
+    arriving = t.spark.readStream.schema(schema).parquet(f"{path}/in")
+    state.append_stream(arriving, f"{path}/evidence", f"{path}/seen").awaitTermination()
+    answers = t.customer.select(F.col("c_custkey").alias("owner"), d.chosen(d.SKILLS, F.col("c_custkey") * 3).alias("node"), F.lit(-1).cast("bigint").alias("role_id"), F.lit(True).alias("impact"))
+    answers.write.mode("append").parquet(f"{path}/in")
+    state.append_stream(arriving, f"{path}/evidence", f"{path}/seen").awaitTermination()
+    roles = F.countDistinct(F.when(F.col("role_id") >= 0, F.col("role_id")))
+    rows = t.spark.read.schema(schema).parquet(f"{path}/evidence")
+    return rows.groupBy("owner", "node").agg(F.count(F.lit(1)).alias("n_evidence"), roles.alias("n_roles"), F.bool_or("impact").alias("has_impact"))
 
 
 @query(

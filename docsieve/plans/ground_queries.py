@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.functions import grounding as gr
-from docsieve.functions import text as tx
 from docsieve.plans.registry import query
 from docsieve.sources.tables import Tables
 
@@ -21,25 +20,32 @@ fields AS (SELECT doc_id, source, unnest([
 
 
 def parsed_fields(t: Tables) -> DataFrame:
-    """``doc_id``, ``source`` and its normal forms, ``path`` and ``value`` of each field."""
+    """``doc_id``, ``source`` and its normal forms, and ``fields``, all of a document's paths and values, with these without marks.
+
+    A document stays one row, so that its text isn't repeated for each field; a generator keeps the forms from
+    being computed anew wherever a check names them.
+    """
     text = F.coalesce("text", F.lit(""))
     more = F.when(F.col("doc_id") % 2 == 0, "\nC S E P (2018 - 19)").otherwise("")
-    src = t.documents.select("doc_id", F.concat(text, more).alias("source"), F.split(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")), r"\s+").alias("w"))
+    src = t.documents.select("doc_id", F.concat(text, more).alias("source"), F.slice(F.split(F.trim(F.regexp_replace(text, r"^\s+|\s+$", "")), r"\s+"), 1, 4).alias("w"))
     a, b, c, d = (F.coalesce(F.try_element_at("w", F.lit(i)), F.lit("")) for i in (1, 2, 3, 4))
-    low = {"low": F.lower("source"), "norm": gr.normalised(F.col("source")), "plain": gr.verified(F.col("source"))}
     values = {
         "name": F.lower(F.concat_ws(" ", a, b, c)), "links[0]": F.concat(F.lit("https://"), b, F.lit("/")), "links[1]": F.lit("present"),
         "certificates[0].name": F.lit("CSEP"), "certificates[0].year": F.lit("2019"), "roles[0].title": F.concat(a, F.lit(" - "), b, F.lit(",")),
         "roles[0].company": F.concat(F.lit("x"), F.substring(c, 2, 1000)), "roles[1].title": F.concat_ws(" ", d, b, a), "roles[1].company": F.lit("qqqqqqqq wwwwwwww"),
         "skills[0]": F.lit("ab"), "skills[1]": F.lit(""), "years_total": F.lit("7"),
     }
-    rows = src.withColumns(low).withColumn("words", gr.source_words(F.col("norm")))
-    listed = F.array(*[F.struct(F.lit(p).alias("path"), v.alias("value")) for p, v in values.items()])
-    return rows.select("doc_id", "source", "low", "norm", "plain", "words", F.inline(listed))
+    listed = src.withColumn("value", F.array(*values.values())).withColumn("path", F.array(*map(F.lit, values)))
+    marked = listed.withColumn("unmarked", gr.all_without_marks(F.transform("value", F.trim))).withColumn("norm", gr.normalised(F.col("source")))
+    forms = F.struct(
+        "source", F.lower("source").alias("low"), "norm", gr.verified(F.col("source")).alias("plain"), gr.source_words(F.col("norm")).alias("words"),
+        F.arrays_zip("path", "value", "unmarked").alias("fields"),
+    )
+    return marked.select("doc_id", F.inline(F.array(forms)))
 
 
 def s_plain(x: str, accents: bool) -> str:
-    low = f"lower({x})" if accents else f"translate(lower({x}), '{tx.ACCENTED}', '{tx.PLAIN}')"
+    low = f"lower({x})" if accents else f"lower(strip_accents({x}))"
     marks = gr.MARKS.replace("'", "''")
     return f"trim(regexp_replace(regexp_replace(regexp_replace({low}, '[-–—/\\\\]', ' ', 'g'), '{marks}', '', 'g'), '\\s+', ' ', 'g'))"
 
@@ -63,9 +69,9 @@ TEXT = "CASE how WHEN 'exact' THEN low WHEN 'url' THEN url WHEN 'spaced' THEN ap
 
 
 def grounded_fields(t: Tables) -> DataFrame:
-    rows = parsed_fields(t)
-    hit = gr.grounded(F.col("value"), F.col("low"), F.col("norm"), F.col("words"))
-    return rows.select("doc_id", "path", "value", hit.alias("hit"))
+    low, norm, words = F.col("low"), F.col("norm"), F.col("words")
+    hits = F.transform("fields", lambda f: F.struct(f["path"].alias("path"), f["value"].alias("value"), gr.grounded(f["value"], f["unmarked"], low, norm, words).alias("hit")))
+    return parsed_fields(t).select("doc_id", F.inline(hits))
 
 
 @query(
@@ -81,7 +87,9 @@ def fn_ground_value(t: Tables) -> DataFrame:
     f"WITH {NORMS} SELECT doc_id, path, length(t) < 3 OR contains(src_low, lower(value)) OR contains(src_plain, plain) OR {s_all_words('plain', 'src_plain')} AS held FROM f",
 )
 def fn_field_exists(t: Tables) -> DataFrame:
-    return parsed_fields(t).select("doc_id", "path", gr.field_exists(F.col("value"), F.col("source"), F.col("plain")).alias("held"))
+    low, plain = F.col("low"), F.col("plain")
+    held = F.transform("fields", lambda f: F.struct(f["path"].alias("path"), gr.field_exists(f["value"], low, plain).alias("held")))
+    return parsed_fields(t).select("doc_id", F.inline(held))
 
 
 #: Empty values and words for now aren't looked for; totals are derived, not read.

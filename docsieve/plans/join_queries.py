@@ -126,9 +126,9 @@ def val_request(t: Tables) -> DataFrame:
 # --- state over time ---
 
 
-@query("st_recent_30d", "SELECT user_id, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 10 DAY GROUP BY user_id")
+@query("st_recent_30d", "SELECT user_id, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-02-15' - INTERVAL 30 DAY GROUP BY user_id")
 def st_recent_30d(t: Tables) -> DataFrame:
-    return t.events.where(F.col("ts") >= F.lit("2024-01-21").cast("timestamp")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return t.events.where(F.col("ts") >= F.lit("2024-01-16").cast("timestamp")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("st_rate_limit", "WITH g AS (SELECT event_id, user_id, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events) SELECT user_id, count(*) FILTER (d < 600) AS n_too_soon FROM g GROUP BY user_id")

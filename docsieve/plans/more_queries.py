@@ -224,12 +224,6 @@ def val_retry_ladder(t: Tables) -> DataFrame:
 # --- state ---
 
 
-@query("st_decay_90d", "SELECT o_custkey AS owner, date_diff('day', CAST(max(o_orderdate) AS DATE), DATE '2001-12-31') < 90 AS fresh FROM orders GROUP BY o_custkey")
-def st_decay_90d(t: Tables) -> DataFrame:
-    age = F.datediff(F.lit("2001-12-31").cast("date"), F.max("o_orderdate").cast("date"))
-    return t.orders.groupBy(F.col("o_custkey").alias("owner")).agg((age < 90).alias("fresh"))
-
-
 @query("st_cron", "SELECT CAST(ts AS DATE) AS run_day, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_failed FROM events GROUP BY run_day ORDER BY run_day DESC LIMIT 100")
 def st_cron(t: Tables) -> DataFrame:
     """A log of nightly runs, of which the last hundred are kept."""

@@ -152,7 +152,7 @@ def fn_quality(t: Tables) -> DataFrame:
     return m.select("id", quality.alias("quality"), "sections")
 
 
-@query("fn_norm_diacritics", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(text), '{0}', '{1}'), '[-–—/\\\\]', ' ', 'g'), '{2}', '', 'g'), '\\s+', ' ', 'g'))) AS norm FROM documents".format(tx.ACCENTED, tx.PLAIN, gr.MARKS.replace("'", "''")))
+@query("fn_norm_diacritics", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '[-–—/\\\\]', ' ', 'g'), '{0}', '', 'g'), '\\s+', ' ', 'g'))) AS norm FROM documents".format(gr.MARKS.replace("'", "''")))
 def fn_norm_diacritics(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(gr.normalised(F.col("text"))).alias("norm"))
 

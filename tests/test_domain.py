@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions import grounding as gr
 from docsieve.functions import lexicons as lx
+from docsieve.functions import text as tx
 from docsieve.operators import matching as mt
 from docsieve.operators import names as nm
 from docsieve.operators import scoring as sc
@@ -77,7 +78,7 @@ def test_contained_in_either_direction(spark):
 def test_grounding_cascade(spark, value, how, start):
     source = "Café is senior engineer, sites acme.example - C S E P (2018-19) été, Paris"
     row = spark.createDataFrame([(value, source)], "v string, s string").withColumns({"low": F.lower("s"), "norm": gr.normalised(F.col("s"))})
-    got = row.select(gr.grounded(F.col("v"), F.col("low"), F.col("norm"), gr.source_words(F.col("norm"))).alias("g")).first()["g"]
+    got = row.select(gr.grounded(F.col("v"), tx.without_marks(F.trim("v")), F.col("low"), F.col("norm"), gr.source_words(F.col("norm"))).alias("g")).first()["g"]
     assert got["how"] == how
     if how in ("exact", "url", "spaced") and len(value) > 2:
         assert got["start"] == source.lower().index({"url": "acme.example", "spaced": "c s e p"}.get(how, value.lower()))
