@@ -10,15 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsieve.functions import grounding as gr
+from docsieve.functions import lexicons as lx
 from docsieve.functions import spans as sp
 from docsieve.functions import text as tx
 from docsieve.functions.rules import Rules
+from docsieve.operators import lexicon as lex
 from docsieve.operators import names as nm
 from docsieve.operators import scoring as sc
 from docsieve.plans import domain as d
 from docsieve.plans.matching_queries import credential, first_of, keyword_nodes, s_credential
 from docsieve.plans.registry import query
-from docsieve.plans.score_queries import s_addressed, s_fuzzy, s_held, s_numbers, s_similar, s_technologies
+from docsieve.plans.score_queries import s_addressed, s_fuzzy, s_held, s_numbers, s_similar
 from docsieve.sources.tables import Tables
 
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -335,10 +337,14 @@ def agg_achievements(t: Tables) -> DataFrame:
     return rows.select("owner", F.floor(F.col("pos") / 1000).alias("role_id"), "pos", found.alias("metric"), F.substring("line", 3, 100_000).alias("said"))
 
 
-@query("fn_tech_terms", f"{TEXTS} SELECT owner, array_to_string({s_technologies('text')}, ',') AS terms FROM texts")
+@query("fn_tech_terms", f"{TEXTS}, {lx.TECHNOLOGIES.sql()}, {lex.s_hits('texts', 'owner', 'text', 'technologies', 'tech')}, placed AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY pos, place) AS k FROM tech) SELECT t.owner, coalesce(string_agg(phrase, ',' ORDER BY k) FILTER (k <= 15), '') AS terms, count(phrase) AS n_terms FROM texts t LEFT JOIN placed p ON p.owner = t.owner GROUP BY t.owner")
 def fn_tech_terms(t: Tables) -> DataFrame:
-    """Distinct technologies in the order of their first mention, fifteen at most."""
-    return profile_texts(t).select("owner", F.array_join(sc.technologies(F.col("text")), ",").alias("terms"))
+    """Distinct technologies in the order of their first mention, fifteen at most, and how many there are."""
+    texts = profile_texts(t)
+    found = lex.hits(texts, ["owner"], "text", lx.TECHNOLOGIES.table(t.spark)).groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("at", "place", "phrase"))).alias("l"))
+    rows = texts.select("owner").join(found, "owner", "left")
+    terms = F.coalesce(F.array_join(F.transform(F.slice("l", 1, 15), lambda x: x["phrase"]), ","), F.lit(""))
+    return rows.select("owner", terms.alias("terms"), F.coalesce(F.size("l"), F.lit(0)).cast("long").alias("n_terms"))
 
 
 @query("fn_term_match", f"{TEXTS}, q AS (SELECT owner, lower(text) AS text, lower({d.sql_chosen(('CI/CD', 'Machine Learning', 'astro-physics', 'data (big)', 'Go'), 'owner')}) AS term FROM texts) SELECT owner, term, {s_held('term', 'text')} AS matched FROM q")

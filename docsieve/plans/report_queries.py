@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from docsieve.functions import lexicons as lx
 from docsieve.functions import text as tx
 from docsieve.operators import evidence as ev
+from docsieve.operators import lexicon as lex
 from docsieve.operators import matching as mt
 from docsieve.operators import names as nm
+from docsieve.operators import temporal as tm
 from docsieve.plans import domain as d
 from docsieve.plans.class_queries import CLASSIFIED, MESSAGES, classified, messages
 from docsieve.plans.matching_queries import FIXES, REQ_NODES, company_pairs, first_of, greedy_sql, keyword_nodes, requirement_nodes, same_contexts, same_positions
@@ -31,6 +33,10 @@ def level_of(seniority: Column) -> Column:
     return out
 
 
+#: ``by_words``: the domain and category that the words of a skill's name tell.
+NODE_WORDS = lex.s_labels("(SELECT DISTINCT name FROM skills)", "name", "name", lx.DOMAIN_WORDS, "by_words")
+
+
 # --- careers ---
 
 GOOD_YEARS = "FILTER (y0 BETWEEN 1950 AND 2100 AND y1 BETWEEN 1950 AND 2100)"
@@ -96,14 +102,14 @@ def agg_trajectory(t: Tables) -> DataFrame:
 
 @query(
     "agg_reconstruct_roles",
-    f"""{d.with_tables('facts', 'roles')}, seen AS (SELECT DISTINCT f.owner, f.role_id, f.company, f.title, r.start_m, r.end_m, CASE WHEN f.role_id % 2 = 0 THEN {TITLE_DOMAIN.sql('f.title')} END AS by_node, {lx.DOMAIN.sql('f.node')} AS by_category, f.node FROM facts f JOIN roles r ON r.ordinal = f.role_id),
+    f"""{d.with_tables('facts', 'roles')}, {NODE_WORDS}, seen AS (SELECT DISTINCT f.owner, f.role_id, f.company, f.title, r.start_m, r.end_m, CASE WHEN f.role_id % 2 = 0 THEN {TITLE_DOMAIN.sql('f.title')} END AS by_node, coalesce((SELECT label FROM by_words b WHERE b.name = f.node), 'general') AS by_category, f.node FROM facts f JOIN roles r ON r.ordinal = f.role_id),
     one AS (SELECT owner, role_id, company, title, start_m, end_m, coalesce(max(by_node), arg_min(by_category, node)) AS domain FROM seen GROUP BY owner, role_id, company, title, start_m, end_m)
     SELECT owner, company, title, start_m, end_m - start_m AS months, domain FROM one QUALIFY row_number() OVER (PARTITION BY owner, company, title ORDER BY end_m - start_m DESC, role_id) = 1""",
 )
 def agg_reconstruct_roles(t: Tables) -> DataFrame:
     """Roles from the evidence of nodes: the domain of a domain node, else the first node's; of equal company and title the longest."""
     own = F.when(F.col("role_id") % 2 == 0, TITLE_DOMAIN.first(F.col("title")))
-    seen = d.facts(t).select("owner", "role_id", "company", "title", "node", own.alias("by_node"), lx.DOMAIN.first(F.col("node")).alias("by_category"))
+    seen = lex.labelled(d.facts(t), "node", lx.DOMAIN_WORDS, "by_category").select("owner", "role_id", "company", "title", "node", own.alias("by_node"), "by_category")
     one = seen.groupBy("owner", "role_id", "company", "title").agg(F.coalesce(F.max("by_node"), F.min_by("by_category", "node")).alias("domain"))
     spans = d.roles(t).select(F.col("ordinal").alias("role_id"), "start_m", (F.col("end_m") - F.col("start_m")).alias("months"))
     longest = first_of(one.join(spans, "role_id"), ["owner", "company", "title"], F.desc("months"), "role_id")
@@ -171,38 +177,67 @@ def agg_depth(t: Tables) -> DataFrame:
     return depths(t)
 
 
-TREE = f"""{DEPTH}, named AS (SELECT DISTINCT name AS node, {lx.DOMAIN.sql('name')} AS domain, {lx.TIER.sql('name')} AS tier FROM skills), cls AS (SELECT x.*, domain, tier FROM depth x JOIN named USING (node)),
+#: Categories that support a profession without being it.
+SUPPORTING = ("delivery", "tools", "stage")
+TREE = f"""{DEPTH}, {NODE_WORDS},
+classes AS (SELECT DISTINCT s.name AS node, coalesce(b.label, 'general') AS domain, coalesce(b.detail, 'general') AS category FROM skills s LEFT JOIN by_words b USING (name)), cls AS (SELECT x.*, domain, category FROM depth x JOIN classes USING (node)),
 prim AS (SELECT owner, arg_min(domain, (-n, domain)) AS main FROM (SELECT owner, domain, count(*) AS n FROM cls JOIN facts USING (owner, node) GROUP BY owner, domain) GROUP BY owner),
-adj AS (SELECT c.owner, c.node, c.domain, c.tier AS category, CASE WHEN tier <> 'core_skill' THEN floor(score * 0.3 + 0.5) WHEN c.domain = main THEN least(150, floor(score * 1.5 + 0.5)) ELSE score END AS score FROM cls c JOIN prim USING (owner))"""
+adj AS (SELECT c.owner, c.node, c.domain, c.category, CAST(CASE WHEN c.category IN {SUPPORTING} THEN floor(score * 0.3 + 0.5) WHEN c.domain = main THEN least(150, floor(score * 1.5 + 0.5)) ELSE score END AS DOUBLE) AS score FROM cls c JOIN prim USING (owner))"""
 
 
 def adjusted(t: Tables) -> DataFrame:
-    """Nodes with domain, category and score: one and a half times in the main domain, 0.3 times for supporting ones."""
-    rows = depths(t).withColumns({"domain": lx.DOMAIN.first(F.col("node")), "category": lx.TIER.first(F.col("node"))})
-    main = d.facts(t).groupBy("owner", lx.DOMAIN.first(F.col("node")).alias("domain")).agg(F.count(F.lit(1)).alias("n")).groupBy("owner").agg(F.min_by("domain", F.struct(-F.col("n"), F.col("domain"))).alias("main"))
+    """Nodes with domain, category and score: one and a half times in the main domain, 0.3 times for supporting categories."""
+    facts = d.facts(t).groupBy("owner", "node").agg(F.count(F.lit(1)).alias("n"))
+    placed = lex.labelled(depths(t).join(facts, ["owner", "node"]), "node", lx.DOMAIN_WORDS, "domain", "category").withColumn("category", F.coalesce("category", F.lit("general")))
+    main = placed.groupBy("owner", "domain").agg(F.sum("n").alias("n")).groupBy("owner").agg(F.min_by("domain", F.struct(-F.col("n"), F.col("domain"))).alias("main"))
     s = F.col("score").cast("double")
-    score = F.when(F.col("category") != "core_skill", F.floor(s * 0.3 + 0.5).cast("double")).when(F.col("domain") == F.col("main"), F.least(F.lit(150.0), F.floor(s * 1.5 + 0.5).cast("double"))).otherwise(s)
-    return rows.join(main, "owner").select("owner", "node", "domain", "category", score.alias("score"))
+    score = F.when(F.col("category").isin(*SUPPORTING), F.floor(s * 0.3 + 0.5).cast("double")).when(F.col("domain") == F.col("main"), F.least(F.lit(150.0), F.floor(s * 1.5 + 0.5).cast("double"))).otherwise(s)
+    return placed.join(main, "owner").select("owner", "node", "domain", "category", score.alias("score"))
+
+
+def nested(rows: DataFrame) -> DataFrame:
+    """``owner`` and ``domains``: its domains, their categories and these ones' skills, each level by falling sums of scores, then by name.
+
+    Three groupings by ever fewer keys, so that each level is built of the one below.
+    """
+
+    def level(items: DataFrame, keys: list[str], name: str, inner: str, inner_score: Column) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct((-inner_score).alias("minus"), F.col(name).alias("name"), *([F.col(inner)] if inner else []))))
+        each = F.transform(listed, lambda x: F.struct(x["name"].alias("name"), (-x["minus"] + 0.0).alias("score"), *([x[inner].alias(inner)] if inner else [])))
+        return items.groupBy(*keys).agg(F.sum(inner_score).alias("total"), each.alias("below"))
+
+    skills = level(rows, ["owner", "domain", "category"], "node", "", F.col("score"))
+    categories = level(skills.withColumnRenamed("below", "skills"), ["owner", "domain"], "category", "skills", F.col("total"))
+    domains = level(categories.withColumnRenamed("below", "categories"), ["owner"], "domain", "categories", F.col("total"))
+    return domains.select("owner", F.col("below").alias("domains"))
 
 
 @query(
     "agg_classify_cloud",
-    f"""{TREE} SELECT owner, domain, category, node, score, sum(score) OVER (PARTITION BY owner, domain) AS domain_score, sum(score) OVER (PARTITION BY owner, domain, category) AS category_score, row_number() OVER (PARTITION BY owner ORDER BY score DESC, node) AS place FROM adj QUALIFY place <= 15""",
+    f"""{TREE}, sk AS (SELECT owner, domain, category, sum(score) AS total, list({{'name': node, 'score': score}} ORDER BY score DESC, node) AS skills FROM adj GROUP BY owner, domain, category),
+    ca AS (SELECT owner, domain, sum(total) AS total, list({{'name': category, 'score': total, 'skills': skills}} ORDER BY total DESC, category) AS categories FROM sk GROUP BY owner, domain),
+    dm AS (SELECT owner, list({{'name': domain, 'score': total, 'categories': categories}} ORDER BY total DESC, domain) AS domains FROM ca GROUP BY owner),
+    top AS (SELECT owner, string_agg(node, ',' ORDER BY score DESC, node) AS top_skills FROM (SELECT * FROM adj QUALIFY row_number() OVER (PARTITION BY owner ORDER BY score DESC, node) <= 15) GROUP BY owner),
+    yr AS (SELECT owner, y, lag(y) OVER (PARTITION BY owner ORDER BY y) AS before FROM (SELECT DISTINCT owner, CAST((start_m - 1) // 12 AS INT) AS y FROM roles)), st AS (SELECT owner, coalesce(min(y) FILTER (y - before >= 3), min(y)) AS career_start FROM yr GROUP BY owner),
+    en AS (SELECT owner, CAST((max(end_m) - 1) // 12 AS INT) AS career_end, count(DISTINCT ((start_m - 1) // 12, (end_m - 1) // 12)) AS n_roles FROM roles GROUP BY owner)
+    SELECT owner, CAST(to_json(domains) AS VARCHAR) AS domains, top_skills, career_start, career_end, CASE WHEN career_end > career_start THEN least(60, career_end - career_start) ELSE 0 END AS years, n_roles FROM dm JOIN top USING (owner) JOIN st USING (owner) JOIN en USING (owner)""",
 )
 def agg_classify_cloud(t: Tables) -> DataFrame:
-    """The tree of domain, category and skill with the sums of scores at each level; the fifteen best skills of each owner."""
-
-    def total(*by: str) -> Column:
-        return F.sum("score").over(Window.partitionBy(*by))
-
-    place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("score"), "node")).cast("long")
-    rows = adjusted(t).withColumns({"domain_score": total("owner", "domain"), "category_score": total("owner", "domain", "category"), "place": place})
-    return rows.where("place <= 15")
+    """Each owner's tree of domains, categories and skills (as JSON), its fifteen best skills, and its career from the first start behind a gap of three years."""
+    rows = adjusted(t)
+    place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("score"), "node"))
+    best = rows.withColumn("place", place).where("place <= 15").groupBy("owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda x: x["node"]), ",").alias("top_skills"))
+    roles = d.roles(t)
+    year = [F.floor((F.col(c) - 1) / 12).cast("int") for c in ("start_m", "end_m")]
+    span = roles.groupBy("owner").agg(F.max(year[1]).alias("career_end"), F.countDistinct(*year).alias("n_roles"))
+    out = nested(rows).join(best, "owner").join(tm.career_start(roles), "owner").join(span, "owner")
+    years = F.when(F.col("career_end") > F.col("career_start"), F.least(F.lit(60), F.col("career_end") - F.col("career_start"))).otherwise(0)
+    return out.select("owner", F.to_json("domains").alias("domains"), "top_skills", "career_start", "career_end", years.alias("years"), "n_roles")
 
 
 @query(
     "agg_skill_gaps",
-    f"""{DEPTH}, x AS (SELECT owner, node, level, months, n_roles, {lx.DOMAIN.sql('node')} AS domain FROM depth), exp AS (SELECT DISTINCT owner, domain FROM x WHERE level = 'expert')
+    f"""{TREE}, x AS (SELECT owner, node, level, months, n_roles, domain FROM cls), exp AS (SELECT DISTINCT owner, domain FROM x WHERE level = 'expert')
     SELECT owner, node, 'shallow' AS kind FROM x WHERE level = 'applied' AND n_roles = 1 AND months >= 12 AND EXISTS (SELECT 1 FROM exp e WHERE e.owner = x.owner AND e.domain = x.domain)
     UNION ALL SELECT DISTINCT owner, wanted, 'missing' FROM (SELECT o.owner, r.wanted, r.instead FROM (SELECT DISTINCT owner, {d.s_canon('node')} AS skill FROM depth) o JOIN (VALUES ('kubernetes', 'docker', 'go'), ('react', 'typescript', 'javascript'), ('spark', 'sql', 'pyspark')) r(owned, wanted, instead) ON r.owned = o.skill) g
       WHERE NOT EXISTS (SELECT 1 FROM depth x WHERE x.owner = g.owner AND ({d.s_canon('x.node')}) IN (g.wanted, g.instead))""",
@@ -211,7 +246,7 @@ def agg_skill_gaps(t: Tables) -> DataFrame:
     """Skills that others make expected and that are missing, and those used once, for a year, in a domain with expert skills."""
     from docsieve.plans.matching_queries import EXPECTED
 
-    x = depths(t).withColumn("domain", lx.DOMAIN.first(F.col("node")))
+    x = lex.labelled(depths(t), "node", lx.DOMAIN_WORDS, "domain")
     experts = x.where("level = 'expert'").select("owner", "domain").distinct()
     shallow = x.where("level = 'applied' AND n_roles = 1 AND months >= 12").join(experts, ["owner", "domain"], "left_semi").select("owner", "node", F.lit("shallow").alias("kind"))
     rules = F.broadcast(t.spark.createDataFrame(list(EXPECTED[:3]), "owned string, wanted string, instead string"))
@@ -497,21 +532,19 @@ def agg_pair_weights(t: Tables) -> DataFrame:
     return rows.select("pair", F.round(F.least(F.lit(3.0), F.greatest(F.lit(0.5), w)), 6).alias("weight"))
 
 
-INDUSTRY_WORDS = (("software", "python"), ("software", "docker"), ("software", "react"), ("health", "nursing"), ("health", "patient"), ("finance", "budget"), ("finance", "excel"), ("logistics", "supply"), ("education", "teach"), ("education", "curriculum"))
-
-
 @query(
     "agg_industry_argmax",
-    f"""{d.with_tables('keywords')}, j AS (SELECT app, lower(string_agg(kw, ' ')) AS text FROM keywords GROUP BY app), w(place, industry, word) AS (VALUES {', '.join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(INDUSTRY_WORDS))}),
-    h AS (SELECT app, industry, count(*) AS n, min(place) AS place FROM j JOIN w ON contains(text, word) GROUP BY app, industry), best AS (SELECT app, industry, n FROM h QUALIFY row_number() OVER (PARTITION BY app ORDER BY n DESC, place) = 1) SELECT j.app, coalesce(b.industry, 'unknown') AS industry, coalesce(b.n, 0) AS n FROM j LEFT JOIN best b USING (app)""",
+    f"""{d.with_tables('keywords')}, j AS (SELECT app, string_agg(kw, ' . ') AS text FROM keywords GROUP BY app), {lx.INDUSTRIES.sql()}, {lex.s_hits('j', 'app', 'text', 'industries', 'found')},
+    h AS (SELECT app, label AS industry, count(*) AS n, min(place) AS place FROM found GROUP BY app, label), best AS (SELECT app, industry, n FROM h QUALIFY row_number() OVER (PARTITION BY app ORDER BY n DESC, place) = 1)
+    SELECT j.app, coalesce(b.industry, 'unknown') AS industry, coalesce(b.n, 0) AS n FROM j LEFT JOIN best b USING (app)""",
 )
 def agg_industry_argmax(t: Tables) -> DataFrame:
-    """The industry with most of its words in a posting, the first of equal ones."""
-    text = d.keywords(t).groupBy("app").agg(F.lower(F.array_join(F.collect_list("kw"), " ")).alias("text"))
-    hits = F.filter(F.array(*[F.when(F.contains("text", F.lit(w)), F.struct(F.lit(i).alias("i"), F.lit(a).alias("industry"))) for i, (a, w) in enumerate(INDUSTRY_WORDS)]), lambda x: x.isNotNull())
-    h = text.select("app", F.inline(hits)).groupBy("app", "industry").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i"))
+    """The industry with most of its phrases in a posting, the first of equal ones. Phrases are looked for keyword by keyword."""
+    words = d.keywords(t).select("app", "kw")
+    found = lex.hits(words, ["app"], "kw", lx.INDUSTRIES.table(t.spark))
+    h = found.groupBy("app", F.col("label").alias("industry")).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("i"))
     best = first_of(h, ["app"], F.desc("n"), "i").select("app", "industry", "n")
-    return text.select("app").join(best, "app", "left").select("app", F.coalesce("industry", F.lit("unknown")).alias("industry"), F.coalesce("n", F.lit(0)).alias("n"))
+    return words.select("app").distinct().join(best, "app", "left").select("app", F.coalesce("industry", F.lit("unknown")).alias("industry"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # --- merging sources ---

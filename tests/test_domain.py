@@ -121,7 +121,7 @@ def test_checks_of_parsed_postings(spark):
 
 
 def test_seniority_reads_training_first(spark):
-    titles = {"Senior Resident": "senior", "Resident": "mid", "Apprentice Electrician": "entry", "Chief Nurse": "director", "Head Teacher": "lead", "Data Analyst": "mid", "Baker": "mid"}
+    titles = {"Senior Trainee": "senior", "Trainee": "entry", "Apprentice Electrician": "entry", "Chief Nurse": "director", "Head Teacher": "lead", "Data Analyst": "mid", "Baker": "mid", "Senior Baker": "senior"}
     assert {x: one(spark, lx.SENIORITY.first(F.lit(x))) for x in titles} == titles
 
 
