@@ -17,6 +17,7 @@ from docsieve.functions.rules import Rules
 from docsieve.operators import lexicon as lex
 from docsieve.operators import names as nm
 from docsieve.operators import scoring as sc
+from docsieve.operators import sections as sn
 from docsieve.plans import domain as d
 from docsieve.plans.matching_queries import credential, first_of, keyword_nodes, s_credential
 from docsieve.plans.registry import query
@@ -207,17 +208,43 @@ def fn_edu_cert_line(t: Tables) -> DataFrame:
     return rows.select("owner", "pos", F.when(low.rlike(EDU), "education").otherwise("certificate").alias("kind"))
 
 
+#: Lines that stand where they shouldn't, for some profiles: a company and a degree before any role, roles behind education.
+STRAY = ((40, "Blue River Health Ltd", 5), (50, "Master of Arts, City College", 4), (OPENING + 10, "Visiting Teacher, Saint Mary Hospital (Mar 1999 - May 1999)", 3), (OPENING + 11, "Night Nurse, UPS (Jan 1998 - Feb 1998)", 6), (OPENING + 12, "1997 - 1998", 2))
+COMPANY_LINE = r"\b(corp|inc|llc|ltd|group|hospital|college)\b[^0-9]*$"
+IS_HEADER = "length(line) BETWEEN 10 AND 120 AND regexp_matches(line, '{0}') AND NOT starts_with(line, '-')".format(RANGE)
+
+
+def strayed(t: Tables) -> DataFrame:
+    """Lines with titles of sections and the flags that ``sections.annotated`` reads."""
+    more = F.filter(F.array(*[F.when(F.col("c_custkey") % k == 0, F.struct(F.lit(p).cast("long").alias("pos"), F.lit(x).alias("line"))) for p, x, k in STRAY]), lambda x: x.isNotNull())
+    stray = t.customer.select(F.col("c_custkey").alias("owner"), F.inline(more))
+    line, low = F.col("line"), F.lower("line")
+    rows = sectioned(t).select("owner", "pos", "line", "section").unionByName(stray.withColumn("section", F.lit(None).cast("string")))
+    told = ~low.rlike(NOT_EDU)
+    return rows.withColumns({
+        "header": F.length(line).between(10, 120) & line.rlike(RANGE) & ~line.startswith("-"), "date_only": line.rlike(rf"^ *\(?{RANGE}\)? *$"),
+        "education": low.rlike(EDU) & told, "excused": (low.rlike(EDU) | low.rlike(CERT)) & told, "company": low.rlike(COMPANY_LINE),
+    })
+
+
 @query(
     "fn_preprocess",
-    f"""{KINDS} SELECT owner, string_agg(CASE WHEN section IS NOT NULL THEN '## ' || section WHEN regexp_matches(line, '{RANGE}') AND NOT starts_with(line, '-') THEN '[role] ' || line WHEN regexp_matches(lower(line), '{EDU}') THEN '[education] ' || line ELSE line END, chr(10) ORDER BY pos) AS marked FROM s GROUP BY owner""",
+    f"""{KINDS}, stray AS (SELECT c_custkey AS owner, pos, line FROM customer, (VALUES {', '.join(f"({p}, '{x}', {k})" for p, x, k in STRAY)}) v(pos, line, k) WHERE c_custkey % k = 0),
+    al AS (SELECT owner, pos, line, section FROM s UNION ALL SELECT owner, pos, line, NULL FROM stray),
+    f AS (SELECT owner, line, section, row_number() OVER (PARTITION BY owner ORDER BY pos) AS i, {IS_HEADER} AS header, regexp_matches(line, '^ *\(?{RANGE}\)? *$') AS date_only, regexp_matches(lower(line), '{EDU}') AND NOT regexp_matches(lower(line), '{NOT_EDU}') AS edu,
+      (regexp_matches(lower(line), '{EDU}') OR regexp_matches(lower(line), '{CERT}')) AND NOT regexp_matches(lower(line), '{NOT_EDU}') AS excused, regexp_matches(lower(line), '{COMPANY_LINE}') AS company FROM al),
+    g AS (SELECT *, min(i) FILTER (section = 'experience') OVER (PARTITION BY owner) AS start FROM f), h AS (SELECT *, coalesce(min(i) FILTER (section <> 'experience' AND i > start) OVER (PARTITION BY owner), 1e9) AS stop FROM g),
+    m AS (SELECT *, coalesce(i > start AND i < stop, FALSE) AS inside, coalesce(i < start OR i >= stop, FALSE) AND header AND NOT date_only AND NOT excused AS away FROM h),
+    o AS (SELECT owner, min(start) AS start, count(*) FILTER (inside AND header) AS n_headers, count(*) FILTER (away) AS n_displaced, min(i) FILTER (inside AND header) AS first_header, min(i) FILTER (inside AND trim(line) <> '') AS first_content,
+      string_agg(trim(line), '; ' ORDER BY i) FILTER (away) AS titles, arg_min(company AND NOT header, i) FILTER (inside AND trim(line) <> '') AS titleless FROM m GROUP BY owner),
+    lines_out AS (SELECT owner, CAST(i AS DOUBLE) AS place, CASE WHEN away THEN '{sn.DISPLACED}' || line WHEN inside AND edu AND NOT contains(line, '[') THEN '{sn.EDUCATION}' || line ELSE line END AS line FROM m
+      UNION ALL SELECT owner, start + 0.1, '{sn.BELOW}' FROM o WHERE n_headers >= 2 AND first_header > start + 3 UNION ALL SELECT owner, start + 0.2, '{sn.ELSEWHERE}' || titles || ']' FROM o WHERE n_displaced > 0
+      UNION ALL SELECT owner, first_content - 0.5, '{sn.TITLELESS.replace("'", "''")}' FROM o WHERE n_headers > 0 AND titleless)
+    SELECT owner, string_agg(line, chr(10) ORDER BY place) AS text, min(n_headers) AS n_headers, min(n_displaced) AS n_displaced FROM lines_out JOIN o USING (owner) GROUP BY owner""",
 )
 def fn_preprocess(t: Tables) -> DataFrame:
-    """The lines with marks before titles of sections, roles and education."""
-    line = F.col("line")
-    marked = F.when(F.col("section").isNotNull(), F.concat(F.lit("## "), "section")).when(line.rlike(RANGE) & ~line.startswith("-"), F.concat(F.lit("[role] "), line)).when(F.lower(line).rlike(EDU), F.concat(F.lit("[education] "), line)).otherwise(line)
-    each = F.array_sort(F.collect_list(F.struct("pos", "m")))
-    rows = sectioned(t).select("owner", "pos", marked.alias("m")).groupBy("owner").agg(each.alias("l"))
-    return rows.select("owner", F.array_join(F.transform("l", lambda x: x["m"]), "\n").alias("marked"))
+    """The text with marks before displaced titles and education, and notes inserted where a section begins and before a block without title."""
+    return sn.annotated(strayed(t))
 
 
 JOURNALS = "(Journal of|Annals of|Proceedings of|Review of)"
