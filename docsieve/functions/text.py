@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -24,8 +26,9 @@ def basic(text: Column) -> Column:
 @F.arrow_udf(T.StringType())
 def without_marks(text: pa.Array) -> pa.Array:
     """Letters without their marks, in any script: decomposed, marks taken off, composed again."""
-    decomposed = pc.utf8_normalize(text, form="NFD")
-    return pc.utf8_normalize(pc.replace_substring_regex(decomposed, r"\p{M}", ""), form="NFC")
+    bare = pc.replace_substring_regex(pc.utf8_normalize(text, form="NFD"), r"\p{M}", "")
+    # Arrow's own NFC leaves what was taken apart as it is.
+    return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in bare.to_pylist()], pa.string())
 
 
 def without_accents(text: Column) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
-_KINDS = {"long": (T.LongType(), pa.int64()), "double": (T.DoubleType(), pa.float64()), "string": (T.StringType(), pa.string()), "boolean": (T.BooleanType(), pa.bool_())}
+_KINDS = {"int": (T.IntegerType(), pa.int32()), "long": (T.LongType(), pa.int64()), "double": (T.DoubleType(), pa.float64()), "string": (T.StringType(), pa.string()), "boolean": (T.BooleanType(), pa.bool_())}
 
 
 def ordered_fold(
@@ -21,7 +21,7 @@ def ordered_fold(
 ) -> DataFrame:
     """The rows with a further column ``out``, what ``step`` returns for the state and the row's ``using`` values.
 
-    ``start`` makes the state of a key; ``step`` may change it. ``kind`` is long, double, string or boolean. Rows with
+    ``start`` makes the state of a key; ``step`` may change it. ``kind`` is int, long, double, string or boolean. Rows with
     equal ``order`` come in any order, so it should be a whole one; null keys are a key of their own.
     """
     names = rows.columns

@@ -95,10 +95,10 @@ def seed_groups(
     keyed = rows.withColumn("_name", name_key(*names)).join(alike_lists(pairs), "_name", "left")
     kind = [apart] if apart else ["_name"]
 
-    def step(state: Seeds, first, name, alike, other, low, high):
+    def step(state: Seeds, first, name, alike, other, low=0, high=0):
         return state.place(near, apart is not None, first, name, alike, other if apart else None, low, high)
 
-    using = [order, "_name", "_alike", *kind, "start_m", "end_m"]
+    using = [order, "_name", "_alike", *kind, *(["start_m", "end_m"] if near else [])]
     kinds = dict(rows.dtypes)[order].replace("bigint", "long")
     return ordered_fold(keyed, [owner], [order], using, Seeds, step, group, kinds).drop("_name", "_alike")
 

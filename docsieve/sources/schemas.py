@@ -8,6 +8,7 @@ so a table is validated in one pass without Python.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -138,23 +139,22 @@ class Record(Kind):
 
         if not self.from_text:
             return filled(x)
-        made = {n: F.to_json(F.struct(F.lit(v).alias("v"))) for n, v in self.made}
-        values = [F.concat(F.lit(f'"{n}":'), F.regexp_extract(j, '^[{]"v":(.*)[}]$', 1)) for n, j in made.items()]
+        values = [F.lit(json.dumps(n) + ":" + json.dumps(v)) for n, v in self.made]
         text = F.concat(F.lit(f'"{self.from_text}":'), F.regexp_extract(F.to_json(F.struct(F.try_variant_get(x, "$", "string").alias("v"))), '^[{]"v":(.*)[}]$', 1))
         record = F.concat(F.lit("{"), F.concat_ws(",", text, *values), F.lit("}"))
         return bound(F.when(kind == "STRING", F.try_parse_json(record)).otherwise(x), filled)
 
 
-def errors(json: Column, schema: Record) -> Column:
+def errors(text: Column, schema: Record) -> Column:
     """All faults of a record in a JSON text, in the schema's order; one for a text that is no JSON."""
-    return bound(F.try_parse_json(json), lambda v: F.when(v.isNull(), F.array(F.lit("not JSON"))).otherwise(schema.errors(v, F.lit(""))))
+    return bound(F.try_parse_json(text), lambda v: F.when(v.isNull(), F.array(F.lit("not JSON"))).otherwise(schema.errors(v, F.lit(""))))
 
 
-def repaired(json: Column, schema: Record) -> Column:
+def repaired(text: Column, schema: Record) -> Column:
     """The record as the schema's struct; null for a text that is no JSON."""
-    return bound(F.try_parse_json(json), lambda v: F.when(v.isNotNull(), schema.mended(v, F.schema_of_variant(v))))
+    return bound(F.try_parse_json(text), lambda v: F.when(v.isNotNull(), schema.mended(v, F.schema_of_variant(v))))
 
 
-def repaired_json(json: Column, schema: Record) -> Column:
+def repaired_json(text: Column, schema: Record) -> Column:
     """The repaired record as JSON that ``errors`` can judge: nulls are written."""
-    return F.to_json(repaired(json, schema), {"ignoreNullFields": "false"})
+    return F.to_json(repaired(text, schema), {"ignoreNullFields": "false"})

@@ -77,8 +77,8 @@ def test_contained_in_either_direction(spark):
 )
 def test_grounding_cascade(spark, value, how, start):
     source = "Café is senior engineer, sites acme.example - C S E P (2018-19) été, Paris"
-    row = spark.createDataFrame([(value, source)], "v string, s string").withColumns({"low": F.lower("s"), "norm": gr.normalised(F.col("s"))})
-    got = row.select(gr.grounded(F.col("v"), tx.without_marks(F.trim("v")), F.col("low"), F.col("norm"), gr.source_words(F.col("norm"))).alias("g")).first()["g"]
+    row = spark.createDataFrame([(value, source)], "v string, s string").withColumns({"low": F.lower("s"), "norm": gr.normalised(F.col("s")), "u": tx.without_marks(F.trim("v"))})
+    got = row.select(gr.grounded(F.col("v"), F.col("u"), F.col("low"), F.col("norm"), gr.source_words(F.col("norm"))).alias("g")).first()["g"]
     assert got["how"] == how
     if how in ("exact", "url", "spaced") and len(value) > 2:
         assert got["start"] == source.lower().index({"url": "acme.example", "spaced": "c s e p"}.get(how, value.lower()))
@@ -139,5 +139,6 @@ def test_archives_are_guarded(spark, tmp_path):
 
 def test_seed_groups_keep_the_first_seed(spark):
     rows = spark.createDataFrame([(1, i, x) for i, x in enumerate([5, 9, 7, 6])], "owner int, i int, x int")
-    got = mt.seed_groups(rows, "owner", ["i"], lambda a, s: F.abs(a["x"] - s["x"]) <= 2).collect()
+    alike = spark.createDataFrame([(a, b) for a in (5, 6, 7, 9) for b in (5, 6, 7, 9) if abs(a - b) <= 2], "x int, y int").select(mt.name_key("x").alias("a"), mt.name_key("y").alias("b"))
+    got = mt.seed_groups(rows, "owner", "i", ["x"], alike).collect()
     assert {r["x"]: r["seed"] for r in got} == {5: 0, 9: 1, 7: 0, 6: 0}

@@ -107,7 +107,8 @@ def test_anova_of_equal_groups(spark):
 def test_greedy_groups_compare_with_the_seed_only(spark, order, groups):
     """1 ~ 2 and 2 ~ 3, but not 1 ~ 3."""
     rows = spark.createDataFrame([(0, i, x) for i, x in enumerate(order)], "owner int, i int, x int")
-    got = mt.seed_groups(rows, "owner", ["i"], lambda a, s: F.abs(a["x"] - s["x"]) <= 1).collect()
+    alike = spark.createDataFrame([(a, b) for a in (1, 2, 3) for b in (1, 2, 3) if abs(a - b) <= 1], "x int, y int").select(mt.name_key("x").alias("a"), mt.name_key("y").alias("b"))
+    got = mt.seed_groups(rows, "owner", "i", ["x"], alike).collect()
     assert {r["x"]: order[r["seed"]] for r in got} == groups
 
 
