@@ -8,7 +8,8 @@ is shuffled by digest. ``share`` is 1/512 or, with many shuffle partitions, a qu
 that a group fits a task whatever the number of rows; 2^19 winners of 48 bytes at most are broadcast.
 
 Defined cases: a null text is an empty one, and empty texts equal each other. A null id is larger than
-any other. Of rows that repeat both id and text one stays. An empty table gives an empty result. Other
+any other. Of rows that repeat both id and normalised text one stays, in every run the same: the least by a hash of all columns.
+Texts are hashed whole, however long. An empty table gives an empty result. Other
 columns of the input, of whatever name, are carried in ``row``.
 """
 
@@ -118,19 +119,26 @@ def numbered(rows: DataFrame) -> DataFrame:
     return cut(rows.select("doc_id", "digest", F.monotonically_increasing_id().alias("number")))
 
 
+def told_apart(rows: DataFrame) -> Column:
+    """A value that orders rows of one id and digest alike in every run: rows that share it are equal in all columns."""
+    plain = not any(kind in rows.schema["row"].dataType.simpleString() for kind in ("map<", "variant"))
+    return F.xxhash64(*([f"row.`{c}`" for c in rows.schema["row"].dataType.names] if plain else [F.to_json("row")]))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float | None = None) -> DataFrame:
     """One input row of each group of equal texts, that with the smallest id, with its columns as they were."""
     rows = digested(docs, id_col, text_col)
     slim = cut(rows.select("doc_id", "digest"))
     heavy = cut(frequent(slim, share)).select("digest", F.col("keep_id").alias("heavy_id"), F.lit(True).alias("heavy"))
     left = rows.join(F.broadcast(heavy), "digest", "left").where("heavy IS NULL OR doc_id <=> heavy_id")
-    order = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last())
+    tie = told_apart(rows)
+    order = Window.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last(), tie)
     first = F.row_number().over(order)
     firsts = slim.join(F.broadcast(heavy), "digest").where("doc_id <=> heavy_id").groupBy("digest").count()
     if (firsts.agg(F.max("count").alias("most")).first()["most"] or 1) == 1:
         return left.withColumn("place", first).where("place = 1").select("row.*")
     # Rows repeat a frequent text's id (or none has one): each task sends one of them.
-    one = left.where("heavy").groupBy("digest").agg(F.first("row").alias("row")).select("row.*")
+    one = left.where("heavy").groupBy("digest").agg(F.min_by("row", tie).alias("row")).select("row.*")
     rest = left.where("heavy IS NULL").withColumn("place", first).where("place = 1")
     return rest.select("row.*").unionByName(one)
 

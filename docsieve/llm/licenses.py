@@ -7,7 +7,9 @@ again, so stacked notices are all found. Words and the exact base phrases are fo
 needs no shuffle.
 
 Texts are searched as UTF-8 bytes with A-Z in lower case; edits count bytes. Defined cases: a null text is
-empty and gives a row without findings; repeated rows give repeated results; an empty table gives none.
+empty and gives a row without findings; texts are searched whole, however long; repeated rows give repeated
+results; an empty table gives none; other columns of the input, whatever their names, are not read. Of notices
+that overlap the one with fewer edits counts, and of equal ones all do.
 """
 
 from __future__ import annotations
@@ -131,6 +133,11 @@ def notice_spans(raw: bytes, pattern, windows: list[tuple[int, int]], least: int
 
 def fuzzy_spans(raw: bytes, offsets: np.ndarray, notices: tuple[tuple[str, str], ...]) -> dict[int, list[tuple]]:
     """For each text (by its number) with verified notices: label, start, end and edits of each, in bytes."""
+    return {doc: list(dict.fromkeys(h[:4] for h in hits)) for doc, hits in sized_spans(raw, offsets, notices).items()}
+
+
+def sized_spans(raw: bytes, offsets: np.ndarray, notices: tuple[tuple[str, str], ...]) -> dict[int, list[tuple]]:
+    """As ``fuzzy_spans``, with the bytes of the notice itself."""
     patterns, seeds = compiled(notices)
     sizes = [len(text.encode()) for text, _ in notices]
     windows: dict[tuple[int, int], set[tuple[int, int]]] = {}
@@ -153,7 +160,7 @@ def fuzzy_spans(raw: bytes, offsets: np.ndarray, notices: tuple[tuple[str, str],
                 merged.append([a, b])
         base = int(offsets[doc])
         for start, end, edits in notice_spans(raw, patterns[i], merged, sizes[i] - k):
-            found.setdefault(doc, []).append((notices[i][1], start - base, end - base, edits))
+            found.setdefault(doc, []).append((notices[i][1], start - base, end - base, edits, sizes[i]))
     return {doc: best_spans(hits) for doc, hits in found.items()}
 
 
@@ -193,18 +200,17 @@ def base_places(raw: bytes, starts, ends, first, phrases: dict[str, str]) -> dic
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: tuple[tuple[str, str], ...] = NOTICES) -> DataFrame:
     """Words, base phrases, labels and verified notice spans of each document; see ``TYPES``.
 
-    ``score`` is 1 where a base phrase stands, else the best notice's share of bytes that needed no edit.
+    ``score`` is 1 where a base phrase stands, else the best share, of any notice that was met, of its own bytes that needed no edit.
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longest = {label: len(t.encode()) for t, label in sorted(notices, key=lambda x: -len(x[0]))}
         for whole in batches:
             for batch in chunks(whole):
                 raw, offsets = flat(batch.column("text"))
                 low = LOWER[raw]
                 starts, ends, first = word_spans(low, offsets, _WORD)
                 data = low.tobytes()
-                fuzzy, base = fuzzy_spans(data, offsets, notices), base_places(data, starts, ends, first, phrases)
+                fuzzy, base = sized_spans(data, offsets, notices), base_places(data, starts, ends, first, phrases)
                 n = batch.num_rows
                 counts, firsts, lasts, scores = [0] * n, [None] * n, [None] * n, [0.0] * n
                 base_labels: list[list[str]] = [[] for _ in range(n)]
@@ -215,8 +221,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: tuple[tupl
                     counts[doc], firsts[doc], lasts[doc], scores[doc] = len(hits), min(at), max(at), 1.0
                     base_labels[doc] = sorted({label for _, label in hits})
                 for doc, hits in fuzzy.items():
-                    spans[doc] = [dict(zip(("label", "start", "end", "edits"), h)) for h in sorted(hits)]
-                    scores[doc] = max(scores[doc], *(1 - h[3] / longest[h[0]] for h in hits))
+                    spans[doc] = [dict(zip(("label", "start", "end", "edits"), h)) for h in sorted({h[:4] for h in hits})]
+                    scores[doc] = max(scores[doc], *(1 - h[3] / h[4] for h in hits))
                 for doc in {*base, *fuzzy}:
                     labels[doc] = sorted({*base_labels[doc], *(s["label"] for s in spans[doc])})
                 columns = (batch.column("doc_id"), np.diff(first), counts, firsts, lasts, base_labels, labels, scores, spans)
