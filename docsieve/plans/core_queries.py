@@ -195,11 +195,6 @@ def flt_validated(t: Tables) -> DataFrame:
     return nodes(t).where("has_validation").select("owner", "node")
 
 
-@query("flt_weak_claims", f"WITH {NODES} SELECT owner, node FROM nodes WHERE n_roles <= 1 AND NOT has_impact AND NOT has_validation")
-def flt_weak_claims(t: Tables) -> DataFrame:
-    return nodes(t).where("n_roles <= 1 AND NOT has_impact AND NOT has_validation").select("owner", "node")
-
-
 @query("flt_repeated", f"WITH {NODES} SELECT owner, node, n_roles FROM nodes WHERE n_roles >= 2")
 def flt_repeated(t: Tables) -> DataFrame:
     return nodes(t).where("n_roles >= 2").select("owner", "node", "n_roles")
@@ -278,11 +273,6 @@ def prj_remaining_quota(t: Tables) -> DataFrame:
 # --- aggregates ---
 
 
-@query("agg_evidence_summary", f"WITH {NODES} SELECT * FROM nodes")
-def agg_evidence_summary(t: Tables) -> DataFrame:
-    return nodes(t)
-
-
 @query(
     "agg_primary_domain",
     f"""WITH {EVIDENCE}, s AS (SELECT owner, domain, CAST(sum(n_months) AS BIGINT) AS weight FROM evidence WHERE domain <> 'STANDARD' GROUP BY owner, domain)
@@ -292,14 +282,6 @@ def agg_primary_domain(t: Tables) -> DataFrame:
     return ev.primary(evidence(t).where("domain <> 'STANDARD'"), "owner", "domain", "n_months")
 
 
-@query(
-    "agg_terminal_degree",
-    f"WITH {ROLES} SELECT owner, title, ordinal FROM roles QUALIFY row_number() OVER (PARTITION BY owner ORDER BY title, ordinal) = 1",
-)
-def agg_terminal_degree(t: Tables) -> DataFrame:
-    return ev.top_k(roles(t), ["owner"], [F.col("title"), F.col("ordinal")], 1).select("owner", "title", "ordinal")
-
-
 @query(
     "agg_maturity",
     f"""WITH {NODES}, m AS (SELECT owner, avg(CAST(has_depth AS DOUBLE)) AS coverage, avg(n_evidence) AS density FROM nodes GROUP BY owner)
@@ -311,16 +293,6 @@ def agg_maturity(t: Tables) -> DataFrame:
     return m.withColumns({c: F.round(c, 6) for c in ("coverage", "density")})
 
 
-@query(
-    "agg_domain_maturity",
-    f"""WITH {EVIDENCE}, n AS (SELECT owner, domain, node, bool_or(depth) AS has_depth, count(*) AS n_evidence FROM evidence GROUP BY owner, domain, node),
-    m AS (SELECT owner, domain, avg(CAST(has_depth AS DOUBLE)) AS coverage, avg(n_evidence) AS density FROM n GROUP BY owner, domain)
-    SELECT owner, domain, CASE WHEN coverage >= 0.6 AND density >= 3 THEN 'rich' WHEN coverage >= 0.3 OR density >= 2 THEN 'medium' ELSE 'thin' END AS level FROM m""",
-)
-def agg_domain_maturity(t: Tables) -> DataFrame:
-    return ev.maturity(ev.summaries(evidence(t), "owner", "domain", "node"), "owner", "domain").select("owner", "domain", "level")
-
-
 @query("agg_last_enrichment", f"WITH {EVIDENCE} SELECT owner, max(month_no) FILTER (validated) AS last_validated FROM evidence GROUP BY owner")
 def agg_last_enrichment(t: Tables) -> DataFrame:
     return evidence(t).groupBy("owner").agg(F.max(F.when(F.col("validated"), F.col("month_no"))).alias("last_validated"))
@@ -331,14 +303,6 @@ DEPTH = """CAST(least(n_roles * 10, 40) + least(floor(total_months / 6) * 5, 30)
 LEVEL = "CASE WHEN score >= 80 THEN 'expert' WHEN score >= 60 THEN 'advanced' WHEN score >= 40 THEN 'applied' ELSE 'foundational' END"
 
 
-@query(
-    "agg_depth_from_summary",
-    f"WITH {NODES}, d AS (SELECT {DEPTH} AS score FROM nodes), l AS (SELECT {LEVEL} AS level FROM d) SELECT level, count(*) AS n FROM l GROUP BY level",
-)
-def agg_depth_from_summary(t: Tables) -> DataFrame:
-    return nodes(t).groupBy(ev.depth_level(ev.depth_score()).alias("level")).agg(F.count(F.lit(1)).alias("n"))
-
-
 ISLANDS = f"""{ROLES},
 reach AS (SELECT *, max(end_m) OVER (PARTITION BY owner ORDER BY start_m, end_m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM roles),
 numbered AS (SELECT *, sum(CASE WHEN start_m <= r THEN 0 ELSE 1 END) OVER (PARTITION BY owner ORDER BY start_m, end_m ROWS UNBOUNDED PRECEDING) AS island FROM reach),
@@ -392,32 +356,6 @@ def agg_funnel(t: Tables) -> DataFrame:
     return funnel(applications(t), "user_id")
 
 
-@query(
-    "agg_dashboard",
-    f"WITH {APPLICATIONS}, f AS (SELECT user_id, {FUNNEL} FROM applications GROUP BY user_id) SELECT *, "
-    "CAST(floor(100.0 * interviews / nullif(applied, 0) + 0.5) AS BIGINT) AS interview_pct, CAST(floor(100.0 * offers / nullif(applied, 0) + 0.5) AS BIGINT) AS offer_pct FROM f",
-)
-def agg_dashboard(t: Tables) -> DataFrame:
-    def pct(a: str):
-        return F.floor(100.0 * F.col(a) / F.nullif(F.col("applied"), F.lit(0)) + 0.5).cast("long")
-
-    f = funnel(applications(t), "user_id")
-    return f.withColumn("interview_pct", pct("interviews")).withColumn("offer_pct", pct("offers"))
-
-
-@query(
-    "agg_profile_stats",
-    f"""WITH {EVIDENCE} SELECT owner, count(*) AS n_evidence, count(DISTINCT role_id) AS n_roles, count(DISTINCT node) AS n_nodes,
-    count(DISTINCT domain) AS n_domains, count(*) FILTER (validated) AS n_validated FROM evidence GROUP BY owner""",
-)
-def agg_profile_stats(t: Tables) -> DataFrame:
-    return evidence(t).groupBy("owner").agg(
-        F.count(F.lit(1)).alias("n_evidence"),
-        *[F.countDistinct(c).alias(n) for c, n in (("role_id", "n_roles"), ("node", "n_nodes"), ("domain", "n_domains"))],
-        F.count_if("validated").alias("n_validated"),
-    )
-
-
 @query(
     "agg_evidence_tag_counts",
     f"""WITH {EVIDENCE}, k AS (SELECT owner, unnest(['impact', 'validated', 'depth']) AS tag, unnest([count(*) FILTER (impact), count(*) FILTER (validated), count(*) FILTER (depth)]) AS n FROM evidence GROUP BY owner)
@@ -555,45 +493,6 @@ def win_cross_role_first(t: Tables) -> DataFrame:
     return ev.top_k(evidence(t), ["owner", "node"], order, 1).select("owner", "node", "role_id", "line")
 
 
-@query(
-    "win_repeated_lines",
-    f"""WITH {LINES}, c AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) AS k FROM lines),
-    f AS (SELECT doc_id, pos, line, n >= 3 AND length(line) BETWEEN 4 AND 79 AND k > 1 AS gone FROM c)
-    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_gone, CAST(coalesce(sum(length(line)) FILTER (NOT gone), 0) AS BIGINT) AS n_kept_chars FROM f GROUP BY doc_id""",
-)
-def win_repeated_lines(t: Tables) -> DataFrame:
-    same = Window.partitionBy("doc_id", "line")
-    c = lines(t).withColumn("n", F.count(F.lit(1)).over(same)).withColumn("k", F.row_number().over(same.orderBy("pos")))
-    gone = (F.col("n") >= 3) & F.length("line").between(4, 79) & (F.col("k") > 1)
-    return c.withColumn("gone", gone).groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count_if("gone").alias("n_gone"),
-        F.coalesce(F.sum(F.when(~F.col("gone"), F.length("line"))), F.lit(0)).cast("long").alias("n_kept_chars"),
-    )
-
-
-@query(
-    "win_section_bounds",
-    "WITH a AS (SELECT conv_id, min(turn) FILTER (role = 'user') AS first_turn FROM conversations GROUP BY conv_id) SELECT c.conv_id, first_turn, min(turn) AS end_turn FROM conversations c JOIN a ON a.conv_id = c.conv_id "
-    "WHERE turn > first_turn AND role <> 'user' GROUP BY c.conv_id, first_turn",
-)
-def win_section_bounds(t: Tables) -> DataFrame:
-    first = F.min(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id"))
-    rest = t.conversations.withColumn("first_turn", first).where("turn > first_turn AND role <> 'user'")
-    return rest.groupBy("conv_id", "first_turn").agg(F.min("turn").alias("end_turn"))
-
-
-@query(
-    "win_requirements_section",
-    """WITH f AS (SELECT conv_id, turn, role, count(*) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS s FROM conversations)
-    SELECT conv_id, turn FROM f WHERE s = 1 AND role = 'user'""",
-)
-def win_requirements_section(t: Tables) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    s = F.count_if(F.col("role") == "assistant").over(w)
-    return t.conversations.withColumn("s", s).where("s = 1 AND role = 'user'").select("conv_id", "turn")
-
-
 STREAK = """WITH m AS (SELECT event_id, user_id, ts, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS since FROM events)
     SELECT event_id, user_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, since ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS streak FROM m"""
 
@@ -615,16 +514,6 @@ def win_last_n_top_k(t: Tables) -> DataFrame:
     return best.select("user_id", "event_id", F.col("place").cast("long").alias("place"))
 
 
-@query(
-    "win_checkpoint",
-    "WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS best FROM events) SELECT event_id, user_id, best FROM r WHERE i % 5 = 0",
-)
-def win_checkpoint(t: Tables) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    r = t.events.withColumn("i", F.row_number().over(w)).withColumn("best", F.max("value").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.where("i % 5 = 0").select("event_id", "user_id", "best")
-
-
 @query(
     "win_item_spacing",
     """WITH g AS (SELECT event_id, user_id, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events)
@@ -737,14 +626,6 @@ def smp_deterministic(t: Tables) -> DataFrame:
     return t.customer.orderBy("c_custkey").limit(50).select("c_custkey")
 
 
-@query("smp_weighted")
-def smp_weighted(t: Tables) -> DataFrame:
-    """Weighted reservoir: the largest u ** (1 / weight), with u from a hash of the id."""
-    u = (F.pmod(F.xxhash64("c_custkey"), F.lit(1_000_003)) + 0.5) / 1_000_003
-    key = F.pow(u, 1 / F.greatest(F.col("c_acctbal"), F.lit(1.0)))
-    return t.customer.orderBy(F.desc(key), "c_custkey").limit(100).select("c_custkey", F.round(key, 9).alias("draw"))
-
-
 @query(
     "smp_longest_and_median",
     """WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents)

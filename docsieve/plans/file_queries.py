@@ -9,7 +9,7 @@ from docsieve.functions import stats
 from docsieve.functions import text as tx
 from docsieve.operators import names as nm
 from docsieve.plans import domain as d
-from docsieve.plans.profile_queries import BASIC_NUMBERS, GARBAGE, HOLDER, HOLDERS, LINES, SECTIONS, profile_lines
+from docsieve.plans.profile_queries import BASIC_NUMBERS, DEGREES, GARBAGE, HOLDER, HOLDERS, LINES, SECTIONS, profile_lines
 from docsieve.plans.registry import query
 from docsieve.plans.score_queries import CHECKS, CV_CHECKS, GATED, cv_scores, gate
 from docsieve.plans.text_queries import s_beta_ci, s_f_pvalue, s_two_groups
@@ -28,8 +28,11 @@ def quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
-def exported(t: Tables) -> str:
-    """Writes an archive for each customer: positions, skills, a file that isn't allowed, and an archive without known files."""
+def exported(t: Tables, whole: bool = False) -> str:
+    """Writes an archive for each customer: positions, skills, a file that isn't allowed, and an archive without known files.
+
+    With ``whole``, each has all six files of an export.
+    """
     path = src.shared_folder(t.spark)
     archive = F.concat(F.lit("export-"), F.col("owner").cast("string"), F.lit(".zip"))
 
@@ -44,10 +47,50 @@ def exported(t: Tables) -> str:
     odd = customers.select(archive.alias("archive"), F.lit("secrets/keys.txt").alias("member"), F.lit("x").alias("text"))
     other = customers.select(F.concat(F.lit("other-"), F.col("owner").cast("string"), F.lit(".zip")).alias("archive"), F.lit("notes.txt").alias("member"), F.lit("y").alias("text"))
     files = member(roles, "Positions.csv", " Title ,Company Name,Started On", "ordinal").unionByName(member(skills, "skills.csv", "Name", "place")).unionByName(odd).unionByName(other)
+    if whole:
+        key = F.col("owner")
+        for name, header, line in WHOLE:
+            parts = [F.lit(x) if not x.startswith("{") else {"{owner}": key.cast("string"), "{degree}": d.chosen(DEGREES, key), "{cert}": d.chosen(d.CERTIFICATES, key)}[x] for x in line]
+            files = files.unionByName(member(customers.withColumn("line", F.concat_ws(",", *map(quoted, parts))), name, header, "owner"))
     ar.write_archives(files, path).count()
     return path
 
 
+#: The further files of an export: name, header, and a line's cells. Headers go by the names that exports have had.
+WHOLE = (
+    ("Education.csv", "School Name,Degree Name,Start Date", ("City College", "{degree}", "2001")),
+    ("Certificates.csv", "Name,Authority,Started On", ("{cert}", "Board of {0}", "Mar 2001")),
+    ("languages.csv", "Name,Proficiency", ("German", "Native")),
+    ("Profile.csv", "First Name,Last Name,Headline", ("{owner}", "Person", "Works, mostly")),
+)
+
+
+@query(
+    "src_export_files",
+    f"""{d.with_tables('roles', 'nodes')} SELECT owner, 'positions' AS kind, title AS name, company || ', "Ltd"' AS detail, CAST(start_m AS VARCHAR) AS started FROM roles UNION ALL SELECT owner, 'skills', node, NULL, NULL FROM nodes
+    UNION ALL SELECT c_custkey, 'education', 'City College', {d.sql_chosen(DEGREES, 'c_custkey')}, '2001' FROM customer UNION ALL SELECT c_custkey, 'certificates', {d.sql_chosen(d.CERTIFICATES, 'c_custkey')}, 'Board of {{0}}', 'Mar 2001' FROM customer
+    UNION ALL SELECT c_custkey, 'languages', 'German', 'Native', NULL FROM customer UNION ALL SELECT c_custkey, 'profile', CAST(c_custkey AS VARCHAR), 'Works, mostly', NULL FROM customer""",
+)
+def src_export_files(t: Tables) -> DataFrame:
+    """The six files of an export brought to one shape; each column is the first of its names that a file has."""
+    names = {
+        "positions.csv": (("title", "position"), ("company_name", "company"), ("started_on", "start_date")), "education.csv": (("school_name", "school"), ("degree_name", "degree"), ("start_date", "started_on")),
+        "skills.csv": (("name", "skill"), (), ()), "certificates.csv": (("name", "certificate"), ("authority", "issuer"), ("started_on", "issued_on")),
+        "languages.csv": (("name", "language"), ("proficiency", "level"), ()), "profile.csv": (("first_name", "name"), ("headline", "summary"), ()),
+    }
+    read, out = ar.read_archives(t.spark, exported(t, whole=True)), None
+    owner = F.regexp_extract("archive", "([0-9]+)", 1).cast("long")
+
+    def first(options: tuple[str, ...]) -> Column:
+        return F.coalesce(*[F.try_element_at("record", F.lit(c)) for c in options], F.lit(None).cast("string"))
+
+    for file, columns in names.items():
+        shape = [first(c).alias(n) for n, c in zip(("name", "detail", "started"), columns)]
+        rows = ar.csv_rows(read, file).select(owner.alias("owner"), F.lit(file.removesuffix(".csv")).alias("kind"), *shape)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query("src_zip_export", f"{d.with_tables('roles')} SELECT owner, title, company || ', \"Ltd\"' AS company, CAST(start_m AS VARCHAR) AS started FROM roles")
 def src_zip_export(t: Tables) -> DataFrame:
     """Positions from zip archives of CSV files, with quotes and commas in their cells."""
@@ -75,25 +118,6 @@ def src_zip_guard(t: Tables) -> DataFrame:
     return rows.select(F.regexp_extract("archive", "([0-9]+)", 1).cast("long").alias("owner"), "member", "verdict")
 
 
-@query(
-    "src_export_files",
-    f"""{d.with_tables('roles', 'nodes')} SELECT owner, 'positions' AS kind, title AS name, company || ', "Ltd"' AS detail FROM roles UNION ALL SELECT owner, 'skills', node, NULL FROM nodes""",
-)
-def src_export_files(t: Tables) -> DataFrame:
-    """The files of an export brought to one shape; each column is the first of its names that a file has."""
-    names = {"positions.csv": (("title", "position"), ("company_name", "company")), "education.csv": (("school_name",), ("degree_name",)), "skills.csv": (("name", "skill"), ()), "certificates.csv": (("name",), ("authority",)), "languages.csv": (("name",), ("proficiency",)), "profile.csv": (("first_name",), ("headline",))}
-    read, out = ar.read_archives(t.spark, exported(t)), None
-    owner = F.regexp_extract("archive", "([0-9]+)", 1).cast("long")
-
-    def first(options: tuple[str, ...]) -> Column:
-        return F.coalesce(*[F.try_element_at("record", F.lit(c)) for c in options], F.lit(None).cast("string"))
-
-    for member, (name, detail) in names.items():
-        rows = ar.csv_rows(read, member).select(owner.alias("owner"), F.lit(member.removesuffix(".csv")).alias("kind"), first(name).alias("name"), first(detail).alias("detail"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
 @query("src_csv_two_col", "SELECT page_id, split_part(url, ',', 1) AS site, url || ', \"rest\"' AS rest FROM pages WHERE url NOT LIKE '%,%' AND url IS NOT NULL")
 def src_csv_two_col(t: Tables) -> DataFrame:
     """Lines of a file cut at the first comma, outer quotes taken off."""
@@ -498,19 +522,6 @@ def st_incremental_append(t: Tables) -> DataFrame:
     return rows.groupBy("owner", "node").agg(F.count(F.lit(1)).alias("n_evidence"), roles.alias("n_roles"), F.bool_or("impact").alias("has_impact"))
 
 
-@query(
-    "smp_weighted_or_fixed",
-    "WITH p AS (SELECT o_custkey % 2 AS half, o_orderkey AS pair, CASE WHEN o_orderkey % 7 = 0 AND o_custkey % 2 = 1 THEN 3 ELSE 1 END AS w FROM orders), n AS (SELECT half, bool_or(w > 1) AS weighted FROM p GROUP BY half) SELECT p.half, p.pair, weighted FROM p JOIN n USING (half) QUALIFY row_number() OVER (PARTITION BY half ORDER BY CASE WHEN weighted THEN -w ELSE 0 END, pair) <= 10",
-)
-def smp_weighted_or_fixed(t: Tables) -> DataFrame:
-    """Ten pairs of each half: by weight if any has one, else the first."""
-    weight = F.when((F.col("o_orderkey") % 7 == 0) & (F.col("o_custkey") % 2 == 1), 3).otherwise(1)
-    p = t.orders.select((F.col("o_custkey") % 2).alias("half"), F.col("o_orderkey").alias("pair"), weight.alias("w"))
-    both = p.join(F.broadcast(p.groupBy("half").agg(F.bool_or(F.col("w") > 1).alias("weighted"))), "half")
-    place = F.row_number().over(Window.partitionBy("half").orderBy(F.when(F.col("weighted"), -F.col("w")).otherwise(0), "pair"))
-    return both.withColumn("place", place).where("place <= 10").select("half", "pair", "weighted")
-
-
 @query(
     "arc_extractors",
     f"""{LINES} SELECT owner, min(line) FILTER (pos = 0) AS title, count(*) FILTER (regexp_matches(line, '{BASIC_NUMBERS}')) AS n_metrics, string_agg(regexp_extract(line, ', ([^,(]+) \\(', 1), ';' ORDER BY pos) FILTER (regexp_extract(line, ', ([^,(]+) \\(', 1) <> '') AS companies,

@@ -107,29 +107,6 @@ def jn_tech_node(t: Tables) -> DataFrame:
     return tech.select("app", "kw").join(found, ["app", "kw"], "left").select("app", "kw", "node", F.coalesce("verdict", F.lit("not_found")).alias("verdict"))
 
 
-@query(
-    "jn_eligibility_semi",
-    f"""{with_tables('certs', 'nodes', 'keywords')}, pairs AS (SELECT k.kw, c.cert FROM (SELECT DISTINCT kw FROM keywords) k JOIN (SELECT DISTINCT cert FROM certs) c ON {d.s_skills('c.cert', 'k.kw')}),
-    skill AS (SELECT k.kw, n.node FROM (SELECT DISTINCT kw FROM keywords) k JOIN (SELECT DISTINCT node FROM nodes) n ON {d.s_skills('n.node', 'k.kw')})
-    SELECT app, req, part, coalesce(bool_or(c.cert IS NOT NULL), FALSE) AS by_cert, coalesce(bool_or(n.node IS NOT NULL), FALSE) AS by_node,
-      CASE WHEN bool_or(c.cert IS NOT NULL OR n.node IS NOT NULL) THEN 'pass' ELSE 'fail' END AS status
-    FROM keywords k LEFT JOIN (SELECT DISTINCT p.kw, c.owner, c.cert FROM pairs p JOIN certs c ON c.cert = p.cert) c ON c.kw = k.kw AND c.owner = k.owner
-    LEFT JOIN (SELECT DISTINCT s.kw, n.owner, n.node FROM skill s JOIN nodes n ON n.node = s.node) n ON n.kw = k.kw AND n.owner = k.owner
-    GROUP BY app, req, part""",
-)
-def jn_eligibility_semi(t: Tables) -> DataFrame:
-    """A requirement passes if any of its keywords matches a certificate or a node of the owner."""
-    keys, certs = d.keywords(t), d.certs(t)
-    named = keys.select(F.col("kw").alias("name")).distinct()
-    cert = nm.name_matches(named, certs.select(F.col("cert").alias("name")).distinct()).select(F.col("a").alias("kw"), F.col("b").alias("cert"))
-    by_cert = cert.join(certs, "cert").select("owner", "kw").distinct().withColumn("c", F.lit(True))
-    by_node = keyword_nodes(t, keys.select("owner", "kw").distinct(), "kw").select("owner", "kw").distinct().withColumn("n", F.lit(True))
-    flags = keys.join(by_cert, ["owner", "kw"], "left").join(by_node, ["owner", "kw"], "left").groupBy("app", "req", "part").agg(
-        F.coalesce(F.bool_or("c"), F.lit(False)).alias("by_cert"), F.coalesce(F.bool_or("n"), F.lit(False)).alias("by_node")
-    )
-    return flags.withColumn("status", F.when(F.col("by_cert") | F.col("by_node"), "pass").otherwise("fail"))
-
-
 @query(
     "jn_domain_overlap",
     f"""{with_tables('nodes', 'keywords')} SELECT DISTINCT k.app, lower(k.kw) AS domain FROM keywords k WHERE EXISTS (SELECT 1 FROM nodes n WHERE n.owner = k.owner AND (contains(lower(n.node), lower(k.kw)) OR contains(lower(k.kw), lower(n.node))))""",
@@ -592,27 +569,3 @@ def jn_licensing(t: Tables) -> DataFrame:
     asked = t.documents.select("doc_id", F.lower(F.trim("lang")).alias("src"), nm.pick(COUNTRIES, to, to).alias("dst"), job.alias("job"))
     paths = F.broadcast(t.spark.createDataFrame(list(PATHS), "src string, dst string, job string, need string"))
     return asked.join(paths, ["src", "dst", "job"], "left").select("doc_id", "src", "dst", "job", F.coalesce("need", F.lit("ask the authority")).alias("need"))
-
-
-@query(
-    "jn_outcome_context",
-    f"""{with_tables('roles')}, asked AS (SELECT s_suppkey AS jd, {d.sql_chosen(d.TITLES, 's_suppkey * 7')} AS title, s_nationkey AS industry FROM supplier),
-    past AS (SELECT r.owner, r.ordinal, r.title, c_nationkey AS industry, r.end_m FROM roles r JOIN customer ON c_custkey = r.owner)
-    SELECT a.jd, p.ordinal FROM asked a JOIN past p ON p.industry = a.industry OR {d.s_titles('a.title', 'p.title')} QUALIFY row_number() OVER (PARTITION BY a.jd ORDER BY p.end_m DESC, p.ordinal DESC) <= 10""",
-)
-def jn_outcome_context(t: Tables) -> DataFrame:
-    """The last ten applications of a posting's industry, or with a title like its own; ten at most of either are held."""
-    key = F.col("s_suppkey")
-    asked = t.supplier.select(key.alias("jd"), d.chosen(d.TITLES, key * 7).alias("wanted"), F.col("s_nationkey").alias("industry"))
-    people = t.customer.select(F.col("c_custkey").alias("owner"), F.col("c_nationkey").alias("industry"))
-    past = d.roles(t).join(people, "owner").select("ordinal", "title", "industry", "end_m")
-    latest = [F.desc("end_m"), F.desc("ordinal")]
-
-    def last(by: str) -> DataFrame:  # ten of each industry or title are all that can count
-        return past.withColumn("at", F.row_number().over(Window.partitionBy(by).orderBy(*latest))).where("at <= 10").drop("at")
-
-    titles = asked.select("wanted").distinct().join(past.select("title").distinct(), nm.titles_match(F.col("wanted"), F.col("title")))
-    same = asked.join(last("industry"), "industry").select("jd", "ordinal", "end_m")
-    like = asked.join(titles, "wanted").join(last("title"), "title").select("jd", "ordinal", "end_m")
-    both = same.unionByName(like).distinct()
-    return both.withColumn("at", F.row_number().over(Window.partitionBy("jd").orderBy(*latest))).where("at <= 10").select("jd", "ordinal")

@@ -172,13 +172,6 @@ def win_peak_merge(t: Tables) -> DataFrame:
 # --- text ---
 
 
-@query("fn_spaced_words")
-def fn_spaced_words(t: Tables) -> DataFrame:
-    """Runs of single letters become words; the pattern looks around, so there is no SQL."""
-    joined = F.regexp_replace("text", "(?<=(^|[ \n])[A-Za-z]) (?=[A-Za-z]([ \n]|$))", "")
-    return t.documents.select("doc_id", (F.length("text") - F.length(joined)).alias("n_joined"))
-
-
 @query("fn_char_spacing_old", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z] [A-Za-z] [A-Za-z] ')) AS n_runs FROM documents")
 def fn_char_spacing_old(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.count_of(F.col("text"), "[A-Za-z] [A-Za-z] [A-Za-z] ").alias("n_runs"))
@@ -197,11 +190,6 @@ def fn_parse_sanity_date(t: Tables) -> DataFrame:
 # --- rules ---
 
 
-@query("flt_terminal_degree", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
-def flt_terminal_degree(t: Tables) -> DataFrame:
-    return t.orders.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey")
-
-
 # --- graph, contradictions and reports ---
 
 

@@ -231,7 +231,7 @@ def strayed(t: Tables) -> DataFrame:
     "fn_preprocess",
     f"""{KINDS}, stray AS (SELECT c_custkey AS owner, pos, line FROM customer, (VALUES {', '.join(f"({p}, '{x}', {k})" for p, x, k in STRAY)}) v(pos, line, k) WHERE c_custkey % k = 0),
     al AS (SELECT owner, pos, line, section FROM s UNION ALL SELECT owner, pos, line, NULL FROM stray),
-    f AS (SELECT owner, line, section, row_number() OVER (PARTITION BY owner ORDER BY pos) AS i, {IS_HEADER} AS header, regexp_matches(line, '^ *\(?{RANGE}\)? *$') AS date_only, regexp_matches(lower(line), '{EDU}') AND NOT regexp_matches(lower(line), '{NOT_EDU}') AS edu,
+    f AS (SELECT owner, line, section, row_number() OVER (PARTITION BY owner ORDER BY pos) AS i, {IS_HEADER} AS header, regexp_matches(line, '^ *\\(?{RANGE}\\)? *$') AS date_only, regexp_matches(lower(line), '{EDU}') AND NOT regexp_matches(lower(line), '{NOT_EDU}') AS edu,
       (regexp_matches(lower(line), '{EDU}') OR regexp_matches(lower(line), '{CERT}')) AND NOT regexp_matches(lower(line), '{NOT_EDU}') AS excused, regexp_matches(lower(line), '{COMPANY_LINE}') AS company FROM al),
     g AS (SELECT *, min(i) FILTER (section = 'experience') OVER (PARTITION BY owner) AS start FROM f), h AS (SELECT *, coalesce(min(i) FILTER (section <> 'experience' AND i > start) OVER (PARTITION BY owner), 1e9) AS stop FROM g),
     m AS (SELECT *, coalesce(i > start AND i < stop, FALSE) AS inside, coalesce(i < start OR i >= stop, FALSE) AND header AND NOT date_only AND NOT excused AS away FROM h),

@@ -467,30 +467,6 @@ def flt_union_variant(t: Tables) -> DataFrame:
     return rows.select("owner", "node", F.size(of("role")).alias("n_roles"), F.coalesce(F.array_min(F.transform(of("award"), lambda x: x["id"])), F.lit(-1)).alias("first_award"))
 
 
-@query(
-    "agg_graph_builder",
-    f"""{d.with_tables('facts', 'certs')}, sk AS (SELECT owner, 'skill' AS kind, lower(node) AS key, min(node) AS name, {lx.TIER.sql('min(node)')} AS tier, count(DISTINCT role_id) AS n_roles, bool_or(impact) AS has_impact, CAST(count(*) AS BIGINT) AS n FROM facts GROUP BY owner, lower(node)),
-    dm AS (SELECT owner, 'domain' AS kind, dom AS key, dom AS name, 'core_skill' AS tier, count(DISTINCT role_id) AS n_roles, FALSE AS has_impact, count(DISTINCT role_id) AS n FROM (SELECT owner, role_id, {TITLE_DOMAIN.sql('title')} AS dom FROM facts) GROUP BY owner, dom),
-    ce AS (SELECT owner, 'certificate' AS kind, lower(cert) AS key, min(cert) AS name, 'certification' AS tier, 0 AS n_roles, FALSE AS has_impact, count(*) AS n FROM certs c WHERE NOT EXISTS (SELECT 1 FROM sk WHERE sk.owner = c.owner AND contains(lower(c.cert), sk.key)) GROUP BY owner, lower(cert))
-    SELECT owner, kind, name, tier, n_roles, has_impact, n, row_number() OVER (PARTITION BY owner ORDER BY n DESC, kind, key) AS place FROM (SELECT * FROM sk UNION ALL SELECT * FROM dm UNION ALL SELECT * FROM ce)""",
-)
-def agg_graph_builder(t: Tables) -> DataFrame:
-    """Nodes of skills, of domains, and of certificates that attach to no skill, in the order of their evidence."""
-    facts, certs = d.facts(t), d.certs(t)
-    n = F.count(F.lit(1))
-    skills = facts.groupBy("owner", F.lower("node").alias("key")).agg(F.min("node").alias("name"), F.countDistinct("role_id").alias("n_roles"), F.bool_or("impact").alias("has_impact"), n.alias("n"))
-    skills = skills.select("owner", F.lit("skill").alias("kind"), "key", "name", lx.TIER.first(F.col("name")).alias("tier"), "n_roles", "has_impact", "n")
-    roles = F.countDistinct("role_id")
-    domains = facts.groupBy("owner", TITLE_DOMAIN.first(F.col("title")).alias("key")).agg(roles.alias("n_roles"))
-    domains = domains.select("owner", F.lit("domain").alias("kind"), "key", F.col("key").alias("name"), F.lit("core_skill").alias("tier"), "n_roles", F.lit(False).alias("has_impact"), F.col("n_roles").alias("n"))
-    low = certs.withColumn("c", F.lower("cert"))
-    known = low.join(nm.contained(low, skills, "c", "key"), "c").join(skills.select("owner", "key"), ["owner", "key"]).select("cert_id").distinct()
-    alone = low.join(known, "cert_id", "left_anti").groupBy("owner", F.col("c").alias("key")).agg(F.min("cert").alias("name"), n.alias("n"))
-    alone = alone.select("owner", F.lit("certificate").alias("kind"), "key", "name", F.lit("certification").alias("tier"), F.lit(0).cast("long").alias("n_roles"), F.lit(False).alias("has_impact"), "n")
-    place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("n"), "kind", "key")).cast("long")
-    return skills.unionByName(domains).unionByName(alone).withColumn("place", place).drop("key")
-
-
 # --- feedback ---
 
 
@@ -601,16 +577,3 @@ def agg_merge_profile(t: Tables) -> DataFrame:
     """The merged timeline of each owner, latest first, with other titles and the number of sources of each role."""
     place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("end_m"), "ordinal")).cast("long")
     return merged(t).withColumn("place", place)
-
-
-@query(
-    "agg_to_parsed",
-    f"""{MERGED}, tech AS (SELECT role_id, list_sort(list(DISTINCT lower(node))) AS techs, count(*) FILTER (impact) AS n_metrics FROM (SELECT o_orderkey AS role_id, {d.SKILL_SQL} AS node, l_returnflag = 'R' AS impact FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey) GROUP BY role_id)
-    SELECT f.owner, f.ordinal, f.title, f.company, array_to_string(coalesce(techs, [])[1:15], ',') AS technologies, coalesce(n_metrics, 0) AS n_metrics FROM fin f LEFT JOIN tech ON role_id = f.ordinal""",
-)
-def agg_to_parsed(t: Tables) -> DataFrame:
-    """Merged roles in a parsed profile's shape: the known terms and the metrics of their evidence."""
-    each = d.facts(t).groupBy(F.col("role_id").alias("ordinal")).agg(F.array_sort(F.collect_set(F.lower("node"))).alias("techs"), F.count_if("impact").alias("n_metrics"))
-    rows = merged(t).join(each, "ordinal", "left")
-    terms = F.array_join(F.slice(F.coalesce("techs", F.array().cast("array<string>")), 1, 15), ",")
-    return rows.select("owner", "ordinal", "title", "company", terms.alias("technologies"), F.coalesce("n_metrics", F.lit(0)).alias("n_metrics"))

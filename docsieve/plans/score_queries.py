@@ -212,29 +212,6 @@ def agg_failure_breakdown(t: Tables) -> DataFrame:
     return rows.groupingSets([[F.col("split"), F.col("check_name")], [F.col("split")]], "split", "check_name").agg(n.alias("n_failed"), mean.alias("mean"), rate.alias("pass_rate"))
 
 
-@query("sc_risk_tag", f"{CHECKS} SELECT check_name, CASE WHEN bool_or(hard) THEN 'high' WHEN avg(score) < 0.6 THEN 'medium' ELSE 'low' END AS risk FROM checks GROUP BY check_name")
-def sc_risk_tag(t: Tables) -> DataFrame:
-    return cv_scores(t).groupBy("check_name").agg(F.when(F.bool_or("hard"), "high").when(F.avg("score") < 0.6, "medium").otherwise("low").alias("risk"))
-
-
-@query(
-    "sc_degrade",
-    f"""{CV}, bad AS (SELECT app, source, list_append(skills, 'underwater basketry') AS skills, regexp_replace(made, '[0-9]', '', 'g') AS made FROM c)
-    SELECT c.app, round({s_share(f'len({IN_SOURCE})', 'len(c.skills)').replace('skills,', 'c.skills,').replace('source', 'c.source')}, 6) AS before,
-      round({s_share(f'len({IN_SOURCE})', 'len(b.skills)').replace('skills,', 'b.skills,').replace('source', 'c.source')}, 6) AS after, len({s_numbers('c.made')}) AS n_before, len({s_numbers('b.made')}) AS n_after FROM c JOIN bad b ON b.app = c.app""",
-)
-def sc_degrade(t: Tables) -> DataFrame:
-    """A skill that isn't there must lower the score, and erased digits must take the numbers."""
-    source = F.col("source")
-    more = F.array_append("skills", F.lit("underwater basketry"))
-
-    def in_source(skills: Column) -> Column:
-        return F.round(sc.share(sc.counted(skills, lambda s: sc.skill_held(s, source)), F.size(skills)), 6)
-
-    erased = F.regexp_replace("made", "[0-9]", "")
-    return generated(t).select("app", in_source(F.col("skills")).alias("before"), in_source(more).alias("after"), F.size(sc.numbers(F.col("made"))).alias("n_before"), F.size(sc.numbers(erased)).alias("n_after"))
-
-
 # --- postings: what was parsed against what was expected ---
 
 JD = f"""{d.with_tables('keywords')},
@@ -429,19 +406,6 @@ def sc_compare(t: Tables) -> DataFrame:
     return s.select("run", first.otherwise("incumbent").alias("winner"))
 
 
-@query(
-    "sc_trial_arrays",
-    f"""{JD_SCORES} SELECT app, round(avg(score) FILTER (check_name IN ('req_recall', 'req_precision')), 6) AS arrays, round(2 * max(score) FILTER (check_name = 'req_recall') * max(score) FILTER (check_name = 'req_precision') / nullif(max(score) FILTER (check_name = 'req_recall') + max(score) FILTER (check_name = 'req_precision'), 0), 6) AS f1 FROM checks GROUP BY app""",
-)
-def sc_trial_arrays(t: Tables) -> DataFrame:
-    def one(name: str) -> Column:
-        return F.max(F.when(F.col("check_name") == name, F.col("score")))
-
-    r, p = one("req_recall"), one("req_precision")
-    both = F.avg(F.when(F.col("check_name").isin("req_recall", "req_precision"), F.col("score")))
-    return jd_scores(t).groupBy("app").agg(F.round(both, 6).alias("arrays"), F.round(2 * r * p / F.nullif(r + p, F.lit(0.0)), 6).alias("f1"))
-
-
 @query("sc_trial_all", f"{JD_SCORES} SELECT app, check_name, round(score, 6) AS score, passed FROM checks")
 def sc_trial_all(t: Tables) -> DataFrame:
     return jd_scores(t).select("app", "check_name", F.round("score", 6).alias("score"), "passed")

@@ -36,15 +36,6 @@ def fn_norm_basic(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(tx.basic(F.col("text"))).alias("norm"))
 
 
-@query(
-    "fn_norm_verify",
-    "SELECT doc_id, length(trim(regexp_replace(regexp_replace(lower(text), '[-_/]+', ' ', 'g'), '[.,;:!?]+', '', 'g'))) AS n FROM documents",
-)
-def fn_norm_verify(t: Tables) -> DataFrame:
-    plain = F.regexp_replace(F.regexp_replace(F.lower("text"), "[-_/]+", " "), "[.,;:!?]+", "")
-    return t.documents.select("doc_id", F.length(F.trim(plain)).cast("long").alias("n"))
-
-
 @query("fn_sig_words", f"SELECT doc_id, len({SIGNIFICANT.format('text')}) AS n FROM documents")
 def fn_sig_words(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.size(tx.significant(F.col("text"))).cast("long").alias("n"))
@@ -336,18 +327,6 @@ def fn_date_in_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.col("text").rlike("(19|20)[0-9][0-9]").alias("has_year"))
 
 
-@query(
-    "fn_validate_dates",
-    "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_shipdate < o_orderdate THEN 'reversed' WHEN l_shipdate > o_orderdate + INTERVAL 60 DAY THEN 'too long' ELSE 'zero' END AS issue FROM lineitem JOIN orders ON o_orderkey = l_orderkey "
-    "WHERE l_shipdate < o_orderdate OR l_shipdate > o_orderdate + INTERVAL 60 DAY OR l_shipdate = o_orderdate",
-)
-def fn_validate_dates(t: Tables) -> DataFrame:
-    both = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
-    ship, order = F.col("l_shipdate"), F.col("o_orderdate")
-    issue = F.when(ship < order, "reversed").when(ship > order + F.expr("interval 60 days"), "too long").when(ship == order, "zero")
-    return both.select("l_orderkey", "l_linenumber", "l_partkey", issue.alias("issue")).where("issue IS NOT NULL")
-
-
 @query("fn_duration_text", "SELECT p_partkey, p_size AS total FROM part")
 def fn_duration_text(t: Tables) -> DataFrame:
     """'N years M months' as months, from texts made of a number of months."""
