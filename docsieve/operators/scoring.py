@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions import stats
 from docsieve.functions import text as tx
+from docsieve.sources.schemas import bound
 
 LEAST_SOURCE = 50
 # Our own lexicons; patterns keep to what RE2 also reads.
@@ -38,11 +39,15 @@ def topic_words(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*FILLER) & ~w.rlike("^[0-9]+[-+]?$"))
 
 
-def addressed(requirement: Column, text: Column) -> Column:
+def meets(words: Column, text: Column) -> Column:
     """Any of one or two topic words, two of more; a requirement without any is met."""
-    words = topic_words(requirement)
     hits = F.size(F.filter(words, lambda w: F.contains(text, w)))
-    return F.when(F.size(words) == 0, True).when(F.size(words) <= 2, hits >= 1).otherwise(hits >= 2)
+    return hits >= F.when(F.size(words) == 0, 0).when(F.size(words) <= 2, 1).otherwise(2)
+
+
+def addressed(requirement: Column, text: Column) -> Column:
+    """Whether a text meets a requirement, by its topic words, which are taken apart once."""
+    return bound(topic_words(requirement), lambda words: meets(words, text))
 
 
 def term_held(term: Column, text: Column) -> Column:
@@ -59,6 +64,11 @@ def judged(score: Column, passed: Column, hard: bool = False) -> Column:
     return F.struct(score.cast("double").alias("score"), passed.alias("passed"), F.lit(hard).alias("hard"))
 
 
+def graded(score: Column, least: float, hard: bool = False) -> Column:
+    """A score, computed once, that passes from ``least`` on."""
+    return bound(score.cast("double"), lambda s: F.struct(s.alias("score"), (s >= least).alias("passed"), F.lit(hard).alias("hard")))
+
+
 def share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(1.0)
 
@@ -74,54 +84,51 @@ def _needs_source(source: Column, score: Column) -> Column:
 def requirements_covered(requirements: Column, terms: Column, source: Column, made: Column) -> Column:
     """0.7 of the addressable requirements and 0.3 of the addressable terms that the text meets; 0.55 passes."""
     short = F.length(source) < LEAST_SOURCE
-    asked = F.filter(requirements, lambda r: short | addressed(r, source))
-    known = F.filter(terms, lambda x: short | term_held(x, source))
-    met, held = counted(asked, lambda r: addressed(r, made)), counted(known, lambda x: term_held(x, made))
-    both = share(met, F.size(asked)) * 0.7 + share(held, F.size(known)) * 0.3
-    score = F.when(F.size(asked) + F.size(known) > 0, both).otherwise(1.0)
-    return judged(score, score >= 0.55)
+    words = F.transform(requirements, topic_words)
+
+    def both(of: Column) -> Column:
+        asked, known = of["asked"], of["known"]
+        met, held = counted(asked, lambda w: meets(w, made)), counted(known, lambda x: term_held(x, made))
+        return F.when(F.size(asked) + F.size(known) > 0, share(met, F.size(asked)) * 0.7 + share(held, F.size(known)) * 0.3).otherwise(1.0)
+
+    addressable = F.struct(F.filter(words, lambda w: short | meets(w, source)).alias("asked"), F.filter(terms, lambda x: short | term_held(x, source)).alias("known"))
+    return graded(bound(addressable, both), 0.55)
 
 
 def no_fabrication(skills: Column, source: Column) -> Column:
-    score = _needs_source(source, share(counted(skills, lambda s: skill_held(s, source)), F.size(skills)))
-    return judged(score, score >= 0.85, hard=True)
+    return graded(_needs_source(source, share(counted(skills, lambda s: skill_held(s, source)), F.size(skills))), 0.85, hard=True)
 
 
 def metrics_kept(source: Column, made: Column) -> Column:
-    before, after = numbers(source), numbers(made)
-    score = share(F.size(F.array_intersect(before, after)), F.size(before))
-    return judged(score, score >= 0.3)
+    return graded(bound(numbers(source), lambda before: share(F.size(F.array_intersect(before, numbers(made))), F.size(before))), 0.3)
 
 
 def word_count(made: Column, most: int = 800) -> Column:
-    n = F.size(F.split(made, r"\s+"))
-    score = F.when(n <= most, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (n - most) / most))
-    return judged(score, n <= most)
+    """1 up to ``most`` words, which passes, and less the more there are beyond."""
+    return graded(bound(F.size(F.split(made, r"\s+")), lambda n: F.when(n <= most, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (n - most) / most))), 1.0)
 
 
 def no_new_technologies(bullets: Column, source: Column) -> Column:
-    named = technologies(F.array_join(bullets, " \n "), 100)
-    score = _needs_source(source, share(counted(named, lambda x: F.contains(source, x)), F.size(named)))
-    return judged(score, score >= 1.0, hard=True)
+    held = bound(technologies(F.array_join(bullets, " \n "), 100), lambda named: share(counted(named, lambda x: F.contains(source, x)), F.size(named)))
+    return graded(_needs_source(source, held), 1.0, hard=True)
 
 
 def action_verb(bullet: Column) -> Column:
-    """Whether a bullet begins with a verb, behind a label with a colon or in brackets, and with or without co-."""
-    after = F.regexp_replace(F.regexp_replace(F.trim(bullet), r"^[A-Z][A-Za-z .&'()-]*:\s+", ""), r"^\([^)]+\)[:,]?\s+", "")
-    first = F.regexp_replace(F.lower(F.element_at(F.split(after, r"\s"), 1)), "[^a-z-]", "")
-    return first.isin(*VERBS) | F.replace(first, F.lit("-"), F.lit("")).isin(*VERBS) | F.regexp_replace(first, "^co-", "").isin(*VERBS)
+    """Whether a bullet begins with one of the verbs. A label before a colon, or in brackets, stands aside; "co-" and hyphens don't count."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(bullet), r"^[A-Z][A-Za-z .&'()-]*:\s+", ""), r"^\([^)]+\)[:,]?\s+", "")
+    word = F.regexp_replace(F.lower(F.substring_index(F.regexp_replace(bare, r"\s", " "), " ", 1)), "[^a-z-]", "")
+    return bound(word, lambda w: F.exists(F.array(w, F.replace(w, F.lit("-"), F.lit("")), F.regexp_replace(w, "^co-", "")), lambda v: v.isin(*VERBS)))
 
 
 def action_verbs(bullets: Column) -> Column:
-    score = share(counted(bullets, action_verb), F.size(bullets))
-    return judged(score, score >= 0.5)
+    return graded(share(counted(bullets, action_verb), F.size(bullets)), 0.5)
 
 
 def structure(summary: Column, company: Column, title: Column, start: Column, skills: Column, bullets: Column) -> Column:
     """0.15 less for each section or field that is missing."""
     missing = [F.coalesce(c, F.lit("")) == "" for c in (summary, company, title, start)] + [F.size(skills) == 0, F.size(bullets) == 0]
     n = sum((m.cast("int") for m in missing[1:]), missing[0].cast("int"))
-    return judged(F.greatest(F.lit(0.0), 1 - n * 0.15), n == 0)
+    return graded(F.greatest(F.lit(0.0), 1 - n * 0.15), 1.0)
 
 
 def core_name(company: Column) -> Column:
@@ -135,8 +142,7 @@ def facts_kept(company: Column, year: Column, source: Column) -> Column:
     known = ((F.length(name) >= 3) & F.contains(source, name)) | ((F.length(core) >= 3) & F.contains(source, core))
     n = F.when(year.isNull(), 1).otherwise(2)
     right = known.cast("int") + F.coalesce(F.contains(source, year.cast("string")), F.lit(False)).cast("int")
-    score = _needs_source(source, right / n)
-    return judged(score, score >= 0.85, hard=True)
+    return graded(_needs_source(source, right / n), 0.85, hard=True)
 
 
 def fuzzy_field(parsed: Column, expected: Column, threshold: float) -> Column:
@@ -156,7 +162,7 @@ def numeric_field(parsed: Column, expected: Column, threshold: float = 0.8) -> C
     both, none = parsed.isNotNull() & expected.isNotNull(), parsed.isNull() & expected.isNull()
     near = both & (F.abs(parsed - expected) <= 1)
     score = F.when(none | (both & (parsed == expected)), 1.0).when(near, 0.8).otherwise(0.0)
-    return judged(score, score >= threshold)
+    return graded(score, threshold)
 
 
 def item_words(text: Column) -> Column:
@@ -165,19 +171,17 @@ def item_words(text: Column) -> Column:
 
 def shares_words(words: Column, text: Column, any_of_two: bool = True) -> Column:
     """Two of the words stand in the text; of one or two, any (or all that there are)."""
-    hits = counted(words, lambda w: F.contains(F.lower(text), w))
-    return F.when(F.size(words) <= 2, hits >= 1).otherwise(hits >= 2) if any_of_two else hits >= F.least(F.size(words), F.lit(2))
+    least = F.when(F.size(words) <= 2, 1).otherwise(2) if any_of_two else F.least(F.size(words), F.lit(2))
+    return bound(F.lower(text), lambda low: counted(words, lambda w: F.contains(low, w)) >= least)
 
 
 def found_share(items: Column, others: Column, threshold: float, any_of_two: bool = True) -> Column:
     """The share of items of which another list holds one with the same words."""
 
     def found(item: Column) -> Column:
-        words = item_words(item)
-        return (F.size(words) == 0) | F.exists(others, lambda o: shares_words(words, o, any_of_two))
+        return bound(item_words(item), lambda words: (F.size(words) == 0) | F.exists(others, lambda o: shares_words(words, o, any_of_two)))
 
-    score = share(counted(items, found), F.size(items))
-    return judged(score, score >= threshold)
+    return graded(share(counted(items, found), F.size(items)), threshold)
 
 
 def normal_type(kind: Column) -> Column:
@@ -192,10 +196,13 @@ def types_right(expected: Column, parsed: Column, threshold: float = 0.8) -> Col
     """
 
     def value(item: Column) -> Column:
-        hit = F.try_element_at(F.filter(parsed, lambda p: shares_words(item_words(item["text"]), p["text"])), F.lit(1))
-        a, b = normal_type(hit["type"]), normal_type(item["type"])
-        return F.when(hit.isNotNull(), F.when(a == b, 1.0).when((a == "must_have") & (b == "nice_to_have"), 0.5).otherwise(0.0))
+        hit = bound(item_words(item["text"]), lambda words: F.try_element_at(F.filter(parsed, lambda p: shares_words(words, p["text"])), F.lit(1)))
+
+        def agree(found: Column) -> Column:
+            a, b = normal_type(found["type"]), normal_type(item["type"])
+            return F.when(found.isNotNull(), F.when(a == b, 1.0).when((a == "must_have") & (b == "nice_to_have"), 0.5).otherwise(0.0))
+
+        return bound(hit, agree)
 
     values = F.filter(F.transform(expected, value), lambda v: v.isNotNull())
-    score = share(F.aggregate(values, F.lit(0.0), lambda x, y: x + y), F.size(values))
-    return judged(score, score >= threshold)
+    return graded(bound(values, lambda vs: share(F.aggregate(vs, F.lit(0.0), lambda x, y: x + y), F.size(vs))), threshold)
