@@ -112,7 +112,7 @@ def range_hashes(values: Callable[[int, int], np.ndarray], starts: np.ndarray, e
 
 
 def anchor_runs(
-    values: Callable[[int, int], np.ndarray], gram: int, bounds: np.ndarray, window: int
+    values: Callable[[int, int], np.ndarray], gram: int, bounds: np.ndarray, window: int, allowed: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Winnowing: of each window's grams, the one with the least hash is its anchor.
 
@@ -120,22 +120,26 @@ def anchor_runs(
     place to another, ``bounds`` holds where the sequences begin, and the end; ``window`` and ``gram`` are
     lengths in units. Returns, for each run of windows of one sequence with a common anchor: the first
     window's start, their number, the anchor's place and its hash. Long sequences are taken in blocks, so
-    that memory doesn't grow with them; a run that crosses blocks comes as two.
+    that memory doesn't grow with them; a run that crosses blocks comes as two. With ``allowed``, which says of
+    each unit whether a gram there may be an anchor, windows without such a gram have none, and are left out.
     """
     n, w = int(bounds[-1]), window - gram + 1
-    low = np.uint64((1 << _POSITION_BITS) - 1)
+    low, none = np.uint64((1 << _POSITION_BITS) - 1), np.uint64((1 << 64) - 1)  # no place in a block has all bits set
     out: list[tuple[np.ndarray, ...]] = []
     for begin in range(0, max(n - window + 1, 0), BLOCK):
         high = min(begin + BLOCK + window - 1, n)
         grams = Rolling(values(begin, high)).grams(gram)
-        least = sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), w)
+        ordered = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
+        if allowed is not None:
+            ordered[allowed[begin : begin + len(grams)] == 0] = none
+        least = sliding_min(ordered, w)
         valid = np.zeros(len(least) + 1, np.int32)
         a = np.clip(bounds[:-1] - begin, 0, len(least))
         b = np.clip(bounds[1:] - window + 1 - begin, 0, len(least))
         real = b > a
         np.add.at(valid, a[real], 1)
         np.add.at(valid, b[real], -1)
-        at = np.flatnonzero(np.cumsum(valid)[:-1] > 0)
+        at = np.flatnonzero((np.cumsum(valid)[:-1] > 0) & (least != none))
         if not len(at):
             continue
         anchor = (least[at] & low).astype(np.int64)

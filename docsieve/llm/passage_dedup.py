@@ -2,16 +2,18 @@
 
 Phrases of ``GRAM`` words that anchor windows are the candidates; hashes of them tell which may recur. Those
 are gathered as strings, and a grouped count of the strings confirms the phrases that occur twice or more.
-The table of confirmed phrases is dealt to shards, one for each chunk of documents, so that a shard is
-bounded by its chunk and not by the corpus; each shard is compiled to an Aho-Corasick automaton, and all
-documents (but whole copies of others, which go as a whole) are streamed, whole, through theirs. An
-occurrence is where the automaton says so, and nowhere else. The windows around the occurrences meet by
-phrase, their words are compared, and each that also starts earlier (smaller id, or same document and
-earlier start) is one whose words go.
+The table of confirmed phrases is dealt to shards, one for each chunk of documents (the phrases that anchor a
+window of one of them), so that a shard is bounded by its chunk and not by the corpus; each shard is compiled to
+an Aho-Corasick automaton, and all documents (but whole copies of others, which go as a whole) are streamed,
+whole, through theirs. What was winnowed before plays no part from there on: the occurrences are the automaton's
+hits, at whatever place, a window is one to look at if it holds a hit, and of several it goes by the one with the
+least hash. Equal windows go by the same one: the phrase that anchors them is confirmed, in both shards, and has
+the least hash of all their phrases. The words of windows that meet are compared, and each that also starts earlier
+(smaller id, or same document and earlier start) is one whose words go.
 
 Defined cases: a null text has no words; texts of fewer words than a window keep all; a row with a null
 or repeated id is a document of its own, in the order of id (nulls last) and text; an empty table gives
-no rows; long texts are hashed in blocks.
+no rows; long texts are hashed in blocks; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -124,11 +126,12 @@ def window_pieces(docs: DataFrame, unit: Unit) -> DataFrame:
                 shard |= dict.fromkeys(batch.column("hot").flatten().to_pylist(), True)
                 if not shard:
                     continue
-                found = Sequence(batch, unit)
-                hit = located(compiled(shard), found)[found.place]
-                chosen = np.flatnonzero(hit)
+                automaton = compiled(shard)
+                found = Sequence(batch, unit, lambda s: located(automaton, s))
+                chosen = np.arange(len(found.first))
                 if not len(chosen):
                     continue
+                hot = found.kinds[found.place] == 2
                 raw, starts, ends = found.raw.tobytes(), found.starts.tolist(), found.ends.tolist()
                 words = pa.array([raw[a:b] for a, b in zip(starts, ends)], pa.binary()).dictionary_encode().indices.to_numpy()
                 del raw, starts, ends
@@ -136,7 +139,7 @@ def window_pieces(docs: DataFrame, unit: Unit) -> DataFrame:
                 def again(run: np.ndarray, start: np.ndarray) -> np.ndarray:
                     return repeated(words, start, np.zeros(len(start), np.int64), unit.window)
 
-                yield cut_pieces(found, chosen, hit == 2, batch.column("key").to_numpy(), unit, again, joined_words(found))
+                yield cut_pieces(found, chosen, hot, batch.column("key").to_numpy(), unit, again, joined_words(found))
 
     return docs.mapInArrow(locate, PIECES)
 

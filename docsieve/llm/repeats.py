@@ -51,9 +51,13 @@ class Unit:
 
 
 class Sequence:
-    """The units of all texts of a chunk, with the runs of windows that share an anchor."""
+    """The units of all texts of a chunk, with the runs of windows that share an anchor.
 
-    def __init__(self, batch: pa.RecordBatch, unit: Unit):
+    ``locate`` gives, for the sequence, a number for each unit at which an anchor may stand, and 0 for others
+    (``kinds``); without it, every gram may be one.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, unit: Unit, locate: Callable[[Sequence], np.ndarray] | None = None):
         self.raw, self.offsets = flat(batch.column("text"))
         if unit.words:
             self.starts, self.ends, self.bounds = word_spans(self.raw, self.offsets, SPACE_WORDS)
@@ -62,7 +66,8 @@ class Sequence:
         else:
             self.bounds = self.offsets
             self.values = lambda a, b: byte_values(self.raw[a:b])
-        self.first, self.count, self.place, self.anchor = anchor_runs(self.values, unit.gram, self.bounds, unit.window)
+        self.kinds = locate(self) if locate else None
+        self.first, self.count, self.place, self.anchor = anchor_runs(self.values, unit.gram, self.bounds, unit.window, self.kinds)
         self.doc = np.searchsorted(self.bounds, self.first, "right") - 1
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -127,6 +127,32 @@ def test_windows_are_only_those_around_what_the_automata_report(spark):
     assert pieces and all(at - 12 <= p["start"] and p["start"] + p["count"] - 1 <= at for p in pieces)
 
 
+def test_occurrences_come_from_the_automata_alone(spark, monkeypatch):
+    """Run as a whole with automata that report nothing, the deduplication removes whole copies only; with one phrase, its windows only."""
+    docs = [(1, f"{fixtures.PASSAGE} one"), (2, f"two {fixtures.PASSAGE}"), (3, f"{fixtures.PASSAGE} one"), (4, "short text")]
+
+    def removed():
+        return {r["doc_id"]: r["n_removed"] for r in passage_dedup.remove_passages(fixtures.table(spark, docs)).collect()}
+
+    assert removed() == {1: 0, 2: 60, 3: 61, 4: 0}
+    located = passage_dedup.located
+    with monkeypatch.context() as m:
+        m.setattr(passage_dedup, "located", lambda automaton, found: np.zeros(len(found.starts), np.int8))
+        assert removed() == {1: 0, 2: 0, 3: 61, 4: 0}
+
+    def only_first(automaton, found):
+        hit = located(automaton, found)
+        for a, b in zip(found.bounds[:-1].tolist(), found.bounds[1:].tolist()):
+            places = np.flatnonzero(hit[a:b])
+            hit[a + places[1:]] = 0
+        return hit
+
+    with monkeypatch.context() as m:
+        m.setattr(passage_dedup, "located", only_first)
+        some = removed()
+        assert some[3] == 61 and 0 < some[2] < 60
+
+
 def test_windows_with_one_hash_and_other_words_are_told_apart(monkeypatch):
     monkeypatch.setattr(passage_dedup, "mix", lambda x: np.zeros(len(x), np.uint64))
     words = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
