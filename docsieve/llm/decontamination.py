@@ -20,7 +20,9 @@ of their index, and count below ``THRESHOLD`` only if the whole of them stands t
 Indexes are broadcast in parts of about ``MOST_ITEMS`` items, by a hash of their ids, ``AT_ONCE`` parts for each pass
 over the documents; statistics are those of all items, and the result doesn't depend on the parts. Defined cases: null or empty texts and items have no terms and never match; items with a null
 id are kept under that id; items with equal texts are all reported; a row with a repeated id is searched
-on its own, and the best match of each (id, item) is reported; an empty table on either side gives no rows.
+on its own, and the best match of each (id, item) is reported; of passages that match alike the first counts;
+texts are searched whole, however long; other columns, whatever their names, are not read by the search and are
+kept as they are by the filter; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ special token by the tokenizers library itself.
 
 Defined cases: a null or empty text is one piece of the end id alone; a null or repeated id is a
 document of its own, its pieces carrying that id; an empty table gives no rows; very long texts give
-many pieces of the greatest length.
+many pieces of the greatest length. Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations

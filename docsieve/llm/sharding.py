@@ -6,7 +6,7 @@ targets. No task sees more than its partition; only one row per partition meets
 
 Defined cases: a null text has no bytes; a null id comes last; rows that repeat an id are ordered by
 size and checksum, and equal rows take the places of each other; an empty table gives no rows. A row
-larger than a target leaves shards after it empty.
+larger than a target leaves shards after it empty. Other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ their SHA-256.
 
 Defined cases: a null text is empty; texts shorter than a window stay whole; a row with a null or
 repeated id is a document of its own, in the order of id (nulls last) and text; an empty table gives no
-rows; long texts are hashed in blocks. Bytes are judged without regard to characters, so what is left may
+rows; long texts are hashed in blocks; other columns of the input, whatever their names, are not read. Bytes are judged without regard to characters, so what is left may
 not be valid UTF-8: ``kept`` is binary.
 """
 

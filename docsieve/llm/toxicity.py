@@ -14,7 +14,9 @@ in one pass without a shuffle.
 Defined cases: null and empty texts have no words and get the base rates; labels that repeat an id, and
 those of equal texts, count by their maximum; those with a null id or label, or of no document, aren't
 used; without a row of either class for a category its probability is its base rate, and without labelled
-rows it is 0, so that nothing is rejected. Repeated rows get equal scores, an empty table none.
+rows it is 0, so that nothing is rejected. Repeated rows get equal scores, an empty table none. Texts are scored whole,
+however long; other columns, whatever their names, are not read by the scoring and are kept as they are by the filter.
+Of features that tell as much, those with the least hash are taken.
 """
 
 from __future__ import annotations
