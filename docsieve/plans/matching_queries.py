@@ -37,17 +37,25 @@ def jn_best_skill(t: Tables) -> DataFrame:
 
 
 def keyword_nodes(t: Tables, keys: DataFrame, name: str) -> DataFrame:
-    """The rows of ``keys`` (with ``owner`` and a name) joined with the owner's nodes of matching names."""
-    nodes = d.nodes(t)
-    pairs = nm.name_matches(keys.select(F.col(name).alias("name")).distinct(), nodes.select(F.col("node").alias("name")).distinct())
-    return keys.join(pairs.select(F.col("a").alias(name), F.col("b").alias("node"), "exact"), name).join(nodes, ["owner", "node"])
+    """The rows of ``keys`` (with ``owner`` and a name) joined with the owner's nodes of matching names.
+
+    Names are matched between the distinct ones of the skills' table, so that the facts are grouped to nodes once.
+    """
+    pairs = nm.name_matches(keys.select(F.col(name).alias("name")).distinct(), d.names(t))
+    return keys.join(pairs.select(F.col("a").alias(name), F.col("b").alias("node"), "exact"), name).join(d.nodes(t), ["owner", "node"])
 
 
 def requirement_nodes(t: Tables) -> DataFrame:
-    """Each requirement's best node: of each keyword's first node, the one of most roles, with impact as two more."""
-    met = first_of(keyword_nodes(t, d.keywords(t), "kw"), ["app", "req", "part", "pos"], "place")
+    """Each requirement's best node: of each keyword's first node, the one of most roles, with impact as two more.
+
+    Dealt by requirement once; both choices are aggregates over that.
+    """
     strength = F.col("n_roles") + F.when(F.col("has_impact"), 2).otherwise(0)
-    return first_of(met.withColumn("strength", strength).where("strength > 0"), ["app", "req", "part"], F.desc("strength"), "pos")
+    met = keyword_nodes(t, d.keywords(t), "kw").withColumn("strength", strength).repartition("app", "req", "part")
+    node = F.struct("owner", "kw", "pos", "node", "n_roles", "has_impact", "has_validation", "has_depth", "total_months", "n_evidence", "place", "strength")
+    first = met.groupBy("app", "req", "part", "pos").agg(F.min_by(node, "place").alias("n")).where("n.strength > 0")
+    best = first.groupBy("app", "req", "part").agg(F.min_by("n", F.struct(-F.col("n.strength"), F.col("pos"))).alias("n"))
+    return best.select("app", "req", "part", "n.*")
 
 
 REQ_NODES = f"""pairs AS (SELECT k.kw, n.node FROM (SELECT DISTINCT kw FROM keywords) k JOIN (SELECT DISTINCT node FROM nodes) n ON {d.s_skills('n.node', 'k.kw')}),
