@@ -7,7 +7,6 @@ without a plural's s. Of several phrases that stand in a text the one with the l
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession

@@ -12,12 +12,13 @@ from docsieve.operators import names as nm
 from docsieve.operators import scoring as sc
 from docsieve.operators import temporal as tm
 from docsieve.plans import domain as d
-from docsieve.plans.matching_queries import first_of, keyword_nodes
-from docsieve.plans.profile_queries import DEGREE, DEGREES, KINDS, sectioned
+from docsieve.plans.matching_queries import FIXES, fixes, keyword_nodes
+from docsieve.plans.profile_queries import DEGREE, DEGREES, FIELD, KINDS, sectioned
 from docsieve.plans.registry import APPLICATIONS, LINES, query
-from docsieve.plans.report_queries import DEPTH, MERGED, NODE_WORDS, RANK, TITLE_DOMAIN, depths, merged
+from docsieve.plans.report_queries import DEPTH, MERGED, NODE_WORDS, RANK, TITLE_DOMAIN, merged
 from docsieve.plans.score_queries import CHECKS, CV, IN_SOURCE, JD_SCORES, KNOWN_COMPANY, SHORT, cv_scores, generated, jd_scores, s_numbers, s_share
 from docsieve.plans.standins import applications, lines
+from docsieve.sources import tables as src
 from docsieve.sources.tables import Tables
 
 # --- evidence ---
@@ -130,7 +131,7 @@ def agg_dashboard(t: Tables) -> DataFrame:
 
 # --- degrees ---
 
-S_DEGREES = f"g AS (SELECT c_custkey AS owner, i, {d.sql_chosen(DEGREES, 'c_custkey + i * 2')} AS name FROM customer CROSS JOIN (VALUES (0), (1), (2)) v(i)), dg AS (SELECT owner, i, name, {DEGREE.sql('name')} AS degree, CASE {DEGREE.sql('name')} {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in RANK.items())} END AS rank FROM g)"
+S_DEGREES = f"held AS (SELECT c_custkey AS owner, i, {d.sql_chosen(DEGREES, 'c_custkey + i * 2')} AS name FROM customer CROSS JOIN (VALUES (0), (1), (2)) v(i)), dg AS (SELECT owner, i, name, {DEGREE.sql('name')} AS degree, CASE {DEGREE.sql('name')} {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}' for k, v in RANK.items())} END AS rank FROM held)"
 TERMINAL = ("PhD", "Master")
 
 
@@ -482,3 +483,39 @@ def agg_to_parsed(t: Tables) -> DataFrame:
     whole = merged(t).join(bullets, "ordinal", "left").join(tech, "ordinal", "left")
     metrics = F.coalesce(F.array_join(F.array_sort(sc.numbers(F.col("bullets"))), ";"), F.lit(""))
     return whole.select("owner", "ordinal", "title", "company", F.coalesce("technologies", F.lit("")).alias("technologies"), F.coalesce("kind", F.lit("other")).alias("kind"), metrics.alias("metrics"))
+
+
+FIELD_OF = f"{FIELD.sql('name')}"
+
+
+@query(
+    "agg_merge_profile",
+    f"""{MERGED}, {FIXES}, {S_DEGREES},
+    dated AS (SELECT f.* EXCLUDE (start_m), CASE WHEN contains(lower(f.title || ' ' || f.company), m.said) OR contains(m.said, left(lower(f.title || ' ' || f.company), 20)) THEN m.new_start ELSE f.start_m END AS start_m FROM fin f JOIN moved m USING (owner)),
+    named AS (SELECT t.owner, t.ordinal, x.fixed FROM dated t JOIN fixes x ON x.owner = t.owner AND (t.start_m - 1) // 12 >= p0 AND (t.start_m - 1) // 12 < p1 QUALIFY row_number() OVER (PARTITION BY t.owner, t.ordinal ORDER BY x.ordinal) = 1),
+    good AS (SELECT owner, start_m AS a, end_m AS b FROM dated WHERE end_m > start_m), far AS (SELECT *, max(b) OVER (PARTITION BY owner ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM good),
+    num AS (SELECT *, sum(CASE WHEN a <= r THEN 0 ELSE 1 END) OVER (PARTITION BY owner ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM far), tot AS (SELECT owner, CAST(sum(b - a) AS BIGINT) AS total_months FROM (SELECT owner, k, min(a) AS a, max(b) AS b FROM num GROUP BY owner, k) GROUP BY owner),
+    one AS (SELECT owner, i, name FROM dg QUALIFY row_number() OVER (PARTITION BY owner, degree, {FIELD_OF} ORDER BY i) = 1), edu AS (SELECT owner, string_agg(name, '; ' ORDER BY i) AS education FROM one GROUP BY owner)
+    SELECT t.owner, t.ordinal, origin, coalesce(n.fixed, t.title) AS title, company, start_m, end_m, alt_titles, n_sources, row_number() OVER (PARTITION BY t.owner ORDER BY end_m DESC, t.ordinal) AS place, coalesce(total_months, 0) AS total_months, coalesce(education, '') AS education
+    FROM dated t LEFT JOIN named n ON n.owner = t.owner AND n.ordinal = t.ordinal LEFT JOIN tot ON tot.owner = t.owner LEFT JOIN edu ON edu.owner = t.owner""",
+)
+def agg_merge_profile(t: Tables) -> DataFrame:
+    """The merged timeline of each owner, latest first: titles and starts as corrected, other titles and sources of each role,
+    the months that all roles cover together, and the degrees, of each kind and field the first."""
+    key = F.col("c_custkey")
+    moved = t.customer.select(key.alias("owner"), F.lower(d.chosen(d.COMPANIES, key * 3 + 1)).alias("said"), (24000 + key % 12).alias("new_start"))
+    text = F.lower(F.concat_ws(" ", "title", "company"))
+    said = F.contains(text, F.col("said")) | F.contains(F.col("said"), F.left(text, F.lit(20)))
+    dated = src.computed(merged(t).join(moved, "owner").withColumn("start_m", F.when(said, F.col("new_start")).otherwise(F.col("start_m"))).drop("said", "new_start"))
+    yr = F.floor((F.col("start_m") - 1) / 12)
+    met = dated.select("owner", "ordinal", yr.alias("yr")).join(fixes(t).withColumnRenamed("ordinal", "at"), "owner").where("yr >= p0 AND yr < p1")
+    named = met.groupBy("owner", "ordinal").agg(F.min_by("fixed", "at").alias("fixed"))
+    total = tm.covered_months(dated.where("end_m > start_m").select("owner", "start_m", "end_m")).select("owner", F.col("covered").alias("total_months"))
+    first = degrees(t).groupBy("owner", "degree", FIELD.first(F.col("name")).alias("field")).agg(F.min(F.struct("i", "name")).alias("f"))
+    education = first.groupBy("owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["name"]), "; ").alias("education"))
+    whole = dated.join(named, ["owner", "ordinal"], "left").join(total, "owner", "left").join(education, "owner", "left")
+    place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("end_m"), "ordinal")).cast("long")
+    return whole.select(
+        "owner", "ordinal", "origin", F.coalesce("fixed", "title").alias("title"), "company", "start_m", "end_m", "alt_titles", "n_sources", place.alias("place"),
+        F.coalesce("total_months", F.lit(0)).alias("total_months"), F.coalesce("education", F.lit("")).alias("education"),
+    )

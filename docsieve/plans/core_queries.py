@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from docsieve.operators import evidence as ev
 from docsieve.operators import temporal as tm
-from docsieve.plans.registry import APPLICATIONS, EVIDENCE, LINES, NODES, ROLES, query
-from docsieve.plans.standins import applications, evidence, lines, nodes, roles
+from docsieve.plans.registry import APPLICATIONS, EVIDENCE, NODES, ROLES, query
+from docsieve.plans.standins import applications, evidence, nodes, roles
 from docsieve.sources import tables as src
 from docsieve.sources.tables import Tables
 

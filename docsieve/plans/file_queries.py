@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsieve.functions import stats
-from docsieve.functions import text as tx
 from docsieve.operators import names as nm
 from docsieve.plans import domain as d
-from docsieve.plans.profile_queries import BASIC_NUMBERS, DEGREES, GARBAGE, HOLDER, HOLDERS, LINES, SECTIONS, profile_lines
+from docsieve.plans.profile_queries import BASIC_NUMBERS, DEGREES, GARBAGE, HOLDER, HOLDERS, LINES, profile_lines
 from docsieve.plans.registry import query
-from docsieve.plans.score_queries import CHECKS, CV_CHECKS, GATED, cv_scores, gate
+from docsieve.plans.score_queries import CHECKS, GATED, cv_scores, gate
 from docsieve.plans.text_queries import s_beta_ci, s_f_pvalue, s_two_groups
 from docsieve.sources import archives as ar
 from docsieve.sources import schemas as sm

@@ -9,8 +9,8 @@ from docsieve.functions import text as tx
 from docsieve.operators import evidence as ev
 from docsieve.operators import matching as mt
 from docsieve.plans.registry import NODES, query
-from docsieve.plans.standins import evidence, nodes, roles
-from docsieve.plans.text_queries import SIGNIFICANT, WORDS, count_sql
+from docsieve.plans.standins import nodes, roles
+from docsieve.plans.text_queries import SIGNIFICANT
 from docsieve.sources import tables as src
 from docsieve.sources.tables import Tables
 from docsieve.streaming import events as stream

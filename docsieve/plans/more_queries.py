@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.functions import rules
 from docsieve.functions import text as tx
 from docsieve.operators import layout
 from docsieve.operators import temporal as tm
-from docsieve.plans.join_queries import REQUIREMENTS, requirements
-from docsieve.plans.registry import LINES, NODES, query
-from docsieve.plans.standins import lines, nodes, roles
+from docsieve.plans.registry import NODES, query
+from docsieve.plans.standins import nodes
 from docsieve.plans.text_queries import written_dates
 from docsieve.sources import tables as src
 from docsieve.sources.tables import Tables

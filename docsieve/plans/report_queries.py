@@ -13,11 +13,11 @@ from docsieve.operators import matching as mt
 from docsieve.operators import names as nm
 from docsieve.operators import temporal as tm
 from docsieve.plans import domain as d
-from docsieve.plans.class_queries import CLASSIFIED, MESSAGES, classified, messages
-from docsieve.plans.matching_queries import FIXES, REQ_NODES, company_pairs, first_of, greedy_sql, keyword_nodes, requirement_nodes, same_contexts, same_positions
-from docsieve.plans.profile_queries import DEGREE, DEGREES, LINES, profile_lines
+from docsieve.plans.class_queries import MESSAGES, messages
+from docsieve.plans.matching_queries import REQ_NODES, company_pairs, first_of, greedy_sql, keyword_nodes, requirement_nodes, same_contexts, same_positions
+from docsieve.plans.profile_queries import DEGREE, DEGREES
 from docsieve.plans.registry import VERDICT, query
-from docsieve.plans.score_queries import CHECKS, cv_scores, gate
+from docsieve.sources import tables as src
 from docsieve.sources.tables import Tables
 
 ROLES = d.with_tables("roles")
@@ -272,10 +272,10 @@ CONFLICTS = f"""{GROUPS}, c AS (SELECT owner, seed, count(*) AS n, count(DISTINC
 kinds AS (SELECT owner, seed, n, spread, unnest([CASE WHEN dates THEN 'date_mismatch' END, CASE WHEN len(titles) > 1 AND NOT ({SYNONYMS}) THEN 'title_mismatch' END, CASE WHEN mixed THEN 'description_gap' END]) AS kind FROM c)"""
 
 
-def conflicts(t: Tables) -> DataFrame:
+def conflicts(grouped: DataFrame) -> DataFrame:
     """Of each group of two roles or more: other dates, titles that aren't all synonyms, descriptions in some only."""
     described = F.col("ordinal") % 3 != 0
-    c = groups(t).groupBy("owner", "seed").agg(
+    c = grouped.groupBy("owner", "seed").agg(
         F.count(F.lit(1)).alias("n"), ((F.countDistinct("start_m") > 1) | (F.countDistinct("end_m") > 1)).alias("dates"), F.collect_set("title").alias("titles"),
         (F.bool_or(described) & F.bool_or(~described)).alias("mixed"), (F.max("start_m") - F.min("start_m")).alias("spread"),
     ).where("n > 1")
@@ -286,7 +286,7 @@ def conflicts(t: Tables) -> DataFrame:
 
 @query("agg_group_conflicts", f"{CONFLICTS} SELECT owner, seed, n, kind FROM kinds WHERE kind IS NOT NULL")
 def agg_group_conflicts(t: Tables) -> DataFrame:
-    return conflicts(t).select("owner", "seed", "n", "kind")
+    return conflicts(groups(t)).select("owner", "seed", "n", "kind")
 
 
 EMPLOYERS_SQL = greedy_sql(d.s_companies("s.company", "n.company")).rsplit("SELECT owner, ordinal, seed FROM g", 1)[0] + ", em AS (SELECT g.owner, g.seed, r.* EXCLUDE (owner, i) FROM g JOIN r ON r.owner = g.owner AND r.ordinal = g.ordinal), one AS (SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY owner, seed, start_m, end_m ORDER BY ordinal) = 1)"
@@ -324,10 +324,10 @@ def agg_conflict_report(t: Tables) -> DataFrame:
     """Each owner's documents, roles, positions, conflicts (by persona) and gaps between the positions."""
     k = F.col("owner") % 3
     persona = F.when(k == 0, "freelancer").when(k == 1, "career_changer").otherwise("standard")
-    grouped = groups(t)
+    grouped = src.computed(groups(t))
     own = grouped.groupBy("owner").agg(F.count(F.lit(1)).alias("n_roles"), F.countDistinct("seed").alias("n_unique"), F.countDistinct("source").alias("n_docs"))
     apart = (persona == "career_changer") & (F.col("kind") == "title_mismatch") & (F.col("spread") > 24)
-    kept = conflicts(t).where(~apart).groupBy("owner").agg(F.count(F.lit(1)).alias("n_conflicts"))
+    kept = conflicts(grouped).where(~apart).groupBy("owner").agg(F.count(F.lit(1)).alias("n_conflicts"))
     first = grouped.where("ordinal = seed")
     following = F.lead("start_m").over(Window.partitionBy("owner").orderBy("start_m", "end_m", "seed"))
     gaps = first.withColumn("gap", following - F.col("end_m")).groupBy("owner").agg(F.count_if(F.col("gap") >= 3).alias("n_gaps"))
@@ -343,10 +343,11 @@ def agg_conflict_report(t: Tables) -> DataFrame:
 def fn_conflict_questions(t: Tables) -> DataFrame:
     """A question for each conflict with two distinct options or more, six for each owner."""
     dates = F.concat_ws("-", F.col("start_m").cast("string"), F.col("end_m").cast("string"))
-    options = groups(t).groupBy("owner", "seed").agg(F.countDistinct("title").alias("title_mismatch"), F.countDistinct(dates).alias("date_mismatch"), F.countDistinct("source").alias("description_gap"))
+    grouped = src.computed(groups(t))
+    options = grouped.groupBy("owner", "seed").agg(F.countDistinct("title").alias("title_mismatch"), F.countDistinct(dates).alias("date_mismatch"), F.countDistinct("source").alias("description_gap"))
     kind = F.col("kind")
     n = F.when(kind == "title_mismatch", F.col("title_mismatch")).when(kind == "date_mismatch", F.col("date_mismatch")).otherwise(F.col("description_gap"))
-    q = conflicts(t).join(options, ["owner", "seed"]).select("owner", "seed", "kind", n.alias("n_options")).where("n_options > 1")
+    q = conflicts(grouped).join(options, ["owner", "seed"]).select("owner", "seed", "kind", n.alias("n_options")).where("n_options > 1")
     place = F.row_number().over(Window.partitionBy("owner").orderBy("seed", "kind"))
     return q.withColumn("place", place).where("place <= 6").drop("place")
 
@@ -542,12 +543,9 @@ fin AS (SELECT o.owner, o.ordinal, 'confirmed' AS origin, o.title, o.company, o.
 
 def merged(t: Tables) -> DataFrame:
     """Confirmed roles first; groups of other sources' roles are absorbed where confirmed ones cover half of them, else they stand on their own."""
-    from docsieve.operators import temporal as tm
-
     roles = d.roles(t)
     sure, others = roles.where("source = 'F'"), roles.where("source <> 'F'")
-
-    members = same_contexts(others)
+    members = src.computed(same_contexts(others))
     heads = members.where("ordinal = seed")
     windows = heads.select(F.concat_ws("-", "owner", "seed").alias("key"), "owner", "seed", F.col("start_m").alias("low"), F.col("end_m").alias("high"))
     known = windows.select("key", "owner").join(sure.select("owner", "start_m", "end_m"), "owner").drop("owner")
@@ -570,10 +568,3 @@ def merged(t: Tables) -> DataFrame:
     plain = ["owner", "ordinal", "title", "company", "start_m", "end_m"]
     alone = heads.join(state.where("NOT absorbed"), ["owner", "seed"]).select(*plain)
     return lineage(sure.select(*plain), into, "confirmed").unionByName(lineage(alone, own, "parsed"))
-
-
-@query("agg_merge_profile", f"{MERGED} SELECT owner, ordinal, origin, title, company, start_m, end_m, alt_titles, n_sources, row_number() OVER (PARTITION BY owner ORDER BY end_m DESC, ordinal) AS place FROM fin")
-def agg_merge_profile(t: Tables) -> DataFrame:
-    """The merged timeline of each owner, latest first, with other titles and the number of sources of each role."""
-    place = F.row_number().over(Window.partitionBy("owner").orderBy(F.desc("end_m"), "ordinal")).cast("long")
-    return merged(t).withColumn("place", place)

@@ -12,6 +12,7 @@ from docsieve.operators import scoring as sc
 from docsieve.plans import domain as d
 from docsieve.plans.registry import query
 from docsieve.plans.text_queries import s_beta_ci, s_f_pvalue, s_two_groups
+from docsieve.sources import tables as src
 from docsieve.sources.tables import Tables
 
 OPENERS = ("Led", "Built", "Improved", "Responsible for", "co-authored", "Acme Labs: Designed")
@@ -366,7 +367,7 @@ def sc_jd_scorecard(t: Tables) -> DataFrame:
 def agg_baseline_report(t: Tables) -> DataFrame:
     """Two groups of pairs, ceiling and baseline: each check's means and failures; the pass rates' gap, the baseline's
     credible interval, and whether the mean scores differ, by an analysis of variance."""
-    rows = cv_scores(t)
+    rows = src.computed(cv_scores(t))
     base = F.col("app") % 2 == 1
     soft = F.avg(F.when(~F.col("hard"), F.col("score"))).alias("mean")
     pairs = rows.groupBy("app").agg(gate().cast("int").alias("ok"), soft).withColumn("k", F.lit(0))

@@ -103,3 +103,17 @@ def shared_folder(spark: SparkSession) -> str:
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{(base or tempfile.mkdtemp(prefix='docsieve-')).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def computed(rows: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in spark.checkpoint.dir, for plans that use them several times.
+
+    Where that is unset, a temporary folder is set, but only for a local master.
+    """
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="docsieve-"))
+    return rows.checkpoint()
