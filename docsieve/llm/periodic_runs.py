@@ -18,7 +18,6 @@ columns of the input, whatever their names, are not read.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
