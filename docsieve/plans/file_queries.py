@@ -414,7 +414,7 @@ def sc_safeguards(t: Tables) -> DataFrame:
 @query(
     "sc_pretest",
     f"""{CHECKS}, tried AS (SELECT app // 24 AS run, check_name, app % 2 = 1 AS fresh, score, app // 6 AS step FROM checks),
-    steps AS (SELECT run, check_name, step, coalesce(avg(score) FILTER (fresh) > avg(score) FILTER (NOT fresh), FALSE) AS kept FROM tried GROUP BY run, check_name, step),
+    steps AS (SELECT run, check_name, step, coalesce(avg(score) FILTER (fresh) - avg(score) FILTER (NOT fresh) > 1e-9, FALSE) AS kept FROM tried GROUP BY run, check_name, step),
     keeps AS (SELECT run, check_name, count(*) FILTER (kept) / count(*) AS keep_rate FROM steps GROUP BY run, check_name),
     {s_two_groups('tried', 'run, check_name', 'fresh', 'score')},
     ps AS (SELECT run, check_name, n, coalesce(gain, 0) AS gain, keep_rate, {s_f_pvalue('f', '(n - 2)')} AS p FROM fs JOIN keeps USING (run, check_name))
@@ -425,7 +425,8 @@ def sc_pretest(t: Tables) -> DataFrame:
     """Of each run and check, whether fresh outputs beat the first ones: significantly better, worse, seldom kept, or open."""
     app, fresh = F.col("app"), F.col("app") % 2 == 1
     rows = cv_scores(t).select(F.floor(app / 24).alias("run"), "check_name", fresh.alias("fresh"), "score", F.floor(app / 6).alias("step"))
-    better = F.avg(F.when(F.col("fresh"), F.col("score"))) > F.avg(F.when(~F.col("fresh"), F.col("score")))
+    # Means of the same scores may differ by their order of summation.
+    better = F.avg(F.when(F.col("fresh"), F.col("score"))) - F.avg(F.when(~F.col("fresh"), F.col("score"))) > 1e-9
     steps = rows.groupBy("run", "check_name", "step").agg(F.coalesce(better, F.lit(False)).alias("kept"))
     keeps = steps.groupBy("run", "check_name").agg((F.count_if("kept") / F.count(F.lit(1))).alias("keep_rate"))
     found = stats.two_groups(rows, ["run", "check_name"], F.col("fresh"), "score").join(keeps, ["run", "check_name"])
