@@ -134,6 +134,18 @@ INDUSTRIES = Lexicon(
     """,
     "unknown",
 )
+#: Words that tell what language a text is in, and that it speaks of rights.
+COMMON_WORDS = Lexicon(
+    "common_words",
+    """
+    english: the, and, that, with, from, this, they
+    german: und, der, das, nicht, ist, mit der
+    french: les, une, dans, pour, avec
+    spanish: los, una, por, para, como
+    rights: all rights reserved, license, copyright
+    """,
+    "other",
+)
 TECHNOLOGIES = Lexicon(
     "technologies",
     """
