@@ -270,6 +270,26 @@ def test_position_blocks_skip_what_cannot_link():
     assert {p for p in got if p[1] >= 300} == {p for a, b in jaccard_join.unskipped(t, rule, 300) for p in zip(a.tolist(), b.tolist())}
 
 
+def test_pairs_of_a_long_list_are_held_in_parts():
+    """The pairs of a list grow with its square, and so did what a task held of them."""
+    r = np.random.default_rng(4)
+    m, rule = 400, jaccard_join.Rule(5, 80)
+    t = {"token": r.integers(0, 2, m), "lo": np.full(m, 40), "hi": np.full(m, 40), "pos": r.integers(0, 4, m), "reach": np.full(m, 40)}
+    t |= {"class": r.integers(0, 300, m), "group": np.zeros(m, np.int64), "grouped": np.zeros(m, bool)}
+    t = {c: v[np.lexsort([t[o] for o in jaccard_join.ORDERED][::-1])] for c, v in t.items()}
+    parts = list(jaccard_join.met_pairs(t, rule, 0, most=1000))
+    assert len(parts) > 10 and max(p.shape[1] for p in parts) < 3000
+    whole = list(jaccard_join.met_pairs(t, rule, 0, most=1 << 40))
+    assert len(whole) == 1
+
+    def pairs(found):
+        return {(x, y) for p in found for x, y in zip(p[0].tolist(), p[1].tolist())}
+
+    met = list(jaccard_join.unskipped(t, rule, 0))
+    want = {tuple(sorted(p)) for a, b in met for p in zip(t["class"][a].tolist(), t["class"][b].tolist()) if p[0] != p[1]}
+    assert pairs(parts) == pairs(whole) == want
+
+
 def test_members_are_answered_through_their_leader(spark):
     """A group's members have no entries in the lists that their leader heads, and links beyond the group are derived."""
     r = np.random.default_rng(3)
