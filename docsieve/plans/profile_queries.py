@@ -761,6 +761,6 @@ def jn_jd_questions(t: Tables) -> DataFrame:
     """Distinct skills of a posting, hard ones first, with a node that is worth a question; three for each."""
     rank = F.when(F.col("part") % 2 == 0, 0).otherwise(1)
     wanted = d.keywords(t).groupBy("app", "owner", "kw").agg(F.min(rank).alias("rank"))
-    met = first_of(keyword_nodes(t, wanted, "kw"), ["app", "kw"], "place").where("NOT has_validation AND NOT (has_depth AND has_impact)")
+    met = keyword_nodes(t, wanted, "kw", d.keyword_names(t)).where("NOT has_validation AND NOT (has_depth AND has_impact)")
     place = F.row_number().over(Window.partitionBy("app").orderBy("rank", "kw"))
     return met.withColumn("at", place).where("at <= 3").select("app", "kw", "node")

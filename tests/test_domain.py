@@ -11,7 +11,10 @@ from docsieve.functions import text as tx
 from docsieve.operators import matching as mt
 from docsieve.operators import names as nm
 from docsieve.operators import scoring as sc
+from docsieve.plans import domain as d
+from docsieve.plans import matching_queries as mq
 from docsieve.sources import archives as ar
+from docsieve.sources.tables import Tables
 
 
 def one(spark, column):
@@ -142,3 +145,12 @@ def test_seed_groups_keep_the_first_seed(spark):
     alike = spark.createDataFrame([(a, b) for a in (5, 6, 7, 9) for b in (5, 6, 7, 9) if abs(a - b) <= 2], "x int, y int").select(mt.name_key("x").alias("a"), mt.name_key("y").alias("b"))
     got = mt.seed_groups(rows, "owner", "i", ["x"], alike).collect()
     assert {r["x"]: r["seed"] for r in got} == {5: 0, 9: 1, 7: 0, 6: 0}
+
+
+def test_a_keyword_meets_one_node(spark):
+    """What an owner's names find is settled once for each owner: no row for each node that a keyword matches."""
+    t = Tables(spark, "/root/testdata/sf0.001")
+    keys = d.keywords(t)
+    got = mq.keyword_nodes(t, keys, "kw")
+    assert 0 < got.count() == got.select("app", "req", "part", "pos").distinct().count()
+    assert mq.requirement_nodes(t).count() == keys.select("app", "req", "part").distinct().count()
