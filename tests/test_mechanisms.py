@@ -285,3 +285,15 @@ def test_damaged_members_have_a_verdict(spark, tmp_path):
     path.write_bytes(raw)
     got = {r["member"]: (r["verdict"], r["text"] is None) for r in ar.read_archives(spark, str(tmp_path)).collect()}
     assert got == {"skills.csv": ("damaged", True), "profile.csv": ("ok", False)}
+
+
+def test_small_archives_need_no_file_each(spark, tmp_path):
+    files = spark.createDataFrame([(f"{i}.zip", m, f"Name\n{m}{i}\n") for i in range(30) for m in ("skills.csv", "Profile.csv")] + [("e.zip", "x.exe", "x")], "archive string, member string, text string")
+    ar.packed(files).write.parquet(str(tmp_path / "t"))
+    assert len(list((tmp_path / "t").glob("*.parquet"))) < 31
+    read = ar.unpacked(spark.read.parquet(str(tmp_path / "t")))
+    got = {(r["archive"], r["kind"], r["record"]["name"]) for r in ar.csv_records(read, "skills.csv", "profile.csv").collect()}
+    assert got == {(f"{i}.zip", m.lower(), f"{m}{i}") for i in range(30) for m in ("skills.csv", "Profile.csv")}
+    assert {r["verdict"] for r in read.where("archive = 'e.zip'").collect()} == {"not allowed"}
+    assert ar.write_archives(files, str(tmp_path / "z")).count() == 31
+    assert sorted(ar.read_archives(spark, str(tmp_path / "z")).collect()) == sorted(read.collect())
