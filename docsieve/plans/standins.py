@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.operators import evidence as ev
-from docsieve.sources.tables import Tables
+from docsieve.sources.tables import Tables, dealt
 
 
 def roles(t: Tables) -> DataFrame:
@@ -42,7 +42,7 @@ def evidence(t: Tables) -> DataFrame:
 
 
 def nodes(t: Tables) -> DataFrame:
-    return ev.summaries(evidence(t))
+    return ev.summaries(dealt(evidence(t), t.lineitem.count(), "owner"))
 
 
 def applications(t: Tables) -> DataFrame:

@@ -154,3 +154,11 @@ def test_a_keyword_meets_one_node(spark):
     got = mq.keyword_nodes(t, keys, "kw")
     assert 0 < got.count() == got.select("app", "req", "part", "pos").distinct().count()
     assert mq.requirement_nodes(t).count() == keys.select("app", "req", "part").distinct().count()
+
+
+def test_tasks_grow_in_number_not_in_size(spark):
+    from docsieve.sources.tables import dealt
+
+    rows = spark.range(1000)
+    assert dealt(rows, 1000, "id", most=10).rdd.getNumPartitions() == 100
+    assert dealt(rows, 1000, "id", most=10).count() == 1000 == dealt(rows, 1000, "id").count()
