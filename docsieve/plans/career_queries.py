@@ -227,7 +227,7 @@ def win_requirements_section(t: Tables) -> DataFrame:
     low = F.lower("line")
     told = F.when(low.rlike(ASKS), True).when(low.rlike(OTHER_HEAD), False)
     inside = F.last(told, ignorenulls=True).over(Window.partitionBy("app").orderBy("pos", "line"))
-    found = rows.withColumn("inside", inside).where(F.col("inside") & F.col("line").rlike(r"^[-•*]\s+"))
+    found = src.dealt(rows, 2 * t.lineitem.count(), "app").withColumn("inside", inside).where(F.col("inside") & F.col("line").rlike(r"^[-•*]\s+"))
     return found.select("app", "pos", F.trim(F.regexp_replace("line", r"^[-•*]\s+", "")).alias("requirement"))
 
 
