@@ -162,3 +162,16 @@ def test_tasks_grow_in_number_not_in_size(spark):
     rows = spark.range(1000)
     assert dealt(rows, 1000, "id", most=10).rdd.getNumPartitions() == 100
     assert dealt(rows, 1000, "id", most=10).count() == 1000 == dealt(rows, 1000, "id").count()
+
+
+@pytest.mark.parametrize("name", ["agg_industry_argmax", "jn_metric_attach", "jn_domain_overlap", "jn_anti_fabricated"])
+def test_tasks_are_dealt_by_number(spark, name):
+    """Adaptive execution merges tasks that are dealt by columns alone, by their bytes, so that one gets ever more slim rows."""
+    from docsieve.plans.registry import QUERIES
+    from docsieve.sources.tables import dealt
+
+    assert dealt(spark.range(1000), 1000, "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    import __spark_entry__  # noqa: F401
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
