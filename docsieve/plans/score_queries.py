@@ -13,7 +13,7 @@ from docsieve.plans import domain as d
 from docsieve.plans.registry import query
 from docsieve.plans.text_queries import s_beta_ci, s_f_pvalue, s_two_groups
 from docsieve.sources import tables as src
-from docsieve.sources.tables import Tables
+from docsieve.sources.tables import Tables, dealt
 
 OPENERS = ("Led", "Built", "Improved", "Responsible for", "co-authored", "Acme Labs: Designed")
 #: What was generated for an application (``made_`` columns) beside its role's own text (``source``).
@@ -31,7 +31,9 @@ c AS (SELECT *, lower(summary || ' ' || company || ' ' || title || ' ' || array_
 
 
 def generated(t: Tables) -> DataFrame:
-    f = d.facts(t).select(F.col("role_id").alias("app"), "line", "node").distinct()
+    many = t.lineitem.count()
+    # Small parts, as the checks take their time and the last ones keep all others waiting.
+    f = dealt(d.facts(t).select(F.col("role_id").alias("app"), "line", "node"), many, "app", most=50_000).distinct()
     bullet = F.concat_ws(" ", d.chosen(OPENERS, F.col("line") + F.col("app")), "node", F.concat(F.lit("and cut cost by "), F.col("line").cast("string"), F.lit("0%")))
     said = F.concat(F.col("node"), F.lit(" cut cost by "), F.col("line").cast("string"), F.lit("0%"))
 
@@ -42,25 +44,33 @@ def generated(t: Tables) -> DataFrame:
         ordered(F.col("line") != 3, said).alias("said"), ordered(F.col("line") != 5, bullet).alias("bullets"),
         F.array_sort(F.collect_set(F.when(F.col("line") <= 5, F.lower("node")))).alias("own"),
     )
-    req = F.struct("req", "part", "pos", F.concat(F.lit("3+ years of experience with "), F.col("kw")).alias("v"))
-    asked = d.keywords(t).groupBy("app").agg(F.transform(F.array_sort(F.collect_list(req)), lambda x: x["v"]).alias("reqs"), F.array_sort(F.collect_set(F.lower("kw"))).alias("wanted"))
+    # Requirements are taken apart once a distinct keyword, not once a row.
+    text, kw = F.concat(F.lit("3+ years of experience with "), F.col("name")), F.col("name").alias("kw")
+    apart = src.lookup(d.keyword_names(t).select(kw, sc.topic_words(text).alias("words"), sc.technologies(text, 100).alias("terms")))
+    asked = d.keywords(t).join(apart, "kw", "left").groupBy("app").agg(F.array_sort(F.collect_list(F.struct("req", "part", "pos", "words", "terms"))).alias("l"), F.array_sort(F.collect_set(F.lower("kw"))).alias("wanted"))
+    terms = F.slice(F.array_distinct(F.flatten(F.transform("l", lambda x: x["terms"]))), 1, 15)
+    asked = asked.select("app", "wanted", F.transform("l", lambda x: x["words"]).alias("req_words"), terms.alias("req_terms"))
     roles = d.roles(t).select(F.col("ordinal").alias("app"), "company", "title", F.floor((F.col("start_m") - 1) / 12).alias("yr"))
     rows = roles.join(each, "app", "left").join(asked, "app", "left")
     none, app = F.array().cast("array<string>"), F.col("app")
+    req_words = F.coalesce("req_words", F.array().cast("array<array<string>>")).alias("req_words")
     source = F.lower(F.concat(F.concat_ws(" ", "company", "title", F.col("yr").cast("string")), F.lit(" "), F.array_join(F.coalesce("said", none), "; ")))
     made_company = F.when(app % 6 == 0, d.chosen(d.COMPANIES, app)).when(app % 4 == 0, F.concat("company", F.lit(", Berlin"))).otherwise(F.col("company"))
     out = rows.select(
-        "app", source.alias("source"), F.coalesce("bullets", none).alias("bullets"), "title", F.coalesce("reqs", none).alias("reqs"),
+        "app", source.alias("source"), F.coalesce("bullets", none).alias("bullets"), "title", req_words, F.coalesce("req_terms", none).alias("req_terms"),
         F.when(app % 3 == 0, F.coalesce("wanted", none)).otherwise(F.coalesce("own", none)).alias("skills"), F.when(app % 9 == 0, "").otherwise(F.col("title")).alias("summary"),
         made_company.alias("company"), F.when(app % 7 == 0, None).when(app % 5 == 0, F.col("yr") + 3).otherwise(F.col("yr")).alias("yr"),
     )
     made = F.lower(F.concat_ws(" ", "summary", "company", "title", F.array_join("skills", " "), F.array_join("bullets", " ")))
-    return bound(out.withColumn("made", made))
+    return bound(out.withColumn("made", made), "app")
 
 
-def bound(rows: DataFrame) -> DataFrame:
-    """The rows with their columns computed: a generator keeps them from being computed anew wherever a check names them."""
-    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+def bound(rows: DataFrame, key: str) -> DataFrame:
+    """The rows with their columns computed: a generator keeps them from being computed anew wherever a check names them.
+
+    The key stands beside it, so that rows that are dealt by it aren't dealt again.
+    """
+    return rows.select(key, F.inline(F.array(F.struct(*[c for c in rows.columns if c != key]))))
 
 
 def alternation(words) -> str:
@@ -129,7 +139,7 @@ def cv_checks() -> dict[str, Column]:
     source, made, bullets, skills = (F.col(c) for c in ("source", "made", "bullets", "skills"))
     year = F.coalesce(F.col("yr").cast("string"), F.lit(""))
     return {
-        "requirements": sc.requirements_covered(F.col("reqs"), sc.technologies(F.array_join("reqs", " ")), source, made),
+        "requirements": sc.words_covered(F.col("req_words"), F.col("req_terms"), source, made),
         "no_fabrication": sc.no_fabrication(skills, source),
         "metrics": sc.metrics_kept(source, made),
         "word_count": sc.word_count(made),
@@ -243,7 +253,7 @@ def postings(t: Tables) -> DataFrame:
         "want_company": d.chosen(d.COMPANIES, a), "company": F.when(a % 11 != 0, d.chosen(d.COMPANIES, a + a % 3)),
         "want_title": d.chosen(d.TITLES, a), "title": d.chosen(d.TITLES, a + a % 2), "want_location": d.chosen(PLACES, a), "location": d.chosen(PLACES, a * 3),
     }
-    return bound(rows.withColumns(years | named))
+    return bound(rows.withColumns(years | named), "app")
 
 
 def s_similar(pairs: str) -> str:

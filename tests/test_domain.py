@@ -175,3 +175,23 @@ def test_tasks_are_dealt_by_number(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
+
+
+@pytest.mark.parametrize("name", ["sc_readiness", "agg_scorecards", "agg_baseline_report", "sc_variant", "sc_compare", "sc_pretest", "sc_cv_scorecard", "sc_risk_tag"])
+def test_results_of_checks_are_not_shuffled_one_by_one(spark, name):
+    """The eight results of an application are grouped where they are made, by tasks that are dealt by number; sc_pretest deals them once, by run."""
+    import __spark_entry__  # noqa: F401
+    from docsieve.plans import score_queries as sq
+    from docsieve.plans.registry import QUERIES
+
+    made = sq.cv_scores(Tables(spark, "/root/testdata/sf0.001"))
+    by_app = made.groupBy("app").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in by_app.split("Generate explode")[0] and "REPARTITION_BY_NUM" in by_app
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_requirements_that_are_taken_apart_before(spark):
+    asked, source = F.array(F.lit("3+ years of experience with sql"), F.lit("experience with go")), F.lit("a source of more than fifty letters that says sql and not the other")
+    words, terms = F.transform(asked, sc.topic_words), F.array(F.lit("sql"))
+    row = spark.range(1).select(sc.words_covered(words, terms, source, F.lit("sql")).alias("a"), sc.requirements_covered(asked, terms, source, F.lit("sql")).alias("b")).first()
+    assert row["a"] == row["b"]
