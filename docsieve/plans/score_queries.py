@@ -196,13 +196,29 @@ def gate() -> Column:
 )
 def agg_scorecards(t: Tables) -> DataFrame:
     """A pair passes with three quarters of its checks, all with 70 % of the pairs; each check's mean and failures."""
-    checks = cv_scores(t)
-    pairs = checks.groupBy("app").agg((F.avg(F.col("passed").cast("int")) >= 0.75).alias("ok"))
-    total = pairs.agg(F.count_if("ok").alias("pairs_ok"), (F.avg(F.col("ok").cast("int")) >= 0.7).alias("passed"))
-    each = checks.groupBy("check_name").agg(F.round(F.avg("score"), 6).alias("mean"), F.count_if(~F.col("passed")).alias("n_failed"))
+    ok = F.avg(F.col("passed").cast("int")) >= 0.75
+    sums = tallied(cv_scores(t), ok, F.lit(None))
+    total = sums.where("check_name IS NULL").select(F.col("n_passed").alias("pairs_ok"), (F.col("n_passed") / (F.col("n_passed") + F.col("n_failed")) >= 0.7).alias("passed"))
+    each = sums.where("check_name IS NOT NULL").select("check_name", F.round(F.col("s") / F.col("n"), 6).alias("mean"), "n_failed")
     return each.join(F.broadcast(total))
 
 
+def tallied(checks: DataFrame, ok: Column, mean: Column, *by: Column) -> DataFrame:
+    """Sums of each check, and of the pairs (``check_name`` null: whether they are ``ok``, and their ``mean``), in one pass.
+
+    ``n_passed``, ``n_failed``, and of the scores ``n``, ``s`` and ``q``, their number, sum and sum of squares. Few rows, computed once.
+    """
+    result = F.struct("check_name", "score", "passed")
+    pairs = checks.groupBy("app").agg(F.collect_list(result).alias("l"), ok.alias("ok"), mean.cast("double").alias("mean"))
+    pair = F.struct(F.lit(None).cast("string").alias("check_name"), F.col("mean").alias("score"), F.col("ok").alias("passed"))
+    rows = pairs.select(*by, F.inline(F.concat("l", F.array(pair))))
+    score, passed = F.col("score"), F.col("passed")
+    keys = ["check_name", *[c for c in rows.columns if c not in ("check_name", "score", "passed")]]
+    return src.computed(rows.groupBy(*keys).agg(
+        F.count_if(passed).alias("n_passed"), F.count_if(~passed).alias("n_failed"), F.count(score).alias("n"), F.sum(score).alias("s"), F.sum(score * score).alias("q"),
+    ))
+
+
 @query("sc_readiness", f"{CHECKS} SELECT app, coalesce(string_agg(check_name, ',' ORDER BY check_name) FILTER (NOT passed AND hard), '') AS blockers, coalesce(string_agg(check_name, ',' ORDER BY check_name) FILTER (NOT passed AND NOT hard), '') AS warnings, count(*) FILTER (NOT passed AND hard) = 0 AS ready FROM checks GROUP BY app")
 def sc_readiness(t: Tables) -> DataFrame:
     def failed(hard: Column) -> Column:
