@@ -148,13 +148,22 @@ def two_groups(rows: DataFrame, keys: list[str], second: Column, value: str) ->
     A group of fewer than two values tells nothing (F 0, p 1). Without any spread within the groups, means that
     differ are beyond doubt (F infinite, p 0).
     """
+    return groups_apart(rows.groupBy(*keys).agg(*group_sums(second, value)), keys)
+
+
+def group_sums(second: Column, value: str) -> list[Column]:
+    """Numbers (``n1``, ``n2``), sums (``s``) and sums of squares (``q``) of both groups' values."""
     v = F.col(value).cast("double")
 
     def parts(when: Column, name: str) -> list[Column]:
         chosen = F.when(when, v)
         return [F.count(chosen).alias(f"n{name}"), F.sum(chosen).alias(f"s{name}"), F.sum(chosen * chosen).alias(f"q{name}")]
 
-    p = rows.groupBy(*keys).agg(*parts(~second, "1"), *parts(second, "2"))
+    return [*parts(~second, "1"), *parts(second, "2")]
+
+
+def groups_apart(p: DataFrame, keys: list[str]) -> DataFrame:
+    """``two_groups`` of rows that hold the groups' sums."""
     n, few = F.col("n1") + F.col("n2"), (F.col("n1") < 2) | (F.col("n2") < 2)
     mean = [F.col(f"s{i}") / F.nullif(F.col(f"n{i}"), F.lit(0)) for i in (1, 2)]
     within = F.col("q1") - F.col("s1") * mean[0] + F.col("q2") - F.col("s2") * mean[1]

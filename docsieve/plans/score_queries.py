@@ -393,24 +393,27 @@ def sc_jd_scorecard(t: Tables) -> DataFrame:
 def agg_baseline_report(t: Tables) -> DataFrame:
     """Two groups of pairs, ceiling and baseline: each check's means and failures; the pass rates' gap, the baseline's
     credible interval, and whether the mean scores differ, by an analysis of variance."""
-    rows = src.computed(cv_scores(t))
-    base = F.col("app") % 2 == 1
-    soft = F.avg(F.when(~F.col("hard"), F.col("score"))).alias("mean")
-    pairs = rows.groupBy("app").agg(gate().cast("int").alias("ok"), soft).withColumn("k", F.lit(0))
-    one = pairs.groupBy("k").agg(
-        F.count_if(base).alias("n_pairs"), F.coalesce(F.sum(F.when(base, F.col("ok"))), F.lit(0)).alias("n_passed"),
-        F.avg(F.when(base, F.col("ok"))).alias("base_rate"), F.avg(F.when(~base, F.col("ok"))).alias("top_rate"),
-    ).withColumn("ci", stats.beta_interval("n_passed", "n_pairs"))
-    apart = stats.two_groups(pairs, ["k"], base, "mean").select("k", F.round("f", 4).alias("f"), F.round("p_value", 6).alias("p_value"))
+    soft = F.avg(F.when(~F.col("hard"), F.col("score")))
+    sums = tallied(cv_scores(t), gate(), soft, (F.col("app") % 2 == 1).alias("base"))
+    base, pairs = F.col("base"), sums.where("check_name IS NULL").withColumn("k", F.lit(0)).withColumn("all", F.col("n_passed") + F.col("n_failed"))
+
+    def of(which: Column, name: str) -> Column:
+        return F.coalesce(F.sum(F.when(which, F.col(name))), F.lit(0))
+
+    def rate(which: Column) -> Column:
+        return of(which, "n_passed") / F.nullif(of(which, "all"), F.lit(0))
+
+    one = pairs.groupBy("k").agg(of(base, "all").alias("n_pairs"), of(base, "n_passed").alias("n_passed"), rate(base).alias("base_rate"), rate(~base).alias("top_rate"))
+    one = one.withColumn("ci", stats.beta_interval("n_passed", "n_pairs"))
+    grouped = pairs.groupBy("k").agg(*[of(which, name).alias(f"{name}{i}") for i, which in ((1, ~base), (2, base)) for name in "nsq"])
+    apart = stats.groups_apart(grouped, ["k"]).select("k", F.round("f", 4).alias("f"), F.round("p_value", 6).alias("p_value"))
     level = F.when(F.col("base_rate") > 0.9, "high").when(F.col("base_rate") > 0.5, "moderate").otherwise("low")
     total = one.join(F.broadcast(apart), "k").select(
         "n_passed", "n_pairs", F.round(100 * (F.col("top_rate") - F.col("base_rate")), 4).alias("gap_pp"), F.round("ci.low", 6).alias("ci_low"),
         F.round("ci.high", 6).alias("ci_high"), "f", "p_value", level.alias("level"),
     )
-    means = rows.groupBy("check_name").agg(
-        F.round(F.avg(F.when(~base, F.col("score"))), 6).alias("ceiling_mean"), F.round(F.avg(F.when(base, F.col("score"))), 6).alias("baseline_mean"),
-        F.count_if(base & ~F.col("passed")).alias("n_failed"),
-    )
+    mean = {n: F.round(F.sum(F.when(which, F.col("s"))) / F.sum(F.when(which, F.col("n"))), 6).alias(n) for n, which in (("ceiling_mean", ~base), ("baseline_mean", base))}
+    means = sums.where("check_name IS NOT NULL").groupBy("check_name").agg(*mean.values(), of(base, "n_failed").alias("n_failed"))
     return means.join(F.broadcast(total))
 
 
