@@ -427,7 +427,11 @@ RUNS = f"{CHECKS}, runs AS (SELECT app // 50 AS run, {GATED} AS gate, avg(score)
 )
 def sc_compare(t: Tables) -> DataFrame:
     """Each run of fifty applications against the one before: gate, mean, number of passes; the incumbent wins ties."""
-    runs = cv_scores(t).groupBy(F.floor(F.col("app") / 50).alias("run")).agg(gate().alias("gate"), F.avg("score").alias("mean"), F.count_if("passed").alias("n"))
+    score, soft, each = F.col("score"), F.when(~F.col("hard"), F.col("score")), "app"
+    sums = {"s": F.sum(score), "m": F.count(score), "soft_s": F.sum(soft), "soft_m": F.count(soft), "n": F.count_if("passed")}
+    pairs = cv_scores(t).groupBy(each).agg(F.bool_and(F.col("passed") | ~F.col("hard")).alias("ok"), *[c.alias(n) for n, c in sums.items()])
+    runs = pairs.groupBy(F.floor(F.col(each) / 50).alias("run")).agg(F.bool_and("ok").alias("ok"), *[F.sum(n).alias(n) for n in sums])
+    runs = runs.select("run", (F.col("ok") & (F.col("soft_s") / F.col("soft_m") >= 0.5)).alias("gate"), (F.col("s") / F.col("m")).alias("mean"), "n")
     w = Window.orderBy("run")  # a row for each run
     s = runs.select("run", "gate", "mean", "n", *[F.lag(c).over(w).alias(f"old_{c}") for c in ("gate", "mean", "n")]).where("old_mean IS NOT NULL")
     gain, new, old = F.col("mean") - F.col("old_mean"), F.col("gate"), F.col("old_gate")
