@@ -1,3 +1,5 @@
+import pathlib
+import time
 import collections
 import hashlib
 import re
@@ -342,3 +344,31 @@ def test_odd_and_empty_tables(spark, run, rows):
 def test_repeated_rows_are_documents_in_order(spark):
     got = passage_dedup.remove_passages(fixtures.odd(spark)).where("n_words = 60").collect()
     assert sorted(r["n_removed"] for r in got) == [0, 60]
+
+
+def test_jaccard_join_keeps_no_dead_shuffles(spark, monkeypatch):
+    """Where nothing is small enough to broadcast, the shuffles of tables that were cut don't pile up; the links are the same."""
+    texts = [" ".join(f"w{g}x{(i * 7) % (40 + g)}" if i != j else f"v{j}" for i in range(60)) for g in range(6) for j in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(jaccard_join.jaccard_join(docs).collect())
+    places = [str(d) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+
+    def kept():
+        return {int(f.name.split("_")[1]) for d in places for f in pathlib.Path(d).rglob("shuffle_*.data")}
+
+    last, left, made, ended = max(kept()), [], [], jaccard_join.components
+
+    def at_the_end(edges):
+        now, until = kept() or {0}, time.time() + 5
+        made.append(max(max(now) - last, 0))
+        while 4 * len({i for i in now if i > last}) > made[0] and time.time() < until:
+            time.sleep(0.1)
+            now = kept() or {0}
+        left.append(len({i for i in now if i > last}))
+        return ended(edges)
+
+    monkeypatch.setattr(jaccard_join, "joinable", lambda df: df)
+    monkeypatch.setattr(jaccard_join, "components", at_the_end)
+    assert sorted(jaccard_join.jaccard_join(docs).collect()) == want
+    assert any(row["n_links"] for row in want)
+    assert 4 * left[0] <= made[0], (left, made)
