@@ -251,25 +251,54 @@ j AS (SELECT app, expected, parsed, {d.sql_chosen(d.COMPANIES, 'app')} AS want_c
 PLACES = ("Berlin, Germany", "Berlin", "Remote", "Bern", "")
 
 
-def postings(t: Tables) -> DataFrame:
-    kw = F.array_sort(F.collect_list(F.struct("pos", "kw")))
-    items = d.keywords(t).groupBy("app", "req", "part").agg(F.array_join(F.transform(kw, lambda x: x["kw"]), " and ").alias("both"), F.min("kw").alias("one"))
-    part = F.col("part")
-    want = F.struct(F.concat(F.lit("Experience with "), F.col("both")).alias("text"), F.when(part % 3 == 0, "preferred").otherwise("must-have").alias("type"))
-    text = F.when(part % 4 == 0, F.concat(F.lit("Solid "), F.col("one"), F.lit(" practice"))).when(part % 7 == 0, "Own transport").otherwise(want["text"])
-    got = F.struct(text.alias("text"), F.when(part % 5 == 0, "required").when(part % 3 == 0, "optional").otherwise("hard").alias("type"))
+#: The fields that are compared as texts, with the least score that passes.
+FUZZY = {"company": 0.4, "title": 0.4, "location": 0.45}
 
-    def ordered(value: Column, when: Column) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("req", "part", value.alias("v"))))), lambda x: x["v"])
 
-    rows = items.groupBy("app").agg(ordered(want, F.lit(True)).alias("expected"), ordered(got, part % 6 != 1).alias("parsed"))
-    a = F.col("app")
-    years = {"want_min": F.when(a % 8 != 0, a % 6), "min_years": F.when(a % 9 != 0, a % 6 + a % 3), "want_max": a % 6 + 4, "max_years": F.when(a % 5 != 0, a % 6 + 4 - a % 2)}
-    named = {
+def posting_fields(a: Column) -> dict[str, Column]:
+    """What was parsed of a posting's fields, and expected (``want_`` columns)."""
+    return {
+        "want_min": F.when(a % 8 != 0, a % 6), "min_years": F.when(a % 9 != 0, a % 6 + a % 3), "want_max": a % 6 + 4, "max_years": F.when(a % 5 != 0, a % 6 + 4 - a % 2),
         "want_company": d.chosen(d.COMPANIES, a), "company": F.when(a % 11 != 0, d.chosen(d.COMPANIES, a + a % 3)),
         "want_title": d.chosen(d.TITLES, a), "title": d.chosen(d.TITLES, a + a % 2), "want_location": d.chosen(PLACES, a), "location": d.chosen(PLACES, a * 3),
     }
-    return bound(rows.withColumns(years | named), "app")
+
+
+def similar_fields(t: Tables) -> DataFrame:
+    """Values that were parsed and expected of a field, compared once a distinct pair, as postings have few."""
+    of = posting_fields(F.col("o_orderkey"))
+    pair = [F.struct(F.lit(n).alias("field"), F.lit(least).alias("least"), *_pair(of, n)) for n, least in FUZZY.items()]
+    pairs = t.orders.select(F.inline(F.array(*pair))).distinct()
+    return src.lookup(pairs.select("field", "value", "wanted", sc.fuzzy_field(F.col("value"), F.col("wanted"), F.col("least")).alias("r")))
+
+
+def _pair(of: dict[str, Column], name: str) -> list[Column]:
+    return [F.coalesce(of[c], F.lit("")).alias(alias) for c, alias in ((name, "value"), (f"want_{name}", "wanted"))]
+
+
+def with_similar(rows: DataFrame, t: Tables, *names: str) -> DataFrame:
+    """The postings with the results (``company_r`` and so on) of the named fields."""
+    similar, of = similar_fields(t), posting_fields(F.col("app"))
+    for n in names:
+        value, wanted = _pair(of, n)
+        found = similar.where(F.col("field") == n).select("value", "wanted", F.col("r").alias(f"{n}_r"))
+        rows = rows.withColumns({"value": value, "wanted": wanted}).join(found, ["value", "wanted"], "left").drop("value", "wanted")
+    return rows
+
+
+def postings(t: Tables) -> DataFrame:
+    """The requirements of each posting, ``expected`` and ``parsed``, in order."""
+    # A part is asked for once an owner; a number stands for the owners.
+    items = d.requirements(t).groupBy("app", "req", "part").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    n, part, (one, two) = F.col("n"), F.col("part"), d.asked_words(F.col("part"))
+    named = F.concat(F.lit("Experience with "), F.repeat(F.concat(one, F.lit(" and ")), n), F.repeat(F.concat(two, F.lit(" and ")), n - 1), two)
+    both = F.when(part.isNotNull(), named)
+    want = F.struct(both.alias("text"), F.when(part % 3 == 0, "preferred").otherwise("must-have").alias("type"))
+    text = F.when(part % 4 == 0, F.concat(F.lit("Solid "), F.least(one, two), F.lit(" practice"))).when(part % 7 == 0, "Own transport").otherwise(both)
+    got = F.struct(text.alias("text"), F.when(part % 5 == 0, "required").when(part % 3 == 0, "optional").otherwise("hard").alias("type"))
+    said = bound(items.select("app", F.col("req").isNull().alias("last"), "req", "part", want.alias("want"), F.when(part % 6 != 1, got).alias("got")), "app")
+    rows = said.groupBy("app").agg(F.sort_array(F.collect_list(F.struct("last", "req", "part", "want", "got"))).alias("l"))
+    return bound(rows.select("app", F.col("l")["want"].alias("expected"), F.array_compact(F.col("l")["got"]).alias("parsed")), "app")
 
 
 def s_similar(pairs: str) -> str:
@@ -346,26 +375,28 @@ JD_SCORES = JD + ", checks AS (" + " UNION ALL ".join(f"SELECT app, '{n}' AS che
 
 
 def jd_checks() -> dict[str, Column]:
-    parsed, expected = F.col("parsed"), F.col("expected")
-    texts = [F.transform(c, lambda x: x["text"]) for c in (expected, parsed)]
-    fields = {n: sc.fuzzy_field(F.col(n), F.col(f"want_{n}"), x) for n, x in (("company", 0.4), ("title", 0.4), ("location", 0.45))}
-    return fields | {
-        "years_min": sc.numeric_field(F.col("min_years"), F.col("want_min")),
-        "years_max": sc.numeric_field(F.col("max_years"), F.col("want_max")),
-        "req_recall": sc.found_share(texts[0], texts[1], 0.4),
-        "req_precision": sc.found_share(texts[1], texts[0], 0.85),
+    parsed, expected, of = F.col("parsed"), F.col("expected"), posting_fields(F.col("app"))
+    return {n: F.col(f"{n}_r") for n in FUZZY} | {
+        "years_min": sc.numeric_field(of["min_years"], of["want_min"]),
+        "years_max": sc.numeric_field(of["max_years"], of["want_max"]),
+        "req_recall": sc.found_share(expected["text"], parsed["text"], 0.4),
+        "req_precision": sc.found_share(parsed["text"], expected["text"], 0.85),
         "req_types": sc.types_right(expected, parsed),
-        "resp_recall": sc.found_share(texts[0], texts[1], 0.45, any_of_two=False),
+        "resp_recall": sc.found_share(expected["text"], parsed["text"], 0.45, any_of_two=False),
     }
 
 
-def jd_scores(t: Tables) -> DataFrame:
-    return long_checks(postings(t), jd_checks(), "app")
+def jd_scores(t: Tables, *names: str) -> DataFrame:
+    """The named checks of each posting, or all; requirements are read only where a check needs them."""
+    checks = {n: c for n, c in jd_checks().items() if n in (names or JD_CHECKS)}
+    rows = postings(t) if any(n.startswith("re") for n in checks) else d.requirements(t).select("app").distinct()
+    fuzzy = [n for n in FUZZY if n in checks]
+    return long_checks(with_similar(rows, t, *fuzzy) if fuzzy else rows, checks, "app")
 
 
 def _jd_check(name: str) -> None:
     def build(t: Tables) -> DataFrame:
-        return long_checks(postings(t), {name: jd_checks()[name]}, "app").select("app", F.round("score", 6).alias("score"), "passed")
+        return jd_scores(t, name).select("app", F.round("score", 6).alias("score"), "passed")
 
     query(f"sc_jd_{name}", f"{JD_SCORES} SELECT app, round(score, 6) AS score, passed FROM checks WHERE check_name = '{name}'")(build)
 
@@ -450,7 +481,7 @@ def sc_trial_all(t: Tables) -> DataFrame:
     f"{JD} SELECT app, round({s_fuzzy('title', 'want_title', 0.4)[0]}, 6) AS score FROM k",
 )
 def fn_fuzzy_field(t: Tables) -> DataFrame:
-    return postings(t).select("app", sc.fuzzy_field(F.col("title"), F.col("want_title"), 0.4).alias("r")).select("app", F.round("r.score", 6).alias("score"))
+    return jd_scores(t, "title").select("app", F.round("score", 6).alias("score"))
 
 
 PAIR = f"{d.with_tables('roles')}, pairs AS (SELECT DISTINCT a.title AS p, b.title AS e FROM (SELECT DISTINCT title FROM roles) a JOIN (SELECT DISTINCT title FROM roles) b ON a.title <= b.title)"

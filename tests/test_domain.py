@@ -3,6 +3,7 @@
 import zipfile
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from docsieve.operators import names as nm
 from docsieve.operators import scoring as sc
 from docsieve.plans import domain as d
 from docsieve.plans import matching_queries as mq
-from docsieve.plans import ground_queries, registry  # noqa: F401
+from docsieve.plans import ground_queries, registry, score_queries  # noqa: F401
 from docsieve.sources import archives as ar
 from docsieve.sources.tables import Tables
 
@@ -194,6 +195,48 @@ def test_results_of_checks_are_not_shuffled_one_by_one(spark, name):
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
 
 
+JD_QUERIES = ["sc_jd_scorecard", "sc_trial_all", "sc_jd_title", "sc_jd_years_min", "fn_fuzzy_field"]
+
+
+@pytest.mark.parametrize("name", JD_QUERIES)
+def test_fields_of_postings_are_compared_once_a_pair(spark, name):
+    """Texts of fields are compared in a table of their distinct pairs, not in the pass over the postings, and keywords aren't taken apart to be grouped again."""
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "jaro_winkler" not in plan and "levenshtein" not in plan and "inline(kws" not in plan
+
+
+@pytest.mark.parametrize("name", JD_QUERIES)
+def test_odd_postings_are_as_the_sql(spark, tmp_path, name):
+    """An order of two customers, rows that are repeated, no part, one part in several lines, a line without order."""
+    orders = [(1, 7), (1, 8), (2, 7), (3, None), (6, 9), (44, 9), (90, 1)]
+    lines = [(1, 5, 1), (1, 5, 1), (1, 12, 2), (1, 28, 3), (2, None, 1), (2, 8, 2), (3, 9, 1), (3, 10, 1), (3, 9, 2), (6, None, 1), (44, 13, 1), (44, 1, 2), (77, 3, 1), (90, 7, 1)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for table in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    same(spark, con, str(tmp_path), registry.QUERIES[name], registry.SQL[name])
+
+
+def test_items_are_compared_once_a_pair(monkeypatch):
+    """A word is looked for once a pair of texts, however many postings have both; nulls are never found, items without words always are."""
+    looked = []
+
+    class Text(str):
+        def lower(self):
+            return self
+
+        def __contains__(self, word):
+            looked.append(word)
+            return super().__contains__(word)
+
+    coded = sc.coded
+    monkeypatch.setattr(sc, "coded", lambda lists: (*(c := coded(lists))[:2], [x if x is None else Text(x) for x in c[2]]))
+    items, others = pa.array([["know sql"], None, ["know sql", None, "to"]] * 1000), pa.array([["sql, and know it", None], ["x"], ["nothing"]] * 1000)
+    assert sc.found_shares(items, others, True).to_pylist() == [1.0, 1.0, 1 / 3] * 1000
+    assert len(looked) == 2
+
+
 def test_requirements_that_are_taken_apart_before(spark):
     asked, source = F.array(F.lit("3+ years of experience with sql"), F.lit("experience with go")), F.lit("a source of more than fifty letters that says sql and not the other")
     words, terms = F.transform(asked, sc.topic_words), F.array(F.lit("sql"))
