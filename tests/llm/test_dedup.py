@@ -372,3 +372,40 @@ def test_jaccard_join_keeps_no_dead_shuffles(spark, monkeypatch):
     assert sorted(jaccard_join.jaccard_join(docs).collect()) == want
     assert any(row["n_links"] for row in want)
     assert 4 * left[0] <= made[0], (left, made)
+
+
+def test_only_texts_that_are_read_are_shuffled(spark, monkeypatch):
+    """Where the wanted classes, or the rows that go, are too many to broadcast, the other texts stay where they are."""
+    import random
+
+    r = random.Random(9)
+    texts = ["".join(r.choices("abcdefghijklmnop ", k=2000)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "key long, doc_id long, text string")
+    classes = spark.createDataFrame([(i, 1, None, False, True, i) for i in range(0, 300, 60)], "class long, size long, leader long, leads boolean, met boolean, key long")
+    none = np.zeros(0, np.uint64)
+    order = jaccard_join.Order(none, np.zeros(0, np.float32), 0.0, none)
+    places = [str(d) for d in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+
+    def moved(run):
+        def there():
+            return {f.name: f.stat().st_size for d in places for f in pathlib.Path(d).rglob("shuffle_*.data")}
+
+        before = there()
+        return run(), sum(v for k, v in there().items() if k not in before)
+
+    monkeypatch.setattr(jaccard_join, "joinable", lambda df: df)
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets, size = moved(lambda: jaccard_join.token_sets(docs, classes, jaccard_join.Rule(), order).collect())
+        assert sorted(row["class"] for row in sets) == list(range(0, 300, 60))
+        assert size < 600_000 / 4  # of 2,000 bytes each, these hold about half when compressed
+        twice = docs.unionByName(docs.limit(4).selectExpr("key + 1000 AS key", "doc_id + 1000 AS doc_id", "text")).cache()
+        twice.count()
+        monkeypatch.setattr(jaccard_join, "joined", lambda rows, rule: twice.selectExpr("key", "key % 1000 AS component_key"))
+        kept, size = moved(lambda: jaccard_join.one_of_each(twice).collect())
+        assert sorted(row["doc_id"] for row in kept) == list(range(300))
+        assert size < 600_000 / 4
+        twice.unpersist()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
